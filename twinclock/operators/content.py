@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinclock.operators.lookups import snapshot_of_events
 from twinclock.operators.slices import Scan
 from twinclock.schema import MAX_PACK_BYTES, MAX_PACK_TEXTS
+from twinclock.session import materialise, new_table_path
 
 
 def distinct_texts(revisions: DataFrame) -> DataFrame:
@@ -22,3 +25,184 @@ def distinct_texts(revisions: DataFrame) -> DataFrame:
         F.min(F.struct("ts", "rev_id", "entity")).alias("o")) \
         .select("sha1", "text", "byte_length", F.col("o.entity").alias("entity"),
                 F.col("o.rev_id").alias("first_rev"), F.col("o.ts").alias("first_ts"))
+
+
+def damaged_texts(texts: DataFrame) -> DataFrame:
+    """Stored texts whose digest or byte length does not fit; checked over the whole table."""
+    return texts.filter((F.sha1("text") != F.col("sha1")) | (F.octet_length("text") != F.col("byte_length")))
+
+
+# ---- packs ---------------------------------------------------------------------------------------
+#
+# A pack takes texts of one entity in order until the next would exceed the byte or the count bound. Where a
+# pack starts depends on where the one before it ended, so an entity is a sequential job over its lengths.
+# Entities longer than a block are cut into blocks that are worked on in parallel: a pack holds at most
+# ``max_texts`` texts, so a block can only be entered at one of its first ``max_texts`` positions. Each block
+# first says, for all of these, where the next block would be entered; chaining these small tables gives the
+# true entries, and the blocks are then packed independently.
+
+BLOCK = 1_000_000
+
+
+def _next_start(prefix: np.ndarray, i: int, max_bytes: int, max_texts: int) -> int:
+    """Position after the pack starting at ``i``; ``prefix[j]`` is the total length of the first j texts."""
+    fits = int(np.searchsorted(prefix, prefix[i] + max_bytes, side="right")) - 1
+    return min(max(i + 1, min(i + max_texts, fits)), len(prefix) - 1)
+
+
+def _prefix(lengths) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64))))
+
+
+def _exits(lengths, size: int, max_bytes: int, max_texts: int, entries: int) -> list[tuple[int, int]]:
+    """Per entry position: where the next block is entered, and the last pack start inside this one."""
+    prefix, known = _prefix(lengths), {}
+    for e in range(min(entries, size)):
+        path, i = [], e
+        while i < size and i not in known:
+            path.append(i)
+            i = _next_start(prefix, i, max_bytes, max_texts)
+        result = known[i] if i < size else (i - size, path[-1])
+        for p in reversed(path):
+            known[p] = result
+    return [known[e] if e < size else (e - size, -1) for e in range(entries)]
+
+
+def pack_texts(texts: DataFrame, max_bytes: int = MAX_PACK_BYTES, max_texts: int = MAX_PACK_TEXTS,
+               block: int = BLOCK, max_rows: int | None = None) -> DataFrame:
+    """(entity, sha1, pack, byte_offset, byte_length) of texts in (first_ts, first_rev) order.
+
+    Only lengths are moved, never texts.
+    """
+    narrow = texts.select("entity", "sha1", "byte_length", "first_ts", "first_rev")
+    placed = (Scan(narrow, "entity", ["first_ts", "first_rev"], max_rows).running_sum(F.lit(1), "nth").result()
+              .withColumn("pos", (F.col("nth") - 1).cast("bigint"))
+              .withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
+              .select("entity", "sha1", "byte_length", "pos", "block"))
+    key_type = placed.schema["entity"].dataType.simpleString()
+    long = placed.groupBy("entity").agg(F.max("block").alias("b")).filter(F.col("b") > 0).select("entity")
+
+    # the first texts of a block are also shown to the block before, whose last pack may take them
+    own = placed.withColumn("own", F.lit(True))
+    peek = (placed.filter((F.col("block") > 0) & (F.col("pos") % block < max_texts))
+            .withColumns({"block": F.col("block") - 1, "own": F.lit(False)}))
+    rows = own.unionByName(peek)
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        size = int(pdf["own"].sum())
+        found = _exits(pdf["byte_length"], size, max_bytes, max_texts, max_texts)
+        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": pdf["block"].iloc[0],
+                             "entry": range(len(found)), "exit": [f[0] for f in found]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.sort_values(["block", "entry"])["exit"].to_numpy().reshape(-1, max_texts)
+        entry, entries = 0, []
+        for row in table:
+            entries.append(entry)
+            entry = int(row[entry])
+        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": range(len(entries)), "entry": entries})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        size, entry = int(pdf["own"].sum()), int(pdf["entry"].iloc[0])
+        prefix, starts = _prefix(pdf["byte_length"]), np.zeros(len(pdf), dtype=bool)
+        i = entry
+        while i < size:
+            starts[i] = True
+            i = _next_start(prefix, i, max_bytes, max_texts)
+        return pd.DataFrame({"entity": pdf["entity"], "sha1": pdf["sha1"], "byte_length": pdf["byte_length"],
+                             "pos": pdf["pos"], "starts": starts.astype("int32")})[:size]
+
+    per_block = rows.join(long, "entity", "left_semi").groupBy("entity", "block")
+    entries = (per_block.applyInPandas(exits, f"entity {key_type}, block bigint, entry int, exit int")
+               .groupBy("entity").applyInPandas(chain, f"entity {key_type}, block bigint, entry int"))
+    started = (rows.join(entries, ["entity", "block"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+               .groupBy("entity", "block")
+               .applyInPandas(pack, f"entity {key_type}, sha1 string, byte_length bigint, pos bigint, starts int"))
+    numbered = Scan(started, "entity", ["pos"], max_rows).running_sum("starts", "pack").result()
+    inside = Window.partitionBy("entity", "pack").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return numbered.select("entity", "sha1", F.col("pack").cast("bigint").alias("pack"),
+                           F.coalesce(F.sum("byte_length").over(inside), F.lit(0)).alias("byte_offset"), "byte_length")
+
+
+def pack_summary(packs: DataFrame) -> DataFrame:
+    return packs.groupBy("entity", "pack").agg(F.count(F.lit(1)).alias("texts"), F.sum("byte_length").alias("raw_bytes"))
+
+
+# ---- lookups and reports -------------------------------------------------------------------------
+
+def text_of(revisions: DataFrame, texts: DataFrame) -> DataFrame:
+    """Revisions with their text by digest; hidden ones keep their row and have none."""
+    shown = revisions.withColumn("sha1", F.when(~F.col("hidden"), F.col("sha1")))
+    return (shown.join(texts.select("sha1", "text"), "sha1", "left")
+            .withColumn("content_status", F.when(F.col("text").isNotNull(), "available").otherwise("hidden")))
+
+
+def texts_at(revisions: DataFrame, texts: DataFrame, t) -> DataFrame:
+    """Text of every entity as of ``t``: the snapshot carries digests, one text per entity is joined."""
+    return text_of(snapshot_of_events(revisions, t, "sha1", "hidden"), texts)
+
+
+def size_report(revisions: DataFrame, texts: DataFrame) -> DataFrame:
+    """Sum of revision sizes against distinct texts, as one row."""
+    r = revisions.agg(F.count(F.lit(1)).alias("revisions"), F.sum("size_bytes").alias("revision_bytes"))
+    t = texts.agg(F.count(F.lit(1)).alias("texts"), F.sum("byte_length").alias("text_bytes"))
+    both = r.unionByName(t, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
+        "ratio", F.round(F.col("revision_bytes") / F.col("text_bytes"), 4))
+
+
+def pick_by_size(events: DataFrame, fractions: list[float]) -> DataFrame:
+    """Entities at given quantiles of total size.
+
+    The rank of an entity is a count over all entities' totals; it is taken with a range-partitioned sort and
+    one count per partition, not with a single-task window.
+    """
+    sizes = events.groupBy("entity").agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("revisions"))
+    ranked = global_rank(sizes, ["bytes", "entity"])
+    n = F.col("total")
+    wanted = F.array_distinct(F.array(*[F.floor(F.lit(f) * n).cast("bigint") for f in fractions]))
+    return ranked.filter(F.array_contains(wanted, F.col("rank"))).drop("total")
+
+
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """0-based ``rank`` over the whole table and its ``total``, without a single-task window.
+
+    Rows are range partitioned once and written; partition counts, one row each, give the offsets.
+    """
+    parts = materialise(
+        df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order), "rank")
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = counts.select("part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("offset"),
+                            F.sum("c").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy(*order)
+    return (parts.withColumn("rn", F.row_number().over(within)).join(F.broadcast(offsets), "part")
+            .withColumn("rank", F.col("offset") + F.col("rn") - 1).drop("part", "rn", "offset"))
+
+
+def layout_study(revisions: DataFrame, texts: DataFrame, fractions: list[float]) -> DataFrame:
+    """Bytes on disk of full text per version against digest references, for entities picked by size."""
+    picked = pick_by_size(revisions, fractions).select("entity")
+    chosen = revisions.join(picked, "entity", "left_semi").drop("text")
+    inline = chosen.join(texts.select("sha1", "text"), "sha1", "left")
+    stored = texts.join(chosen.select("sha1"), "sha1", "left_semi").select("sha1", "text")
+    spark = revisions.sparkSession
+    layouts = {"inline": [inline.select("entity", "rev_id", "text")],
+               "inline_zstd": [inline.select("entity", "rev_id", "text")],
+               "digest_zstd": [chosen.select("entity", "rev_id", "sha1"), stored.sortWithinPartitions("sha1")]}
+    out = []
+    for name, parts in layouts.items():
+        total = 0
+        for part in parts:
+            path = new_table_path(spark, name)
+            part.write.option("compression", "zstd" if name.endswith("zstd") else "none").parquet(path)
+            total += _folder_bytes(spark, path)
+        out.append((name, total))
+    return spark.createDataFrame(out, "layout string, bytes bigint")
+
+
+def _folder_bytes(spark, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
