@@ -11,7 +11,7 @@ from twinclock.sources.adapters import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["app_time", "sys_time", "sync", "texts", "titles"]
+MODULES = ["app_time", "sys_time", "sync", "texts", "titles", "checks", "measures"]
 
 
 def query(name: str, sql: str | None = None):

@@ -17,7 +17,7 @@ def _(t):
     return G.distinct_texts(t.documents).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-# Pages stand for a store some of whose texts were cut short: html against its declared digest.
+# A store in which every exclamation mark was lost: those texts no longer fit their digest.
 @query("damaged_texts", f"""{TEXTS} SELECT sha1 FROM tx WHERE text LIKE '%!%'""")
 def _(t):
     stored = G.distinct_texts(t.documents).withColumn("text", F.regexp_replace("text", "!", "?"))
