@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "twinclock", cores: str = "*", shuffle: int = 8) -> SparkSession:
-    return (
+def local_session(app: str = "twinclock", cores: str = "*", shuffle: int = 8, **settings: str) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,8 +17,13 @@ def local_session(app: str = "twinclock", cores: str = "*", shuffle: int = 8) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+_local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,14 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder, because there the driver and the
     executors are one machine.
     """
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="twinclock-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="twinclock-")
+    return _local_folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
