@@ -9,10 +9,10 @@ from twinclock.operators.slices import Scan
 from twinclock.schema import TIMELINE, infinity, ntz, system_max
 
 
-def _ordered_events(events: DataFrame, max_rows: int | None) -> Scan:
+def _ordered_events(events: DataFrame, max_rows: int | None, hot="find") -> Scan:
     """Events of each entity in (ts, rev_id) order; only the three key columns are shuffled."""
     narrow = events.select("entity", "rev_id", "ts")
-    scan = Scan(narrow, "entity", ["ts", "rev_id"], max_rows)
+    scan = Scan(narrow, "entity", ["ts", "rev_id"], max_rows, hot)
     if scan.hot is not None:
         # a hot instant of a hot entity shrinks to its winner on the map side
         winners = narrow.groupBy("entity", "ts").agg(F.max("rev_id").alias("rev_id"))
@@ -20,13 +20,15 @@ def _ordered_events(events: DataFrame, max_rows: int | None) -> Scan:
     return scan
 
 
-def build_timeline(events: DataFrame, max_rows: int | None = None) -> DataFrame:
+def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """A at T1, B at T2, C at T3 become A [T1,T2), B [T2,T3), C [T3,inf).
 
+    ``hot`` takes the result of ``slices.find_hot`` where the caller has it already.
+
     One window does both jobs: in (ts, rev_id) order the next row of a shadowed event has the same ts, and
     the next row of a visible event starts the next interval.
     """
-    rows = _ordered_events(events, max_rows).lead("ts", "next_ts").result()
+    rows = _ordered_events(events, max_rows, hot).lead("ts", "next_ts").result()
     return (rows.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts")))
             .select("entity", "rev_id", F.col("ts").alias("valid_from"),
                     F.coalesce("next_ts", infinity()).alias("valid_to")))
@@ -42,13 +44,13 @@ def shadowed(events: DataFrame, max_rows: int | None = None) -> DataFrame:
     return narrow.join(winners.select("rev_id"), "rev_id", "left_anti").select("entity", "rev_id", "ts")
 
 
-def plan_changes(current: DataFrame, events: DataFrame, max_rows: int | None = None) -> DataFrame:
+def plan_changes(current: DataFrame, events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """Compare the stored timeline with the one the events imply, one row per revision.
 
     ``action`` is keep, insert, trim, delete, or refused where an interval would move or grow. The join key
     is (entity, rev_id), unique on both sides, so a hot entity spreads over all tasks.
     """
-    target = build_timeline(events, max_rows)
+    target = build_timeline(events, max_rows, hot)
     old = current.select("entity", "rev_id", F.col("valid_from").alias("old_from"), F.col("valid_to").alias("old_to"))
     new = target.select("entity", "rev_id", F.col("valid_from").alias("new_from"), F.col("valid_to").alias("new_to"))
     action = (

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinclock.operators import timelines as B
+from twinclock.operators.slices import find_hot
 from twinclock.schema import infinity, ntz, system_max
 from twinclock.sources import revisions as R
 from twinclock.sources.store import Store, opened
@@ -82,26 +86,40 @@ def run_status_of(failed: Column, total: Column) -> Column:
     return F.when(failed == 0, "succeeded").when(failed < total, "partial").otherwise("failed")
 
 
-def step_plan(open_rows: DataFrame, settled_rows: DataFrame, fresh: DataFrame, max_rows: int | None = None) -> DataFrame:
+def late_entities(open_rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Entities with a fresh event before the start of their open interval."""
+    heads = open_rows.select("entity", F.col("valid_from").alias("head"))
+    return (fresh.groupBy("entity").agg(F.min("ts").alias("first")).join(heads, "entity")
+            .filter(F.col("first") < F.col("head")).select("entity"))
+
+
+def step_plan(open_rows: DataFrame, settled_rows: DataFrame | None, fresh: DataFrame,
+              max_rows: int | None = None) -> DataFrame:
     """Timeline changes caused by the fresh events (entity, rev_id, ts).
 
     In the usual case all fresh events of an entity come after its open interval begins, and that interval is
-    the only one touched. Closed intervals are read only for entities with a late event.
+    the only one touched. Closed intervals are read only for entities with a late event; pass None for
+    ``settled_rows`` where there is none.
     """
-    heads = open_rows.select("entity", F.col("valid_from").alias("head"))
-    late = (fresh.groupBy("entity").agg(F.min("ts").alias("first")).join(heads, "entity")
-            .filter(F.col("first") < F.col("head")).select("entity"))
-    touched = fresh.select("entity").distinct()
     cols = ["entity", "rev_id", "valid_from", "valid_to"]
-    current = (open_rows.select(*cols).join(touched, "entity", "left_semi")
-               .unionByName(settled_rows.select(*cols).join(late, "entity", "left_semi")))
+    touched = fresh.select("entity").distinct()
+    current = open_rows.select(*cols).join(touched, "entity", "left_semi")
+    # an entity has one open row: without closed intervals only fresh events can make it hot
+    hot = find_hot(fresh, ["entity"], "ts", max_rows) if settled_rows is None else "find"
+    if settled_rows is not None:
+        late = late_entities(open_rows, fresh)
+        current = current.unionByName(settled_rows.select(*cols).join(late, "entity", "left_semi"))
     known = current.select("entity", "rev_id", F.col("valid_from").alias("ts"))
-    return B.plan_changes(current, known.unionByName(fresh.select("entity", "rev_id", "ts")), max_rows)
+    return B.plan_changes(current, known.unionByName(fresh.select("entity", "rev_id", "ts")), max_rows, hot)
+
+
+def _plan_counts() -> list[Column]:
+    return [F.count_if(F.col("action") == a).alias(n) for a, n in
+            (("trim", "trims"), ("delete", "deletes"), ("insert", "inserts"))]
 
 
 def plan_metrics(plan: DataFrame) -> DataFrame:
-    return plan.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in
-                      (("trim", "trims"), ("delete", "deletes"), ("insert", "inserts"))])
+    return plan.agg(*_plan_counts())
 
 
 def run_metrics(events: DataFrame, stored: DataFrame, plan: DataFrame) -> DataFrame:
@@ -166,76 +184,86 @@ def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batc
     failed = None
     if {"sha1", "text"} <= set(read.columns):
         # written once, so that no later reader of the batch has to hash the texts again
-        store.write("failed", batch_id, digest_mismatches(read).select("entity").distinct())
-        failed = store.read_batch("failed", batch_id)
+        failed = store.write("failed", batch_id, digest_mismatches(read).select("entity").distinct())
         read = read.join(failed, "entity", "left_anti")
     span = read.agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("a"),
                     F.max("ts").cast("string").alias("b")).first()
-    stored = store.events()
+    stored = store.events("rev_id BIGINT, ts TIMESTAMP_NTZ")
     # only stored events inside the span being read can be known already: the bounds reach the scan
     fresh = read if stored is None or not span["n"] else R.new_events(
         read, stored.filter(F.col("ts").between(ntz(span["a"]), ntz(span["b"]))))
     has_text = "text" in fresh.columns
-    store.write("events", batch_id, fresh.drop("text").sortWithinPartitions("ts"))
-    fresh_events = store.read_batch("events", batch_id)
+    fresh_events = store.write("events", batch_id, fresh.drop("text").sortWithinPartitions("ts"))
     counters = {"seen": span["n"]}
     if has_text:
         carriers = fresh.filter(F.col("sha1").isNotNull() & F.col("text").isNotNull())
         if "content_hidden" in fresh.columns:
             carriers = carriers.filter(~F.col("content_hidden"))
-        old = store.texts()
+        old = store.texts("sha1 STRING")
         if old is not None:
             carriers = carriers.join(old.select("sha1"), "sha1", "left_anti")
         new = carriers.groupBy("sha1").agg(F.first("text").alias("text"))   # equal digests carry equal texts
-        store.write("texts", batch_id, new.withColumn("byte_length", F.octet_length("text").cast("bigint")))
-        t = store.read_batch("texts", batch_id).agg(F.count(F.lit(1)).alias("n"), F.sum("byte_length").alias("b")).first()
+        added = store.write("texts", batch_id, new.withColumn("byte_length", F.octet_length("text").cast("bigint")))
+        t = added.agg(F.count(F.lit(1)).alias("n"), F.sum("byte_length").alias("b")).first()
         counters |= {"texts": t["n"], "raw_bytes": t["b"]}
 
-    # the plan feeds four writes and the counters: computed once, kept in the shared folder
-    store.write("plans", batch_id, step_plan(store.open_rows(), store.settled_rows(),
-                                             fresh_events.select("entity", "rev_id", "ts")))
-    plan = store.read_batch("plans", batch_id)
-    B.assert_plan_allowed(plan)
-    _apply(store, plan, batch_id, completed_at)
-
-    done = events.select("entity").distinct() if not whole_input else fresh_events.select("entity").distinct()
+    # without a late event the closed intervals, nearly all of the timeline, are not read at all
+    fresh_keys = fresh_events.select("entity", "rev_id", "ts")
+    settled = None if late_entities(store.open_rows(), fresh_keys).isEmpty() else store.settled_rows()
+    # the plan feeds the writes and the counters: computed once, kept in the shared folder
+    plan = store.write("plans", batch_id, step_plan(store.open_rows(), settled, fresh_keys))
+    ends = F.col("action").isin("trim", "delete")
+    m = plan.agg(*_plan_counts(), F.count_if(ends & (F.col("old_to") < infinity())).alias("unsettled"),
+                 F.count_if(F.col("action") == "refused").alias("refused")).first()
+    if m["refused"]:
+        B.assert_plan_allowed(plan)
+    done = (fresh_events if whole_input else events).select("entity").distinct()
     for out in (skip, failed):
         if out is not None:
             done = done.join(out, "entity", "left_anti")
     synced = done.select("entity", ntz(start).alias("synced_from"), ntz(cutoff).alias("synced_through"))
-    store.write("state", batch_id, state_upsert(state, synced, batch_id))
+    # independent folders: written side by side, so that one's stragglers do not hold up the others
+    with ThreadPoolExecutor(4) as pool:
+        writes = [pool.submit(w) for w in _writes(store, plan, batch_id, completed_at, settled if m["unsettled"] else None)]
+        new_state = store.write("state", batch_id, state_upsert(state, synced, batch_id))
+        for w in writes:
+            w.result()
 
-    m = plan_metrics(plan).first()
     inserted = fresh_events.count()
-    counters |= {"inserted": inserted, "skipped": counters["seen"] - inserted, **m.asDict(),
+    counters |= {"inserted": inserted, "skipped": counters["seen"] - inserted,
+                 "trims": m["trims"], "deletes": m["deletes"], "inserts": m["inserts"], "unsettled": m["unsettled"],
                  "shadowed": inserted - m["inserts"] + m["deletes"],
-                 "entities_total": done.count(),
-                 "entities_failed": failed.count() if failed is not None else 0,
-                 "unsettled": store.read_batch("unsettled", batch_id).count()}
+                 "entities_total": new_state.filter(F.col("last_batch") == batch_id).count(),
+                 "entities_failed": failed.count() if failed is not None else 0}
     store.commit(batch_id, cutoff, completed_at, run_id, **counters)
     return counters | {"failed": failed}
 
 
-def _apply(store: Store, plan: DataFrame, batch_id: int, at) -> None:
-    """Write what the plan changes: superseded beliefs, closed intervals, and the open row of every entity."""
+def _writes(store: Store, plan: DataFrame, batch_id: int, at, settled: DataFrame | None) -> list[Callable]:
+    """Writers of what the plan changes: superseded beliefs, closed intervals, and the open row of every entity.
+
+    ``settled`` is given only where the plan takes closed intervals back.
+    """
     cols = ["entity", "rev_id", "valid_from", "valid_to"]
     before = plan.filter(F.col("action").isin("trim", "delete")).select(
         "entity", "rev_id", F.col("old_from").alias("valid_from"), F.col("old_to").alias("valid_to"))
     after = plan.filter(F.col("action").isin("trim", "insert")).select(
         "entity", "rev_id", F.col("new_from").alias("valid_from"), F.col("new_to").alias("valid_to"))
-    open_rows, settled = store.open_rows(), store.settled_rows()
-
-    was_open = before.filter(F.col("valid_to") == infinity())
-    was_settled = before.filter(F.col("valid_to") < infinity())
-    ended_open = open_rows.join(was_open.select("entity", "rev_id"), ["entity", "rev_id"], "left_semi")
-    ended_settled = settled.join(was_settled.select(*cols), cols, "left_semi")
-    store.write("unsettled", batch_id, ended_settled)
+    open_rows = store.open_rows()
+    was_open = before.filter(F.col("valid_to") == infinity()).select("entity", "rev_id")
+    gone = open_rows.join(was_open, ["entity", "rev_id"], "left_semi")
+    if settled is not None:
+        was_settled = before.filter(F.col("valid_to") < infinity())
+        taken_back = store.write("unsettled", batch_id, settled.join(was_settled.select(*cols), cols, "left_semi"))
+        gone = gone.unionByName(taken_back)
     # beliefs formed at this very instant were never visible
-    gone = ended_open.unionByName(store.read_batch("unsettled", batch_id)).filter(F.col("row_start") < ntz(at))
-    store.write_history(batch_id, at, gone.withColumn("row_end", ntz(at)))
-    store.write("settled", batch_id, opened(after.filter(F.col("valid_to") < infinity()), at))
-    still_open = open_rows.join(was_open.select("entity", "rev_id"), ["entity", "rev_id"], "left_anti")
-    store.write("open", batch_id, still_open.unionByName(opened(after.filter(F.col("valid_to") == infinity()), at)))
+    gone = gone.filter(F.col("row_start") < ntz(at))
+    closed = opened(after.filter(F.col("valid_to") < infinity()), at)
+    still_open = open_rows.join(was_open, ["entity", "rev_id"], "left_anti")
+    now_open = still_open.unionByName(opened(after.filter(F.col("valid_to") == infinity()), at))
+    return [lambda: store.write_history(batch_id, at, gone.withColumn("row_end", ntz(at))),
+            lambda: store.write("settled", batch_id, closed),
+            lambda: store.write("open", batch_id, now_open)]
 
 
 def run_sync(store: Store, events: DataFrame, start, checkpoints: list[tuple[str, str]], run_id: int = 1) -> str:

@@ -43,6 +43,7 @@ class Store:
         self.belief_schema = BELIEF.format(e=entity_type)
         self.state_schema = STATE.format(e=entity_type)
         self._last: int | None = None
+        self._taken_back = 0
 
     # -- commit log --------------------------------------------------------------------------------
 
@@ -52,7 +53,9 @@ class Store:
 
     def refresh(self) -> int:
         """Look up the newest committed batch again."""
-        self._last = self.commits().agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("n")).first()["n"]
+        r = self.commits().agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("n"),
+                               F.coalesce(F.sum("unsettled"), F.lit(0)).alias("taken")).first()
+        self._last, self._taken_back = r["n"], r["taken"]
         return self._last
 
     def last_batch(self) -> int:
@@ -61,9 +64,12 @@ class Store:
     def commit(self, batch_id: int, synced_through, completed_at, run_id: int = 1, **counters) -> None:
         row = (batch_id, run_id, _when(synced_through), _when(completed_at),
                *[int(counters.get(c) or 0) for c in COUNTERS])
-        (self.spark.createDataFrame([row], COMMIT).coalesce(1).drop("batch_id")
+        cells = [F.lit(None if v is None else str(v)).cast(f.dataType).alias(f.name)
+                 for f, v in zip(COMMIT, row) if f.name != "batch_id"]
+        (self.spark.range(1).coalesce(1).select(*cells)
          .write.mode("overwrite").parquet(f"{self.path}/commits/batch_id={batch_id}"))
         self._last = batch_id
+        self._taken_back += int(counters.get("unsettled") or 0)
 
     # -- reading -----------------------------------------------------------------------------------
 
@@ -73,20 +79,26 @@ class Store:
 
     def _read(self, name: str, schema) -> DataFrame:
         if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
+            return self._empty(schema)
         reader = self.spark.read if schema is None else self.spark.read.schema(_with_batch(name, schema))
         return reader.parquet(f"{self.path}/{name}")
 
     def _committed(self, name: str, schema) -> DataFrame:
         return self._read(name, schema).filter(F.col("batch_id") <= self.last_batch()) if self._exists(name) \
-            else self.spark.createDataFrame([], schema)
+            else self._empty(schema)
 
-    def events(self) -> DataFrame | None:
-        """Stored events, or None before the first batch (their attributes are the caller's)."""
-        return self._committed("events", None).drop("batch_id") if self.last_batch() else None
+    def _empty(self, schema) -> DataFrame:
+        """No rows, known as such to the optimiser."""
+        fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
 
-    def texts(self) -> DataFrame | None:
-        return self._committed("texts", None).drop("batch_id") if self._exists("texts") and self.last_batch() else None
+    def events(self, columns: str | None = None) -> DataFrame | None:
+        """Stored events, or None before the first batch. Their attributes are the caller's; ``columns`` is a
+        schema where only some of them are wanted."""
+        return self._committed("events", columns).drop("batch_id") if self.last_batch() else None
+
+    def texts(self, columns: str | None = None) -> DataFrame | None:
+        return self._committed("texts", columns).drop("batch_id") if self._exists("texts") and self.last_batch() else None
 
     def _latest(self, name: str, schema) -> DataFrame:
         return self._read(name, schema).filter(F.col("batch_id") == self.last_batch()).drop("batch_id") \
@@ -101,8 +113,8 @@ class Store:
     def settled_rows(self) -> DataFrame:
         """Closed intervals believed now. Only where late events took some back is there a join."""
         rows = self._committed("settled", self.belief_schema).drop("batch_id")
-        taken = self.commits().agg(F.coalesce(F.sum("unsettled"), F.lit(0)).alias("n")).first()["n"]
-        if not taken:
+        self.last_batch()
+        if not self._taken_back:
             return rows
         gone = self._committed("unsettled", self.belief_schema).select("entity", "rev_id", "valid_from", "row_start")
         return rows.join(gone, ["entity", "rev_id", "valid_from", "row_start"], "left_anti")
@@ -112,7 +124,9 @@ class Store:
 
     def history(self, floor: bool = True) -> DataFrame:
         rows = self._committed("history", self.belief_schema)
-        limit = self._read("floors", _FLOORS).agg(F.max("floor").cast("string").alias("f")).first()["f"] if floor else None
+        limit = None
+        if floor and self._exists("floors"):
+            limit = self._read("floors", _FLOORS).agg(F.max("floor").cast("string").alias("f")).first()["f"]
         if limit is not None:
             rows = rows.filter((F.col("row_end") >= ntz(limit)) & (F.col("end_year") >= int(limit[:4])))
         return rows.drop("batch_id", "end_year")
@@ -122,11 +136,11 @@ class Store:
 
     # -- writing -----------------------------------------------------------------------------------
 
-    def write(self, name: str, batch_id: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
-
-    def read_batch(self, name: str, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/batch_id={batch_id}")
+    def write(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
+        """Write a folder of the batch; returns it as read back, with its lineage cut."""
+        path = f"{self.path}/{name}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def write_history(self, batch_id: int, at, df: DataFrame) -> None:
         """A batch ends beliefs at one instant, so its history lies in one year."""
