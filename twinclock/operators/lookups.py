@@ -78,23 +78,27 @@ def _carry(rows: DataFrame, probes: DataFrame, max_rows: int | None) -> DataFram
             F.lit(None).cast(left.schema["known"].dataType).alias("known"), F.col("probe_id"))
         return left.unionByName(right).withColumn("is_probe", F.col("known").isNull())
 
-    order = ["at", "is_probe", "tie"]
     wanted = probes.select(F.col("probe_id").cast("bigint"), "entity", "t")
     both = stacked(rows, wanted)
     hot = find_hot(both, ["entity"], "at", max_rows)
-    if hot is not None:
-        # instants may be hot too: one winner and one probe per (entity, instant), answers joined back
-        rows = (rows.groupBy("entity", "valid_from").agg(F.max(F.struct("rev_id", "valid_to")).alias("w"))
-                .select("entity", "w.rev_id", "valid_from", "w.valid_to"))
-        both = stacked(rows, wanted.groupBy("entity", "t").agg(F.min("probe_id").alias("probe_id")))
-    answered = (Scan(both, "entity", order, hot=hot).last_known("known", "found").result()
-                .filter("is_probe")
+
+    def last_of_instant(dense: DataFrame) -> DataFrame:
+        # instants may be hot too: one interval and one probe per instant, answers are joined back below
+        return (dense.groupBy("entity", "at", "is_probe").agg(F.max(F.struct("tie", "known", "probe_id")).alias("r"))
+                .select("entity", "at", "r.*", "is_probe").select(*both.columns))
+
+    answered = (Scan(both, "entity", ["at", "is_probe", "tie"], hot=hot, reduce=last_of_instant)
+                .last_known("known", "found").result().filter("is_probe")
                 .withColumn("found", F.when(F.col("at") < F.col("found.valid_to"), F.col("found"))))
     if hot is None:
         return answered.select("probe_id", "entity", F.col("at").alias("t"), "found.*")
     answers = answered.select("entity", F.col("at").alias("t"), "found.*")
+    is_hot = F.broadcast(hot.splits.select("entity"))
+    cold = answered.join(is_hot, "entity", "left_anti").select("probe_id", "entity", F.col("at").alias("t"), "found.*")
     # answers are unique per (entity, t), so a skewed probe side can be split by the skew join
-    return wanted.join(answers, ["entity", "t"], "left").select("probe_id", "entity", "t", "rev_id", "valid_from", "valid_to")
+    dense = (wanted.join(is_hot, "entity", "left_semi").join(answers.join(is_hot, "entity", "left_semi"), ["entity", "t"], "left")
+             .select(*cold.columns))
+    return cold.unionByName(dense)
 
 
 def overlapping(timeline: DataFrame, start, end) -> DataFrame:

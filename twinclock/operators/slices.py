@@ -1,17 +1,21 @@
-"""Ordered per-key scans that stay bounded when one key holds a large share of all rows.
+"""Ordered per-key scans that stay bounded when one key holds a large share of the rows.
 
-A plain window puts a whole key into one task. ``Scan`` counts rows per key first (one narrow column,
-combined on the map side). While no key exceeds ``max_rows`` it is a plain window: one shuffle, one sort.
-Keys above the bound are cut into slices at quantiles of the ordering column; the window then runs per
-(key, slice) and the value crossing a slice edge comes from one summary row per slice.
+A plain window puts a whole key into one task. ``Scan`` first looks for keys with more than ``max_rows`` rows
+in a sample of the key column. While there is none it is a plain window: one shuffle, one sort. Keys above the
+bound are cut into slices at quantiles of the ordering column; the window then runs per (key, slice) and the
+value crossing a slice edge comes from one summary row per slice.
 
-Rows with equal values of the first ordering column stay in one slice, so callers whose instants can be
-hot reduce them first (see ``timelines.build_timeline``).
+The sample only decides where to cut. Every row is processed wherever the cuts fall, and any cut gives the
+same result; a key missed by the sample would merely make one task longer.
+
+Rows with equal values of the first ordering column stay in one slice. Callers whose instants can be hot pass
+``reduce``, an aggregation that is applied to the rows of hot keys only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,78 +24,94 @@ from pyspark.sql.window import WindowSpec
 
 MAX_ROWS = 4_000_000      # rows of one key a single task may sort
 MAX_SLICES = 4096         # slices per hot key; a power of two
+SAMPLES = 400             # expected sample rows of a key with MAX_ROWS rows
 _SPLITS, _SLICE, _CARRY = "__splits", "__slice", "__carry"
 
 
-def find_hot(df: DataFrame, keys: list[str], order: str, max_rows: int | None = None) -> DataFrame | None:
-    """Split points ``(keys..., __splits)`` of keys with more than ``max_rows`` rows, or None.
+@dataclass(frozen=True)
+class Hot:
+    """Hot keys with their split points ``(keys..., __splits)``, and the largest number of slices of a key."""
+    splits: DataFrame
+    slices: int
+
+
+def find_hot(df: DataFrame, keys: list[str], order: str, max_rows: int | None = None) -> Hot | None:
+    """Keys with more than ``max_rows`` rows and where to cut them, or None.
 
-    Every collected key stands for more than ``max_rows`` input rows, and gets at most
-    ``2 * rows / max_rows + 2`` points, so the result is bounded by ``4 * total / max_rows`` values.
+    A key at the bound has SAMPLES sample rows on average and is taken from three quarters of that, so missing
+    one is next to impossible. Each collected key stands for about ``max_rows`` input rows and gets at most
+    ``2 * rows / max_rows + 2`` points: the result is bounded by a few values per ``max_rows`` rows.
     """
     max_rows = max_rows or MAX_ROWS
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
+    fraction = min(1.0, SAMPLES / max_rows)
+    sample = df.select(*keys, order)
+    if fraction < 1.0:
+        sample = sample.sample(fraction, seed=42)
+    limit = max_rows * fraction * (0.75 if fraction < 1.0 else 1.0)
+    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
     rows = counts.collect()
     if not rows:
         return None
     spark = df.sparkSession
-    hot = spark.createDataFrame(rows, counts.schema).withColumn(
-        "k", F.least(F.lit(MAX_SLICES), 2 * F.ceil(F.col("n") / max_rows)).cast("int"))
-    most = min(MAX_SLICES, 2 * ceil(max(r["n"] for r in rows) / max_rows))
+    most = min(MAX_SLICES, 2 * ceil(max(r["n"] for r in rows) / (max_rows * fraction)))
     fractions = [i / most for i in range(1, most)]
+    hot = spark.createDataFrame(rows, counts.schema).withColumn(
+        "k", F.least(F.lit(most), 2 * F.ceil(F.col("n") / (max_rows * fraction))).cast("int"))
     points = (
-        df.select(*keys, order).join(F.broadcast(hot), keys)
+        sample.join(F.broadcast(hot), keys)
         .groupBy(*keys, "k").agg(F.percentile_approx(order, fractions, max(10_000, 10 * most)).alias("p"))
         .select(*keys, F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.col("k") - 1),
             lambda i: F.get("p", (F.round(i * most / F.col("k")) - 1).cast("int")))).alias(_SPLITS))
     )
-    return spark.createDataFrame(points.collect(), points.schema)
+    return Hot(spark.createDataFrame(points.collect(), points.schema), most)
 
 
-def _slice_of(value: Column) -> Column:
+def _slice_of(value: Column, slices: int) -> Column:
     """Number of split points <= value, by binary search over the sorted points."""
-    steps = F.array(*[F.lit(MAX_SLICES >> i) for i in range(1, MAX_SLICES.bit_length())])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(slices.bit_length()))])
     return F.aggregate(
         steps, F.lit(0),
         lambda pos, step: pos + F.when(F.get(_SPLITS, pos + step - 1) <= value, step).otherwise(0))
 
 
 class Scan:
-    """Adds window columns over rows of each key, ordered by ``order``; see the module text."""
+    """Adds window columns over rows of each key, ordered by ``order``; see the module text.
 
-    def __init__(self, df: DataFrame, key, order: list[str], max_rows: int | None = None, hot="find"):
+    Rows of hot keys are kept apart from the others until ``result``, so those pay nothing for the slices.
+    """
+
+    def __init__(self, df: DataFrame, key, order: list[str], max_rows: int | None = None, hot="find",
+                 reduce: Callable[[DataFrame], DataFrame] | None = None):
         self.keys = [key] if isinstance(key, str) else list(key)
         self.order = order
-        self.hot = find_hot(df, self.keys, order[0], max_rows) if isinstance(hot, str) else hot
-        if self.hot is None:
-            self.df = df
-        else:
-            self.df = (df.join(F.broadcast(self.hot), self.keys, "left")
-                       .withColumn(_SLICE, F.when(F.col(_SPLITS).isNull(), 0).otherwise(_slice_of(F.col(order[0])))))
-
-    def _window(self) -> WindowSpec:
-        keys = self.keys if self.hot is None else [*self.keys, _SLICE]
-        return Window.partitionBy(*keys).orderBy(*self.order)
-
-    def _carry(self, summary: Column, across: Callable[[WindowSpec], Column]) -> None:
-        """One summary value per slice of the hot keys, scanned across slices and joined back."""
-        per_slice = (self.df.filter(F.col(_SPLITS).isNotNull())
-                     .groupBy(*self.keys, _SLICE).agg(summary.alias("__v")))
-        carried = per_slice.select(
-            *self.keys, _SLICE, across(Window.partitionBy(*self.keys).orderBy(_SLICE)).alias(_CARRY))
-        # bounded: one row per slice, see find_hot
-        self.df = self.df.join(F.broadcast(carried), [*self.keys, _SLICE], "left")
-
-    def _add(self, out: str, value: Column) -> Scan:
-        self.df = self.df.withColumn(out, value)
+        hot = find_hot(df, self.keys, order[0], max_rows) if isinstance(hot, str) else hot
+        self.cold, self.hot = df, None
+        if hot is not None:
+            splits = F.broadcast(hot.splits)    # bounded, see find_hot
+            self.cold = df.join(splits, self.keys, "left_anti")
+            dense = df.join(splits.select(*self.keys), self.keys, "left_semi")
+            dense = (reduce(dense) if reduce else dense).join(splits, self.keys)
+            self.hot = dense.withColumn(_SLICE, _slice_of(F.col(order[0]), hot.slices)).drop(_SPLITS)
+
+    def _window(self, *more: str) -> WindowSpec:
+        return Window.partitionBy(*self.keys, *more).orderBy(*self.order)
+
+    def _add(self, out: str, inside: Callable[[WindowSpec], Column], summary: Column,
+             across: Callable[[WindowSpec], Column], merge: Callable[[Column, Column, WindowSpec], Column]) -> Scan:
+        """Add ``out``. On a hot key, ``summary`` is one value per slice, ``across`` scans these over the slices
+        of the key, and ``merge`` combines the result with the value inside the slice."""
+        self.cold = self.cold.withColumn(out, inside(self._window()))
         if self.hot is not None:
-            self.df = self.df.drop(_CARRY)
+            per_slice = self.hot.groupBy(*self.keys, _SLICE).agg(summary.alias("__v"))
+            carried = per_slice.select(
+                *self.keys, _SLICE, across(Window.partitionBy(*self.keys).orderBy(_SLICE)).alias(_CARRY))
+            # bounded: one row per slice
+            joined = self.hot.join(F.broadcast(carried), [*self.keys, _SLICE], "left")
+            w = self._window(_SLICE)
+            self.hot = joined.withColumn(out, merge(inside(w), F.col(_CARRY), w)).drop(_CARRY)
         return self
 
-    def _rank(self) -> Column:
-        return F.struct(*self.order)
-
     def lead(self, col: str, out: str) -> Scan:
         return self._neighbour(F.lead, F.min_by, col, out)
 
@@ -99,45 +119,39 @@ class Scan:
         return self._neighbour(F.lag, F.max_by, col, out)
 
     def _neighbour(self, step, edge, col: str, out: str) -> Scan:
-        w = self._window()
-        if self.hot is None:
-            return self._add(out, step(col).over(w))
-        self._carry(edge(F.struct(col), self._rank()), lambda s: step("__v").over(s))
-        return self._add(out, F.when(step(F.lit(1)).over(w).isNotNull(), step(col).over(w))
-                         .otherwise(F.col(f"{_CARRY}.{col}")))
+        return self._add(
+            out, lambda w: step(col).over(w), edge(F.struct(col), F.struct(*self.order)), lambda s: step("__v").over(s),
+            lambda inside, carry, w: F.when(step(F.lit(1)).over(w).isNotNull(), inside).otherwise(carry[col]))
 
     def last_known(self, col: str, out: str) -> Scan:
         """Latest non-null value up to and including the row."""
-        inside = F.last(col, True).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
-        if self.hot is None:
-            return self._add(out, inside)
-        known = F.when(F.col(col).isNotNull(), self._rank())
-        self._carry(F.max_by(col, known),
-                    lambda s: F.last("__v", True).over(s.rowsBetween(Window.unboundedPreceding, -1)))
-        return self._add(out, F.coalesce(inside, F.col(_CARRY)))
+        known = F.when(F.col(col).isNotNull(), F.struct(*self.order))
+        return self._add(
+            out, lambda w: F.last(col, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max_by(col, known),
+            lambda s: F.last("__v", True).over(s.rowsBetween(Window.unboundedPreceding, -1)),
+            lambda inside, carry, w: F.coalesce(inside, carry))
 
     def max_before(self, col: str, out: str) -> Scan:
         """Maximum over all earlier rows."""
-        inside = F.max(col).over(self._window().rowsBetween(Window.unboundedPreceding, -1))
-        if self.hot is None:
-            return self._add(out, inside)
-        self._carry(F.max(col), lambda s: F.max("__v").over(s.rowsBetween(Window.unboundedPreceding, -1)))
-        return self._add(out, F.greatest(inside, F.col(_CARRY)))
+        return self._add(
+            out, lambda w: F.max(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.max(col),
+            lambda s: F.max("__v").over(s.rowsBetween(Window.unboundedPreceding, -1)),
+            lambda inside, carry, w: F.greatest(inside, carry))
 
     def running_sum(self, col, out: str) -> Scan:
         """Sum up to and including the row; ``col`` may be a literal, as in ``F.lit(1)`` for a row number."""
         col = F.col(col) if isinstance(col, str) else col
-        inside = F.sum(col).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
-        if self.hot is None:
-            return self._add(out, inside)
-        self._carry(F.sum(col), lambda s: F.sum("__v").over(s.rowsBetween(Window.unboundedPreceding, -1)))
-        return self._add(out, inside + F.coalesce(F.col(_CARRY), F.lit(0)))
-
-    def filter(self, condition: Column) -> Scan:
-        self.df = self.df.filter(condition)
+        return self._add(
+            out, lambda w: F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(col),
+            lambda s: F.sum("__v").over(s.rowsBetween(Window.unboundedPreceding, -1)),
+            lambda inside, carry, w: inside + F.coalesce(carry, F.lit(0)))
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Scan:
+        """Apply a row-wise change, such as a filter or a new column."""
+        self.cold = change(self.cold)
+        if self.hot is not None:
+            self.hot = change(self.hot)
         return self
 
     def result(self) -> DataFrame:
-        return self.df.drop(_SLICE, _SPLITS)
-
-
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot.drop(_SLICE))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinclock.operators.lookups import revisions_at
-from twinclock.operators.slices import Scan, find_hot
+from twinclock.operators.slices import Scan
 from twinclock.operators.timelines import interval_at
 from twinclock.schema import infinity, ntz, system_max
 
@@ -19,18 +19,18 @@ def scd2_from_log(log: DataFrame, tracked: list[str] | None = None, keep_noops:
     tracked columns as they were makes no version.
     """
     extra = [c for c in log.columns if c not in ("entity", "rev_id", "ts")]
-    hot = find_hot(log, ["entity"], "ts", max_rows)
-    if hot is not None:
-        log = (log.groupBy("entity", "ts").agg(F.max_by(F.struct("rev_id", *extra), "rev_id").alias("r"))
-               .select("entity", "ts", "r.*"))
-    scan = Scan(log, "entity", ["ts", "rev_id"], hot=hot).lead("ts", "next_ts")
-    scan.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts")))
+    columns = log.columns
+
+    def last_of_instant(dense: DataFrame) -> DataFrame:
+        return (dense.groupBy("entity", "ts").agg(F.max_by(F.struct("rev_id", *extra), "rev_id").alias("r"))
+                .select("entity", "ts", "r.*").select(*columns))
+
+    scan = Scan(log, "entity", ["ts", "rev_id"], max_rows, reduce=last_of_instant).lead("ts", "next_ts")
+    scan.map(lambda df: df.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts"))))
     if not keep_noops:
-        scan.df = scan.df.withColumn("image", F.struct(*(tracked or extra)))
-        scan.lag("image", "before")
-        scan.filter(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("image")))
-        scan.df = scan.df.drop("next_ts", "before", "image")
-        scan.lead("ts", "next_ts")
+        scan.map(lambda df: df.withColumn("image", F.struct(*(tracked or extra)))).lag("image", "before")
+        scan.map(lambda df: df.filter(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("image")))
+                 .drop("next_ts", "before", "image")).lead("ts", "next_ts")
     return scan.result().select(
         "entity", "rev_id", *extra, F.col("ts").alias("row_start"),
         F.coalesce("next_ts", system_max()).alias("row_end"))
@@ -69,12 +69,10 @@ def as_of_commit(versions: DataFrame, commit_id: int) -> DataFrame:
 
 def scd2_tracking(log: DataFrame, tracked: list[str], untracked: list[str], max_rows: int | None = None) -> DataFrame:
     """Versions open on a change of ``tracked`` only; ``untracked`` keep the last value they held inside."""
-    hot = find_hot(log, ["entity"], "ts", max_rows)
-    scan = Scan(log.select("entity", "rev_id", "ts", *tracked, *untracked,
-                           F.struct(*tracked).alias("image")), "entity", ["ts", "rev_id"], hot=hot)
-    scan.lag("image", "before")
-    scan.df = scan.df.withColumn("opens", (F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("image"))).cast("int"))
-    scan.running_sum("opens", "version")
+    scan = Scan(log.select("entity", "rev_id", "ts", *tracked, *untracked, F.struct(*tracked).alias("image")),
+                "entity", ["ts", "rev_id"], max_rows).lag("image", "before")
+    opens = F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("image"))
+    scan.map(lambda df: df.withColumn("opens", opens.cast("int"))).running_sum("opens", "version")
     groups = scan.result().groupBy("entity", "version").agg(
         F.min(F.struct("ts", "rev_id")).alias("first"),
         F.max_by(F.struct(*tracked, *untracked), F.struct("ts", "rev_id")).alias("last"))

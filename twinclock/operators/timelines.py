@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinclock.operators.slices import Scan
+from twinclock.operators.slices import Scan, find_hot
 from twinclock.schema import TIMELINE, infinity, ntz, system_max
 
 
-def _ordered_events(events: DataFrame, max_rows: int | None, hot="find") -> Scan:
-    """Events of each entity in (ts, rev_id) order; only the three key columns are shuffled."""
-    narrow = events.select("entity", "rev_id", "ts")
-    scan = Scan(narrow, "entity", ["ts", "rev_id"], max_rows, hot)
-    if scan.hot is not None:
-        # a hot instant of a hot entity shrinks to its winner on the map side
-        winners = narrow.groupBy("entity", "ts").agg(F.max("rev_id").alias("rev_id"))
-        scan = Scan(winners, "entity", ["ts", "rev_id"], hot=scan.hot)
-    return scan
+def _winners(events: DataFrame) -> DataFrame:
+    """The visible event of every instant; a hot instant shrinks on the map side."""
+    return events.groupBy("entity", "ts").agg(F.max("rev_id").alias("rev_id"))
 
 
 def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
@@ -28,7 +22,9 @@ def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -
     One window does both jobs: in (ts, rev_id) order the next row of a shadowed event has the same ts, and
     the next row of a visible event starts the next interval.
     """
-    rows = _ordered_events(events, max_rows, hot).lead("ts", "next_ts").result()
+    # only the three key columns are shuffled
+    scan = Scan(events.select("entity", "rev_id", "ts"), "entity", ["ts", "rev_id"], max_rows, hot, _winners)
+    rows = scan.lead("ts", "next_ts").result()
     return (rows.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts")))
             .select("entity", "rev_id", F.col("ts").alias("valid_from"),
                     F.coalesce("next_ts", infinity()).alias("valid_to")))
@@ -37,11 +33,12 @@ def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -
 def shadowed(events: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Events replaced by a higher rev_id of the same entity in the same second."""
     narrow = events.select("entity", "rev_id", "ts")
-    scan = Scan(narrow, "entity", ["ts", "rev_id"], max_rows)
-    if scan.hot is None:
-        return scan.lead("ts", "next_ts").result().filter(F.col("next_ts") == F.col("ts")).drop("next_ts")
-    winners = narrow.groupBy("entity", "ts").agg(F.max("rev_id").alias("rev_id"))
-    return narrow.join(winners.select("rev_id"), "rev_id", "left_anti").select("entity", "rev_id", "ts")
+    hot = find_hot(narrow, ["entity"], "ts", max_rows)
+    if hot is None:
+        rows = Scan(narrow, "entity", ["ts", "rev_id"], hot=None).lead("ts", "next_ts").result()
+        return rows.filter(F.col("next_ts") == F.col("ts")).drop("next_ts")
+    # rev_id is unique: this join spreads evenly whatever the entities and instants look like
+    return narrow.join(_winners(narrow).select("rev_id"), "rev_id", "left_anti").select("entity", "rev_id", "ts")
 
 
 def plan_changes(current: DataFrame, events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
