@@ -54,75 +54,81 @@ def _prefix(lengths) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64))))
 
 
-def _exits(lengths, size: int, max_bytes: int, max_texts: int, entries: int) -> list[tuple[int, int]]:
-    """Per entry position: where the next block is entered, and the last pack start inside this one."""
+def _exits(lengths, size: int, max_bytes: int, max_texts: int) -> list[tuple[int, int]]:
+    """Per entry position: where the next block is entered, and how many packs start inside this one."""
     prefix, known = _prefix(lengths), {}
-    for e in range(min(entries, size)):
+    for e in range(min(max_texts, size)):
         path, i = [], e
         while i < size and i not in known:
             path.append(i)
             i = _next_start(prefix, i, max_bytes, max_texts)
-        result = known[i] if i < size else (i - size, path[-1])
+        exit_at, packs = known[i] if i < size else (i - size, 0)
         for p in reversed(path):
-            known[p] = result
-    return [known[e] if e < size else (e - size, -1) for e in range(entries)]
+            packs += 1
+            known[p] = (exit_at, packs)
+    return [known[e] if e < size else (e - size, 0) for e in range(max_texts)]
 
 
 def pack_texts(texts: DataFrame, max_bytes: int = MAX_PACK_BYTES, max_texts: int = MAX_PACK_TEXTS,
                block: int = BLOCK, max_rows: int | None = None) -> DataFrame:
     """(entity, sha1, pack, byte_offset, byte_length) of texts in (first_ts, first_rev) order.
 
-    Only lengths are moved, never texts.
+    Only lengths are moved, never texts. Where every entity fits into a block, and that is counted first, the
+    blocks are the entities.
     """
     narrow = texts.select("entity", "sha1", "byte_length", "first_ts", "first_rev")
-    placed = (Scan(narrow, "entity", ["first_ts", "first_rev"], max_rows).running_sum(F.lit(1), "nth").result()
-              .withColumn("pos", (F.col("nth") - 1).cast("bigint"))
-              .withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
-              .select("entity", "sha1", "byte_length", "pos", "block"))
-    key_type = placed.schema["entity"].dataType.simpleString()
-    long = placed.groupBy("entity").agg(F.max("block").alias("b")).filter(F.col("b") > 0).select("entity")
-
-    # the first texts of a block are also shown to the block before, whose last pack may take them
-    own = placed.withColumn("own", F.lit(True))
-    peek = (placed.filter((F.col("block") > 0) & (F.col("pos") % block < max_texts))
-            .withColumns({"block": F.col("block") - 1, "own": F.lit(False)}))
-    rows = own.unionByName(peek)
+    key_type = narrow.schema["entity"].dataType.simpleString()
+    long = narrow.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("entity")
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        size = int(pdf["own"].sum())
-        found = _exits(pdf["byte_length"], size, max_bytes, max_texts, max_texts)
-        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": pdf["block"].iloc[0],
-                             "entry": range(len(found)), "exit": [f[0] for f in found]})
+        found = _exits(pdf.sort_values("pos")["byte_length"], int(pdf["own"].sum()), max_bytes, max_texts)
+        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": pdf["block"].iloc[0], "entry": range(len(found)),
+                             "exit": [f[0] for f in found], "packs": [f[1] for f in found]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.sort_values(["block", "entry"])["exit"].to_numpy().reshape(-1, max_texts)
-        entry, entries = 0, []
-        for row in table:
-            entries.append(entry)
-            entry = int(row[entry])
-        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": range(len(entries)), "entry": entries})
+        steps = pdf.sort_values(["block", "entry"])[["exit", "packs"]].to_numpy().reshape(-1, max_texts, 2)
+        entry, before, out = 0, 0, []
+        for table in steps:
+            out.append((entry, before))
+            entry, before = int(table[entry][0]), before + int(table[entry][1])
+        return pd.DataFrame({"entity": pdf["entity"].iloc[0], "block": range(len(out)),
+                             "entry": [o[0] for o in out], "before": [o[1] for o in out]})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        size, entry = int(pdf["own"].sum()), int(pdf["entry"].iloc[0])
-        prefix, starts = _prefix(pdf["byte_length"]), np.zeros(len(pdf), dtype=bool)
+        pdf = pdf.sort_values("pos" if "pos" in pdf else ["first_ts", "first_rev"])
+        entry, before = (int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])) if "entry" in pdf else (0, 0)
+        size = int(pdf["own"].sum()) if "own" in pdf else len(pdf)
+        prefix, starts = _prefix(pdf["byte_length"]), np.zeros(len(pdf), dtype=np.int64)
         i = entry
         while i < size:
-            starts[i] = True
+            starts[i] = 1
             i = _next_start(prefix, i, max_bytes, max_texts)
         return pd.DataFrame({"entity": pdf["entity"], "sha1": pdf["sha1"], "byte_length": pdf["byte_length"],
-                             "pos": pdf["pos"], "starts": starts.astype("int32")})[:size]
-
-    per_block = rows.join(long, "entity", "left_semi").groupBy("entity", "block")
-    entries = (per_block.applyInPandas(exits, f"entity {key_type}, block bigint, entry int, exit int")
-               .groupBy("entity").applyInPandas(chain, f"entity {key_type}, block bigint, entry int"))
-    started = (rows.join(entries, ["entity", "block"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
-               .groupBy("entity", "block")
-               .applyInPandas(pack, f"entity {key_type}, sha1 string, byte_length bigint, pos bigint, starts int"))
-    numbered = Scan(started, "entity", ["pos"], max_rows).running_sum("starts", "pack").result()
-    inside = Window.partitionBy("entity", "pack").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered.select("entity", "sha1", F.col("pack").cast("bigint").alias("pack"),
+                             "pack": before + starts.cumsum(), "nth": np.arange(len(pdf))})[:size]
+
+    packed = f"entity {key_type}, sha1 string, byte_length bigint, pack bigint, nth bigint"
+    if long.isEmpty():
+        numbered = narrow.groupBy("entity").applyInPandas(pack, packed).withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        placed = materialise(
+            Scan(narrow, "entity", ["first_ts", "first_rev"], max_rows).running_sum(F.lit(1), "nth").result()
+            .withColumn("pos", (F.col("nth") - 1).cast("bigint"))
+            .withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
+            .select("entity", "sha1", "byte_length", "pos", "block"), "placed")
+        # the first texts of a block are also shown to the block before, whose last pack may take them
+        own = placed.withColumn("own", F.lit(True))
+        peek = (placed.filter((F.col("block") > 0) & (F.col("pos") % block < max_texts))
+                .withColumns({"block": F.col("block") - 1, "own": F.lit(False)}))
+        rows = own.unionByName(peek)
+        entries = (rows.join(long, "entity", "left_semi").groupBy("entity", "block")
+                   .applyInPandas(exits, f"entity {key_type}, block bigint, entry int, exit int, packs bigint")
+                   .groupBy("entity").applyInPandas(chain, f"entity {key_type}, block bigint, entry int, before bigint"))
+        blocks = rows.join(entries, ["entity", "block"], "left").fillna(0, ["entry", "before"])
+        # a pack may cross into the next block, so its texts are ordered by block and place
+        numbered = (blocks.groupBy("entity", "block")
+                    .applyInPandas(lambda key, pdf: pack(pdf).assign(block=key[1]), packed + ", block bigint"))
+    inside = Window.partitionBy("entity", "pack").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    return numbered.select("entity", "sha1", "pack",
                            F.coalesce(F.sum("byte_length").over(inside), F.lit(0)).alias("byte_offset"), "byte_length")
 
 

@@ -24,9 +24,9 @@ def probe_workload(entities: DataFrame, n: int, start, end, seed: int = 42) -> D
     """``n`` seeded (entity, instant) pairs, uniform over the entities and the seconds of the window."""
     ranked = global_rank(entities.select("entity").distinct(), ["entity"])
     span = F.timestamp_diff("SECOND", ntz(start), ntz(end)) + 1
-    total = ranked.select("total").limit(1)
-    draws = entities.sparkSession.range(n).withColumnRenamed("id", "probe_id").join(F.broadcast(total))   # one row
-    return (draws.select("probe_id", (_draw("probe_id", f"e{seed}") % F.col("total")).alias("rank"),
+    total = ranked.agg(F.max("total").alias("n")).first()["n"]
+    draws = entities.sparkSession.range(n).withColumnRenamed("id", "probe_id")
+    return (draws.select("probe_id", (_draw("probe_id", f"e{seed}") % F.lit(total)).alias("rank"),
                          F.timestamp_add("SECOND", _draw("probe_id", f"t{seed}") % span, ntz(start)).alias("t"))
             .join(ranked.select("rank", "entity"), "rank").select("probe_id", "entity", "t"))
 
