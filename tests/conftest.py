@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", shuffle=4, spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    session = local_session("tests", shuffle=2, spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
