@@ -55,18 +55,26 @@ def diff_pairs(pairs: DataFrame, max_edits: int = MAX_DIFF_EDITS) -> DataFrame:
     A pair that needs too many edits gives a single row with status TOO_EXPENSIVE.
     """
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for pair, old, new in zip(batch["pair_id"], batch["old_text"], batch["new_text"]):
-                yield _line_rows(int(pair), split_lines(old), split_lines(new), max_edits)
+                rows += _line_rows(int(pair), split_lines(old), split_lines(new), max_edits)
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield _frame(rows)
+                    rows = []
+        if rows:
+            yield _frame(rows)
 
     return pairs.select("pair_id", "old_text", "new_text").mapInPandas(compare, LINES)
 
 
-def _line_rows(pair: int, old: list[str], new: list[str], max_edits: int) -> pd.DataFrame:
+ROWS_PER_BATCH = 10_000
+
+
+def _line_rows(pair: int, old: list[str], new: list[str], max_edits: int) -> list[tuple]:
     script = shortest_edit(old, new, max_edits)
     if script is None:
-        return pd.DataFrame([(pair, None, None, None, None, None, "TOO_EXPENSIVE")],
-                            columns=["pair_id", "seq", "type", "text", "old_no", "new_no", "status"])
+        return [(pair, None, None, None, None, None, "TOO_EXPENSIVE")]
     rows, i, j = [], 0, 0
     for seq, step in enumerate(script):
         if step == "=":
@@ -77,8 +85,12 @@ def _line_rows(pair: int, old: list[str], new: list[str], max_edits: int) -> pd.
             rows.append((pair, seq, "add", new[j], None, j + 1, "OK"))
         i += step != "+"
         j += step != "-"
+    return rows
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["pair_id", "seq", "type", "text", "old_no", "new_no", "status"])
-    return out.astype({"old_no": "Int32", "new_no": "Int32"})
+    return out.astype({"seq": "Int32", "old_no": "Int32", "new_no": "Int32"})
 
 
 def diff_stats(lines: DataFrame) -> DataFrame:
