@@ -68,36 +68,46 @@ def latest_before(events: DataFrame, probes: DataFrame, max_rows: int | None = N
 
 
 def _carry(rows: DataFrame, probes: DataFrame, max_rows: int | None) -> DataFrame:
-    def stacked(intervals, wanted):
-        left = intervals.select(
-            "entity", F.col("valid_from").alias("at"), F.col("rev_id").alias("tie"),
-            F.struct("rev_id", "valid_from", "valid_to").alias("known"), F.lit(None).cast("bigint").alias("probe_id"))
-        # at equal instants an interval start sorts before a probe: intervals are closed on the left
-        right = wanted.select(
-            "entity", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("tie"),
-            F.lit(None).cast(left.schema["known"].dataType).alias("known"), F.col("probe_id"))
-        return left.unionByName(right).withColumn("is_probe", F.col("known").isNull())
+    return answers_of({"found": rows}, probes, max_rows).select("probe_id", "entity", "t", "found.*")
 
+
+def answers_of(timelines: dict[str, DataFrame], probes: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Answers of several timelines to the same probes in one scan.
+
+    One struct column (rev_id, valid_from, valid_to) per name, null where nothing was valid. The probes are
+    shuffled once, however many timelines are asked.
+    """
+    known = "struct<rev_id:bigint,valid_from:timestamp_ntz,valid_to:timestamp_ntz>"
     wanted = probes.select(F.col("probe_id").cast("bigint"), "entity", "t")
-    both = stacked(rows, wanted)
+    # at equal instants an interval start sorts before a probe: intervals are closed on the left
+    both = wanted.select(
+        "entity", F.col("t").alias("at"), F.lit(True).alias("is_probe"), F.lit(None).cast("bigint").alias("tie"), "probe_id",
+        *[F.lit(None).cast(known).alias(n) for n in timelines])
+    for name, line in timelines.items():
+        both = both.unionByName(line.select(
+            "entity", F.col("valid_from").alias("at"), F.lit(False).alias("is_probe"), F.col("rev_id").alias("tie"),
+            F.lit(None).cast("bigint").alias("probe_id"),
+            *[(F.struct("rev_id", "valid_from", "valid_to") if n == name else F.lit(None)).cast(known).alias(n) for n in timelines]))
     hot = find_hot(both, ["entity"], "at", max_rows)
 
     def last_of_instant(dense: DataFrame) -> DataFrame:
-        # instants may be hot too: one interval and one probe per instant, answers are joined back below
-        return (dense.groupBy("entity", "at", "is_probe").agg(F.max(F.struct("tie", "known", "probe_id")).alias("r"))
-                .select("entity", "at", "r.*", "is_probe").select(*both.columns))
-
-    answered = (Scan(both, "entity", ["at", "is_probe", "tie"], hot=hot, reduce=last_of_instant)
-                .last_known("known", "found").result().filter("is_probe")
-                .withColumn("found", F.when(F.col("at") < F.col("found.valid_to"), F.col("found"))))
+        # instants may be hot too: the last interval of each timeline and one probe, answers are joined back below
+        return dense.groupBy("entity", "at", "is_probe").agg(
+            F.max("tie").alias("tie"), F.max("probe_id").alias("probe_id"),
+            *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("tie"))).alias(n) for n in timelines])
+
+    scan = Scan(both, "entity", ["at", "is_probe", "tie"], hot=hot, reduce=last_of_instant)
+    for name in timelines:
+        scan.last_known(name, f"last_{name}")
+    answered = scan.result().filter("is_probe").select("probe_id", "entity", F.col("at").alias("t"), *[
+        F.when(F.col("at") < F.col(f"last_{n}.valid_to"), F.col(f"last_{n}")).alias(n) for n in timelines])
     if hot is None:
-        return answered.select("probe_id", "entity", F.col("at").alias("t"), "found.*")
-    answers = answered.select("entity", F.col("at").alias("t"), "found.*")
+        return answered
     is_hot = F.broadcast(hot.splits.select("entity"))
-    cold = answered.join(is_hot, "entity", "left_anti").select("probe_id", "entity", F.col("at").alias("t"), "found.*")
+    cold = answered.join(is_hot, "entity", "left_anti")
     # answers are unique per (entity, t), so a skewed probe side can be split by the skew join
-    dense = (wanted.join(is_hot, "entity", "left_semi").join(answers.join(is_hot, "entity", "left_semi"), ["entity", "t"], "left")
-             .select(*cold.columns))
+    answers = answered.join(is_hot, "entity", "left_semi").drop("probe_id")
+    dense = wanted.join(is_hot, "entity", "left_semi").join(answers, ["entity", "t"], "left").select(*cold.columns)
     return cold.unionByName(dense)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinclock.operators.lookups import revisions_at
+from twinclock.operators.lookups import answers_of, revisions_at
 from twinclock.operators.slices import Scan
 from twinclock.operators.timelines import interval_at
 from twinclock.schema import infinity, ntz, system_max
@@ -123,10 +123,8 @@ def believed_at(versions: DataFrame, s, t) -> DataFrame:
 
 def known_then_and_now(versions: DataFrame, probes: DataFrame, s, max_rows: int | None = None) -> DataFrame:
     """Per probe the answer believed at ``s``, today's answer, and whether they agree."""
-    then = revisions_at(as_of(versions, s), probes, "carry", max_rows)
-    now = revisions_at(current(versions), probes, "carry", max_rows)
-    return (then.select("probe_id", "entity", "t", F.col("rev_id").alias("then_rev"))
-            .join(now.select("probe_id", F.col("rev_id").alias("now_rev")), "probe_id")
+    both = answers_of({"then": as_of(versions, s), "now": current(versions)}, probes, max_rows)
+    return (both.select("probe_id", "entity", "t", F.col("then.rev_id").alias("then_rev"), F.col("now.rev_id").alias("now_rev"))
             .withColumn("agrees", F.col("then_rev").eqNullSafe(F.col("now_rev"))))
 
 
@@ -140,19 +138,21 @@ def audit_trail(versions: DataFrame, condition: Column) -> DataFrame:
     return versions.filter(condition).orderBy("row_start")
 
 
+def mirror_intervals(mirror: DataFrame) -> DataFrame:
+    """The mirror's system time read as application time."""
+    return mirror.select("entity", "rev_id", F.col("row_start").alias("valid_from"),
+                         F.when(F.col("row_end") == system_max(), infinity()).otherwise(F.col("row_end")).alias("valid_to"))
+
+
 def mirror_answers(mirror: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Answers from the system-time mirror: the version current at each probe's instant."""
-    as_intervals = mirror.select("entity", "rev_id", F.col("row_start").alias("valid_from"),
-                                 F.when(F.col("row_end") == system_max(), infinity()).otherwise(F.col("row_end")).alias("valid_to"))
-    return revisions_at(as_intervals, probes, "carry", max_rows)
+    return revisions_at(mirror_intervals(mirror), probes, "carry", max_rows)
 
 
 def cross_check(timeline: DataFrame, mirror: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Application-time answer against mirror answer, per probe."""
-    a = revisions_at(timeline, probes, "carry", max_rows)
-    b = mirror_answers(mirror, probes, max_rows)
-    return (a.select("probe_id", "entity", "t", F.col("rev_id").alias("app_rev"))
-            .join(b.select("probe_id", F.col("rev_id").alias("mirror_rev")), "probe_id")
+    both = answers_of({"app": timeline, "mirror": mirror_intervals(mirror)}, probes, max_rows)
+    return (both.select("probe_id", "entity", "t", F.col("app.rev_id").alias("app_rev"), F.col("mirror.rev_id").alias("mirror_rev"))
             .withColumn("agrees", F.col("app_rev").eqNullSafe(F.col("mirror_rev"))))
 
 
