@@ -130,6 +130,11 @@ def _kernel(tokens: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray
     return k, basis, live
 
 
+def _inserted(word: str) -> list[str]:
+    """The word with one letter inserted, once at each place inside; the letters go around the alphabet."""
+    return [word[:k] + chr(97 + (7 * k + len(word)) % 26) + word[k:] for k in range(1, len(word))]
+
+
 def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_000, rounds: int = 4, cost: float = 100.0, evidence: float = 5.0) -> Model:
     """``texts``: (text, label) of a bounded sample. One third of them only sets the probabilities."""
     held = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 == 2]
@@ -156,20 +161,22 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
         return untrained
     place = {t: i for i, t in enumerate(names)}
     only_toxic = neg == 0
+    # words that clean texts never hold also teach with a letter inserted, unless that is a word of a clean text
+    marred = [v for i in strong[: landmarks // 2] if only_toxic[i] for v in _inserted(names[i]) if v not in seen]
     bags = [np.array([i for i in map(place.__getitem__, bag) if only_toxic[i]], int) for bag, y in train if y]
     positive, negative = strong, clean[:: max(1, len(clean) // instances)]
     model = untrained
     for step in range(rounds):
         rows = np.concatenate([positive, negative])
-        tokens = [names[i] for i in rows]
-        y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
+        tokens = [names[i] for i in rows] + marred
+        y = np.where((np.arange(len(tokens)) < len(positive)) | (np.arange(len(tokens)) >= len(rows)), 1.0, -1.0)
         marks = [names[i] for i in positive[: landmarks // 2]]
         marks += [names[i] for i in negative[::-1][: max(1, landmarks - len(marks))]]
         k, basis, live = _kernel(tokens, marks)
         values, vectors = np.linalg.eigh(_kernel(marks, marks)[0] + 1e-6 * np.eye(len(marks)))
         white = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
         c = np.where(y > 0, cost * max(1.0, 0.25 * len(negative) / len(positive)), cost)
-        w = _newton(np.concatenate([k @ white, np.ones((len(rows), 1))], 1), y, c, np.zeros(len(marks) + 1))
+        w = _newton(np.concatenate([k @ white, np.ones((len(tokens), 1))], 1), y, c, np.zeros(len(marks) + 1))
         weights = np.zeros(strings.FEATURES, np.float32)
         weights[live] = (white @ w[:-1]) @ basis
         model = Model(weights, float(w[-1]), np.zeros(1), np.zeros(1), marks)
