@@ -55,7 +55,7 @@ KNOWN = [
     ("MIT", "notice", "Released under the MIT License."),
 ]
 #: Rules in order: pattern, what takes its place.
-LINE_RULES = [(r"(^|\n)[^a-z0-9\n]*(copyright|©|\(c\))[^a-z\n]*[0-9][^\n]*", "$1"), (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "$1"),
+LINE_RULES = [(r"(^|\n)[^a-z0-9\n]*(copyright|©|\(c\))([^a-z\n]|\(c\))*[0-9][^\n]*", "$1"), (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "$1"),
               (r"[^a-z0-9\n\x{80}-\x{10ffff}]+", " ")]
 SPELLINGS = [(r"([a-z]{3})is(e|ed|es|ing|ation|ations)( |\n|$)", "$1iz$2$3"), (r"([a-z]{3})our(s|able|ed|ite|)( |\n|$)", "$1or$2$3"),
              (r"([a-z]{2})enc(e|ed|es)( |\n|$)", "$1ens$2$3"), (r"([a-z]{3})tre(s|)( |\n|$)", "$1ter$2$3"), (r"([a-z]{2})ll(ed|ing)( |\n|$)", "$1l$2$3"),
