@@ -84,12 +84,45 @@ def test_too_expensive_pair_does_not_stop_the_others(spark, rows):
     both = pair(spark, "a\nb\nc", "x\ny\nz", 1).unionByName(pair(spark, *FOX, 2))
     lines = H.diff_pairs(both, max_edits=4)
     assert rows(lines.filter("status <> 'OK'"), "pair_id", "status") == [(1, "TOO_EXPENSIVE")]
-    assert rows(H.diff_stats(lines), "pair_id") == [(2,)]
+    assert rows(H.diff_stats(lines), "pair_id", "status", "added") == [(1, "TOO_EXPENSIVE", None), (2, "OK", 1)]
+    assert rows(H.hunks(lines), "pair_id", "hunk", "status") == [(1, None, "TOO_EXPENSIVE"), (2, 1, "OK")]
+    assert rows(H.word_changes(lines), "pair_id", "status") == [(1, "TOO_EXPENSIVE"), (2, "OK")]
+
+
+def test_every_pair_keeps_a_row(spark, rows):
+    df = spark.createDataFrame([(1, None, "a", "OK"), (2, "a", "b", "TOO_LARGE"), (3, "x", "x", "OK"), (4, "x\n", "x", "OK"), (5, "", "\n", "OK"), (6, "a\nb", "a\nc", "OK")],
+                               "pair_id bigint, old_text string, new_text string, status string")
+    lines = H.diff_pairs(df)
+    want = [(1, "CONTENT_HIDDEN", None), (2, "TOO_LARGE", None), (3, "IDENTICAL", True), (4, "OK", True), (5, "OK", False), (6, "OK", False)]
+    assert rows(H.diff_stats(lines), "pair_id", "status", "identical") == want
+    for out in (H.hunk_lines(lines), H.hunks(lines), H.word_changes(lines), H.line_bag_delta(df)):
+        assert sorted(r["pair_id"] for r in out.select("pair_id").distinct().collect()) == [1, 2, 3, 4, 5, 6]
+    assert rows(H.diff_stats(lines).filter("pair_id = 3"), "added", "old_lines", "new_lines") == [(0, 1, 1)]
+
+
+def test_few_edits_in_a_long_text():
+    a = [f"line {k}" for k in range(70_000)]
+    b = [*a[:500], *a[501:30_000], "new", *a[30_000:69_000], "other", *a[69_001:]]
+    s = shortest_edit(a, b)
+    assert len(s) - s.count("=") == 4 and s.count("=") == 69_998
+
+
+@pytest.mark.parametrize("greedy", [0, 2, 1500])
+def test_both_searches_are_shortest(greedy, monkeypatch):
+    from twinclock.functions import texts
+
+    monkeypatch.setattr(texts, "_GREEDY_EDITS", greedy)
+    r = random.Random(greedy)
+    for _ in range(400):
+        a, b = ([r.randrange(4) for _ in range(r.randint(0, 12))] for _ in range(2))
+        s, k = shortest_edit(a, b), r.randint(0, 10)
+        assert s.count("=") == brute_lcs(a, b)
+        assert (shortest_edit(a, b, k) is None) == (len(s) - s.count("=") > k)
 
 
 def test_long_lines_get_no_word_parts(spark):
     lines = H.diff_pairs(pair(spark, "a " * 4000, "b " * 4000))
-    assert H.word_changes(lines).count() == 0
+    assert H.word_changes(lines, max_chars=6000).first()["old_parts"] == [] and len(H.word_changes(lines).first()["old_parts"]) == 8000
 
 
 def test_status_before_the_job(spark):
@@ -107,6 +140,8 @@ def test_sentences(spark, rows):
 
 def test_bag_of_lines(spark, rows):
     assert rows(H.line_bag_delta(pair(spark, "a\nb\nb\n", "b\na\nc\n"))) == [(1, 1, 1)]
+    assert rows(H.line_bag_delta(pair(spark, "a\n\n", "a"))) == [(1, 0, 1)]
+    assert rows(H.line_bag_delta(pair(spark, "", "a\n"))) == [(1, 1, 0)]
 
 
 def test_split_lines_and_words():

@@ -105,19 +105,25 @@ PAIRS = f"""WITH {DOC}, pr AS (SELECT rev_id AS pair_id, entity, lang, rev_id AS
     FROM doc WINDOW w AS (PARTITION BY entity, lang ORDER BY ts)), pairs AS (SELECT * FROM pr WHERE old_rev IS NOT NULL)"""
 
 
-def pairs_of(t, texts=None):
+def pairs_of(t, max_bytes=None):
+    """Every pair with its texts and whether they are to be compared."""
     docs = t.documents
     pairs = H.consecutive_pairs(docs, ["entity", "lang"])
-    # the digest of a hidden revision has no stored text unless another revision shows it
-    texts = G.distinct_texts(docs) if texts is None else texts
-    pairs = H.with_texts(pairs, texts)
-    return pairs.withColumns({
-        "old_text": F.when(~F.col("old_hidden"), F.col("old_text")),
-        "new_text": F.when(~F.col("new_hidden"), F.col("new_text"))})
+    return H.with_texts(pairs, G.distinct_texts(docs)).withColumn("status", H.diff_status(max_bytes))
 
 
-def comparable(t):
-    return pairs_of(t).withColumn("status", H.diff_status()).filter("status = 'OK'")
+# Each document against itself with a sign before every line: the shortest script is known, so SQL can say all of it.
+MARKED = """WITH d AS (SELECT doc_id AS pair_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''),
+  n AS (SELECT pair_id, l, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS no FROM d)"""
+
+
+def marked(t):
+    new = F.concat(F.lit("§"), F.regexp_replace(F.regexp_replace("text", r"\n\z", ""), "\n", "\n§"))
+    return t["documents"].filter("text <> ''").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old_text"), new.alias("new_text"))
+
+
+def text_of_parts(parts):
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.when(p["changed"], "[").otherwise("("), p["text"])), "|")
 
 
 @query("consecutive_pairs", f"{PAIRS} SELECT pair_id, entity, lang, old_rev, new_rev, old_sha1, new_sha1 FROM pairs")
@@ -128,49 +134,79 @@ def _(t):
 @query("diff_status", f"""{PAIRS} SELECT pair_id, CASE WHEN old_hidden OR new_hidden THEN 'CONTENT_HIDDEN'
     WHEN octet_length(encode(old_text)) > 5000 OR octet_length(encode(new_text)) > 5000 THEN 'TOO_LARGE' ELSE 'OK' END AS status FROM pairs""")
 def _(t):
-    return pairs_of(t).select("pair_id", H.diff_status(max_bytes=5000).alias("status"))
+    return pairs_of(t, max_bytes=5000).select("pair_id", "status")
 
 
-# No SQL twin for the shortest edit itself; tests compare it with brute force.
+# No SQL twin for the shortest edit itself: tests compare it with brute force. diff_rebuilt proves what it says.
 @query("diff_lines")
 def _(t):
-    return H.diff_pairs(comparable(t))
+    return H.diff_pairs(pairs_of(t))
+
+
+COMPARED = f"""{PAIRS}, st AS (SELECT *, CASE WHEN old_hidden OR new_hidden THEN 'CONTENT_HIDDEN' WHEN old_text = new_text THEN 'IDENTICAL' ELSE 'OK' END AS status FROM pairs)"""
+
+
+# Both texts put together again from the script, for every pair that was compared.
+@query("diff_rebuilt", f"""{COMPARED} SELECT pair_id, status, CASE WHEN status = 'OK' THEN md5(regexp_replace(old_text, '\\n$', '')) END AS old_md5,
+  CASE WHEN status = 'OK' THEN md5(regexp_replace(new_text, '\\n$', '')) END AS new_md5 FROM st""")
+def _(t):
+    def rebuilt(no):
+        lines = F.array_sort(F.collect_list(F.when(F.col(no).isNotNull(), F.struct(no, "text"))))
+        return F.when(F.col("status") == "OK", F.md5(F.array_join(F.transform(lines, lambda x: x["text"]), "\n")))
+
+    return H.diff_pairs(pairs_of(t)).groupBy("pair_id", "status").agg(rebuilt("old_no").alias("old_md5"), rebuilt("new_no").alias("new_md5"))
 
 
 # Line totals are the same for any correct diff, and so is old - removed = new - added.
-@query("diff_totals", f"""{PAIRS}, k AS (SELECT pair_id, len(string_split(regexp_replace(old_text, '\\n$', ''), chr(10))) AS o,
-    len(string_split(regexp_replace(new_text, '\\n$', ''), chr(10))) AS n FROM pairs WHERE NOT old_hidden AND NOT new_hidden)
-  SELECT pair_id, o AS old_lines, n AS new_lines, n - o AS growth FROM k""")
+@query("diff_totals", f"""{COMPARED}, k AS (SELECT pair_id, status,
+    CASE WHEN status <> 'CONTENT_HIDDEN' THEN CASE WHEN old_text = '' THEN 0 ELSE len(string_split(regexp_replace(old_text, '\\n$', ''), chr(10))) END END AS o,
+    CASE WHEN status <> 'CONTENT_HIDDEN' THEN CASE WHEN new_text = '' THEN 0 ELSE len(string_split(regexp_replace(new_text, '\\n$', ''), chr(10))) END END AS n FROM st)
+  SELECT pair_id, status, o AS old_lines, n AS new_lines, n - o AS growth FROM k""")
 def _(t):
-    return H.diff_stats(H.diff_pairs(comparable(t))).select(
-        "pair_id", "old_lines", "new_lines", (F.col("added") - F.col("removed")).alias("growth"))
+    return H.diff_stats(H.diff_pairs(pairs_of(t))).select(
+        "pair_id", "status", "old_lines", "new_lines", (F.col("added") - F.col("removed")).alias("growth"))
 
 
 @query("diff_hunks")
 def _(t):
-    return H.hunks(H.diff_pairs(comparable(t))).withColumn("lines", F.size("lines"))
+    line = F.transform("lines", lambda x: F.concat(F.left(x["type"], F.lit(1)), F.lit(" "), x["text"]))
+    return H.hunks(H.diff_pairs(pairs_of(t))).withColumn("lines", F.array_join(line, "\n"))
+
+
+@query("diff_hunks_marked", f"""{MARKED} SELECT pair_id, CAST(1 AS BIGINT) AS hunk, 'OK' AS status, CAST(1 AS INTEGER) AS old_start, CAST(1 AS INTEGER) AS new_start,
+  md5(array_to_string(list_concat(list_transform(l, lambda x: 'd ' || x), list_transform(l, lambda x: 'a §' || x)), chr(10))) AS lines FROM d""")
+def _(t):
+    line = F.transform("lines", lambda x: F.concat(F.left(x["type"], F.lit(1)), F.lit(" "), x["text"]))
+    return H.hunks(H.diff_pairs(marked(t))).withColumn("lines", F.md5(F.array_join(line, "\n")))
 
 
 @query("word_changes")
 def _(t):
-    return H.word_changes(H.diff_pairs(comparable(t))).select(
-        "pair_id", "old_no", "new_no", F.size("old_parts").alias("old_parts"), F.size("new_parts").alias("new_parts"))
+    return H.word_changes(H.diff_pairs(pairs_of(t))).select(
+        "pair_id", "status", "old_no", "new_no", text_of_parts("old_parts").alias("old_parts"), text_of_parts("new_parts").alias("new_parts"))
+
+
+@query("word_changes_marked", f"""{MARKED} SELECT pair_id, 'OK' AS status, no AS old_no, no AS new_no, CASE WHEN l[no] = '' THEN '' ELSE '(' || l[no] END AS old_parts,
+  CASE WHEN l[no] = '' THEN '[§' ELSE '[§|(' || l[no] END AS new_parts FROM n""")
+def _(t):
+    return H.word_changes(H.diff_pairs(marked(t))).select(
+        "pair_id", "status", "old_no", "new_no", text_of_parts("old_parts").alias("old_parts"), text_of_parts("new_parts").alias("new_parts"))
 
 
-# Hunks over a comparison line by line, which SQL can say too.
-@query("hunk_lines", f"""{PAIRS}, l AS (SELECT pair_id, unnest(range(1, 1 + greatest(len(o), len(n)))) AS seq, o, n FROM (
-    SELECT pair_id, string_split(old_text, chr(10)) AS o, string_split(new_text, chr(10)) AS n FROM pairs WHERE NOT old_hidden AND NOT new_hidden) x),
-  k AS (SELECT pair_id, CAST(seq AS INTEGER) AS seq, CASE WHEN left(o[seq], 1) IS NOT DISTINCT FROM left(n[seq], 1) THEN 'same' ELSE 'del' END AS type FROM l),
+# Hunks around lines whose digest says "changed", so that there are many and they overlap; SQL can say this too.
+@query("hunk_lines", """WITH l AS (SELECT doc_id AS pair_id, string_split(text, chr(10)) AS o FROM documents),
+  k AS (SELECT pair_id, seq, CASE WHEN left(md5(line), 1) = '0' THEN 'del' ELSE 'same' END AS type FROM (
+    SELECT pair_id, CAST(unnest(range(1, 1 + len(o))) AS INTEGER) AS seq, unnest(o) AS line FROM l)),
   c AS (SELECT pair_id, greatest(seq - 3, 1) AS a, seq + 4 AS z FROM k WHERE type <> 'same'),
   m AS (SELECT *, max(z) OVER (PARTITION BY pair_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
   i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hunk FROM m),
   h AS (SELECT pair_id, hunk, min(a) AS a, max(z) AS z FROM i GROUP BY pair_id, hunk)
-  SELECT k.pair_id, seq, type, CAST(hunk AS BIGINT) AS hunk FROM k JOIN h ON h.pair_id = k.pair_id AND seq >= a AND seq < z""")
+  SELECT k.pair_id, seq, type, CAST(hunk AS BIGINT) AS hunk FROM k JOIN h ON h.pair_id = k.pair_id AND seq >= a AND seq < z
+  UNION ALL SELECT DISTINCT pair_id, CAST(NULL AS INTEGER), NULL, CAST(NULL AS BIGINT) FROM k WHERE pair_id NOT IN (SELECT pair_id FROM c)""")
 def _(t):
-    old, new = F.split("old_text", "\n"), F.split("new_text", "\n")
-    lines = comparable(t).select("pair_id", F.posexplode(F.arrays_zip(old.alias("o"), new.alias("n"))).alias("i", "l"))
-    first = F.left(F.col("l.o"), F.lit(1)).eqNullSafe(F.left(F.col("l.n"), F.lit(1)))
-    return H.hunk_lines(lines.select("pair_id", (F.col("i") + 1).alias("seq"), F.when(first, "same").otherwise("del").alias("type")))
+    lines = t["documents"].select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    changed = F.left(F.md5("line"), F.lit(1)) == "0"
+    return H.hunk_lines(lines.select("pair_id", (F.col("i") + 1).alias("seq"), F.when(changed, "del").otherwise("same").alias("type")))
 
 
 @query("sentence_lines", rf"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(replace(text, chr(13), ''),
@@ -181,11 +217,12 @@ def _(t):
     return H.sentence_lines(t["documents"], "doc_id")
 
 
-@query("line_bag_delta", f"""{PAIRS}, v AS (SELECT pair_id, regexp_replace(old_text, '\\n$', '') AS o, regexp_replace(new_text, '\\n$', '') AS n
-    FROM pairs WHERE NOT old_hidden AND NOT new_hidden),
-  s AS (SELECT pair_id, unnest(string_split(o, chr(10))) AS line, -1 AS n FROM v UNION ALL
-        SELECT pair_id, unnest(string_split(n, chr(10))), 1 FROM v),
-  g AS (SELECT pair_id, line, sum(n) AS n FROM s GROUP BY pair_id, line)
-  SELECT pair_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM g GROUP BY pair_id""")
+@query("line_bag_delta", f"""{PAIRS}, v AS (SELECT pair_id, old_text AS o, new_text AS n FROM pairs WHERE NOT old_hidden AND NOT new_hidden),
+  s AS (SELECT pair_id, unnest(string_split(regexp_replace(o, '\\n$', ''), chr(10))) AS line, -1 AS n FROM v WHERE o <> '' UNION ALL
+        SELECT pair_id, unnest(string_split(regexp_replace(n, '\\n$', ''), chr(10))), 1 FROM v WHERE n <> ''),
+  g AS (SELECT pair_id, line, sum(n) AS n FROM s GROUP BY pair_id, line),
+  b AS (SELECT pair_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM g GROUP BY pair_id)
+  SELECT pair_id, CASE WHEN NOT old_hidden AND NOT new_hidden THEN coalesce(added, 0) END AS added,
+    CASE WHEN NOT old_hidden AND NOT new_hidden THEN coalesce(removed, 0) END AS removed FROM pairs LEFT JOIN b USING (pair_id)""")
 def _(t):
-    return H.line_bag_delta(comparable(t))
+    return H.line_bag_delta(pairs_of(t))
