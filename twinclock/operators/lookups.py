@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinclock.operators.slices import Scan, find_hot
+from twinclock.operators.slices import Scan
 from twinclock.operators.timelines import interval_at
-from twinclock.schema import MAX_PAGE, PAGE_SIZE, infinity, ntz, null_if_open
-
-MAX_BROADCAST_PROBES = 10_000
+from twinclock.schema import PAGE_SIZE, infinity, ntz, null_if_open
 
 
 def revision_at(timeline: DataFrame, events: DataFrame, t, entity=None) -> DataFrame:
@@ -47,18 +45,19 @@ def revisions_at(timeline: DataFrame, probes: DataFrame, strategy: str = "carry"
 
     ``carry``  probes and intervals of an entity are sorted together and the last interval is carried to the
                probes after it: one shuffle, linear work, hot entities cut into slices.
-    ``join``   equi join on the entity with the interval test as residual. The probes are broadcast, and only
-               up to MAX_BROADCAST_PROBES of them, so the timeline is read once and not shuffled; a larger
-               set of probes falls back to ``carry``.
+    ``join``   equi join on the entity with the interval test as residual, at any size; whether one side is broadcast
+               is left to the optimiser. Work grows as probes x intervals of an entity.
     """
+    if strategy == "carry":
+        return _carry(timeline, probes, max_rows)
+    if strategy != "join":
+        raise ValueError("strategy is carry or join")
     rows = timeline.select("entity", "rev_id", "valid_from", "valid_to")
-    if strategy == "join" and probes.limit(MAX_BROADCAST_PROBES + 1).count() <= MAX_BROADCAST_PROBES:
-        wanted = probes.select("probe_id", "entity", "t")
-        found = (rows.join(F.broadcast(wanted), "entity")
-                 .filter((F.col("valid_from") <= F.col("t")) & (F.col("t") < F.col("valid_to")))
-                 .select("probe_id", "rev_id", "valid_from", "valid_to"))
-        return wanted.join(found, "probe_id", "left")
-    return _carry(rows, probes, max_rows)
+    wanted = probes.select("probe_id", "entity", "t")
+    found = (rows.join(wanted, "entity")
+             .filter((F.col("valid_from") <= F.col("t")) & (F.col("t") < F.col("valid_to")))
+             .select("probe_id", "rev_id", "valid_from", "valid_to"))
+    return wanted.join(found, "probe_id", "left")
 
 
 def latest_before(events: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -71,44 +70,35 @@ def _carry(rows: DataFrame, probes: DataFrame, max_rows: int | None) -> DataFram
     return answers_of({"found": rows}, probes, max_rows).select("probe_id", "entity", "t", "found.*")
 
 
-def answers_of(timelines: dict[str, DataFrame], probes: DataFrame, max_rows: int | None = None) -> DataFrame:
+def answers_of(timelines: dict[str, DataFrame], probes: DataFrame, max_rows: int | None = None, events: DataFrame | None = None) -> DataFrame:
     """Answers of several timelines to the same probes in one scan.
 
-    One struct column (rev_id, valid_from, valid_to) per name, null where nothing was valid. The probes are
-    shuffled once, however many timelines are asked.
+    One struct column (rev_id, valid_from, valid_to) per name, null where nothing was valid; with ``events`` also ``n``,
+    the number of events with ts <= t. The probes are shuffled once, however many timelines are asked, and the order
+    (instant, interval before probe, id) is total, so a hot instant is cut like any other run of rows.
     """
     known = "struct<rev_id:bigint,valid_from:timestamp_ntz,valid_to:timestamp_ntz>"
     wanted = probes.select(F.col("probe_id").cast("bigint"), "entity", "t")
+
+    def rows(df, at, is_probe, tie, probe, c, **found):
+        return df.select("entity", F.col(at).alias("at"), F.lit(is_probe).alias("is_probe"), tie.cast("bigint").alias("tie"), probe.cast("bigint").alias("probe_id"),
+                         c.cast("bigint").alias("c"), *[found.get(n, F.lit(None)).cast(known).alias(n) for n in timelines])
+
+    none = F.lit(None)
     # at equal instants an interval start sorts before a probe: intervals are closed on the left
-    both = wanted.select(
-        "entity", F.col("t").alias("at"), F.lit(True).alias("is_probe"), F.lit(None).cast("bigint").alias("tie"), "probe_id",
-        *[F.lit(None).cast(known).alias(n) for n in timelines])
+    both = rows(wanted, "t", True, F.col("probe_id"), F.col("probe_id"), F.lit(0))
     for name, line in timelines.items():
-        both = both.unionByName(line.select(
-            "entity", F.col("valid_from").alias("at"), F.lit(False).alias("is_probe"), F.col("rev_id").alias("tie"),
-            F.lit(None).cast("bigint").alias("probe_id"),
-            *[(F.struct("rev_id", "valid_from", "valid_to") if n == name else F.lit(None)).cast(known).alias(n) for n in timelines]))
-    hot = find_hot(both, ["entity"], "at", max_rows)
-
-    def last_of_instant(dense: DataFrame) -> DataFrame:
-        # instants may be hot too: the last interval of each timeline and one probe, answers are joined back below
-        return dense.groupBy("entity", "at", "is_probe").agg(
-            F.max("tie").alias("tie"), F.max("probe_id").alias("probe_id"),
-            *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("tie"))).alias(n) for n in timelines])
-
-    scan = Scan(both, "entity", ["at", "is_probe", "tie"], hot=hot, reduce=last_of_instant)
+        both = both.unionByName(rows(line, "valid_from", False, F.col("rev_id"), none, F.lit(0), **{name: F.struct("rev_id", "valid_from", "valid_to")}))
+    if events is not None:
+        per_instant = events.groupBy("entity", "ts").agg(F.count(F.lit(1)).alias("events"))
+        both = both.unionByName(rows(per_instant, "ts", False, none, none, F.col("events")))
+    scan = Scan(both, "entity", ["at", "is_probe", "tie"], max_rows)
     for name in timelines:
         scan.last_known(name, f"last_{name}")
-    answered = scan.result().filter("is_probe").select("probe_id", "entity", F.col("at").alias("t"), *[
+    if events is not None:
+        scan.running_sum("c", "n")
+    return scan.result().filter("is_probe").select("probe_id", "entity", F.col("at").alias("t"), *(["n"] if events is not None else []), *[
         F.when(F.col("at") < F.col(f"last_{n}.valid_to"), F.col(f"last_{n}")).alias(n) for n in timelines])
-    if hot is None:
-        return answered
-    is_hot = F.broadcast(hot.splits.select("entity"))
-    cold = answered.join(is_hot, "entity", "left_anti")
-    # answers are unique per (entity, t), so a skewed probe side can be split by the skew join
-    answers = answered.join(is_hot, "entity", "left_semi").drop("probe_id")
-    dense = wanted.join(is_hot, "entity", "left_semi").join(answers, ["entity", "t"], "left").select(*cold.columns)
-    return cold.unionByName(dense)
 
 
 def overlapping(timeline: DataFrame, start, end) -> DataFrame:
@@ -122,16 +112,15 @@ def overlapping_count(timeline: DataFrame, start, end) -> DataFrame:
 
 def history_page(timeline: DataFrame, start, end, page: int = 1, size: int = PAGE_SIZE,
                  max_rows: int | None = None) -> DataFrame:
-    """Page of every entity's overlapping intervals, newest first."""
-    if not 1 <= page <= MAX_PAGE:
-        raise ValueError(f"page must be between 1 and {MAX_PAGE}")
-    rows = overlapping(timeline, start, end)
-    # newest first: the position counts down from the entity's total
-    totals = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("total"))
-    scan = Scan(rows, "entity", ["valid_from", "rev_id"], max_rows).running_sum(F.lit(1), "nth").result()
+    """Page of every entity's overlapping intervals, newest first, with its position and the entity's total."""
+    if page < 1:
+        raise ValueError("page must be 1 or more")
+    # counted from both ends in one scan, so neither totals nor a join on the entity are needed
+    scan = (Scan(overlapping(timeline, start, end), "entity", ["valid_from", "rev_id"], max_rows)
+            .running_sum(F.lit(1), "nth").running_sum(F.lit(1), "left", backward=True))
     first = (page - 1) * size
-    numbered = scan.join(totals, "entity").withColumn("position", F.col("total") - F.col("nth"))
-    return numbered.filter((F.col("position") >= first) & (F.col("position") < first + size)).drop("nth")
+    numbered = scan.result().withColumns({"total": F.col("nth") + F.col("left") - 1, "position": F.col("left") - 1})
+    return numbered.filter((F.col("position") >= first) & (F.col("position") < first + size)).drop("nth", "left")
 
 
 def edits_between(events: DataFrame, start, end) -> DataFrame:
@@ -231,7 +220,8 @@ def compare(timeline: DataFrame, events: DataFrame, pairs: DataFrame, max_rows:
     """Two instants per pair (pair_id, entity, a, b): both states and the number of edits in between.
 
     Instants given in the wrong order are swapped and flagged. The edits in (a, b] are the difference of two
-    running event counts, so no pair meets all events of its entity.
+    running event counts, taken in the scan that finds the states, so no pair meets all events of its entity.
+    ``status`` is NO_REVISION where one of the instants has none; ``same_revision`` is null there.
     """
     pairs = pairs.select(F.col("pair_id").cast("bigint"), "entity", F.least("a", "b").alias("a"),
                          F.greatest("a", "b").alias("b"), (F.col("b") < F.col("a")).alias("swapped"))
@@ -239,28 +229,24 @@ def compare(timeline: DataFrame, events: DataFrame, pairs: DataFrame, max_rows:
         F.struct((F.col("pair_id") * 2).alias("probe_id"), F.col("a").alias("t")),
         F.struct((F.col("pair_id") * 2 + 1).alias("probe_id"), F.col("b").alias("t")))).alias("p")) \
         .select("p.probe_id", "entity", "p.t")
-    states = revisions_at(timeline, ends, "carry", max_rows)
-    counted = events_until(events, ends, max_rows)
-    sides = states.select("probe_id", "rev_id").join(counted, "probe_id")
-    side = sides.groupBy(F.floor(F.col("probe_id") / 2).alias("pair_id")).agg(
-        F.max(F.when(F.col("probe_id") % 2 == 0, F.col("rev_id"))).alias("rev_a"),
-        F.max(F.when(F.col("probe_id") % 2 == 1, F.col("rev_id"))).alias("rev_b"),
-        F.max(F.when(F.col("probe_id") % 2 == 0, F.col("n"))).alias("n_a"),
-        F.max(F.when(F.col("probe_id") % 2 == 1, F.col("n"))).alias("n_b"))
-    return (pairs.join(side, "pair_id")
+    sides = answers_of({"found": timeline}, ends, max_rows, events)
+
+    def side(k, column):
+        return F.max(F.when(F.col("probe_id") % 2 == k, F.col(column)))
+
+    both = sides.groupBy(F.floor(F.col("probe_id") / 2).alias("pair_id")).agg(
+        side(0, "found.rev_id").alias("rev_a"), side(1, "found.rev_id").alias("rev_b"), side(0, "n").alias("n_a"), side(1, "n").alias("n_b"))
+    known = F.col("rev_a").isNotNull() & F.col("rev_b").isNotNull()
+    return (pairs.join(both, "pair_id")
             .select("pair_id", "entity", "a", "b", "swapped", "rev_a", "rev_b",
-                    F.col("rev_a").eqNullSafe(F.col("rev_b")).alias("same_revision"),
+                    F.when(known, F.col("rev_a") == F.col("rev_b")).alias("same_revision"),
+                    F.when(~known, "NO_REVISION").when(F.col("rev_a") == F.col("rev_b"), "SAME_REVISION").otherwise("OK").alias("status"),
                     (F.col("n_b") - F.col("n_a")).alias("edits_between")))
 
 
 def events_until(events: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Number of events with ts <= t per probe."""
-    per_instant = events.groupBy("entity", F.col("ts").alias("at")).agg(F.count(F.lit(1)).alias("c"))
-    both = per_instant.withColumn("probe_id", F.lit(None).cast("bigint")).unionByName(
-        probes.select("entity", F.col("t").alias("at"), F.lit(0).cast("bigint").alias("c"),
-                      F.col("probe_id").cast("bigint"))).withColumn("is_probe", F.col("probe_id").isNotNull())
-    counted = Scan(both, "entity", ["at", "is_probe", "probe_id"], max_rows).running_sum("c", "n").result()
-    return counted.filter("is_probe").select("probe_id", "n")
+    return answers_of({}, probes, max_rows, events).select("probe_id", "n")
 
 
 def revision_density(events: DataFrame) -> DataFrame:

@@ -31,14 +31,23 @@ def probe_workload(entities: DataFrame, n: int, start, end, seed: int = 42) -> D
             .join(ranked.select("rank", "entity"), "rank").select("probe_id", "entity", "t"))
 
 
+def aggregate_answers(events: DataFrame, probes: DataFrame) -> DataFrame:
+    """Last event with ts <= t per probe by a join and one aggregation; for measurement, work grows as probes x events
+    of an entity."""
+    found = (probes.join(events.select("entity", "rev_id", "ts"), "entity").filter(F.col("ts") <= F.col("t"))
+             .groupBy("probe_id").agg(F.max(F.struct("ts", "rev_id")).alias("e")))
+    return probes.join(found, "probe_id", "left").select("probe_id", "entity", "t", "e.rev_id")
+
+
 def strategy_agreement(timeline: DataFrame, events: DataFrame, mirror: DataFrame, probes: DataFrame,
                        max_rows: int | None = None) -> DataFrame:
-    """Every lookup strategy on one workload: probes, and how many answers differ from the first strategy's."""
+    """Every lookup strategy on one workload, each by an access path of its own: probes, and how many answers differ
+    from those of the scan."""
     answers = {
         "carry": L.revisions_at(timeline, probes, "carry", max_rows),
-        "join": L.revisions_at(timeline, probes, "join", max_rows),
-        "events": L.latest_before(events, probes, max_rows),
-        "mirror": D.mirror_answers(mirror, probes, max_rows)}
+        "join": L.revisions_at(timeline, probes, "join"),
+        "events": aggregate_answers(events, probes),
+        "mirror": D.mirror_answers(mirror, probes, "as_of")}
     rows = None
     for name, a in answers.items():
         one = a.select("probe_id", F.lit(name).alias("strategy"), "rev_id")
@@ -49,8 +58,13 @@ def strategy_agreement(timeline: DataFrame, events: DataFrame, mirror: DataFrame
         F.count_if(~F.col(s).eqNullSafe(F.col("carry"))).alias(f"{s}_differs") for s in answers if s != "carry"])
 
 
-def scaled_copies(df: DataFrame, k: int, shift: int = 1_000_000) -> DataFrame:
-    """k copies with shifted entity ids and unchanged times: rows multiply in place, nothing is shuffled."""
+def scaled_copies(df: DataFrame, k: int, shift: int | None = None) -> DataFrame:
+    """k copies with shifted entity ids and unchanged times: rows multiply in place, nothing is shuffled.
+
+    The default shift is the largest id plus one, so that copies of different entities never meet; ids must not be
+    negative."""
+    if shift is None:
+        shift = (df.agg(F.max("entity")).first()[0] or 0) + 1
     copies = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("copy")
     cols = [(F.col("entity") + F.col("copy") * shift).alias("entity") if c == "entity" else F.col(c) for c in df.columns]
     return df.select("*", copies).select(*cols)
@@ -106,13 +120,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def nearest_rank(timings: DataFrame, group: str, value: str, percents=(50, 95, 99), max_rows: int | None = None) -> DataFrame:
-    """Nearest-rank percentiles per group: the value at position ceil(p/100 * n)."""
-    totals = timings.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = Scan(timings.select(group, value), group, [value], max_rows).running_sum(F.lit(1), "nth").result()
-    joined = ranked.join(totals, group)
+    """Nearest-rank percentiles per group: the value at position ceil(p/100 * n).
+
+    Equal values are counted first, so a value shared by very many rows is one row of the scan, which counts from both
+    ends: no total has to be joined back."""
+    counts = timings.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = Scan(counts, group, [value], max_rows).running_sum("c", "upto").running_sum("c", "left", backward=True).result()
+    ranked = ranked.withColumn("n", F.col("upto") + F.col("left") - F.col("c"))
 
     def at(p):
         position = F.floor((F.col("n") * p + 99) / 100)
-        return F.max(F.when(F.col("nth") == position, F.col(value))).alias(f"p{p}")
+        return F.max(F.when((F.col("upto") >= position) & (F.col("upto") - F.col("c") < position), F.col(value))).alias(f"p{p}")
 
-    return joined.groupBy(group).agg(F.max("n").alias("n"), *[at(p) for p in percents])
+    return ranked.groupBy(group).agg(F.max("n").alias("n"), *[at(p) for p in percents])

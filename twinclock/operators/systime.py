@@ -6,26 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinclock.operators.lookups import answers_of, revisions_at
-from twinclock.operators.slices import Scan
+from twinclock.operators.slices import Scan, find_hot
 from twinclock.operators.timelines import interval_at
 from twinclock.schema import infinity, ntz, system_max
+from twinclock.session import materialise
 
 
 def scd2_from_log(log: DataFrame, tracked: list[str] | None = None, keep_noops: bool = True,
-                  max_rows: int | None = None) -> DataFrame:
+                  max_rows: int | None = None, hot="find") -> DataFrame:
     """Row versions of a one-row-per-entity table from its ordered change log (entity, rev_id, ts, ...).
 
     Of several changes at one instant the last is kept. With ``keep_noops=False`` a change that leaves the
     tracked columns as they were makes no version.
     """
     extra = [c for c in log.columns if c not in ("entity", "rev_id", "ts")]
-    columns = log.columns
-
-    def last_of_instant(dense: DataFrame) -> DataFrame:
-        return (dense.groupBy("entity", "ts").agg(F.max_by(F.struct("rev_id", *extra), "rev_id").alias("r"))
-                .select("entity", "ts", "r.*").select(*columns))
-
-    scan = Scan(log, "entity", ["ts", "rev_id"], max_rows, reduce=last_of_instant).lead("ts", "next_ts")
+    scan = Scan(log, "entity", ["ts", "rev_id"], max_rows, hot).lead("ts", "next_ts")
     scan.map(lambda df: df.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts"))))
     if not keep_noops:
         scan.map(lambda df: df.withColumn("image", F.struct(*(tracked or extra)))).lag("image", "before")
@@ -69,16 +64,17 @@ def as_of_commit(versions: DataFrame, commit_id: int) -> DataFrame:
 
 def scd2_tracking(log: DataFrame, tracked: list[str], untracked: list[str], max_rows: int | None = None) -> DataFrame:
     """Versions open on a change of ``tracked`` only; ``untracked`` keep the last value they held inside."""
-    scan = Scan(log.select("entity", "rev_id", "ts", *tracked, *untracked, F.struct(*tracked).alias("image")),
-                "entity", ["ts", "rev_id"], max_rows).lag("image", "before")
+    rows = log.select("entity", "rev_id", "ts", *tracked, *untracked, F.struct(*tracked).alias("image"))
+    hot = find_hot(rows, ["entity"], ["ts", "rev_id"], max_rows)
+    scan = Scan(rows, "entity", ["ts", "rev_id"], hot=hot).lag("image", "before")
     opens = F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("image"))
     scan.map(lambda df: df.withColumn("opens", opens.cast("int"))).running_sum("opens", "version")
     groups = scan.result().groupBy("entity", "version").agg(
         F.min(F.struct("ts", "rev_id")).alias("first"),
         F.max_by(F.struct(*tracked, *untracked), F.struct("ts", "rev_id")).alias("last"))
     flat = groups.select("entity", F.col("first.rev_id").alias("rev_id"), F.col("first.ts").alias("ts"), "last.*")
-    # several tracked changes at one instant leave the last of them
-    return scd2_from_log(flat, max_rows=max_rows)
+    # several tracked changes at one instant leave the last of them; with a hot key the versions are read three times
+    return scd2_from_log(flat if hot is None else materialise(flat, "tracking"), hot=hot)
 
 
 def start_versioning(table: DataFrame, at) -> DataFrame:
@@ -144,16 +140,35 @@ def mirror_intervals(mirror: DataFrame) -> DataFrame:
                          F.when(F.col("row_end") == system_max(), infinity()).otherwise(F.col("row_end")).alias("valid_to"))
 
 
-def mirror_answers(mirror: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Answers from the system-time mirror: the version current at each probe's instant."""
-    return revisions_at(mirror_intervals(mirror), probes, "carry", max_rows)
+def mirror_answers(mirror: DataFrame, probes: DataFrame, strategy: str = "as_of", max_rows: int | None = None) -> DataFrame:
+    """Answers from the system-time mirror: the version current at each probe's instant.
 
-
-def cross_check(timeline: DataFrame, mirror: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Application-time answer against mirror answer, per probe."""
-    both = answers_of({"app": timeline, "mirror": mirror_intervals(mirror)}, probes, max_rows)
-    return (both.select("probe_id", "entity", "t", F.col("app.rev_id").alias("app_rev"), F.col("mirror.rev_id").alias("mirror_rev"))
-            .withColumn("agrees", F.col("app_rev").eqNullSafe(F.col("mirror_rev"))))
+    ``as_of``  the AS OF predicate per probe, an access path of its own; work grows as probes x versions of an entity.
+    ``carry``  the mirror read as a timeline, in one linear scan.
+    """
+    if strategy == "carry":
+        return revisions_at(mirror_intervals(mirror), probes, "carry", max_rows)
+    if strategy != "as_of":
+        raise ValueError("strategy is as_of or carry")
+    rows = mirror.select("entity", "rev_id", "row_start", "row_end")
+    at = (F.col("row_start") <= F.col("t")) & (F.col("row_end") > F.col("t"))
+    found = probes.join(rows, "entity").filter(at).select("probe_id", "rev_id", F.col("row_start").alias("valid_from"))
+    return probes.join(found, "probe_id", "left")
+
+
+def cross_check(timeline: DataFrame, mirror: DataFrame, probes: DataFrame, max_rows: int | None = None, strategy: str = "as_of") -> DataFrame:
+    """Application-time answer against mirror answer, per probe.
+
+    ``as_of`` asks the mirror by its own predicate. ``carry`` asks both in one linear scan: for probe sets that are large
+    on single entities."""
+    if strategy == "carry":
+        both = answers_of({"app": timeline, "mirror": mirror_intervals(mirror)}, probes, max_rows)
+        both = both.select("probe_id", "entity", "t", F.col("app.rev_id").alias("app_rev"), F.col("mirror.rev_id").alias("mirror_rev"))
+    else:
+        app = revisions_at(timeline, probes, "carry", max_rows).select("probe_id", "entity", "t", F.col("rev_id").alias("app_rev"))
+        other = mirror_answers(mirror, probes, strategy).select("probe_id", F.col("rev_id").alias("mirror_rev"))
+        both = app.join(other, "probe_id", "left")
+    return both.withColumn("agrees", F.col("app_rev").eqNullSafe(F.col("mirror_rev")))
 
 
 def load_stamped(events: DataFrame, loaded_at) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinclock.operators.slices import Scan, find_hot
+from twinclock.operators.slices import Scan
 from twinclock.schema import TIMELINE, infinity, ntz, system_max
 
 
-def _winners(events: DataFrame) -> DataFrame:
-    """The visible event of every instant; a hot instant shrinks on the map side."""
-    return events.groupBy("entity", "ts").agg(F.max("rev_id").alias("rev_id"))
+def _next_event(events: DataFrame, max_rows: int | None, hot) -> DataFrame:
+    """(entity, rev_id, ts, next_ts) in (ts, rev_id) order; only the three key columns are shuffled."""
+    return Scan(events.select("entity", "rev_id", "ts"), "entity", ["ts", "rev_id"], max_rows, hot).lead("ts", "next_ts").result()
 
 
 def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
@@ -22,23 +22,14 @@ def build_timeline(events: DataFrame, max_rows: int | None = None, hot="find") -
     One window does both jobs: in (ts, rev_id) order the next row of a shadowed event has the same ts, and
     the next row of a visible event starts the next interval.
     """
-    # only the three key columns are shuffled
-    scan = Scan(events.select("entity", "rev_id", "ts"), "entity", ["ts", "rev_id"], max_rows, hot, _winners)
-    rows = scan.lead("ts", "next_ts").result()
-    return (rows.filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts")))
+    return (_next_event(events, max_rows, hot).filter(F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts")))
             .select("entity", "rev_id", F.col("ts").alias("valid_from"),
                     F.coalesce("next_ts", infinity()).alias("valid_to")))
 
 
-def shadowed(events: DataFrame, max_rows: int | None = None) -> DataFrame:
+def shadowed(events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """Events replaced by a higher rev_id of the same entity in the same second."""
-    narrow = events.select("entity", "rev_id", "ts")
-    hot = find_hot(narrow, ["entity"], "ts", max_rows)
-    if hot is None:
-        rows = Scan(narrow, "entity", ["ts", "rev_id"], hot=None).lead("ts", "next_ts").result()
-        return rows.filter(F.col("next_ts") == F.col("ts")).drop("next_ts")
-    # rev_id is unique: this join spreads evenly whatever the entities and instants look like
-    return narrow.join(_winners(narrow).select("rev_id"), "rev_id", "left_anti").select("entity", "rev_id", "ts")
+    return _next_event(events, max_rows, hot).filter(F.col("next_ts") == F.col("ts")).drop("next_ts")
 
 
 def plan_changes(current: DataFrame, events: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
@@ -139,26 +130,26 @@ def interval_at(timeline: DataFrame, t) -> DataFrame:
     return timeline.filter((F.col("valid_from") <= ntz(t)) & (ntz(t) < F.col("valid_to")))
 
 
-def with_next_interval(timeline: DataFrame, max_rows: int | None = None) -> DataFrame:
+def with_next_interval(timeline: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """Timeline rows with ``next_from``, the start of the entity's next interval."""
-    return (Scan(timeline.select(*TIMELINE), "entity", ["valid_from", "rev_id"], max_rows)
+    return (Scan(timeline.select(*TIMELINE), "entity", ["valid_from", "rev_id"], max_rows, hot)
             .lead("valid_from", "next_from").result())
 
 
-def timeline_problems(timeline: DataFrame, max_rows: int | None = None) -> DataFrame:
+def timeline_problems(timeline: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """One row per problem: empty, overlap (with the next interval) or gap (before it)."""
     nxt = F.col("next_from")
     problems = F.array_compact(F.array(
         F.when(F.col("valid_from") >= F.col("valid_to"), "empty"),
         F.when(F.col("valid_to") > nxt, "overlap"),
         F.when(F.col("valid_to") < nxt, "gap")))
-    return (with_next_interval(timeline, max_rows)
+    return (with_next_interval(timeline, max_rows, hot)
             .select("entity", "rev_id", F.explode(problems).alias("problem")))
 
 
-def overlapping_rows(timeline: DataFrame, max_rows: int | None = None) -> DataFrame:
+def overlapping_rows(timeline: DataFrame, max_rows: int | None = None, hot="find") -> DataFrame:
     """Rows that start before some earlier interval of the entity has ended; touching is allowed."""
-    return (Scan(timeline.select(*TIMELINE), "entity", ["valid_from", "rev_id"], max_rows)
+    return (Scan(timeline.select(*TIMELINE), "entity", ["valid_from", "rev_id"], max_rows, hot)
             .max_before("valid_to", "covered_to").result()
             .filter(F.col("covered_to") > F.col("valid_from")))
 

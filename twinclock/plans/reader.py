@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from twinclock.operators import lookups as L
 from twinclock.operators import systime as D
-from twinclock.schema import LAB_ROWS
 
 
 class TemporalReader:
@@ -62,10 +61,11 @@ def middle(start: str, end: str) -> str:
 
 def lab(timeline: DataFrame, events: DataFrame, versions: DataFrame, mirror: DataFrame,
         checkpoints: list[tuple[str, str]], start: str, end: str, t: str | None = None,
-        entity=None) -> dict[str, DataFrame]:
+        entity=None, rows: int | None = None, catalogue: DataFrame | None = None) -> dict[str, DataFrame]:
     """One DataFrame per both-clock question at ``t`` (default: the middle of the coverage).
 
-    For a single entity the version lists show their newest LAB_ROWS rows; over all entities they are whole.
+    ``rows``: show only so many of the newest rows of the version lists. ``catalogue``: versions of the catalogue rows,
+    whose audit trail is part of the bundle.
     """
     t = t or middle(start, end)
     if entity is not None:
@@ -73,7 +73,7 @@ def lab(timeline: DataFrame, events: DataFrame, versions: DataFrame, mirror: Dat
             d.filter(F.col("entity") == F.lit(entity)) for d in (timeline, events, versions, mirror))
 
     def newest(df: DataFrame, *order: str) -> DataFrame:
-        return df.orderBy(*[F.col(c).desc() for c in order]).limit(LAB_ROWS) if entity is not None else df
+        return df.orderBy(*[F.col(c).desc() for c in order]).limit(rows) if rows is not None else df
 
     first, last = (checkpoints[0][1], checkpoints[-1][1]) if checkpoints else (None, None)
     shown = ["entity", "rev_id", "valid_from", "valid_to"]
@@ -82,8 +82,10 @@ def lab(timeline: DataFrame, events: DataFrame, versions: DataFrame, mirror: Dat
         "all": newest(D.all_versions(versions), "valid_from", "row_start"),
         "mirror_as_of": D.as_of(mirror, t),
         "mirror_between": D.between(mirror, f"{t[:4]}-01-01 00:00:00", f"{t[:4]}-12-31 23:59:59"),
-        "audit": D.all_versions(mirror),
+        "mirror_all": D.all_versions(mirror),
     }
+    if catalogue is not None:
+        out["audit"] = D.all_versions(catalogue).orderBy("row_start")
     if first:
         out["as_of"] = newest(D.as_of(versions, first), "valid_from")
         then = D.believed_at(versions, first, t).select(F.lit("first checkpoint").alias("knowledge"), *shown)

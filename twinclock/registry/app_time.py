@@ -390,7 +390,9 @@ def _(t):
 # Two instants per customer; in every second nation they come in the wrong order.
 @query("compare", f"""{TL}, p AS (SELECT c_custkey AS pair_id, c_custkey AS entity, c_nationkey >= 12 AS swapped,
     TIMESTAMP '{P1}' AS a, TIMESTAMP '{P2}' AS b FROM customer)
-  SELECT pair_id, p.entity, a, b, swapped, x.rev_id AS rev_a, y.rev_id AS rev_b, x.rev_id IS NOT DISTINCT FROM y.rev_id AS same_revision,
+  SELECT pair_id, p.entity, a, b, swapped, x.rev_id AS rev_a, y.rev_id AS rev_b,
+         CASE WHEN x.rev_id IS NOT NULL AND y.rev_id IS NOT NULL THEN x.rev_id = y.rev_id END AS same_revision,
+         CASE WHEN x.rev_id IS NULL OR y.rev_id IS NULL THEN 'NO_REVISION' WHEN x.rev_id = y.rev_id THEN 'SAME_REVISION' ELSE 'OK' END AS status,
          (SELECT count(*) FROM ev WHERE ev.entity = p.entity AND ts > a AND ts <= b) AS edits_between
   FROM p LEFT JOIN tl x ON x.entity = p.entity AND x.valid_from <= a AND a < x.valid_to
   LEFT JOIN tl y ON y.entity = p.entity AND y.valid_from <= b AND b < y.valid_to""")

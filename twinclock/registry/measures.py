@@ -31,7 +31,18 @@ def _(t):
     return M.strategy_agreement(B.build_timeline(ev), ev, D.scd2_from_log(ev), probes_of(ev))
 
 
-@query("scaled_copies", f"""WITH {EV}, {timeline()}, {mirror()} SELECT entity + k * 1000000 AS entity, rev_id, size_bytes, status, priority, row_start, row_end
+# The same with every fifth event and every seventh version missing: SQL counts the answers that change.
+@query("strategy_agreement_damaged", f"""WITH {EV}, {timeline()}, {PROBES},
+  a AS (SELECT probe_id, p.entity, t, rev_id FROM probes p LEFT JOIN tl ON tl.entity = p.entity AND valid_from <= t AND t < valid_to),
+  e AS (SELECT probe_id, max(struct_pack(ts := ts, rev_id := rev_id)).rev_id AS rev_id FROM probes p JOIN ev ON ev.entity = p.entity AND ts <= t AND ev.rev_id % 5 <> 0 GROUP BY probe_id)
+  SELECT count(*) AS probes, CAST(0 AS BIGINT) AS join_differs, count(*) FILTER (a.rev_id IS DISTINCT FROM e.rev_id) AS events_differs,
+         count(*) FILTER (a.rev_id % 7 = 0) AS mirror_differs FROM a LEFT JOIN e USING (probe_id)""")
+def _(t):
+    ev = t.orders
+    return M.strategy_agreement(B.build_timeline(ev), ev.filter("rev_id % 5 <> 0"), D.scd2_from_log(ev).filter("rev_id % 7 <> 0"), probes_of(ev))
+
+
+@query("scaled_copies", f"""WITH {EV}, {timeline()}, {mirror()} SELECT entity + k * (SELECT max(entity) + 1 FROM ev) AS entity, rev_id, size_bytes, status, priority, row_start, row_end
   FROM mi CROSS JOIN (SELECT unnest(range(4)) AS k)""")
 def _(t):
     return M.scaled_copies(D.scd2_from_log(t.orders), 4)

@@ -22,13 +22,8 @@ USABLE_STATUSES = ("resolved", "redirect")
 STATUSES = ("resolved", "redirect", "missing", "disambiguation", "duplicate", "error")
 MAX_PACK_BYTES = 8 * 1024 * 1024
 MAX_PACK_TEXTS = 64
-MAX_DIFF_BYTES = 2_000_000
-MAX_DIFF_EDITS = 20_000
-MAX_WORD_DIFF_CHARS = 6_000
 HUNK_CONTEXT = 3
 PAGE_SIZE = 50
-MAX_PAGE = 10_000
-LAB_ROWS = 12
 
 EVENT_KEY = ["entity", "rev_id"]
 TIMELINE = ["entity", "rev_id", "valid_from", "valid_to"]
