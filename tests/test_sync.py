@@ -110,6 +110,74 @@ def test_interrupted_batch_is_invisible_and_can_be_run_again(spark, store):
     assert line_of(fresh, 1001) == ALPHA
 
 
+def test_a_batch_run_again_in_another_year_replaces_the_first_attempt(spark, store):
+    ev = data.events(spark)
+    E.run_sync(store, ev, data.START, data.CHECKPOINTS[:1])
+    half = ev.filter("rev_id <> 120")
+
+    def attempt(events, at):
+        s = Store(spark, store.path)
+        s.commit = lambda *a, **k: None            # a crash just before the commit row
+        E.sync_step(s, events, data.START, data.CUTOFFS[1], at, 2)
+
+    attempt(ev, "2026-12-31 23:59:59")
+    attempt(half, "2027-01-01 00:00:01")
+    fresh = Store(spark, store.path)
+    once = Store(spark, store.path + "-once")
+    E.run_sync(once, ev, data.START, data.CHECKPOINTS[:1])
+    for s in (fresh, once):
+        E.sync_step(s, ev, data.START, data.CUTOFFS[1], "2027-06-01 00:00:00", 2)
+    cols = ["entity", "rev_id", "valid_from", "valid_to", "row_end"]
+    assert sorted(map(tuple, fresh.versions().select(cols).collect())) == sorted(map(tuple, once.versions().select(cols).collect()))
+    with pytest.raises(ValueError, match="committed"):
+        fresh.begin(2)
+
+
+def test_clean_up_keeps_what_readers_see(spark, store):
+    E.run_sync(store, data.events(spark), data.START, data.CHECKPOINTS)
+    before, state = sorted(map(tuple, store.versions().collect())), sorted(map(tuple, store.state().collect()))
+    store.clean_up()
+    again = Store(spark, store.path)
+    assert sorted(map(tuple, again.versions().collect())) == before and sorted(map(tuple, again.state().collect())) == state
+
+
+def test_hidden_and_stored_events_fail_nothing(spark, store, rows):
+    good = data.events(spark)
+    assert E.run_sync(store, good, data.START, data.CHECKPOINTS) == "succeeded"
+    bad = good.withColumn("sha1", F.lit("0" * 40))
+    assert E.run_sync(store, bad, data.START, [(data.END, "2027-03-01 00:00:00")], run_id=2) == "succeeded"
+    assert rows(store.runs().filter("run_id = 2"), "entity", "status", "reason") == [(None, "succeeded", None)]
+
+
+def test_failed_entities_are_logged_with_a_reason(spark, store, rows):
+    bad = data.events(spark).withColumn("sha1", F.when(F.col("rev_id") == 140, F.lit("0" * 40)).otherwise(F.col("sha1")))
+    E.run_sync(store, bad, data.START, data.CHECKPOINTS, run_id=4)
+    assert rows(store.runs().filter("entity is not null"), "entity", "status", "reason") == [(1001, "failed", "digest mismatch, revision 140")]
+    with pytest.raises(ValueError, match="empty"):
+        E.run_sync(store, bad, data.END, [(data.START, "2027-03-01 00:00:00")])
+
+
+def test_texts_of_the_store_can_be_packed_and_looked_up(spark, store):
+    from twinclock.operators import content as G
+
+    E.run_sync(store, data.events(spark), data.START, data.CHECKPOINTS)
+    assert G.pack_texts(store.texts()).count() == store.texts().count() > 0
+    assert {r[0] for r in store.events().select("content_status").distinct().collect()} <= {"available", "hidden"}
+
+
+def test_lower_bound_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "events")
+    data.events(spark).select("entity", "rev_id", "ts").write.parquet(path)
+    ev = spark.read.parquet(path)
+    entities = ev.select("entity").distinct()
+    state = entities.select("entity", F.lit("2020-01-01").cast("timestamp_ntz").alias("synced_from"), F.lit("2023-01-01").cast("timestamp_ntz").alias("synced_through"))
+    read = E.events_to_read(ev, state, "2021-01-01 00:00:00", "2026-01-01 00:00:00", entities)
+    plan = read._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ts,2023-01-01" in plan
+    want = ev.filter("ts >= timestamp_ntz '2023-01-01' and ts <= timestamp_ntz '2026-01-01'").count()
+    assert read.count() == want > 0
+
+
 def test_late_events_in_random_order_end_in_the_same_timeline(spark, store, rows):
     raw = data.random_events(n=120, seed=9)
     random.Random(9).shuffle(raw)
@@ -151,6 +219,20 @@ def test_parse_instant(spark):
     assert {s: got[s][1] for s in bad} == bad
 
 
+def test_the_session_zone_plays_no_part(spark, rows):
+    df = spark.createDataFrame([("2023-03-26T02:30:00Z",), ("\t2023-05-01\u00a0",), ("2023-05-01\n\n",)], "s string")
+    days = spark.createDataFrame([(1, ts("2023-03-26 00:30:00")), (1, ts("2023-03-26 23:30:00"))], "entity bigint, ts timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = [r[0]["instant"] for r in df.select(instants.parse_instant("s")).collect()]
+        counted = rows(jobs.edit_counts(days, "1 day"), "day", "edits")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [ts("2023-03-26 02:30:00"), ts("2023-05-01"), ts("2023-05-01")]
+    assert counted == [(ts("2023-03-26").date(), 2)]
+
+
 def test_coverage_is_closed_on_both_ends(spark, rows):
     df = spark.createDataFrame([(ts(x),) for x in (data.START, data.END, "2021-09-21 23:59:59", "2026-09-23")], "t timestamp_ntz")
     assert [r[0] for r in df.select(instants.coverage_error("t", data.START, data.END)).collect()] == [None, None, "OUT_OF_COVERAGE", "OUT_OF_COVERAGE"]

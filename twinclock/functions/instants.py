@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from twinclock.schema import ntz
 
 # Fixed value: the accepted grammar.
-INSTANT = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?(Z|[+-]\d{2}:\d{2})?$"
+INSTANT = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?(Z|[+-]\d{2}:\d{2})?\z"
 MAX_LENGTH = 40
+# Fixed value: what counts as white space at the ends of a text.
+BLANK = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def trimmed(text) -> Column:
+    """Without white space at either end, whatever kind it is."""
+    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def parse_instant(text) -> Column:
@@ -21,15 +28,18 @@ def parse_instant(text) -> Column:
     ``error`` is required, length, format, calendar, offset or range.
     """
     raw = F.col(text) if isinstance(text, str) else text
-    s = F.trim(raw)
+    # inside a lambda the text is trimmed once, and the generated code stays small
+    return F.element_at(F.transform(F.array(raw), lambda r: F.element_at(F.transform(F.array(trimmed(r)), lambda s: _parsed(r, s)), 1)), 1)
+
 
+def _parsed(raw: Column, s: Column) -> Column:
     def part(i):
         return F.regexp_extract(s, INSTANT, i)
 
     clock = F.concat(*[F.when(part(i) == "", "00").otherwise(part(i)) if i == 4 else
                        F.concat(F.lit(":"), F.when(part(i) == "", "00").otherwise(part(i))) for i in (4, 5, 6)])
-    local = F.try_to_timestamp(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), clock),
-                               F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    # straight to a timestamp without zone: the session's zone plays no part
+    local = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), clock).try_cast("timestamp_ntz")
     offset = part(7)
     hours = F.substring(offset, 2, 2).cast("int")
     minutes = F.substring(offset, 5, 2).cast("int")

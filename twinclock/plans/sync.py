@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from twinclock.operators import timelines as B
 from twinclock.operators.slices import find_hot
+from twinclock.operators.content import distinct_texts
 from twinclock.schema import infinity, ntz, system_max
+from twinclock.session import materialise
 from twinclock.sources import revisions as R
 from twinclock.sources.store import Store, opened
 
@@ -37,13 +39,32 @@ def resume_ranges(entities: DataFrame, state: DataFrame, start, cutoff) -> DataF
     return known.select("entity", F.explode(ranges).alias("r")).select("entity", "r.*")
 
 
-def events_to_read(events: DataFrame, state: DataFrame, start, cutoff) -> DataFrame:
+def read_from(entities: DataFrame, state: DataFrame, start) -> str | None:
+    """The earliest instant that any of ``entities`` still has to be read from, if all of them were synced from the
+    start on; else None: some need their whole window and a baseline."""
+    s = ntz(start)
+    row = (entities.select("entity").join(state, "entity", "left").agg(
+        F.count_if(F.col("synced_from").isNull() | (F.col("synced_from") > s)).alias("whole"),
+        F.min("synced_through").cast("string").alias("through")).first())
+    return row["through"] if row["whole"] == 0 else None
+
+
+def events_to_read(events: DataFrame, state: DataFrame, start, cutoff, entities: DataFrame | None = None) -> DataFrame:
     """Events inside the resume ranges, plus baselines where wanted, flagged.
 
+    With ``entities`` (all that are to be synced) the earliest instant still to be read reaches the scan of the events, and
+    baselines are only looked for where an entity needs one.
+
     The events meet one row per entity (its synced range and its baseline), so nothing multiplies, and a hot
     entity can be split by the skew join. Only that narrow per-entity table is aggregated, never whole events.
     """
     s, c = ntz(start), ntz(cutoff)
+    since = None if entities is None else read_from(entities, state, start)
+    if since is not None:
+        ranges = state.select("entity", "synced_through")
+        return (events.filter((F.col("ts") >= ntz(since)) & (F.col("ts") <= c)).join(ranges, "entity")
+                .filter((F.col("ts") >= F.col("synced_through")) & (F.col("synced_through") < c))
+                .drop("synced_through").withColumn("is_baseline", F.lit(False)))
     first = (events.filter(F.col("ts") <= s).groupBy("entity")
              .agg(F.max(F.struct("ts", "rev_id")).alias("b")).select("entity", F.col("b.rev_id").alias("baseline")))
     per_entity = first.join(state.select("entity", "synced_from", "synced_through"), "entity", "full_outer")
@@ -105,7 +126,7 @@ def step_plan(open_rows: DataFrame, settled_rows: DataFrame | None, fresh: DataF
     touched = fresh.select("entity").distinct()
     current = open_rows.select(*cols).join(touched, "entity", "left_semi")
     # an entity has one open row: without closed intervals only fresh events can make it hot
-    hot = find_hot(fresh, ["entity"], "ts", max_rows) if settled_rows is None else "find"
+    hot = find_hot(fresh.select("entity", "ts", "rev_id"), ["entity"], ["ts", "rev_id"], max_rows) if settled_rows is None else "find"
     if settled_rows is not None:
         late = late_entities(open_rows, fresh)
         current = current.unionByName(settled_rows.select(*cols).join(late, "entity", "left_semi"))
@@ -168,33 +189,46 @@ def backfill_beliefs(events: DataFrame, checkpoints: list[tuple[str, str]], max_
 # ---- against the store ---------------------------------------------------------------------------
 
 def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batch_id: int, run_id: int = 1,
-              skip: DataFrame | None = None, whole_input: bool = False) -> dict:
+              skip: DataFrame | None = None, whole_input: bool = False, entities: DataFrame | None = None) -> dict:
     """One step for all entities as batch ``batch_id``; the commit row makes it visible.
 
-    ``events`` may carry sha1 and text: a digest mismatch then fails the entity's step and nothing else.
-    ``whole_input`` takes the given events as they are (a micro-batch) instead of reading resume ranges.
+    ``events`` may carry sha1 and text: a new event whose shown text does not fit its digest then fails the entity's step
+    and nothing else; hidden and already stored events fail nothing. ``entities``: all that are to be synced; without it
+    the events are read for them. ``whole_input`` takes the given events as they are (a micro-batch) instead of reading
+    resume ranges, and leaves the synced ranges alone.
     """
-    store.refresh()
+    store.begin(batch_id)
     state = store.state()
-    read = events if whole_input else events_to_read(events, state, start, cutoff)
+    read = events if whole_input else events_to_read(events, state, start, cutoff, entities)
     if "is_baseline" not in read.columns:
         read = read.withColumn("is_baseline", F.lit(False))
     if skip is not None:
         read = read.join(skip, "entity", "left_anti")
-    failed = None
-    if {"sha1", "text"} <= set(read.columns):
-        # written once, so that no later reader of the batch has to hash the texts again
-        failed = store.write("failed", batch_id, digest_mismatches(read).select("entity").distinct())
-        read = read.join(failed, "entity", "left_anti")
+    # the input is read once: everything below starts from this table
+    read = materialise(read, "sync-read")
     span = read.agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("a"),
                     F.max("ts").cast("string").alias("b")).first()
     stored = store.events("rev_id BIGINT, ts TIMESTAMP_NTZ")
     # only stored events inside the span being read can be known already: the bounds reach the scan
     fresh = read if stored is None or not span["n"] else R.new_events(
         read, stored.filter(F.col("ts").between(ntz(span["a"]), ntz(span["b"]))))
+    failed = None
+    if {"sha1", "text"} <= set(read.columns):
+        shown = fresh.filter(~F.coalesce("content_hidden", F.lit(False))) if "content_hidden" in fresh.columns else fresh
+        # written once, so that no later reader of the batch has to hash the texts again
+        bad = digest_mismatches(shown).groupBy("entity").agg(F.concat(F.lit("digest mismatch, revision "), F.min("rev_id").cast("string")).alias("reason"))
+        failed = store.write("failed", batch_id, bad)
+        seen = read.join(failed, "entity", "left_anti").count()
+        fresh = fresh.join(failed, "entity", "left_anti")
+    else:
+        seen = span["n"]
     has_text = "text" in fresh.columns
+    if has_text and "sha1" in fresh.columns and "content_status" not in fresh.columns:
+        hidden = F.coalesce(F.col("content_hidden"), F.lit(False)) if "content_hidden" in fresh.columns else F.lit(False)
+        available = F.col("text").isNotNull() & F.col("sha1").isNotNull() & ~hidden
+        fresh = fresh.withColumn("content_status", F.when(available, "available").otherwise("hidden"))
     fresh_events = store.write("events", batch_id, fresh.drop("text").sortWithinPartitions("ts"))
-    counters = {"seen": span["n"]}
+    counters = {"seen": seen}
     if has_text:
         carriers = fresh.filter(F.col("sha1").isNotNull() & F.col("text").isNotNull())
         if "content_hidden" in fresh.columns:
@@ -202,8 +236,8 @@ def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batc
         old = store.texts("sha1 STRING")
         if old is not None:
             carriers = carriers.join(old.select("sha1"), "sha1", "left_anti")
-        new = carriers.groupBy("sha1").agg(F.first("text").alias("text"))   # equal digests carry equal texts
-        added = store.write("texts", batch_id, new.withColumn("byte_length", F.octet_length("text").cast("bigint")))
+        # with its first carrier, as packs and look-ups of the store want it
+        added = store.write("texts", batch_id, distinct_texts(carriers))
         t = added.agg(F.count(F.lit(1)).alias("n"), F.sum("byte_length").alias("b")).first()
         counters |= {"texts": t["n"], "raw_bytes": t["b"]}
 
@@ -217,10 +251,12 @@ def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batc
                  F.count_if(F.col("action") == "refused").alias("refused")).first()
     if m["refused"]:
         B.assert_plan_allowed(plan)
-    done = (fresh_events if whole_input else events).select("entity").distinct()
+    done = (entities if entities is not None else events).select("entity").distinct()
     for out in (skip, failed):
         if out is not None:
             done = done.join(out, "entity", "left_anti")
+    if whole_input:
+        done = done.limit(0)
     synced = done.select("entity", ntz(start).alias("synced_from"), ntz(cutoff).alias("synced_through"))
     # independent folders: written side by side, so that one's stragglers do not hold up the others
     with ThreadPoolExecutor(4) as pool:
@@ -233,7 +269,8 @@ def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batc
     counters |= {"inserted": inserted, "skipped": counters["seen"] - inserted,
                  "trims": m["trims"], "deletes": m["deletes"], "inserts": m["inserts"], "unsettled": m["unsettled"],
                  "shadowed": inserted - m["inserts"] + m["deletes"],
-                 "entities_total": new_state.filter(F.col("last_batch") == batch_id).count(),
+                 "entities_total": fresh_keys.select("entity").distinct().count() if whole_input
+                 else new_state.filter(F.col("last_batch") == batch_id).count(),
                  "entities_failed": failed.count() if failed is not None else 0}
     store.commit(batch_id, cutoff, completed_at, run_id, **counters)
     return counters | {"failed": failed}
@@ -268,16 +305,21 @@ def _writes(store: Store, plan: DataFrame, batch_id: int, at, settled: DataFrame
 
 def run_sync(store: Store, events: DataFrame, start, checkpoints: list[tuple[str, str]], run_id: int = 1) -> str:
     """Ordered steps, each committed before the next. The loop is over steps; all entities go in parallel."""
+    if checkpoints and not str(start) < str(checkpoints[-1][0]):
+        raise ValueError(f"run window {start} .. {checkpoints[-1][0]} is empty")
     failed: DataFrame | None = None
     n_failed = 0
     total = 0
+    entities = materialise(events.select("entity").distinct(), "sync-entities")   # read once for all steps
     for cutoff, completed_at in checkpoints:
-        c = sync_step(store, events, start, cutoff, completed_at, store.last_batch() + 1, run_id, failed)
+        c = sync_step(store, events, start, cutoff, completed_at, store.last_batch() + 1, run_id, failed, entities=entities)
         total = max(total, c["entities_total"] + c["entities_failed"])
         n_failed += c["entities_failed"]
         if c["entities_failed"]:   # a failed entity would only fail again in the later steps of this run
             failed = c["failed"] if failed is None else failed.unionByName(c["failed"])
-    return run_status(total, n_failed)
+    status = run_status(total, n_failed)
+    store.log_run(run_id, start, checkpoints[-1][0] if checkpoints else start, status, failed)
+    return status
 
 
 def checkpoint_report(store: Store) -> DataFrame:

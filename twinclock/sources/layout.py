@@ -1,7 +1,8 @@
 """A version table on plain Parquet, partitioned by the year a version ended, plus CURRENT.
 
 ``<path>/versions/end_year=CURRENT|1998|.../`` holds rows with row_start and row_end. Retention is recorded
-first as a floor in ``<path>/floors`` that every reader applies; the clean-up of files may follow later.
+first as a floor, an empty folder ``<path>/floors/<instant>``, that every reader applies; the clean-up of files may
+follow later. A table object lists its files and reads their schema once; ``refresh`` looks again after another writer.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinclock.operators import systime as D
 from twinclock.schema import ntz, system_max
 
 CURRENT = "CURRENT"
-_FLOORS = T.StructType([T.StructField("floor", T.TimestampNTZType())])
 
 
 def end_bucket(granularity: str = "year") -> Column:
@@ -30,6 +29,10 @@ class VersionTable:
             raise ValueError("granularity is none, year or month")
         self.spark, self.path, self.granularity = spark, path.rstrip("/"), granularity
         self._data, self._floors = f"{self.path}/versions", f"{self.path}/floors"
+        self._known: DataFrame | None = None
+
+    def refresh(self) -> None:
+        self._known = None
 
     def append(self, versions: DataFrame) -> None:
         """Add rows with their own row_start and row_end.
@@ -40,29 +43,32 @@ class VersionTable:
         """
         if self.granularity == "none":
             versions.hint("rebalance").sortWithinPartitions("row_start").write.mode("append").parquet(self._data)
+            self.refresh()
             return
         (versions.withColumn("end_year", end_bucket(self.granularity)).hint("rebalance", "end_year")
          .sortWithinPartitions("end_year", "row_start")
          .write.mode("append").partitionBy("end_year").parquet(self._data))
+        self.refresh()
 
     def _raw(self) -> DataFrame:
-        df = self.spark.read.parquet(self._data)
-        return df if "end_year" not in df.columns else df.withColumn("end_year", F.col("end_year").cast("string"))
+        """All files, those below the retention floor included."""
+        if self._known is None:
+            df = self.spark.read.parquet(self._data)
+            self._known = df if "end_year" not in df.columns else df.withColumn("end_year", F.col("end_year").cast("string"))
+        return self._known
 
     def _floor(self) -> str | None:
-        """Newest retention floor: one value per retention call."""
-        try:
-            row = self.spark.read.schema(_FLOORS).parquet(self._floors).agg(F.max("floor").cast("string").alias("f")).first()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return row["f"]
-
-    def _read(self, ended_after=None) -> DataFrame:
-        """All rows that ended after an instant, reading only the partitions that can hold them."""
-        df = self._raw()
-        floor = self._floor()
+        """Newest retention floor: one folder per retention call."""
+        jvm, fs = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path(self._floors)
+        if not fs.exists(path):
+            return None
+        names = [str(f.getPath().getName()) for f in fs.listStatus(path)]
+        return max((n.replace("T", " ").replace("_", ":") for n in names if n[:1].isdigit()), default=None)
+
+    def _kept(self, ended_after=None) -> DataFrame:
+        """Rows above the floor, and that ended after an instant, reading only the partitions that can hold them."""
+        df, floor = self._raw(), self._floor()
         if floor is not None:
             df = df.filter(F.col("row_end") >= ntz(floor))
         bounds = [str(b) for b in (floor, ended_after) if b is not None]
@@ -70,7 +76,10 @@ class VersionTable:
             width = 4 if self.granularity == "year" else 7
             # digits sort before letters, so CURRENT always passes
             df = df.filter(F.col("end_year") >= max(bounds)[:width])
-        return df.drop("end_year")
+        return df
+
+    def _read(self, ended_after=None) -> DataFrame:
+        return self._kept(ended_after).drop("end_year")
 
     def all(self) -> DataFrame:
         return self._read()
@@ -90,14 +99,17 @@ class VersionTable:
         return D.from_to(self._read(a), a, b)
 
     def partition(self, name: str) -> DataFrame:
-        return self._raw().filter(F.col("end_year") == name).drop("end_year")
+        return self._kept().filter(F.col("end_year") == name).drop("end_year")
 
     def partition_counts(self, size: str) -> DataFrame:
-        return self._raw().groupBy("end_year").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+        return self._kept().groupBy("end_year").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
 
     def retain_since(self, cutoff) -> None:
         """Versions that ended before ``cutoff`` disappear for readers at once."""
-        self.spark.range(1).select(ntz(cutoff).alias("floor")).write.mode("append").parquet(self._floors)
+        jvm, fs = self._fs()
+        instant = str(cutoff).replace(" ", "T").replace(":", "_")
+        if not fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self._floors}/{instant}")):
+            raise OSError(f"the retention floor {cutoff} could not be written")
 
     def drop_years_before(self, year: int) -> None:
         """Retention by whole year partitions; CURRENT is never among them."""
@@ -124,7 +136,9 @@ class VersionTable:
             kept = self._raw().filter((F.col("end_year") == edge) & (F.col("row_end") >= ntz(floor)))
             kept.drop("end_year").write.mode("overwrite").parquet(parked)
         self._delete([edge])
-        fs.rename(path(parked), path(f"{self._data}/end_year={edge}"))
+        if not fs.rename(path(parked), path(f"{self._data}/end_year={edge}")):
+            raise OSError(f"{parked} could not be moved into the table; it holds the rows of {edge} that stay")
+        self.refresh()
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -143,4 +157,7 @@ class VersionTable:
     def _delete(self, names: list[str]) -> None:
         jvm, fs = self._fs()
         for n in names:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self._data}/end_year={n}"), True)
+            path = jvm.org.apache.hadoop.fs.Path(f"{self._data}/end_year={n}")
+            if not fs.delete(path, True) and fs.exists(path):
+                raise OSError(f"{path} could not be removed")
+        self.refresh()

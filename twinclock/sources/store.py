@@ -1,7 +1,8 @@
 """The synchronised store: events, texts, state and bitemporal timeline as Parquet, one folder per batch.
 
-A batch writes its own folders and appends its commit row last; readers only see committed batches, and a
-batch that is run again overwrites its own folders. So a crash or a streaming retry changes nothing.
+A batch writes its own folders and appends its commit row last; readers only see committed batches. ``begin`` removes
+whatever an earlier attempt at the batch left, in every folder and year, so a crash or a retry changes nothing, also if
+the retry has another instant or writes fewer folders.
 
     events/batch_id=N     events added by batch N
     texts/batch_id=N      texts added by batch N
@@ -40,6 +41,7 @@ COMMIT = T.StructType([
 class Store:
     def __init__(self, spark: SparkSession, path: str, entity_type: str = "BIGINT"):
         self.spark, self.path = spark, path.rstrip("/")
+        self.entity_type = entity_type
         self.belief_schema = BELIEF.format(e=entity_type)
         self.state_schema = STATE.format(e=entity_type)
         self._last: int | None = None
@@ -124,9 +126,7 @@ class Store:
 
     def history(self, floor: bool = True) -> DataFrame:
         rows = self._committed("history", self.belief_schema)
-        limit = None
-        if floor and self._exists("floors"):
-            limit = self._read("floors", _FLOORS).agg(F.max("floor").cast("string").alias("f")).first()["f"]
+        limit = self._floor() if floor else None
         if limit is not None:
             rows = rows.filter((F.col("row_end") >= ntz(limit)) & (F.col("end_year") >= int(limit[:4])))
         return rows.drop("batch_id", "end_year")
@@ -136,6 +136,44 @@ class Store:
 
     # -- writing -----------------------------------------------------------------------------------
 
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _remove(self, pattern: str) -> None:
+        """Delete the folders that fit; a folder that stays is an error."""
+        path, fs = self._fs()
+        for found in fs.globStatus(path(f"{self.path}/{pattern}")) or []:
+            if not fs.delete(found.getPath(), True) and fs.exists(found.getPath()):
+                raise OSError(f"{found.getPath()} could not be removed")
+
+    def begin(self, batch_id: int) -> None:
+        """Start a batch that is not committed: nothing of an earlier attempt stays."""
+        if batch_id <= self.refresh():
+            raise ValueError(f"batch {batch_id} is committed")
+        self._remove(f"*/batch_id={batch_id}")
+        self._remove(f"history/end_year=*/batch_id={batch_id}")
+
+    def clean_up(self) -> None:
+        """Remove what no reader needs any more: the open rows and states before the newest batch, the plans and failures
+        of committed batches, and the history of years that end before the retention floor."""
+        last = self.refresh()
+        path, fs = self._fs()
+        for name, keep in (("open", last), ("state", last), ("plans", last + 1), ("failed", last + 1)):
+            for found in fs.globStatus(path(f"{self.path}/{name}/batch_id=*")) or []:
+                if int(found.getPath().getName().split("=")[1]) < keep:
+                    self._remove(f"{name}/{found.getPath().getName()}")
+        floor = self._floor()
+        if floor is not None:
+            for found in fs.globStatus(path(f"{self.path}/history/end_year=*")) or []:
+                if int(found.getPath().getName().split("=")[1]) < int(floor[:4]):
+                    self._remove(f"history/{found.getPath().getName()}")
+
+    def _floor(self) -> str | None:
+        if not self._exists("floors"):
+            return None
+        return self._read("floors", _FLOORS).agg(F.max("floor").cast("string").alias("f")).first()["f"]
+
     def write(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
         """Write a folder of the batch; returns it as read back, with its lineage cut."""
         path = f"{self.path}/{name}/batch_id={batch_id}"
@@ -147,6 +185,19 @@ class Store:
         year = str(at)[:4]
         df.write.mode("overwrite").parquet(f"{self.path}/history/end_year={year}/batch_id={batch_id}")
 
+    def log_run(self, run_id: int, start, end, status: str, failed: DataFrame | None) -> None:
+        """One row per run, and one per failed entity with its reason, under runs/run_id=N."""
+        row = self.spark.range(1).select(F.lit(None).cast(self.entity_type).alias("entity"), ntz(start).alias("window_start"),
+                                         ntz(end).alias("window_end"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("reason"))
+        if failed is not None:
+            row = row.unionByName(failed.select("entity", F.lit("failed").alias("status"), "reason"), allowMissingColumns=True)
+        row.write.mode("overwrite").parquet(f"{self.path}/runs/run_id={run_id}")
+
+    def runs(self) -> DataFrame:
+        """The run log: entity is null in the row of the run itself."""
+        schema = f"entity {self.entity_type}, window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, status STRING, reason STRING"
+        return self._read("runs", T.StructType.fromDDL(schema + ", run_id BIGINT"))
+
     def retain_since(self, cutoff) -> None:
         """Readers drop beliefs that ended before ``cutoff`` from now on; a floor never moves back."""
         self.spark.range(1).select(ntz(cutoff).alias("floor")).write.mode("append").parquet(f"{self.path}/floors")

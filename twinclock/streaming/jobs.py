@@ -26,7 +26,8 @@ def stream_sync(events: DataFrame, store: Store, checkpoint: str, clock: Callabl
     interval is re-planned and the belief it corrects is kept.
 
     ``clock`` gives the system time of a batch, so a replayed batch gets the same one. A batch that was
-    committed before a crash is recognised by its number and left alone.
+    committed before a crash is recognised by its number and left alone. A stream knows nothing of events that did not
+    arrive, so it records no synced ranges: a later ``run_sync`` reads the whole window.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         batch_id = epoch + 1
@@ -53,10 +54,12 @@ def edit_counts(events: DataFrame, delay: str) -> DataFrame:
 
     Months differ in length and a streaming window does not; days add up to months in ``monthly``.
     """
-    stamped = events.withColumn("at", F.col("ts").cast("timestamp"))
+    # the instant whose UTC reading is ts, and back: the session's zone plays no part
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    stamped = events.withColumn("at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, F.col("ts"))))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
     return (stamped.withWatermark("at", delay).groupBy("entity", F.window("at", "1 day"))
-            .agg(F.count(F.lit(1)).alias("edits"))
-            .select("entity", F.to_date("window.start").alias("day"), "edits"))
+            .agg(F.count(F.lit(1)).alias("edits")).select("entity", day.alias("day"), "edits"))
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
