@@ -66,7 +66,7 @@ def test_upsert_writes_versions_only_for_changes(spark, rows):
     assert v.count() == 5 and rows(D.superseded(v), "t", "row_end") == [("b", ts("2024-02-01"))]
     again = C.upsert_plan(D.current(v).drop("row_start", "row_end"), new, "t", ["url", "page"])
     assert again.filter("action <> 'unchanged'").count() == 0
-    assert [r["url"] for r in C.audit(v, "t", "b").collect()] == [None, "y"]
+    assert [r["url"] for r in D.audit_trail(v, F.col("t") == "b").collect()] == [None, "y"]
 
 
 def test_unknown_owner_is_an_error(spark):
@@ -74,3 +74,19 @@ def test_unknown_owner_is_an_error(spark):
     ids = spark.createDataFrame([("a", 1)], "requested_title string, article_id bigint")
     with pytest.raises(ValueError, match="gone"):
         C.assert_owners_known(records, ids)
+
+
+def test_redirects_by_doubling(spark, rows):
+    pairs = [(f"t{k}", f"t{k + 1}", f"f{k}" if k % 5 == 0 else None) for k in range(37)] + [("a", "b", None), ("b", "c", "x"), ("c", "b", None), ("self", "self", None)]
+    redirects = spark.createDataFrame(pairs, "from string, to string, tofragment string")
+    titles = spark.createDataFrame([("t0",), ("t36",), ("t37",), ("a",), ("b",), ("self",), ("alone",), ("t0",)], "title string")
+    got = {r["title"]: (r["final"], len(r["chain"]), r["fragment"], r["cycle"]) for r in C.follow_redirects(titles, redirects).collect()}
+    assert got == {"t0": ("t37", 37, "f35", False), "t36": ("t37", 1, None, False), "t37": ("t37", 0, None, False), "alone": ("alone", 0, None, False),
+                   "a": (None, 3, "x", True), "b": (None, 2, "x", True), "self": (None, 1, None, True)}
+
+
+def test_repeated_mappings_multiply_nothing(spark, rows):
+    entries = spark.createDataFrame([(0, "x", "d")], "position int, requested_title string, domain string")
+    maps = spark.createDataFrame([(1, "x", "y"), (2, "x", "z")], "seq int, from string, to string")
+    assert rows(C.normalise_titles(entries, maps), "title") == [("z",)]
+    assert C.normalise_titles(entries, maps.drop("seq")).count() == 1

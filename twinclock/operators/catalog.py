@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinclock.functions.instants import trimmed
 from twinclock.operators.systime import start_versioning
 from twinclock.schema import STATUSES, USABLE_STATUSES, ntz, system_max
 from twinclock.session import materialise
 
 
+def _one_per(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, so that a join multiplies nothing: the one with the highest ``seq`` if there is such a column,
+    as in a feed that is read in order, else the greatest by value."""
+    rest = [c for c in df.columns if c != key]
+    order = F.struct("seq", *[c for c in rest if c != "seq"]) if "seq" in rest else F.struct(*rest)
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+
+
 def normalise_titles(entries: DataFrame, normalized: DataFrame) -> DataFrame:
     """Map requested titles through (from, to); ``normalized_from`` is set where a mapping applied."""
-    m = normalized.select(F.col("from").alias("requested_title"), F.col("to").alias("mapped"))
+    m = _one_per(normalized, "from").select(F.col("from").alias("requested_title"), F.col("to").alias("mapped"))
     return entries.join(m, "requested_title", "left").withColumns({
         "title": F.coalesce("mapped", "requested_title"),
         "normalized_from": F.when(F.col("mapped").isNotNull(), F.col("requested_title"))}).drop("mapped")
@@ -21,26 +30,47 @@ def normalise_titles(entries: DataFrame, normalized: DataFrame) -> DataFrame:
 def follow_redirects(titles: DataFrame, redirects: DataFrame) -> DataFrame:
     """(title, final, chain, fragment, cycle) per distinct title.
 
-    Each round moves every unfinished title one hop with one join, so the number of rounds is the longest
-    chain; there is no limit on it. Rounds are written to the shared folder, which cuts the lineage.
+    Pointer doubling: a round joins the table of jumps with itself, so a jump of 2^k hops is known after k rounds and the
+    number of rounds is the logarithm of the longest chain; there is no limit on it. A chain that comes back to a title
+    it has seen ends there as a cycle. Rounds are written to the shared folder, which cuts the lineage.
     """
-    hop = redirects.select(F.col("from").alias("at"), "to", "tofragment")
-    moving = titles.select("title").distinct().select(
-        "title", F.col("title").alias("at"), F.array().cast("array<string>").alias("chain"),
-        F.lit(None).cast("string").alias("fragment"))
-    finished = None
+    hop = _one_per(redirects.select("from", "to", "tofragment", *(["seq"] if "seq" in redirects.columns else [])), "from")
+    names = titles.select(F.col("title").alias("at")).union(hop.select("from")).filter("at is not null").distinct()
+    nothing = F.array().cast("array<string>")
+    jumps = names.join(hop.withColumnRenamed("from", "at"), "at", "left").select(
+        F.col("at").alias("title"), F.coalesce("to", "at").alias("last"),
+        F.when(F.col("to").isNull(), nothing).otherwise(F.array("to")).alias("chain"),
+        F.when(F.col("to").isNull(), nothing).otherwise(F.array("tofragment")).alias("fragments"),
+        F.col("to").isNull().alias("ended"), F.lit(False).alias("cycle"))
+    jumps = _cut_at_return(jumps)
     while True:
-        seen = F.array_contains("chain", F.col("to")) | (F.col("title") == F.col("to"))
-        stepped = materialise(moving.join(hop, "at", "left").withColumn("cycle", F.coalesce(seen, F.lit(False))), "redirects")
-        chain = F.when(F.col("to").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("to")))
-        stepped = stepped.withColumns({"chain": chain, "fragment": F.coalesce("tofragment", "fragment")})
-        ended = stepped.filter(F.col("to").isNull() | F.col("cycle")).select(
-            "title", F.when(~F.col("cycle"), F.col("at")).alias("final"), "chain", "fragment", "cycle")
-        finished = ended if finished is None else finished.unionByName(ended)
-        moving = stepped.filter(F.col("to").isNotNull() & ~F.col("cycle")).select(
-            "title", F.col("to").alias("at"), "chain", "fragment")
-        if moving.isEmpty():
-            return finished
+        jumps = materialise(jumps, "redirects")
+        if jumps.filter("not ended").isEmpty():
+            break
+        on = jumps.select(F.col("title").alias("last"), F.col("last").alias("next"), F.col("chain").alias("more"),
+                          F.col("fragments").alias("more_fragments"), F.col("ended").alias("next_ended"))
+        # a title that redirects nowhere ends the chain that reaches it
+        goes_on = ~F.col("ended") & F.col("next").isNotNull()
+        jumps = _cut_at_return(jumps.join(on, "last", "left").select(
+            "title", F.when(goes_on, F.col("next")).otherwise(F.col("last")).alias("last"),
+            F.when(goes_on, F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain"),
+            F.when(goes_on, F.concat("fragments", "more_fragments")).otherwise(F.col("fragments")).alias("fragments"),
+            F.when(goes_on, F.col("next_ended")).otherwise(F.lit(True)).alias("ended"), "cycle"))
+    known = F.filter("fragments", lambda f: f.isNotNull())
+    return titles.select("title").distinct().join(jumps, "title").select(
+        "title", F.when(~F.col("cycle"), F.col("last")).alias("final"), "chain", F.get(known, F.size(known) - 1).alias("fragment"), "cycle")
+
+
+def _cut_at_return(jumps: DataFrame) -> DataFrame:
+    """A chain that holds a title twice, or its own start, ends at the first return and is a cycle."""
+    path = F.concat(F.array("title"), F.col("chain"))
+    places = F.sequence(F.lit(1), F.size("chain"))
+    back = F.array_min(F.filter(places, lambda k: F.array_position(path, F.get(path, k)) <= k))
+    returns = F.when(F.size("chain") > 0, back).isNotNull()
+    cycle = F.col("cycle") | returns
+    return jumps.withColumns({
+        "cycle": cycle, "ended": F.col("ended") | cycle,
+        **{c: F.when(returns, F.slice(c, F.lit(1), back)).otherwise(F.col(c)) for c in ("chain", "fragments")}})
 
 
 def classify(entries: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
@@ -50,7 +80,7 @@ def classify(entries: DataFrame, normalized: DataFrame, redirects: DataFrame, pa
     """
     named = normalise_titles(entries, normalized)
     chains = follow_redirects(named, redirects)
-    page = pages.select(F.col("title").alias("final"), "page_id", "ns", "missing", "invalid", "invalid_reason",
+    page = _one_per(pages, "title").select(F.col("title").alias("final"), "page_id", "ns", "missing", "invalid", "invalid_reason",
                         F.col("url").alias("page_url"), F.col("is_disambiguation").alias("dis"), F.lit(True).alias("found"))
     joined = named.join(chains, "title").join(page, "final", "left")
     redirected = ~F.col("cycle") & (F.size("chain") > 0)
@@ -112,9 +142,9 @@ def status_summary(records: DataFrame) -> DataFrame:
 def curated_problems(entries: DataFrame) -> DataFrame:
     """(position, problem, first_position) for missing titles or domains and case-insensitive repeats."""
     def blank(c):
-        return F.col(c).isNull() | (F.trim(c) == "")
+        return F.col(c).isNull() | (trimmed(c) == "")
 
-    key = F.lower(F.trim("title"))
+    key = F.lower(trimmed("title"))
     keyed = entries.withColumn("key", key)
     firsts = keyed.filter(F.col("title").isNotNull()).groupBy("key").agg(F.min("position").alias("first_position"))
     problems = F.array_compact(F.array(
@@ -201,9 +231,3 @@ def row_rule_violations(articles: DataFrame) -> DataFrame:
     pointer = (F.col("status") == "duplicate") != F.col("duplicate_of_id").isNotNull()
     rules = F.array_compact(F.array(F.when(incomplete, "incomplete"), F.when(pointer, "pointer")))
     return articles.select("article_id", F.explode(rules).alias("rule"))
-
-
-def audit(versions: DataFrame, key: str, value) -> DataFrame:
-    return versions.filter(F.col(key) == F.lit(value)).orderBy("row_start")
-
-
