@@ -118,7 +118,7 @@ def forest(homes: np.ndarray, guests: np.ndarray, reach: int) -> tuple[np.ndarra
         block = homes[at: at + BLOCK]
         for other in range(at, len(fps), BLOCK):
             near = np.bitwise_count(block[:, None] ^ fps[None, other: other + BLOCK]) <= reach
-            near &= label[at: at + BLOCK, None] != label[None, other: other + BLOCK]
+            near &= label[at: at + len(block), None] != label[None, other: other + BLOCK]
             if near.any():
                 a, b = np.nonzero(near)
                 _hook(label, a + at, b + other)
