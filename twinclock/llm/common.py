@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as the operators read it.
 BLANKS = r"[\x20\x09-\x0D]+"
-BATCH_BYTES = 32 << 20
-_UNBOUNDED = str(2**31 - 1)
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,10 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by bytes as well as by rows, unless the session has a bound of its own."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, _UNBOUNDED) == _UNBOUNDED:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Bound what a Python worker holds at a time, unless the session has bounds of its own: a batch takes BATCH_ROWS texts
+    or BATCH_BYTES of them, whichever comes first."""
+    for key, default, bound in [("maxBytesPerBatch", 2**31 - 1, BATCH_BYTES), ("maxRecordsPerBatch", 10_000, BATCH_ROWS)]:
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", str(default)) == str(default):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
 
 
 def text_udf(prepare: Callable[[], Callable[[list], pa.Array]], returns: str) -> Callable[[Column], Column]:

@@ -21,7 +21,7 @@ from twinclock.llm import strings
 
 #: A run of at least four lone characters, as in "s p a c e d": read as one word.
 SPACED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def words(text: str) -> list[str]:
@@ -48,7 +48,7 @@ class Model:
 class Scorer:
     """Margins of texts: the largest margin of their words. Remembers the margins of at most ``remember`` words."""
 
-    def __init__(self, model: Model, remember: int = 400_000):
+    def __init__(self, model: Model, remember: int = 250_000):
         self.model, self.remember, self.known = model, remember, {}
 
     def _learn(self, fresh: set[str]) -> None:
