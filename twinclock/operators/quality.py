@@ -105,18 +105,19 @@ def event_checks(events: DataFrame, start, end) -> DataFrame:
     """Counts, range, unique ids and the window. Events carry is_baseline and content_status."""
     per_entity = events.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"),
-        F.count_if(F.col("content_status") == "available").alias("available"), F.count_if("is_baseline").alias("baselines"),
+        F.count_if(F.col("content_status") == "available").alias("available"), F.count_if(F.col("content_status") == "hidden").alias("hidden"),
+        F.count_if("is_baseline").alias("baselines"),
         F.count_if(~F.col("is_baseline") & ~F.col("ts").between(ntz(start), ntz(end))).alias("outside"))
     totals = per_entity.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("entities"), F.min("a").alias("a"), F.max("z").alias("z"),
-        F.sum("available").alias("available"), F.sum("baselines").alias("baselines"), F.sum("outside").alias("outside"))
+        *[F.sum(c).alias(c) for c in ("available", "hidden", "baselines", "outside")])
     repeated = events.groupBy("rev_id").count().filter(F.col("count") > 1)
     row = _merge(totals, _count(repeated, "repeated"))
     return _report(
         row,
         ("revision count", WARN, F.col("n") > 0,
          _text(F.col("n"), " revisions of ", F.col("entities"), " entities, ", F.col("available"), " with text, ",
-               F.col("baselines"), " baselines")),
+               F.col("hidden"), " hidden, ", F.col("baselines"), " baselines, ", F.col("a"), " to ", F.col("z"))),
         _bad("revision ids are unique", ERROR, "repeated", "repeated"),
         _bad("events lie inside the window", ERROR, "outside", "outside"))
 
@@ -200,13 +201,16 @@ def checkpoint_checks(checkpoints: DataFrame) -> DataFrame:
     return _report(row, ("checkpoints are ordered", ERROR, F.col("back") == 0, _text(F.col("n"), " checkpoints")))
 
 
-def state_checks(articles: DataFrame, state: DataFrame, end) -> DataFrame:
-    """Usable entities are synced to the window end; ranges are ordered."""
+def state_checks(articles: DataFrame, state: DataFrame, end, runs: DataFrame | None = None) -> DataFrame:
+    """Usable entities are synced to the window end; their ranges, and the windows of ``runs`` if given, are ordered."""
     s = state.select(F.col("entity").alias("article_id"), "synced_from", "synced_through")
     behind = F.col("synced_through").isNull() | (F.col("synced_through") < ntz(end))
     row = (articles.filter(C.usable()).select("article_id").join(s, "article_id", "left")
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(behind).alias("behind")))
-    wrong = _count(state.filter(F.col("synced_from") > F.col("synced_through")), "reversed")
+    reversed_ = state.filter(F.col("synced_from") > F.col("synced_through")).select(F.lit(1).alias("k"))
+    if runs is not None:
+        reversed_ = reversed_.unionByName(runs.filter(F.col("window_start") >= F.col("window_end")).select(F.lit(1).alias("k")))
+    wrong = _count(reversed_, "reversed")
     return _report(
         _merge(row, wrong),
         ("usable entities are synced to the window end", WARN, F.col("behind") == 0, _text(F.col("behind"), " of ", F.col("n"), " behind")),
@@ -223,13 +227,14 @@ def text_checks(texts: DataFrame, events: DataFrame) -> DataFrame:
         _bad("a text is available exactly with a digest", ERROR, "status", "violations"))
 
 
-def agreement_check(timeline: DataFrame, mirror: DataFrame, start, max_rows: int | None = None) -> DataFrame:
-    """Timeline and mirror give the same answer at every boundary and a second before it."""
+def agreement_check(timeline: DataFrame, mirror: DataFrame, start, max_rows: int | None = None, strategy: str = "as_of") -> DataFrame:
+    """Timeline and mirror give the same answer at every boundary and a second before it; ``strategy`` as in
+    ``cross_check``."""
     probes = (timeline.filter(F.col("valid_from") >= ntz(start))
               .select("entity", "rev_id", "valid_from", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
               .select((F.col("rev_id") * 2 + F.col("k")).alias("probe_id"), "entity",
                       (F.col("valid_from") - F.make_dt_interval(secs=F.col("k").cast("decimal(18,6)"))).alias("t")))
-    row = cross_check(timeline, mirror, probes, max_rows).agg(
+    row = cross_check(timeline, mirror, probes, max_rows, strategy).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("agrees")).alias("differ"))
     return _report(row, ("timeline and mirror agree", ERROR, F.col("differ") == 0,
                          _text(F.col("differ"), " of ", F.col("n"), " probes differ")))

@@ -100,8 +100,8 @@ def _(t):
 
 @query("audit_trail", f"{MI} SELECT {MROWS} FROM mi WHERE entity = (SELECT min(c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')")
 def _(t):
-    one = t["customer"].filter("c_mktsegment = 'BUILDING'").agg(F.min("c_custkey").alias("entity"))
-    return mirror_of(t).join(F.broadcast(one), "entity").orderBy("row_start")   # one row
+    one = t["customer"].filter("c_mktsegment = 'BUILDING'").agg(F.min("c_custkey")).first()[0]
+    return D.audit_trail(version_table(t).all(), F.col("entity") == F.lit(one))   # the filter reaches the scan
 
 
 @query("default_as_of_reader", f"""{MI} SELECT status, count(*) AS n FROM mi
@@ -308,6 +308,23 @@ def _(t):
     return table.all()
 
 
+# Retention at T0: the partitions below it are gone for every reader, and the one it cuts through is cut.
+@query("version_table_year_after_retention", f"{MI} SELECT {MROWS} FROM mi WHERE year(row_end) IN (1997, 1998) AND row_end >= TIMESTAMP '{T0}'")
+def _(t):
+    table = version_table(t)
+    table.retain_since(T0)
+    return table.partition("1997").unionByName(table.partition("1998"))
+
+
+@query("version_table_counts_after_retention", f"""{MI} SELECT CASE WHEN row_end = {SYS_MAX} THEN 'CURRENT' ELSE CAST(year(row_end) AS VARCHAR) END AS end_year,
+  count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM mi WHERE row_end >= TIMESTAMP '{T0}' GROUP BY 1""")
+def _(t):
+    table = version_table(t)
+    table.retain_since(T0)
+    table.clean_up()
+    return table.partition_counts("size_bytes")
+
+
 def version_table(t):
     from twinclock.session import new_table_path
     from twinclock.sources.layout import VersionTable

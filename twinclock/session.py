@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,8 +44,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+_runs: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application inside the shared one. It is removed when the driver ends, or by
+    ``clear_run_folder`` once nothing reads its tables any more."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_folder(spark)}/twinclock-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_clear_quietly, spark)
+    return _runs[app]
+
+
+def clear_run_folder(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application."""
+    folder = _runs.pop(spark.sparkContext.applicationId, None)
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        clear_run_folder(spark)
+    except Exception:  # noqa: BLE001  the session may be gone by now; the folder then stays
+        pass
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df, name: str):
