@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinclock.llm.common import lower_ascii
+from twinclock.session import materialise
 
 #: Most known texts that are broadcast: digests of 64 characters and short names, below 16 MB.
 BROADCAST_TEXTS = 100_000
@@ -57,8 +58,8 @@ KNOWN = [
 #: Rules in order: pattern, what takes its place.
 LINE_RULES = [(r"(^|\n)[^a-z0-9\n]*(copyright|©|\(c\))([^a-z\n]|\(c\))*[0-9][^\n]*", "$1"), (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "$1"),
               (r"[^a-z0-9\n\x{80}-\x{10ffff}]+", " ")]
-SPELLINGS = [(r"([a-z]{3})is(e|ed|es|ing|ation|ations)( |\n|$)", "$1iz$2$3"), (r"([a-z]{3})our(s|able|ed|ite|)( |\n|$)", "$1or$2$3"),
-             (r"([a-z]{2})enc(e|ed|es)( |\n|$)", "$1ens$2$3"), (r"([a-z]{3})tre(s|)( |\n|$)", "$1ter$2$3"), (r"([a-z]{2})ll(ed|ing)( |\n|$)", "$1l$2$3"),
+SPELLINGS = [(r"is(e|ed|es|ing|ation|ations)( |\n|$)", "iz$1$2"), (r"([a-z]{3})our(s|able|ed|ite|)( |\n|$)", "$1or$2$3"),
+             (r"enc(e|ed|es)( |\n|$)", "ens$1$2"), (r"tre(s|)( |\n|$)", "ter$1$2"), (r"ll(ed|ing)( |\n|$)", "l$1$2"),
              (r"copyright owner", "copyright holder")]
 
 
@@ -92,10 +93,12 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     notices = digests.where("kind = 'notice'").select(F.col("known").alias("line_sha256"), F.col("license").alias("notice"))
     longest = digests.where("kind = 'notice'").agg(F.max("size")).first()[0] or 0
 
-    lines = docs.select("doc_id", F.explode(F.split(canonical_lines(F.col("text")), "\n")).alias("line"))
-    # only lines that are no longer than the longest known notice can equal one
-    lines = lines.select("doc_id", one_line(F.col("line")).alias("line")).where((F.col("line") != "") & (F.length("line") <= longest))
-    found = lines.select("doc_id", digest(F.col("line")).alias("line_sha256")).join(hint(notices), "line_sha256")
+    # every text is made canonical once; the digest and the few short lines are all that is kept of it. A line that is
+    # longer than the longest known notice cannot equal one.
+    canonical = docs.select("doc_id", canonical_lines(F.col("text")).alias("twinclock_text"))
+    short = F.filter(F.transform(F.split("twinclock_text", "\n"), one_line), lambda line: (line != "") & (F.length(line) <= longest))
+    rows = materialise(canonical.select("doc_id", digest(one_line(F.col("twinclock_text"))).alias("canonical_sha256"), short.alias("lines")), "licenses")
+    found = rows.select("doc_id", F.explode("lines").alias("line")).select("doc_id", digest(F.col("line")).alias("line_sha256")).join(hint(notices), "line_sha256")
     found = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
-    whole = docs.select("doc_id", digest(one_line(canonical_lines(F.col("text")))).alias("canonical_sha256"))
-    return whole.join(hint(texts), "canonical_sha256", "left").join(found, "doc_id", "left").select("doc_id", "canonical_sha256", "license", "notices")
+    return (rows.drop("lines").join(hint(texts), "canonical_sha256", "left").join(found, "doc_id", "left")
+            .select("doc_id", "canonical_sha256", "license", "notices"))
