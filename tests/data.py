@@ -5,28 +5,27 @@ import json
 from datetime import datetime
 
 INF = datetime(9999, 12, 31, 23, 59, 59)
-START, END = "2021-09-22 00:00:00", "2026-09-22 23:59:59"
-CUTOFFS = ["2022-09-22 00:00:00", "2023-09-22 00:00:00", "2024-09-22 00:00:00", "2025-09-22 00:00:00", END]
-CHECKPOINTS = [(c, f"2027-01-0{i} 12:00:00") for i, c in enumerate(CUTOFFS, 1)]
+START, END = "2015-01-01 00:00:00", "2018-12-31 23:59:59"
+CUTOFFS = ["2016-01-01 00:00:00", "2017-01-01 00:00:00", "2018-01-01 00:00:00", END]
+CHECKPOINTS = [(c, f"2019-02-0{i} 12:00:00") for i, c in enumerate(CUTOFFS, 1)]
 
-ALPHA = [
-    (100, "2020-05-01 10:00:00", "v0"), (110, "2021-10-01 12:00:00", "v1"), (120, "2022-06-15 08:30:00", "v2"),
-    (130, "2022-06-15 08:30:00", "v3"), (140, "2023-03-15 10:30:00", "v4"), (150, "2023-03-15 10:30:05", "v5"),
-    (160, "2024-01-10 00:00:00", "v6"), (170, "2025-02-01 09:00:00", "v1"), (180, "2026-05-05 05:05:05", "v7")]
-PAGES = {1001: ALPHA, 1002: [(200, "2022-03-01 00:00:00", "b0"), (210, "2024-07-07 07:07:07", "b1")],
-         1003: [(300, "2019-01-01 00:00:00", "g0")]}
-ALPHA_TIMELINE = [
-    (100, "2020-05-01 10:00:00", "2021-10-01 12:00:00"), (110, "2021-10-01 12:00:00", "2022-06-15 08:30:00"),
-    (130, "2022-06-15 08:30:00", "2023-03-15 10:30:00"), (140, "2023-03-15 10:30:00", "2023-03-15 10:30:05"),
-    (150, "2023-03-15 10:30:05", "2024-01-10 00:00:00"), (160, "2024-01-10 00:00:00", "2025-02-01 09:00:00"),
-    (170, "2025-02-01 09:00:00", "2026-05-05 05:05:05"), (180, "2026-05-05 05:05:05", "9999-12-31 23:59:59")]
+# A busy entity (a baseline, one second with two events, a text that comes back, a hidden one), one that begins inside the
+# window, and one with a single old event.
+HIDDEN = 82
+BUSY = [(31, "2014-06-30 18:20:00", "draft"), (44, "2015-02-11 07:45:10", "first"), (47, "2015-08-19 21:00:00", "second"),
+        (58, "2016-03-04 14:14:14", "third"), (59, "2016-03-04 14:14:14", "fourth"), (63, "2016-03-04 14:14:21", "fifth"),
+        (70, "2017-05-05 16:00:00", "second"), (HIDDEN, "2017-11-23 09:30:00", "sixth"), (95, "2018-10-02 12:00:00", "seventh")]
+PAGES = {7: BUSY, 8: [(36, "2016-09-09 09:00:00", "b-one"), (77, "2017-07-01 00:00:01", "b-two"), (90, "2018-01-15 10:00:00", "b-three")],
+         9: [(5, "2011-11-11 11:11:11", "c-only")]}
+_VISIBLE = [(rev, at) for rev, at, _ in BUSY if rev != 58]
+BUSY_LINE = [(rev, at, end) for (rev, at), end in zip(_VISIBLE, [*[at for _, at in _VISIBLE[1:]], "9999-12-31 23:59:59"], strict=True)]
 
 
 def events(spark, pages=PAGES):
     out = []
     for entity, revs in pages.items():
         for rev, at, text in revs:
-            hidden = rev == 160
+            hidden = rev == HIDDEN
             out.append((entity, rev, datetime.fromisoformat(at), None if hidden else hashlib.sha1(text.encode()).hexdigest(),
                         None if hidden else text, hidden))
     return spark.createDataFrame(out, "entity bigint, rev_id bigint, ts timestamp_ntz, sha1 string, text string, content_hidden boolean")
@@ -37,10 +36,10 @@ def feed_lines():
         parent = 0
         for rev, at, text in revs:
             r = {"page_id": entity, "revid": rev, "parentid": parent, "timestamp": at.replace(" ", "T") + "Z", "size": len(text)}
-            if rev == 160:
+            if rev == HIDDEN:
                 r |= {"userhidden": True, "sha1hidden": True, "commenthidden": True, "user": "x", "comment": "y", "sha1": "z"}
             else:
-                r |= {"user": "ann", "userid": 7, "sha1": hashlib.sha1(text.encode()).hexdigest(), "minor": rev == 110}
+                r |= {"user": "ann", "userid": 7, "sha1": hashlib.sha1(text.encode()).hexdigest(), "minor": rev == 44}
             parent = rev
             yield json.dumps(r)
 

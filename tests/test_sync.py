@@ -25,40 +25,40 @@ def line_of(store, entity):
     return [tuple(r) for r in store.current().filter(F.col("entity") == entity).orderBy("valid_from").select("rev_id", "valid_from", "valid_to").collect()]
 
 
-ALPHA = [(r, ts(a), ts(z)) for r, a, z in data.ALPHA_TIMELINE]
-SUPERSEDED = [(130,), (150,), (160,), (170,), (200,)]
+BUSY = [(r, ts(a), ts(z)) for r, a, z in data.BUSY_LINE]
+SUPERSEDED = [(36,), (47,), (63,), (77,), (82,)]
 
 
 def test_full_run_of_the_fixture(spark, store, rows):
     assert E.run_sync(store, data.events(spark), data.START, data.CHECKPOINTS) == "succeeded"
-    assert store.events().count() == 12 and store.texts().count() == 10
-    assert store.current().count() == 11
-    assert line_of(store, 1001) == ALPHA
+    assert store.events().count() == 13 and store.texts().count() == 11
+    assert store.current().count() == 12
+    assert line_of(store, 7) == BUSY
     assert rows(store.history(), "rev_id") == SUPERSEDED
     assert store.history().filter(F.col("valid_to") < F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")).count() == 0
     assert [str(r["synced_through"]) for r in E.checkpoint_report(store).collect()] == data.CUTOFFS
-    assert rows(store.events().filter("is_baseline"), "rev_id") == [(100,), (300,)]
-    assert rows(D.believed_at(store.versions(), data.CHECKPOINTS[0][1], "2024-06-01 00:00:00").filter("entity = 1001"), "rev_id", "valid_to") == [(130, data.INF)]
+    assert rows(store.events().filter("is_baseline"), "rev_id") == [(5,), (31,)]
+    assert rows(D.believed_at(store.versions(), data.CHECKPOINTS[0][1], "2017-03-01 00:00:00").filter("entity = 7"), "rev_id", "valid_to") == [(47, data.INF)]
 
     # the same again: nothing new to read, no new rows, no new versions
     before = (store.events().count(), store.versions().count())
-    c = E.sync_step(store, data.events(spark), data.START, data.END, "2027-02-01 00:00:00", 6)
+    c = E.sync_step(store, data.events(spark), data.START, data.END, "2019-03-01 00:00:00", 5)
     assert c["seen"] == 0 and c["inserted"] == 0 and (store.events().count(), store.versions().count()) == before
 
     # state lost: everything is read again and skipped
-    store.write("state", 6, store.state().limit(0))
-    c = E.sync_step(store, data.events(spark), data.START, data.END, "2027-02-02 00:00:00", 7)
-    assert (c["seen"], c["inserted"], c["skipped"], c["texts"]) == (12, 0, 12, 0)
+    store.write("state", 5, store.state().limit(0))
+    c = E.sync_step(store, data.events(spark), data.START, data.END, "2019-03-02 00:00:00", 6)
+    assert (c["seen"], c["inserted"], c["skipped"], c["texts"]) == (13, 0, 13, 0)
     assert (store.events().count(), store.versions().count()) == before
 
     store.retain_since(data.CHECKPOINTS[2][1])
-    assert rows(store.history(), "rev_id") == [(150,), (160,), (170,), (200,)]
+    assert rows(store.history(), "rev_id") == [(36,), (63,), (77,), (82,)]
     assert store.history(floor=False).count() == 5
 
 
 def test_backfill_equals_the_fixture_beliefs(spark, rows):
     v = E.backfill_beliefs(data.events(spark), data.CHECKPOINTS)
-    assert v.filter("entity = 1001").count() == 12
+    assert v.filter("entity = 7").count() == 11
     assert rows(D.superseded(v), "rev_id") == SUPERSEDED
 
 
@@ -79,22 +79,22 @@ def test_stepwise_planning_equals_one_pass(spark, rows, max_rows):
 
 def test_bad_digest_fails_only_its_entity_and_a_later_run_repairs_it(spark, store, rows):
     good = data.events(spark)
-    bad = good.withColumn("sha1", F.when(F.col("rev_id") == 140, F.lit("0" * 40)).otherwise(F.col("sha1")))
+    bad = good.withColumn("sha1", F.when(F.col("rev_id") == 63, F.lit("0" * 40)).otherwise(F.col("sha1")))
     assert E.run_sync(store, bad, data.START, data.CHECKPOINTS) == "partial"
-    assert [r[0] for r in line_of(store, 1001)] == [100, 110, 130] and line_of(store, 1001)[-1][2] == data.INF
-    assert rows(store.state().filter("entity = 1001"), "synced_through") == [(ts(data.CUTOFFS[0]),)]
-    assert len(line_of(store, 1002)) == 2
-    later = [(data.END, "2027-03-01 00:00:00")]
+    assert [r[0] for r in line_of(store, 7)] == [31, 44, 47] and line_of(store, 7)[-1][2] == data.INF
+    assert rows(store.state().filter("entity = 7"), "synced_through") == [(ts(data.CUTOFFS[0]),)]
+    assert len(line_of(store, 8)) == 3
+    later = [(data.END, "2019-03-01 00:00:00")]
     assert E.run_sync(store, good, data.START, later, run_id=2) == "succeeded"
-    assert line_of(store, 1001) == ALPHA
+    assert line_of(store, 7) == BUSY
 
 
 def test_narrow_window_first_then_the_full_one(spark, store):
     ev = data.events(spark)
-    E.run_sync(store, ev, "2023-01-01 00:00:00", [("2024-06-01 00:00:00", "2027-01-01 00:00:00")])
-    assert [r[0] for r in line_of(store, 1001)] == [130, 140, 150, 160]
-    E.run_sync(store, ev, data.START, [(data.END, "2027-01-02 00:00:00")])
-    assert line_of(store, 1001) == ALPHA
+    E.run_sync(store, ev, "2016-01-01 00:00:00", [("2017-06-01 00:00:00", "2019-02-01 00:00:00")])
+    assert [r[0] for r in line_of(store, 7)] == [47, 59, 63, 70]
+    E.run_sync(store, ev, data.START, [(data.END, "2019-02-02 00:00:00")])
+    assert line_of(store, 7) == BUSY
 
 
 def test_interrupted_batch_is_invisible_and_can_be_run_again(spark, store):
@@ -107,26 +107,26 @@ def test_interrupted_batch_is_invisible_and_can_be_run_again(spark, store):
     fresh = Store(spark, store.path)
     assert fresh.versions().count() == before
     E.run_sync(fresh, ev, data.START, data.CHECKPOINTS[2:])
-    assert line_of(fresh, 1001) == ALPHA
+    assert line_of(fresh, 7) == BUSY
 
 
 def test_a_batch_run_again_in_another_year_replaces_the_first_attempt(spark, store):
     ev = data.events(spark)
     E.run_sync(store, ev, data.START, data.CHECKPOINTS[:1])
-    half = ev.filter("rev_id <> 120")
+    half = ev.filter("rev_id <> 59")
 
     def attempt(events, at):
         s = Store(spark, store.path)
         s.commit = lambda *a, **k: None            # a crash just before the commit row
         E.sync_step(s, events, data.START, data.CUTOFFS[1], at, 2)
 
-    attempt(ev, "2026-12-31 23:59:59")
-    attempt(half, "2027-01-01 00:00:01")
+    attempt(ev, "2019-12-31 23:59:59")
+    attempt(half, "2020-01-01 00:00:01")
     fresh = Store(spark, store.path)
     once = Store(spark, store.path + "-once")
     E.run_sync(once, ev, data.START, data.CHECKPOINTS[:1])
     for s in (fresh, once):
-        E.sync_step(s, ev, data.START, data.CUTOFFS[1], "2027-06-01 00:00:00", 2)
+        E.sync_step(s, ev, data.START, data.CUTOFFS[1], "2020-06-01 00:00:00", 2)
     cols = ["entity", "rev_id", "valid_from", "valid_to", "row_end"]
     assert sorted(map(tuple, fresh.versions().select(cols).collect())) == sorted(map(tuple, once.versions().select(cols).collect()))
     with pytest.raises(ValueError, match="committed"):
@@ -145,16 +145,16 @@ def test_hidden_and_stored_events_fail_nothing(spark, store, rows):
     good = data.events(spark)
     assert E.run_sync(store, good, data.START, data.CHECKPOINTS) == "succeeded"
     bad = good.withColumn("sha1", F.lit("0" * 40))
-    assert E.run_sync(store, bad, data.START, [(data.END, "2027-03-01 00:00:00")], run_id=2) == "succeeded"
+    assert E.run_sync(store, bad, data.START, [(data.END, "2019-03-01 00:00:00")], run_id=2) == "succeeded"
     assert rows(store.runs().filter("run_id = 2"), "entity", "status", "reason") == [(None, "succeeded", None)]
 
 
 def test_failed_entities_are_logged_with_a_reason(spark, store, rows):
-    bad = data.events(spark).withColumn("sha1", F.when(F.col("rev_id") == 140, F.lit("0" * 40)).otherwise(F.col("sha1")))
+    bad = data.events(spark).withColumn("sha1", F.when(F.col("rev_id") == 63, F.lit("0" * 40)).otherwise(F.col("sha1")))
     E.run_sync(store, bad, data.START, data.CHECKPOINTS, run_id=4)
-    assert rows(store.runs().filter("entity is not null"), "entity", "status", "reason") == [(1001, "failed", "digest mismatch, revision 140")]
+    assert rows(store.runs().filter("entity is not null"), "entity", "status", "reason") == [(7, "failed", "digest mismatch, revision 63")]
     with pytest.raises(ValueError, match="empty"):
-        E.run_sync(store, bad, data.END, [(data.START, "2027-03-01 00:00:00")])
+        E.run_sync(store, bad, data.END, [(data.START, "2019-03-01 00:00:00")])
 
 
 def test_texts_of_the_store_can_be_packed_and_looked_up(spark, store):
@@ -170,11 +170,11 @@ def test_lower_bound_reaches_the_scan(spark, tmp_path):
     data.events(spark).select("entity", "rev_id", "ts").write.parquet(path)
     ev = spark.read.parquet(path)
     entities = ev.select("entity").distinct()
-    state = entities.select("entity", F.lit("2020-01-01").cast("timestamp_ntz").alias("synced_from"), F.lit("2023-01-01").cast("timestamp_ntz").alias("synced_through"))
-    read = E.events_to_read(ev, state, "2021-01-01 00:00:00", "2026-01-01 00:00:00", entities)
+    state = entities.select("entity", F.lit("2010-01-01").cast("timestamp_ntz").alias("synced_from"), F.lit("2017-01-01").cast("timestamp_ntz").alias("synced_through"))
+    read = E.events_to_read(ev, state, data.START, "2018-12-01 00:00:00", entities)
     plan = read._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(ts,2023-01-01" in plan
-    want = ev.filter("ts >= timestamp_ntz '2023-01-01' and ts <= timestamp_ntz '2026-01-01'").count()
+    assert "GreaterThanOrEqual(ts,2017-01-01" in plan
+    want = ev.filter("ts >= timestamp_ntz '2017-01-01' and ts <= timestamp_ntz '2018-12-01'").count()
     assert read.count() == want > 0
 
 
@@ -234,7 +234,7 @@ def test_the_session_zone_plays_no_part(spark, rows):
 
 
 def test_coverage_is_closed_on_both_ends(spark, rows):
-    df = spark.createDataFrame([(ts(x),) for x in (data.START, data.END, "2021-09-21 23:59:59", "2026-09-23")], "t timestamp_ntz")
+    df = spark.createDataFrame([(ts(x),) for x in (data.START, data.END, "2014-12-31 23:59:59", "2019-01-01")], "t timestamp_ntz")
     assert [r[0] for r in df.select(instants.coverage_error("t", data.START, data.END)).collect()] == [None, None, "OUT_OF_COVERAGE", "OUT_OF_COVERAGE"]
 
 
@@ -258,11 +258,11 @@ def test_read_revisions_hides_what_is_hidden(spark, tmp_path):
     f = tmp_path / "feed.json"
     f.write_text("\n".join(data.feed_lines()))
     got = {r["rev_id"]: r for r in R.read_revisions(spark, str(f)).collect()}
-    assert len(got) == 12 and got[100]["parent_rev_id"] is None and got[110]["parent_rev_id"] == 100
-    assert got[110]["is_minor"] and got[110]["comment"] == "" and got[110]["editor"] == "ann"
-    h = got[160]
+    assert len(got) == 13 and got[31]["parent_rev_id"] is None and got[44]["parent_rev_id"] == 31
+    assert got[44]["is_minor"] and got[44]["comment"] == "" and got[44]["editor"] == "ann"
+    h = got[data.HIDDEN]
     assert (h["editor"], h["comment"], h["sha1"], h["editor_hidden"], h["comment_hidden"], h["content_hidden"]) == (None, None, None, True, True, True)
-    assert got[150]["ts"] == ts("2023-03-15 10:30:05")
+    assert got[63]["ts"] == ts("2016-03-04 14:14:21")
 
 
 def test_read_curated_keeps_the_order(spark, tmp_path, rows):
@@ -273,16 +273,16 @@ def test_read_curated_keeps_the_order(spark, tmp_path, rows):
 
 def test_slices_baseline_and_texts(spark, rows):
     ev = data.events(spark)
-    assert rows(R.baseline(ev, data.START), "rev_id") == [(100,), (300,)]
-    assert R.window_slice(ev, data.START, data.END).count() == 10
-    at_start = ev.filter("rev_id = 110")
-    merged = R.merge_slices(R.window_slice(at_start, "2021-10-01 12:00:00", data.END), R.baseline(at_start, "2021-10-01 12:00:00"))
-    assert rows(merged, "rev_id", "is_baseline") == [(110, True)]
+    assert rows(R.baseline(ev, data.START), "rev_id") == [(5,), (31,)]
+    assert R.window_slice(ev, data.START, data.END).count() == 11
+    at_start = ev.filter("rev_id = 44")
+    merged = R.merge_slices(R.window_slice(at_start, "2015-02-11 07:45:10", data.END), R.baseline(at_start, "2015-02-11 07:45:10"))
+    assert rows(merged, "rev_id", "is_baseline") == [(44, True)]
     texts = R.new_texts(ev, ev.limit(0))
-    assert texts.count() == 10 and (110,) in rows(texts, "rev_id") and (170,) not in rows(texts, "rev_id")
-    fetched = ev.filter("rev_id = 110").select("sha1", F.lit(True).alias("hidden_now"))
+    assert texts.count() == 11 and (47,) in rows(texts, "rev_id") and (70,) not in rows(texts, "rev_id")
+    fetched = ev.filter("rev_id = 47").select("sha1", F.lit(True).alias("hidden_now"))
     status = dict(rows(R.with_content_status(ev, fetched), "rev_id", "content_status"))
-    assert status[110] == status[170] == status[160] == "hidden" and status[180] == "available"
+    assert status[47] == status[70] == status[82] == "hidden" and status[95] == "available"
 
 
 # ---- streams -------------------------------------------------------------------------------------
@@ -321,13 +321,13 @@ def test_replayed_batch_changes_nothing(spark, store, tmp_path):
     schema = spark.createDataFrame([], SCHEMA).schema
     for attempt in ("a", "b"):                      # a lost checkpoint folder replays batch 0
         jobs.stream_sync(jobs.read_event_stream(spark, landing, schema), store, str(tmp_path / attempt), clock).awaitTermination()
-    assert store.versions().count() == 11 and store.refresh() == 1
+    assert store.versions().count() == 12 and store.refresh() == 1
 
 
 def test_stream_counts_add_up(spark, tmp_path, rows):
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     ev = data.events(spark).select("entity", "rev_id", "ts")
-    for half in ("rev_id < 150", "rev_id >= 150"):
+    for half in ("rev_id < 60", "rev_id >= 60"):
         ev.filter(half).coalesce(1).write.mode("append").parquet(landing)
     stream = jobs.read_event_stream(spark, landing, ev.schema, 1)
     jobs.write_counts(jobs.edit_counts(stream, "4000 days"), out, str(tmp_path / "ck")).awaitTermination()
@@ -337,8 +337,8 @@ def test_stream_counts_add_up(spark, tmp_path, rows):
 
 
 def test_lateness(spark, rows):
-    state = spark.createDataFrame([(1001, ts("2023-01-01"))], "entity bigint, synced_through timestamp_ntz")
-    assert rows(jobs.lateness(data.events(spark), state)) == [(4, 9)]
+    state = spark.createDataFrame([(7, ts("2016-06-01"))], "entity bigint, synced_through timestamp_ntz")
+    assert rows(jobs.lateness(data.events(spark), state)) == [(6, 9)]
 
 
 def test_month_step_clamps():

@@ -90,18 +90,18 @@ def test_untracked_columns_make_no_version(spark, rows, max_rows):
 
 
 def test_load_stamped_table_knows_nothing_of_the_past(spark):
-    loaded = D.load_stamped(data.events(spark), "2026-10-01 00:00:00")
-    assert D.as_of(loaded, "2023-01-01 00:00:00").count() == 0 and D.as_of(loaded, "2026-10-02 00:00:00").count() == 3
+    loaded = D.load_stamped(data.events(spark), "2019-10-01 00:00:00")
+    assert D.as_of(loaded, "2016-01-01 00:00:00").count() == 0 and D.as_of(loaded, "2019-10-02 00:00:00").count() == 3
 
 
-def test_tutorial_rows_and_beliefs(spark, rows):
-    line = data.intervals(spark, [(1, 100, "2023-03-15 10:30:00", "2023-03-15 10:30:05"), (1, 200, "2023-03-15 10:30:05", "2024-01-10"),
-                                  (1, 300, "2024-01-10", "9999-12-31 23:59:59")])
-    assert rows(B.interval_at(line, "2023-03-15 10:30:04"), "rev_id") == [(100,)]
-    assert rows(B.interval_at(line, "2023-03-15 10:30:05"), "rev_id") == [(200,)]
-    v = D.start_versioning(line, "2026-01-01 00:00:00")
-    assert D.believed_at(v, "2025-01-01 00:00:00", "2024-06-01 00:00:00").count() == 0
-    assert rows(D.believed_at(v, "2026-01-01 00:00:00", "2024-06-01 00:00:00"), "rev_id") == [(300,)]
+def test_rows_seconds_apart_and_beliefs(spark, rows):
+    line = data.intervals(spark, [(1, 59, "2016-03-04 14:14:14", "2016-03-04 14:14:21"), (1, 63, "2016-03-04 14:14:21", "2017-05-05"),
+                                  (1, 70, "2017-05-05", "9999-12-31 23:59:59")])
+    assert rows(B.interval_at(line, "2016-03-04 14:14:20"), "rev_id") == [(59,)]
+    assert rows(B.interval_at(line, "2016-03-04 14:14:21"), "rev_id") == [(63,)]
+    v = D.start_versioning(line, "2019-01-01 00:00:00")
+    assert D.believed_at(v, "2018-12-01 00:00:00", "2018-06-01 00:00:00").count() == 0
+    assert rows(D.believed_at(v, "2019-01-01 00:00:00", "2018-06-01 00:00:00"), "rev_id") == [(70,)]
 
 
 def test_reader_default_and_override(spark, versions):
@@ -116,11 +116,11 @@ def test_lab_bundle(spark, rows):
     from twinclock.plans.sync import backfill_beliefs
     ev = data.events(spark)
     line, mirror = B.build_timeline(ev), D.scd2_from_log(ev.select("entity", "rev_id", "ts"))
-    out = lab(line, ev, backfill_beliefs(ev, data.CHECKPOINTS), mirror, data.CHECKPOINTS, data.START, data.END, "2024-06-01 00:00:00", 1001)
+    out = lab(line, ev, backfill_beliefs(ev, data.CHECKPOINTS), mirror, data.CHECKPOINTS, data.START, data.END, "2018-01-01 00:00:00", 7)
     assert set(out) == {"app", "all", "as_of", "bitemporal", "between", "mirror_as_of", "mirror_between", "mirror_all"}
-    assert rows(out["app"], "rev_id") == [(160,)] and rows(out["mirror_as_of"], "rev_id") == [(160,)]
-    assert rows(out["bitemporal"], "knowledge", "rev_id") == [("first checkpoint", 130), ("now", 160)]
-    assert out["all"].count() == 12 and rows(out["mirror_between"], "rev_id") == [(150,), (160,)]
+    assert rows(out["app"], "rev_id") == [(82,)] and rows(out["mirror_as_of"], "rev_id") == [(82,)]
+    assert rows(out["bitemporal"], "knowledge", "rev_id") == [("first checkpoint", 47), ("now", 82)]
+    assert out["all"].count() == 11 and rows(out["mirror_between"], "rev_id") == [(82,), (95,)]
     assert middle("2020-01-01 00:00:00", "2020-01-03 00:00:00") == "2020-01-02 00:00:00"
 
 
@@ -163,9 +163,9 @@ def test_layouts_agree(spark, rows, granularity):
     versions = D.scd2_from_log(data.events(spark).select("entity", "rev_id", "ts"))
     table = VersionTable(spark, new_table_path(spark, "layout"), granularity)
     table.append(versions)
-    for s in ("2019-06-01 00:00:00", "2022-06-15 08:30:00", "2026-06-01 00:00:00"):
+    for s in ("2012-06-01 00:00:00", "2016-03-04 14:14:14", "2018-12-01 00:00:00"):
         assert rows(table.as_of(s)) == rows(D.as_of(versions, s))
-    assert rows(table.between("2023-01-01 00:00:00", "2024-01-10 00:00:00")) == rows(D.between(versions, "2023-01-01 00:00:00", "2024-01-10 00:00:00"))
+    assert rows(table.between("2016-01-01 00:00:00", "2017-05-05 16:00:00")) == rows(D.between(versions, "2016-01-01 00:00:00", "2017-05-05 16:00:00"))
     assert rows(table.current()) == rows(D.current(versions))
 
 
@@ -193,4 +193,8 @@ def test_a_hot_key_does_not_multiply_the_plan(spark, name, tmp_path):
         "scd2_tracking": lambda: (D.scd2_tracking(ev, extra[:1], extra[1:], 40), 3),
         "neighbours": lambda: (L.neighbours(line, data.START, data.END, 40), 3),
         "noops": lambda: (D.scd2_from_log(ev, keep_noops=False, max_rows=40), 3)}[name]()
-    assert _scans(out) <= most
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # whole folder names in the plan
+    try:
+        assert _scans(out) <= most
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")

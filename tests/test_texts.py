@@ -152,8 +152,8 @@ def test_split_lines_and_words():
 @pytest.mark.parametrize("max_rows", [None, 3])
 def test_consecutive_pairs(spark, rows, max_rows):
     ev = data.events(spark).withColumn("hidden", F.col("content_hidden"))
-    got = rows(H.consecutive_pairs(ev, "entity", max_rows).filter("entity = 1001"), "old_rev", "new_rev")
-    ids = [r[0] for r in data.ALPHA]
+    got = rows(H.consecutive_pairs(ev, "entity", max_rows).filter("entity = 7"), "old_rev", "new_rev")
+    ids = [r[0] for r in data.BUSY]
     assert got == list(zip(ids, ids[1:]))
 
 
@@ -201,15 +201,15 @@ def test_packs_equal_the_greedy_loop_for_any_block_size(spark, rows, block, max_
 def test_dedup_lookup_and_damage(spark, rows):
     rev = data.events(spark).withColumns({"hidden": F.col("content_hidden"), "size_bytes": F.lit(2).cast("bigint")})
     texts = G.distinct_texts(rev)
-    assert texts.count() == 10
-    assert rows(texts.filter("text = 'v1'"), "first_rev") == [(110,)]
+    assert texts.count() == 11
+    assert rows(texts.filter("text = 'second'"), "first_rev") == [(47,)]
     got = {r["rev_id"]: (r["text"], r["content_status"]) for r in G.text_of(rev.drop("text"), texts).collect()}
-    assert got[170] == ("v1", "available") and got[160] == (None, "hidden") and len(got) == 12
-    at = {r["entity"]: r["text"] for r in G.texts_at(rev, texts, "2024-06-01 00:00:00").collect()}
-    assert at == {1001: None, 1002: "b0", 1003: "g0"}
+    assert got[70] == ("second", "available") and got[82] == (None, "hidden") and len(got) == 13
+    at = {r["entity"]: r["text"] for r in G.texts_at(rev, texts, "2018-01-01 00:00:00").collect()}
+    assert at == {7: None, 8: "b-two", 9: "c-only"}
     assert G.damaged_texts(texts).count() == 0
-    assert G.damaged_texts(texts.withColumn("text", F.when(F.col("text") == "v1", "é1").otherwise(F.col("text")))).count() == 1
-    assert rows(G.size_report(rev, texts), "revisions", "revision_bytes", "texts", "text_bytes") == [(12, 24, 10, 20)]
+    assert G.damaged_texts(texts.withColumn("text", F.when(F.col("text") == "second", "sécond").otherwise(F.col("text")))).count() == 1
+    assert rows(G.size_report(rev, texts), "revisions", "revision_bytes", "texts", "text_bytes") == [(13, 26, 11, 62)]
 
 
 def test_global_rank_and_picks(spark, rows):

@@ -31,9 +31,9 @@ def test_empty_input(spark, rows):
     assert rows(B.build_timeline(none)) == []
 
 
-def test_alpha(spark, rows):
-    line = B.build_timeline(data.events(spark)).filter("entity = 1001")
-    assert rows(line, "rev_id", "valid_from", "valid_to") == [(r, ts(a), ts(z)) for r, a, z in data.ALPHA_TIMELINE]
+def test_busy_entity(spark, rows):
+    line = B.build_timeline(data.events(spark)).filter("entity = 7")
+    assert rows(line, "rev_id", "valid_from", "valid_to") == [(r, ts(a), ts(z)) for r, a, z in data.BUSY_LINE]
 
 
 @pytest.mark.parametrize("max_rows", [None, 20, 50])
@@ -91,19 +91,19 @@ def test_half_open_boundaries(spark, rows):
 
 
 def portion_row(spark):
-    return data.intervals(spark, [(1, 100, "2022-05-16 05:00:53", "9999-12-31 23:59:59")])
+    return data.intervals(spark, [(1, 31, "2013-05-20 06:07:08", "9999-12-31 23:59:59")])
 
 
 def test_delete_for_portion_trims(spark, rows):
-    out = B.delete_for_portion(portion_row(spark), "2023-03-18 17:12:30", "9999-12-31 23:59:59")
-    assert rows(out, "valid_from", "valid_to") == [(ts("2022-05-16 05:00:53"), ts("2023-03-18 17:12:30"))]
+    out = B.delete_for_portion(portion_row(spark), "2014-09-01 12:00:01", "9999-12-31 23:59:59")
+    assert rows(out, "valid_from", "valid_to") == [(ts("2013-05-20 06:07:08"), ts("2014-09-01 12:00:01"))]
 
 
 def test_delete_for_portion_leaves_two_remnants_or_none(spark, rows):
     row = portion_row(spark)
-    assert B.delete_for_portion(row, "2023-01-01 00:00:00", "2024-01-01 00:00:00").count() == 2
-    assert B.delete_for_portion(row, "2020-01-01 00:00:00", "9999-12-31 23:59:59").count() == 0
-    assert B.delete_for_portion(row, "2023-01-01 00:00:00", "2024-01-01 00:00:00", F.col("rev_id") == 1).count() == 1
+    assert B.delete_for_portion(row, "2014-01-01 00:00:00", "2015-01-01 00:00:00").count() == 2
+    assert B.delete_for_portion(row, "2010-01-01 00:00:00", "9999-12-31 23:59:59").count() == 0
+    assert B.delete_for_portion(row, "2014-01-01 00:00:00", "2015-01-01 00:00:00", F.col("rev_id") == 1).count() == 1
 
 
 def test_update_for_portion_on_dates(spark, rows):
@@ -132,13 +132,13 @@ def test_overlaps_with_slices(spark, rows, max_rows):
 
 # ---- lookups -------------------------------------------------------------------------------------
 
-ANSWERS = [("2021-10-01 12:00:00", 110), ("2021-10-01 11:59:59", 100), ("2022-06-15 08:30:00", 130), ("2023-03-15 10:30:04", 140),
-           ("2023-03-15 10:30:05", 150), ("2024-06-01 00:00:00", 160), ("2026-09-22 23:59:59", 180), ("2020-04-30 00:00:00", None)]
+ANSWERS = [("2015-08-19 21:00:00", 47), ("2015-08-19 20:59:59", 44), ("2016-03-04 14:14:14", 59), ("2016-03-04 14:14:20", 59),
+           ("2016-03-04 14:14:21", 63), ("2018-01-01 00:00:00", 82), (data.END, 95), ("2014-06-01 00:00:00", None)]
 
 
 @pytest.mark.parametrize("strategy,max_rows", [("carry", None), ("carry", 3), ("join", None)])
 def test_as_of_answers(spark, rows, strategy, max_rows):
-    probes = spark.createDataFrame([(i, 1001, ts(t)) for i, (t, _) in enumerate(ANSWERS)], "probe_id bigint, entity bigint, t timestamp_ntz")
+    probes = spark.createDataFrame([(i, 7, ts(t)) for i, (t, _) in enumerate(ANSWERS)], "probe_id bigint, entity bigint, t timestamp_ntz")
     got = rows(L.revisions_at(B.build_timeline(data.events(spark)), probes, strategy, max_rows), "probe_id", "rev_id")
     assert got == [(i, r) for i, (_, r) in enumerate(ANSWERS)]
 
@@ -170,42 +170,42 @@ def test_overlap_upper_bound_is_inclusive(spark, rows):
     assert rows(L.overlapping(line, "2022-02-01 00:00:00", "2022-02-15 00:00:00"), "rev_id") == [(2,)]
 
 
-def test_history_of_2023(spark, rows):
-    line = B.build_timeline(data.events(spark)).filter("entity = 1001")
-    page = L.history_page(line, "2023-01-01 00:00:00", "2023-12-31 23:59:59").orderBy("position")
-    assert [r["rev_id"] for r in page.collect()] == [150, 140, 130]
+def test_history_of_one_year(spark, rows):
+    line = B.build_timeline(data.events(spark)).filter("entity = 7")
+    page = L.history_page(line, "2016-01-01 00:00:00", "2016-12-31 23:59:59").orderBy("position")
+    assert [r["rev_id"] for r in page.collect()] == [63, 59, 47]
     with pytest.raises(ValueError):
         L.history_page(line, data.START, data.END, page=0)
 
 
 @pytest.mark.parametrize("max_rows", [None, 2])
 def test_compare(spark, rows, max_rows):
-    pairs = spark.createDataFrame([(1, 1001, ts("2023-04-01"), ts("2022-01-01")), (2, 1003, ts("2022-01-01"), ts("2023-01-01"))],
+    pairs = spark.createDataFrame([(1, 7, ts("2016-06-01"), ts("2015-03-01")), (2, 9, ts("2016-01-01"), ts("2017-01-01")), (3, 8, ts("2015-01-01"), ts("2015-06-01"))],
                                   "pair_id bigint, entity bigint, a timestamp_ntz, b timestamp_ntz")
     ev = data.events(spark)
     got = rows(L.compare(B.build_timeline(ev), ev, pairs, max_rows), "pair_id", "swapped", "rev_a", "rev_b", "same_revision", "edits_between")
-    assert got == [(1, True, 110, 150, False, 4), (2, False, 300, 300, True, 0)]
+    assert got == [(1, True, 44, 63, False, 4), (2, False, 5, 5, True, 0), (3, False, None, None, None, 0)]
 
 
 def test_neighbours_are_clipped_to_the_coverage(spark, rows):
-    got = rows(L.neighbours(B.build_timeline(data.events(spark)), data.START, data.END).filter("entity = 1001"),
+    got = rows(L.neighbours(B.build_timeline(data.events(spark)), data.START, data.END).filter("entity = 7"),
                "rev_id", "previous_rev", "next_rev")
-    assert got[0] == (100, None, 110) and got[1] == (110, 100, 130) and got[-1] == (180, 170, None)
+    assert got[0] == (31, None, 44) and got[1] == (44, 31, 47) and got[-1] == (95, 82, None)
 
 
 def test_not_yet_created(spark, rows):
     ev = data.events(spark)
     line = B.build_timeline(ev)
-    probes = spark.createDataFrame([(1, 1002, ts("2022-01-01"))], "probe_id bigint, entity bigint, t timestamp_ntz")
+    probes = spark.createDataFrame([(1, 8, ts("2016-01-01"))], "probe_id bigint, entity bigint, t timestamp_ntz")
     got = rows(L.with_creation(L.revisions_at(line, probes), L.timeline_bounds(line, ev)), "rev_id", "not_yet_created", "first_from")
-    assert got == [(None, True, ts("2022-03-01"))]
+    assert got == [(None, True, ts("2016-09-09 09:00:00"))]
 
 
 def test_month_series_counts_empty_months(spark):
-    ev = data.events(spark).filter("entity = 1001")
+    ev = data.events(spark).filter("entity = 7")
     s = {r["month"]: r for r in L.month_series(ev, data.START, data.END).collect()}
-    assert len(s) == 61 and s["2022-06"]["edits"] == 2 and s["2022-07"]["edits"] == 0
-    assert s["2026-09"]["last_second"] == ts(data.END) and s["2021-09"]["last_second"] == ts("2021-09-30 23:59:59")
+    assert len(s) == 48 and s["2016-03"]["edits"] == 3 and s["2016-04"]["edits"] == 0
+    assert s["2018-12"]["last_second"] == ts(data.END) and s["2015-01"]["last_second"] == ts("2015-01-31 23:59:59")
 
 
 def test_iso_shows_microseconds_only_when_present(spark, rows):
