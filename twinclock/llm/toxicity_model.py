@@ -121,12 +121,13 @@ def _kernel(tokens: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray
     column = np.full(strings.FEATURES, -1)
     column[live] = np.arange(len(live))
     k = np.zeros((len(tokens), len(marks)))
-    for at in range(0, len(tokens), 1024):
-        who, feat, val = strings.features(tokens[at: at + 1024])
+    for at in range(0, len(tokens), 128):
+        part = tokens[at: at + 128]
+        who, feat, val = strings.features(part)
         hit = column[feat] >= 0
-        dense = np.zeros((len(tokens[at: at + 1024]), len(live)), np.float32)
+        dense = np.zeros((len(part), len(live)), np.float32)
         np.add.at(dense, (who[hit], column[feat[hit]]), val[hit])
-        k[at: at + 1024] = dense @ basis.T
+        k[at: at + 128] = dense @ basis.T
     return k, basis, live
 
 
@@ -138,18 +139,17 @@ def _inserted(word: str) -> list[str]:
 def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_000, rounds: int = 4, cost: float = 100.0, evidence: float = 5.0) -> Model:
     """``texts``: (text, label) of a bounded sample. One third of them only sets the probabilities."""
     held = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 == 2]
-    train = [(set(words(t)), y) for n, (t, y) in enumerate(texts) if n % 3 != 2]
-    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    kept = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 != 2]
+    n1, n0 = sum(y for _, y in kept), sum(1 - y for _, y in kept)
     share = sum(y for _, y in texts) / len(texts) if texts else 0.0
     untrained = Model(np.zeros(strings.FEATURES, np.float32), 0.0, np.zeros(1), np.full(1, min(share, 0.5)), [])
     if not n1 or not n0:
         return untrained
-    seen: dict[str, list[int]] = {}
-    for bag, y in train:
-        for t in bag:
-            seen.setdefault(t, [0, 0])[y] += 1
-    names = sorted(seen)
-    neg, pos = np.array([seen[t] for t in names], float).T
+    # words are numbered, and a text is an array of numbers: the sample takes little memory
+    seen: dict[str, int] = {}
+    train = [(np.array([seen.setdefault(w, len(seen)) for w in sorted(set(words(t)))], np.int32), y) for t, y in kept]
+    names = list(seen)
+    neg, pos = (np.bincount(np.concatenate([bag for bag, y in train if y == label]), minlength=len(names)).astype(float) for label in (0, 1))
     # evidence that a word goes with toxic texts: signed log-likelihood ratio against the share of toxic texts
     q, p = n1 / (n1 + n0), pos / (pos + neg)
     gain = pos * np.log(np.maximum(p, 1e-9) / q) + neg * np.log(np.maximum(1 - p, 1e-9) / (1 - q))
@@ -159,11 +159,10 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
     clean = np.nonzero((neg > 0) & (p <= q))[0]
     if not len(strong) or not len(clean):
         return untrained
-    place = {t: i for i, t in enumerate(names)}
     only_toxic = neg == 0
     # words that clean texts never hold also teach with a letter inserted, unless that is a word of a clean text
     marred = [v for i in strong[: landmarks // 2] if only_toxic[i] for v in _inserted(names[i]) if v not in seen]
-    bags = [np.array([i for i in map(place.__getitem__, bag) if only_toxic[i]], int) for bag, y in train if y]
+    bags = [bag[only_toxic[bag]] for bag, y in train if y]
     positive, negative = strong, clean[:: max(1, len(clean) // instances)]
     model = untrained
     for step in range(rounds):
@@ -182,7 +181,7 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
         model = Model(weights, float(w[-1]), np.zeros(1), np.zeros(1), marks)
         if step == rounds - 1:
             break
-        f = np.concatenate([model.decide(names[at: at + 50_000]) for at in range(0, len(names), 50_000)])
+        f = np.concatenate([model.decide(names[at: at + 20_000]) for at in range(0, len(names), 20_000)])
         hard = clean[np.argsort(-f[clean], kind="stable")][: instances // 2]
         negative = np.union1d(negative, hard[f[hard] > -1])
         negative = negative[np.argsort(f[negative], kind="stable")]
