@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinclock import schema as X
 from twinclock.functions.instants import trimmed
 from twinclock.operators.systime import start_versioning
 from twinclock.schema import STATUSES, USABLE_STATUSES, ntz, system_max
@@ -73,28 +74,32 @@ def _cut_at_return(jumps: DataFrame) -> DataFrame:
         **{c: F.when(returns, F.slice(c, F.lit(1), back)).otherwise(F.col(c)) for c in ("chain", "fragments")}})
 
 
-def classify(entries: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
+def classify(entries: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame, resolved_at=None) -> DataFrame:
     """Status of every entry (position, requested_title, domain), one row each.
 
-    ``pages`` holds title, page_id, ns, missing, invalid, invalid_reason, url, is_disambiguation.
+    ``pages`` holds title, page_id, ns, missing, invalid, invalid_reason, url, is_disambiguation, and may hold lastrevid.
+    ``resolved_at``: the instant the answer was given.
     """
+    if "lastrevid" not in pages.columns:
+        pages = pages.withColumn("lastrevid", F.lit(None).cast("bigint"))
+    resolved_at = F.lit(None).cast("timestamp_ntz") if resolved_at is None else resolved_at
     named = normalise_titles(entries, normalized)
     chains = follow_redirects(named, redirects)
-    page = _one_per(pages, "title").select(F.col("title").alias("final"), "page_id", "ns", "missing", "invalid", "invalid_reason",
+    page = _one_per(pages, "title").select(F.col("title").alias("final"), "page_id", "lastrevid", "ns", "missing", "invalid", "invalid_reason",
                         F.col("url").alias("page_url"), F.col("is_disambiguation").alias("dis"), F.lit(True).alias("found"))
     joined = named.join(chains, "title").join(page, "final", "left")
     redirected = ~F.col("cycle") & (F.size("chain") > 0)
     reason = (
-        F.when(F.col("cycle"), "redirect_cycle")
-        .when(F.col("found").isNull(), "page_not_in_response")
-        .when(F.col("invalid"), F.concat(F.lit("invalid_title: "), F.coalesce("invalid_reason", F.lit("unknown"))))
-        .when(F.col("missing"), "page_does_not_exist")
-        .when(F.col("ns") != 0, F.concat(F.lit("not_an_article_namespace_"), F.col("ns").cast("string")))
-        .when(F.col("page_url").isNull(), "api_returned_no_url")
-        .when(F.col("dis"), "page_is_a_disambiguation_page"))
+        F.when(F.col("cycle"), X.REDIRECT_CYCLE)
+        .when(F.col("found").isNull(), X.NOT_IN_RESPONSE)
+        .when(F.col("invalid"), F.concat(F.lit(X.INVALID_TITLE), F.coalesce("invalid_reason", F.lit("unknown"))))
+        .when(F.col("missing"), X.DOES_NOT_EXIST)
+        .when(F.col("ns") != 0, F.concat(F.lit(X.OTHER_NAMESPACE), F.col("ns").cast("string")))
+        .when(F.col("page_url").isNull(), X.NO_URL)
+        .when(F.col("dis"), X.DISAMBIGUATION))
     status = (
-        F.when(F.col("reason") == "page_does_not_exist", "missing")
-        .when(F.col("reason") == "page_is_a_disambiguation_page", "disambiguation")
+        F.when(F.col("reason") == X.DOES_NOT_EXIST, "missing")
+        .when(F.col("reason") == X.DISAMBIGUATION, "disambiguation")
         .when(F.col("reason").isNotNull(), "error")
         .when(F.col("is_redirect"), "redirect").otherwise("resolved"))
     exists = F.col("found") & ~F.coalesce("invalid", F.lit(False)) & ~F.coalesce("missing", F.lit(False))
@@ -106,7 +111,9 @@ def classify(entries: DataFrame, normalized: DataFrame, redirects: DataFrame, pa
                     F.when(F.col("found"), F.col("final")).alias("canonical_title"),
                     F.when(exists, F.col("page_id")).alias("page_id"), F.when(article, F.col("page_url")).alias("url"),
                     F.coalesce(article & F.col("dis"), F.lit(False)).alias("is_disambiguation"),
-                    F.lit(None).cast("string").alias("duplicate_of")))
+                    F.lit(None).cast("string").alias("duplicate_of"),
+                    F.when(exists, F.col("ns")).alias("namespace"), F.when(exists, F.col("lastrevid")).alias("latest_rev_id"),
+                    ntz(resolved_at).alias("resolved_at")))
 
 
 def usable(status: str = "status") -> Column:
@@ -127,7 +134,7 @@ def mark_duplicates(records: DataFrame) -> DataFrame:
             .withColumns({
                 "duplicate_resolution": F.when(F.col("lost"), F.col("status")),
                 "duplicate_of": F.when(F.col("lost"), F.col("owner")).otherwise(F.col("duplicate_of")),
-                "reason": F.when(F.col("lost"), F.concat(F.lit('resolves to the same page as "'), F.col("owner"), F.lit('"')))
+                "reason": F.when(F.col("lost"), F.concat(F.lit(X.SAME_PAGE), F.col("owner"), F.lit('"')))
                 .otherwise(F.col("reason")),
                 "status": F.when(F.col("lost"), "duplicate").otherwise(F.col("status"))})
             .drop("owner", "owner_position", "lost"))

@@ -91,15 +91,18 @@ def _(t):
     return out.withColumn("chain", F.array_join("chain", " > "))
 
 
-@query("classify_titles", f"WITH {RECORDS} SELECT * FROM rec")
+@query("classify_titles", f"""WITH {RECORDS} SELECT rec.*, CASE WHEN rec.page_id IS NOT NULL THEN CAST(ns AS INTEGER) END AS namespace,
+  CASE WHEN rec.page_id IS NOT NULL THEN pg.page_id * 10 END AS latest_rev_id, TIMESTAMP '{T0}' AS resolved_at FROM rec LEFT JOIN pg ON pg.title = canonical_title""")
 def _(t):
-    return (C.classify(*feed(t)).withColumn("chain", F.array_join("redirect_chain", " > "))
+    entries, normalized, redirects, pages = feed(t)
+    pages = pages.withColumn("lastrevid", F.col("page_id") * 10)
+    return (C.classify(entries, normalized, redirects, pages, T0).withColumn("chain", F.array_join("redirect_chain", " > "))
             .drop("redirect_chain", "duplicate_of"))
 
 
 @query("mark_duplicates", f"WITH {RECORDS} SELECT * FROM fin")
 def _(t):
-    return C.mark_duplicates(C.classify(*feed(t))).drop("redirect_chain", "normalized_from")
+    return C.mark_duplicates(C.classify(*feed(t))).drop("redirect_chain", "normalized_from", "namespace", "latest_rev_id", "resolved_at")
 
 
 @query("status_summary", f"""WITH {RECORDS} SELECT count(*) AS requested,

@@ -20,6 +20,15 @@ INFINITY = "9999-12-31 23:59:59"
 SYSTEM_MAX = "2106-02-07 06:28:15.999999"
 USABLE_STATUSES = ("resolved", "redirect")
 STATUSES = ("resolved", "redirect", "missing", "disambiguation", "duplicate", "error")
+# Reasons why a title was not resolved; the first two of the second group are followed by a detail.
+REDIRECT_CYCLE = "redirect_cycle"
+NOT_IN_RESPONSE = "page_not_in_response"
+DOES_NOT_EXIST = "page_does_not_exist"
+NO_URL = "api_returned_no_url"
+DISAMBIGUATION = "page_is_a_disambiguation_page"
+INVALID_TITLE = "invalid_title: "
+OTHER_NAMESPACE = "not_an_article_namespace_"
+SAME_PAGE = 'resolves to the same page as "'
 MAX_PACK_BYTES = 8 * 1024 * 1024
 MAX_PACK_TEXTS = 64
 HUNK_CONTEXT = 3
