@@ -38,7 +38,9 @@ def text_udf(prepare: Callable[[], Callable[[list], pa.Array]], returns: str) ->
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased and nothing else; ``lower`` says the same of a text that holds ASCII only, and is faster."""
+    every = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(every)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

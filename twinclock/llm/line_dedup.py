@@ -32,7 +32,7 @@ BATCHES = 4
 
 
 def line_key(line: Column) -> Column:
-    return lower_ascii(F.regexp_replace(line, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
+    return lower_ascii(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def lines_of(text: Column) -> Column:
