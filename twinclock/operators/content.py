@@ -189,7 +189,8 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def layout_study(revisions: DataFrame, texts: DataFrame, fractions: list[float]) -> DataFrame:
-    """Bytes on disk of full text per version against digest references, for entities picked by size."""
+    """Bytes on disk of full text per version against digest references, for entities picked by size; with the versions
+    and texts that are read back from each layout."""
     picked = pick_by_size(revisions, fractions).select("entity")
     chosen = revisions.join(picked, "entity", "left_semi").drop("text")
     inline = chosen.join(texts.select("sha1", "text"), "sha1", "left")
@@ -200,13 +201,18 @@ def layout_study(revisions: DataFrame, texts: DataFrame, fractions: list[float])
                "digest_zstd": [chosen.select("entity", "rev_id", "sha1"), stored.sortWithinPartitions("sha1")]}
     out = []
     for name, parts in layouts.items():
-        total = 0
+        versions = found = total = 0
         for part in parts:
             path = new_table_path(spark, name)
             part.write.option("compression", "zstd" if name.endswith("zstd") else "none").parquet(path)
+            back = spark.read.parquet(path)
+            texts_there = F.count("text") if "text" in back.columns else F.lit(0)
+            row = back.agg(F.count(F.lit(1)).alias("n"), texts_there.alias("texts")).first()
+            versions += row["n"] if "rev_id" in back.columns else 0
+            found += row["texts"]
             total += _folder_bytes(spark, path)
-        out.append((name, total))
-    return spark.createDataFrame(out, "layout string, bytes bigint")
+        out.append((name, versions, found, total))
+    return spark.createDataFrame(out, "layout string, versions bigint, texts bigint, bytes bigint")
 
 
 def _folder_bytes(spark, path: str) -> int:

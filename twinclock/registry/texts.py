@@ -34,6 +34,18 @@ def by_language(t):
     return G.distinct_texts(t.documents.withColumn("entity", F.col("lang")))
 
 
+@query("pack_texts_default", f"""WITH RECURSIVE {BY_LANG.removeprefix('WITH ')}, g AS (
+    SELECT entity, sha1, byte_length, rn, CAST(1 AS BIGINT) AS pack, byte_length AS filled, 1 AS texts FROM n WHERE rn = 1
+    UNION ALL
+    SELECT n.entity, n.sha1, n.byte_length, n.rn, CASE WHEN f THEN pack + 1 ELSE pack END,
+           CASE WHEN f THEN n.byte_length ELSE filled + n.byte_length END, CASE WHEN f THEN 1 ELSE texts + 1 END
+    FROM (SELECT n.*, g.pack, g.filled, g.texts, g.filled + n.byte_length > 8388608 OR g.texts >= 64 AS f
+          FROM g JOIN n ON n.entity = g.entity AND n.rn = g.rn + 1) n)
+  SELECT entity, sha1, pack, CAST(filled - byte_length AS BIGINT) AS byte_offset, byte_length FROM g""")
+def _(t):
+    return G.pack_texts(by_language(t))
+
+
 @query("pack_texts_by_count", f"""{BY_LANG}, p AS (SELECT *, (rn - 1) // 64 + 1 AS pack FROM n)
   SELECT entity, sha1, pack, CAST(sum(byte_length) OVER (PARTITION BY entity, pack ORDER BY rn) - byte_length AS BIGINT) AS byte_offset, byte_length FROM p""")
 def _(t):
@@ -92,10 +104,14 @@ def _(t):
     return shown(build_timeline(docs)).join(status, ["entity", "rev_id"])
 
 
-# No SQL twin: the answer is a number of bytes of Parquet files.
-@query("layout_study")
+# What is read back from each layout; the bytes of the files have no SQL twin.
+@query("layout_study", f"""{TEXTS}, s AS (SELECT entity, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM doc GROUP BY entity),
+  r AS (SELECT entity, row_number() OVER (ORDER BY bytes, entity) - 1 AS rank, count(*) OVER () AS n FROM s),
+  ch AS (SELECT * FROM doc WHERE entity IN (SELECT entity FROM r WHERE rank IN (floor(0.1 * n), floor(0.3 * n), floor(0.5 * n), floor(0.7 * n), floor(0.9 * n))))
+  SELECT layout, (SELECT count(*) FROM ch) AS versions, CASE WHEN layout = 'digest_zstd' THEN (SELECT count(DISTINCT sha1) FROM ch WHERE sha1 IN (SELECT sha1 FROM tx))
+    ELSE (SELECT count(*) FROM ch WHERE sha1 IN (SELECT sha1 FROM tx)) END AS texts FROM (VALUES ('inline'), ('inline_zstd'), ('digest_zstd')) v(layout)""")
 def _(t):
-    return G.layout_study(t.documents, G.distinct_texts(t.documents), [0.1, 0.3, 0.5, 0.7, 0.9])
+    return G.layout_study(t.documents, G.distinct_texts(t.documents), [0.1, 0.3, 0.5, 0.7, 0.9]).drop("bytes")
 
 
 # ---- comparison ----------------------------------------------------------------------------------
