@@ -53,7 +53,7 @@ def test_merges_go_by_rank_then_from_the_left():
 
 
 def test_forgetting_changes_nothing(counter, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBER", 6)
+    monkeypatch.setattr(bpe, "REMEMBER", 8)
     small = bpe.Counter(counter.merges)
     text = "the quick brown fox\njumps over the lazy dog " * 3
     assert small.count(text) == counter.count(text)

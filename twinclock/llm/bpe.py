@@ -24,7 +24,7 @@ from twinclock.llm.common import bound_batches, text_udf
 
 MARK = "▁"
 LIMIT = 4096
-REMEMBER = 400_000
+REMEMBER = 800_000
 _SHIFT = 40
 _LOW = (1 << _SHIFT) - 1
 
@@ -52,8 +52,10 @@ class Merges:
 
 def count_word(word: str, ranks: dict[str, int]) -> int:
     """Tokens of ``word``: its symbols less the merges."""
-    n = len(word)
-    tokens = sum(1 if c in ranks else len(c.encode("utf-8", "surrogatepass")) for c in word)
+    n = tokens = len(word)
+    for c in word:
+        if c not in ranks:
+            tokens += len(c.encode("utf-8", "surrogatepass")) - 1
     get = ranks.get
     heap = []
     for k in range(n - 1):
@@ -90,15 +92,19 @@ def count_word(word: str, ranks: dict[str, int]) -> int:
 
 
 class _Counts(dict):
-    """Counts of words, each with ``lead`` before it."""
+    """Counts of words, each with ``lead`` before it: those met since the last turn, and ``old``, those of the turn before,
+    so that common words are not forgotten with the rare ones."""
 
-    def __init__(self, ranks: dict[str, int], lead: str):
-        self.ranks, self.lead = ranks, lead
+    def __init__(self, ranks: dict[str, int], lead: str, turn: int):
+        self.ranks, self.lead, self.turn, self.old = ranks, lead, turn, {}
 
     def __missing__(self, word: str) -> int:
-        n = count_word(self.lead + word, self.ranks)
+        n = self.old.get(word)
+        if n is None:
+            n = count_word(self.lead + word, self.ranks)
         if len(word) <= 64:
-            if len(self) >= REMEMBER // 2:
+            if len(self) >= self.turn:
+                self.old = dict(self)
                 self.clear()
             self[word] = n
         return n
@@ -107,7 +113,8 @@ class _Counts(dict):
 class Counter:
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.bare, self.marked = _Counts(merges.ranks, ""), _Counts(merges.ranks, MARK)
+        # each holds two turns at most
+        self.bare, self.marked = _Counts(merges.ranks, "", REMEMBER // 8), _Counts(merges.ranks, MARK, REMEMBER * 3 // 8)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def _line(self, line: str, first: bool) -> int:
