@@ -73,8 +73,7 @@ def pack_texts(texts: DataFrame, max_bytes: int = MAX_PACK_BYTES, max_texts: int
                block: int = BLOCK, max_rows: int | None = None) -> DataFrame:
     """(entity, sha1, pack, byte_offset, byte_length) of texts in (first_ts, first_rev) order.
 
-    Only lengths are moved, never texts. Where every entity fits into a block, and that is counted first, the
-    blocks are the entities.
+    Only lengths are moved, never texts. An entity that fits into a block is one block.
     """
     narrow = texts.select("entity", "sha1", "byte_length", "first_ts", "first_rev")
     key_type = narrow.schema["entity"].dataType.simpleString()
@@ -95,9 +94,8 @@ def pack_texts(texts: DataFrame, max_bytes: int = MAX_PACK_BYTES, max_texts: int
                              "entry": [o[0] for o in out], "before": [o[1] for o in out]})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos" if "pos" in pdf else ["first_ts", "first_rev"])
-        entry, before = (int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])) if "entry" in pdf else (0, 0)
-        size = int(pdf["own"].sum()) if "own" in pdf else len(pdf)
+        pdf = pdf.sort_values("pos")
+        entry, before, size = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0]), int(pdf["own"].sum())
         prefix, starts = _prefix(pdf["byte_length"]), np.zeros(len(pdf), dtype=np.int64)
         i = entry
         while i < size:
@@ -107,26 +105,23 @@ def pack_texts(texts: DataFrame, max_bytes: int = MAX_PACK_BYTES, max_texts: int
                              "pack": before + starts.cumsum(), "nth": np.arange(len(pdf))})[:size]
 
     packed = f"entity {key_type}, sha1 string, byte_length bigint, pack bigint, nth bigint"
-    if long.isEmpty():
-        numbered = narrow.groupBy("entity").applyInPandas(pack, packed).withColumn("block", F.lit(0).cast("bigint"))
-    else:
-        placed = materialise(
-            Scan(narrow, "entity", ["first_ts", "first_rev"], max_rows).running_sum(F.lit(1), "nth").result()
-            .withColumn("pos", (F.col("nth") - 1).cast("bigint"))
-            .withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
-            .select("entity", "sha1", "byte_length", "pos", "block"), "placed")
-        # the first texts of a block are also shown to the block before, whose last pack may take them
-        own = placed.withColumn("own", F.lit(True))
-        peek = (placed.filter((F.col("block") > 0) & (F.col("pos") % block < max_texts))
-                .withColumns({"block": F.col("block") - 1, "own": F.lit(False)}))
-        rows = own.unionByName(peek)
-        entries = (rows.join(long, "entity", "left_semi").groupBy("entity", "block")
-                   .applyInPandas(exits, f"entity {key_type}, block bigint, entry int, exit int, packs bigint")
-                   .groupBy("entity").applyInPandas(chain, f"entity {key_type}, block bigint, entry int, before bigint"))
-        blocks = rows.join(entries, ["entity", "block"], "left").fillna(0, ["entry", "before"])
-        # a pack may cross into the next block, so its texts are ordered by block and place
-        numbered = (blocks.groupBy("entity", "block")
-                    .applyInPandas(lambda key, pdf: pack(pdf).assign(block=key[1]), packed + ", block bigint"))
+    placed = materialise(
+        Scan(narrow, "entity", ["first_ts", "first_rev"], max_rows).running_sum(F.lit(1), "nth").result()
+        .withColumn("pos", (F.col("nth") - 1).cast("bigint"))
+        .withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
+        .select("entity", "sha1", "byte_length", "pos", "block"), "placed")
+    # the first texts of a block are also shown to the block before, whose last pack may take them
+    own = placed.withColumn("own", F.lit(True))
+    peek = (placed.filter((F.col("block") > 0) & (F.col("pos") % block < max_texts))
+            .withColumns({"block": F.col("block") - 1, "own": F.lit(False)}))
+    rows = own.unionByName(peek)
+    entries = (rows.join(long, "entity", "left_semi").groupBy("entity", "block")
+               .applyInPandas(exits, f"entity {key_type}, block bigint, entry int, exit int, packs bigint")
+               .groupBy("entity").applyInPandas(chain, f"entity {key_type}, block bigint, entry int, before bigint"))
+    blocks = rows.join(entries, ["entity", "block"], "left").fillna(0, ["entry", "before"])
+    # a pack may cross into the next block, so its texts are ordered by block and place
+    numbered = (blocks.groupBy("entity", "block")
+                .applyInPandas(lambda key, pdf: pack(pdf).assign(block=key[1]), packed + ", block bigint"))
     inside = Window.partitionBy("entity", "pack").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
     return numbered.select("entity", "sha1", "pack",
                            F.coalesce(F.sum("byte_length").over(inside), F.lit(0)).alias("byte_offset"), "byte_length")

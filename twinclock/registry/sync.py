@@ -278,3 +278,18 @@ def _(t):
     counts = jobs.edit_counts(order_stream(t), "3650 days")   # one file, and its days span all years
     jobs.write_counts(counts, path, new_table_path(t.spark, "checkpoint")).awaitTermination()
     return jobs.monthly(t.spark, path)
+
+
+# Finished orders come in a second batch. Those more than 30 days behind the first are dropped by the stream, and counted.
+@query("stream_edit_counts_corrected", f"""WITH {EV}, w AS (SELECT max(ts) - INTERVAL 30 DAY AS mark FROM ev WHERE status <> 'F')
+  SELECT entity, strftime(ts, '%Y-%m') AS month, count(*) AS edits,
+         count(*) FILTER (WHERE status = 'F' AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT mark FROM w)) AS missed FROM ev GROUP BY 1, 2""")
+def _(t):
+    landing, path, checkpoint = (new_table_path(t.spark, n) for n in ("landing", "counts", "checkpoint"))
+    ev = t.orders.select("entity", "rev_id", "ts", "status")
+    for part in (F.col("status") != "F", F.col("status") == "F"):
+        ev.filter(part).drop("status").write.mode("append").parquet(landing)
+        stream = jobs.read_event_stream(t.spark, landing, ev.drop("status").schema)
+        jobs.write_counts(jobs.edit_counts(stream, "30 days"), path, checkpoint).awaitTermination()
+    days = jobs.corrected(jobs.newest_days(t.spark, path), ev)
+    return days.groupBy("entity", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("edits").alias("edits"), F.sum("missed").alias("missed"))

@@ -71,7 +71,20 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .trigger(availableNow=True).start())
 
 
+def newest_days(spark: SparkSession, path: str) -> DataFrame:
+    """Newest total per (entity, day) of what ``write_counts`` wrote."""
+    return spark.read.parquet(path).groupBy("entity", "day").agg(F.max_by("edits", "epoch").alias("edits"))
+
+
+def corrected(days: DataFrame, events: DataFrame) -> DataFrame:
+    """(entity, day, edits, missed): totals from the stored events, and how many of them the stream let go because they
+    came later than its watermark allows."""
+    true = events.groupBy("entity", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("edits"))
+    counted = days.select("entity", "day", F.col("edits").alias("counted"))
+    return true.join(counted, ["entity", "day"], "left").select(
+        "entity", "day", "edits", (F.col("edits") - F.coalesce("counted", F.lit(0))).alias("missed"))
+
+
 def monthly(spark: SparkSession, path: str) -> DataFrame:
     """Newest total per (entity, day), added up per month."""
-    days = spark.read.parquet(path).groupBy("entity", "day").agg(F.max_by("edits", "epoch").alias("edits"))
-    return days.groupBy("entity", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("edits").alias("edits"))
+    return newest_days(spark, path).groupBy("entity", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("edits").alias("edits"))
