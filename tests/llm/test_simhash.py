@@ -70,6 +70,14 @@ def test_deep_trees_lose_no_link(docs, prose, monkeypatch):
     assert got(S.near_duplicates(docs(rows))) == brute(list(rows.items()))
 
 
+def test_crowded_leaves_are_shared_and_lose_no_link(docs, prose, monkeypatch):
+    rows = near_copies(prose, 160, seed=11)
+    monkeypatch.setattr(S, "MOST_COMPARISONS", 500)
+    assert got(S.near_duplicates(docs(rows))) == brute(list(rows.items()))
+    monkeypatch.setattr(S, "LEAF", 40)
+    assert got(S.near_duplicates(docs(rows))) == brute(list(rows.items()))
+
+
 def test_tree_and_forest_against_all_pairs():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)

@@ -5,7 +5,7 @@ fingerprints are dealt to the leaves of a vantage-point tree: an inner node has
 sends a fingerprint inside if its Hamming distance to the vantage is at most the radius, else outside. A fingerprint
 within reach of the boundary is also sent to the other side as a guest, so every pair within reach meets at least once;
 the triangle bound prunes the rest. The vantages come from a bounded sample and only set who meets where. A leaf
-compares exactly, in blocks, and keeps a forest of links in place of all pairs. Components join the leaves' forests.
+compares exactly, in blocks, and keeps a forest of links in place of all pairs; a crowded leaf is shared by several tasks. Components join the leaves' forests.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other. Rows of one doc_id are one document
 each; they share a component if they link. A null doc_id is never the smallest unless its component has no other.
@@ -29,6 +29,8 @@ from twinclock.session import materialise
 SEED, WORDS, REACH = 42, 3, 3
 #: Distinct fingerprints a leaf should hold, fingerprints of the sample for each leaf, most leaves of a tree.
 LEAF, SAMPLE, MOST_LEAVES = 4096, 32, 1 << 15
+#: Comparisons of one task; a leaf with more of them is worked on by several tasks.
+MOST_COMPARISONS = 20_000_000_000
 CHUNK, BLOCK = 1 << 16, 2048
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 #: Byte to eight lanes of one byte, so that up to 255 hashes can be added lane by lane.
@@ -162,7 +164,20 @@ def links(fps: DataFrame, n: int, reach: int = REACH) -> DataFrame:
         dealt = fps.select(F.lit(1).cast("bigint").alias("leaf"), "fp", F.lit(True).alias("home"))
     else:
         dealt = fps.mapInArrow(deal, "leaf bigint, fp bigint, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(meet, "a bigint, b bigint")
+    return _shared_out(materialise(dealt, "simhash-dealt")).groupBy("leaf", "part").applyInArrow(meet, "a bigint, b bigint")
+
+
+def _shared_out(dealt: DataFrame) -> DataFrame:
+    """(leaf, part, fp, home): a crowded leaf has several parts, each with a share of the homes and all others as guests.
+
+    Every home is a home in one part, and meets everyone of its leaf there."""
+    sizes = dealt.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
+    crowded = sizes.where(F.col("homes") * F.col("rows") > MOST_COMPARISONS).select("leaf", F.ceil(F.col("homes") * F.col("rows") / MOST_COMPARISONS).cast("int").alias("parts"))
+    crowded = materialise(crowded, "simhash-crowded")
+    hint = F.broadcast if crowded.count() <= 2 * MOST_LEAVES else (lambda df: df)
+    parts = F.coalesce("parts", F.lit(1))
+    rows = dealt.join(hint(crowded), "leaf", "left").select("leaf", "fp", "home", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return rows.select("leaf", "part", "fp", (F.col("home") & (F.pmod(F.xxhash64("fp"), "parts") == F.col("part"))).alias("home"))
 
 
 def classes(fps: DataFrame) -> DataFrame:
