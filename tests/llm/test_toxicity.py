@@ -100,6 +100,18 @@ def test_query_never_learns_from_held_out_rows(spark):
     assert a == b and len(a) == docs.count() and all(0 <= s <= 1 for s in a.values())
 
 
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    seen = []
+    monkeypatch.setattr(toxicity.toxicity_model, "fit", lambda texts: seen.append(texts))
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 5_000)
+    toxicity.train(docs, labels)
+    whole, part = seen
+    assert 0 < len(part) < len(whole) and max(len(t.encode()) for t, _ in part) <= 5_000
+
+
 def test_edges(spark, clashing, empty, edge_rows):
     labels = spark.createDataFrame([(2, 0, 0), (8, 0, 1), (8, 0, 1), (9, 0, 0), (9, 0, 1), (6, 0, None), (None, 0, 1), (99, 0, 1), (4, 0, 7)], "doc_id bigint, quality int, toxic int")
     out = toxicity.score_documents(clashing, labels)

@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 
 from twinclock.llm import toxicity_model
 from twinclock.llm.common import bound_batches, crc_mod, text_udf, unit_hash
+from twinclock.session import materialise
 
 THRESHOLD = 0.7
-#: Bounds of the sample the machine is fitted on: documents of each class.
+#: Bounds of the sample the machine is fitted on: documents of each class, bytes of one text, bytes of all.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
+TEXT_BYTES, SAMPLE_BYTES = 4 << 20, 48 << 20
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> toxicity_model.Model:
-    """Fit on at most about ``toxic`` and ``clean`` labelled documents, picked by a hash of their id."""
+    """Fit on at most about ``toxic`` and ``clean`` labelled documents, picked by a hash of their id, and on at most about
+    SAMPLE_BYTES of text; texts above TEXT_BYTES teach nothing."""
     docs = docs.select("doc_id", "text")
     sure = (labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
             .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other"))
     counts = {r["label"]: r["count"] for r in sure.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, toxic / max(1, counts.get(1, 0))).otherwise(clean / max(1, counts.get(0, 0)))
     picked = sure.where(unit_hash(F.col("doc_id").cast("string")) < share)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").where("text is not null").collect()
+    sample = materialise(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").where(F.octet_length("text") <= TEXT_BYTES), "toxicity-sample")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    rows = sample.where(unit_hash(F.col("doc_id").cast("string"), F.lit("bytes")) < SAMPLE_BYTES / size).collect()
     rows = sorted((hash_order(r["doc_id"]), r["text"], r["label"]) for r in rows)
     return toxicity_model.fit([(t, y) for _, t, y in rows])
 

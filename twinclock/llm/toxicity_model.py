@@ -86,9 +86,15 @@ def _newton(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray, steps: i
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa = x[active] * c[active, None]
-        new = np.linalg.solve(ridge + x[active].T @ xa, xa.T @ y[active])
+        # rows inside the margin, a block at a time: no second copy of x
+        active = np.nonzero(y * (x @ w) < 1)[0]
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(active), 2048):
+            rows = active[at: at + 2048]
+            weighed = x[rows] * c[rows, None]
+            left += x[rows].T @ weighed
+            right += weighed.T @ y[rows]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-5:
             return new
         w = new
@@ -172,10 +178,15 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
         marks = [names[i] for i in positive[: landmarks // 2]]
         marks += [names[i] for i in negative[::-1][: max(1, landmarks - len(marks))]]
         k, basis, live = _kernel(tokens, marks)
-        values, vectors = np.linalg.eigh(_kernel(marks, marks)[0] + 1e-6 * np.eye(len(marks)))
+        gram = (basis @ basis.T).astype(float)  # the kernels of the marks with each other
+        values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
         white = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
+        x = np.ones((len(tokens), len(marks) + 1))
+        np.matmul(k, white, out=x[:, :-1])
+        del k
         c = np.where(y > 0, cost * max(1.0, 0.25 * len(negative) / len(positive)), cost)
-        w = _newton(np.concatenate([k @ white, np.ones((len(tokens), 1))], 1), y, c, np.zeros(len(marks) + 1))
+        w = _newton(x, y, c, np.zeros(len(marks) + 1))
+        del x
         weights = np.zeros(strings.FEATURES, np.float32)
         weights[live] = (white @ w[:-1]) @ basis
         model = Model(weights, float(w[-1]), np.zeros(1), np.zeros(1), marks)
