@@ -29,6 +29,8 @@ WORDS, SHARE = 5, 0.8
 #: Most bytes of item text in one broadcast; more items are searched in as many passes as they need.
 PASS_BYTES = 8 << 20
 PIECE = 1 << 18
+#: Words whose hashes a Python worker remembers, from task to task.
+REMEMBER = 150_000
 _MIX = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, WORDS + 1)], np.uint64)
 FOUND = "array<struct<item:int,shared:int,size:int>>"
 
@@ -38,15 +40,23 @@ def _shingles(words: list[bytes], width: int) -> set[bytes]:
 
 
 class _Words(dict):
-    """Hashes of words, remembered."""
+    """Hashes of words, remembered: REMEMBER of them at most."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBER:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
+_known = _Words()
+
+
+def known_words() -> _Words:
+    """The words of this Python worker, kept from task to task."""
+    return _known
+
+
 def _hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     total = np.zeros(max(0, n), np.uint64)
@@ -121,7 +131,7 @@ def _finder(docs: DataFrame, texts: list[bytes | None]):
     shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def prepare():
-        sketches, word = Sketches(shared.value), _Words()
+        sketches, word = Sketches(shared.value), known_words()
         return lambda batch: pa.array([sketches.find(t, word) for t in batch], pa.list_(pa.struct([("item", pa.int32()), ("shared", pa.int32()), ("size", pa.int32())])))
     return text_udf(prepare, FOUND)
 
