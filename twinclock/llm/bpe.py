@@ -138,7 +138,15 @@ class Counter:
         return total + len(lines) - 1 + sum(self._line(line, False) for line in lines[1:] if line)
 
 
-_counters: dict[int, Counter] = {}
+_own: list[Counter] = []
+
+
+def counter_of(merges: Merges) -> Counter:
+    """The counter of this Python worker, which keeps what it remembers from task to task. (Called by its module's name:
+    a function that is sent to the workers carries copies of what it refers to.)"""
+    if not _own or _own[0].merges is not merges:
+        _own[:] = [Counter(merges)]
+    return _own[0]
 
 
 def counter(docs: DataFrame, path: str):
@@ -146,11 +154,7 @@ def counter(docs: DataFrame, path: str):
     shared = docs.sparkSession.sparkContext.broadcast(Merges.load(path))
 
     def prepare():
-        merges = shared.value
-        own = _counters.get(id(merges))
-        if own is None or own.merges is not merges:
-            _counters.clear()
-            own = _counters[id(merges)] = Counter(merges)
+        own = counter_of(shared.value)
         return lambda texts: pa.array([own.count(t.decode("utf-8", "replace")) if t else 0 for t in texts], pa.int64())
     return text_udf(prepare, "bigint")
 
