@@ -37,9 +37,6 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     return toxicity_model.fit([(t, y) for _, t, y in rows])
 
 
-_scorers: dict = {}
-
-
 def hash_order(doc_id) -> int:
     return int.from_bytes(str(doc_id).encode(), "little") * 0x9E3779B97F4A7C15 % (1 << 64)
 
@@ -50,10 +47,7 @@ def scorer(docs: DataFrame, model: toxicity_model.Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def prepare():
-        model = shared.value
-        if _scorers.get("model") is not model:  # a worker goes from task to task with what it remembers
-            _scorers.update(model=model, scorer=toxicity_model.Scorer(model))
-        scorer = _scorers["scorer"]
+        scorer = toxicity_model.scorer_of(shared.value)
 
         def each(texts: list) -> pa.Array:
             margins = scorer.margins([t and t.decode("utf-8", "replace") for t in texts])

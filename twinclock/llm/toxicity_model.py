@@ -81,6 +81,16 @@ class Scorer:
         return np.array(out + self._some(bags), float) if bags else np.array(out, float)
 
 
+_own: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of this Python worker, which keeps what it remembers from task to task."""
+    if not _own or _own[0].model is not model:
+        _own[:] = [Scorer(model)]
+    return _own[0]
+
+
 def _newton(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray, steps: int = 12) -> np.ndarray:
     """Squared-hinge support vector machine in the primal; the last column of x is the bias."""
     ridge = np.eye(x.shape[1])
