@@ -72,6 +72,13 @@ def test_inserted_and_gapped_insults(model):
     assert model.probability(margins(["tarimo nelu kasovi", "", None])).max() < 0.3
 
 
+def test_disguised_insults_reach_the_threshold(model):
+    score = lambda *texts: model.probability(toxicity_model.Scorer(model).margins(list(texts)))
+    for text in ["numbxskull", "blockkhead", "dimwvit", "tari bl0ockhead", "numb skull", "tari dim wit mo", "blo ckhead", "d i  m w i t"]:
+        assert score(text)[0] >= 0.7, text
+    assert score("tarimo nelu kasovi", "ta ri mo ne", "", None).max() < 0.3
+
+
 def test_held_out_accuracy(model):
     texts, labels = zip(*corpus(300, seed=2), strict=True)
     p = model.probability(toxicity_model.Scorer(model).margins(list(texts)))

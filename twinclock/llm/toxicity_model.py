@@ -13,6 +13,7 @@ each toxic text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,20 @@ import numpy as np
 from twinclock.llm import strings
 
 #: A run of at least four lone characters, as in "s p a c e d": read as one word.
-SPACED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+#: Characters of two neighbouring words that can be read as one, "gap ped"; most words that are known to be whole.
+JOINED, MOST_WHOLE = range(4, 25), 50_000
 PIECE = 1 << 18
 
 
-def words(text: str) -> list[str]:
+def words(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> list[str]:
+    """The words of a text, its spaced words, and each two neighbours read as one, if that is one of ``insults`` or one of
+    the two is not known to be a word (``whole``; nothing is known if it is empty, and nothing else is joined)."""
     text = text.lower()
-    return text.split() + ["".join(m.split()) for m in SPACED.findall(text)]
+    own = text.split()
+    odd = [w not in whole for w in own] if whole else [False] * len(own)
+    joined = [a + b for a, b, x, y in zip(own, own[1:], odd, odd[1:]) if (x or y) and len(a) + len(b) in JOINED or a + b in insults]  # noqa: B905
+    return own + joined + ["".join(m.split()) for m in SPACED.findall(text)]
 
 
 @dataclass
@@ -36,6 +44,8 @@ class Model:
     levels: np.ndarray
     shares: np.ndarray
     landmarks: list[str]
+    whole: frozenset[str] = frozenset()
+    insults: frozenset[str] = frozenset()
 
     def decide(self, tokens: list[str]) -> np.ndarray:
         return strings.score(tokens, self.weights) + self.bias
@@ -73,7 +83,7 @@ class Scorer:
     def margins(self, texts: list[str | None]) -> np.ndarray:
         out, bags, size = [], [], 0
         for text in texts:
-            bags.append(set(words(text)) if text else set())
+            bags.append(set(words(text, self.model.whole, self.model.insults)) if text else set())
             size += len(bags[-1])
             if size > 100_000:
                 out += self._some(bags)
@@ -147,13 +157,23 @@ def _kernel(tokens: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray
     return k, basis, live
 
 
-def _inserted(word: str) -> list[str]:
-    """The word with one letter inserted, once at each place inside; the letters go around the alphabet."""
-    return [word[:k] + chr(97 + (7 * k + len(word)) % 26) + word[k:] for k in range(1, len(word))]
+def _inserted(word: str, turn: int = 0) -> list[str]:
+    """The word with one letter inserted, once at each place inside; the letters go around the alphabet, from ``turn`` on."""
+    return [word[:k] + chr(97 + (7 * k + len(word) + turn) % 26) + word[k:] for k in range(1, len(word))]
+
+
+def _disguised(text: str, insults: frozenset[str], n: int) -> list[str]:
+    """The text with a letter inserted into each of its ``insults``, and with a blank put into each; ``n`` picks letter and
+    place. Without insults, the text as it is."""
+    own = text.lower().split()
+    marred = [_inserted(w, 1 + n % 25)[n % (len(w) - 1)] if w in insults else w for w in own]
+    gapped = [f"{w[: 1 + n % (len(w) - 1)]} {w[1 + n % (len(w) - 1):]}" if w in insults else w for w in own]
+    return [" ".join(marred), " ".join(gapped)]
 
 
 def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_000, rounds: int = 4, cost: float = 100.0, evidence: float = 5.0) -> Model:
-    """``texts``: (text, label) of a bounded sample. One third of them only sets the probabilities."""
+    """``texts``: (text, label) of a bounded sample. One third of them only sets the probabilities, each text as it is and
+    in two forms with its learned insults disguised; a text without any counts as often, so the share of toxic texts stays."""
     held = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 == 2]
     kept = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 != 2]
     n1, n0 = sum(y for _, y in kept), sum(1 - y for _, y in kept)
@@ -163,7 +183,10 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
         return untrained
     # words are numbered, and a text is an array of numbers: the sample takes little memory
     seen: dict[str, int] = {}
-    train = [(np.array([seen.setdefault(w, len(seen)) for w in sorted(set(words(t)))], np.int32), y) for t, y in kept]
+    often = Counter(w for t, y in kept if not y for w in set(t.lower().split()) if len(w) < JOINED[-1])
+    # words of a single clean text count as odd, so that joined words of clean texts teach as well
+    whole = frozenset(w for w, n in often.most_common(MOST_WHOLE) if n > 1)
+    train = [(np.array([seen.setdefault(w, len(seen)) for w in sorted(set(words(t, whole)))], np.int32), y) for t, y in kept]
     names = list(seen)
     neg, pos = (np.bincount(np.concatenate([bag for bag, y in train if y == label]), minlength=len(names)).astype(float) for label in (0, 1))
     # evidence that a word goes with toxic texts: signed log-likelihood ratio against the share of toxic texts
@@ -209,6 +232,10 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_0
         found = np.unique(np.concatenate([bag[f[bag] > 0] for bag in bags]))
         positive = np.union1d(strong, found[np.argsort(-f[found], kind="stable")][:instances])
         positive = positive[np.argsort(-gain[positive], kind="stable")]
-    margin = Scorer(model).margins([t for t, _ in held])
-    model.levels, model.shares = _rising(margin, np.array([y for _, y in held], float))
+    model.whole, model.insults = whole, frozenset(names[i] for i in positive if only_toxic[i] and len(names[i]) > 3)
+    scorer = Scorer(model)
+    margin = scorer.margins([t for t, _ in held])
+    disguised = [scorer.margins(_disguised(t, model.insults, n)) if y else margin[[n, n]] for n, (t, y) in enumerate(held)]
+    label = np.array([y for _, y in held], float)
+    model.levels, model.shares = _rising(np.concatenate([margin, *disguised]), np.concatenate([label, np.repeat(label, 2)]))
     return model
