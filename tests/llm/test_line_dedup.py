@@ -79,6 +79,13 @@ def test_a_later_batch_meets_the_runs_of_an_earlier_one(spark, docs):
     assert out == {5: "new", 6: "a line not seen"}
 
 
+def test_a_later_call_with_smaller_ids_drops_what_the_runs_hold(spark, docs):
+    runs = L.LineRuns(spark, 4)
+    L.dedup_lines(docs({5: "a line seen before\nx"}), runs).count()
+    out = {r["doc_id"]: r["kept_text"] for r in L.dedup_lines(docs({1: "new\nA line seen before", 5: "a line seen before"}), runs).collect()}
+    assert out == {1: "new", 5: "a line seen before"}
+
+
 def test_runs_are_read_without_a_shuffle(spark):
     runs = L.LineRuns(spark, 4)
     first = spark.range(50).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("key"), F.col("id").alias("keeper"))

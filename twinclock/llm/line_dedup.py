@@ -5,7 +5,8 @@ that keeps the line. A batch is grouped by hash, merge-anti-joined with each run
 what is new becomes a run of level 0. When a level holds FANOUT runs they are merged into one run of the next level, so
 there are few runs to read and a hash is rewritten once per level.
 
-Batches are ranges of doc_id in rising order, so the document that keeps a line is the smallest that holds it.
+Batches of one call are ranges of doc_id in rising order, so the document that keeps a line is the smallest that holds it. A
+line that the given runs hold already stays with the document of the earlier call, whatever the ids.
 
 Skew: a line is counted per task before the shuffle. Lines with more than 1/HOT of a batch's lines, at most HOT of them,
 reach the rows by broadcast, the others by a shuffled join.
@@ -74,16 +75,18 @@ class LineRuns:
 
 
 def _dropped(lines: DataFrame, runs: LineRuns) -> DataFrame:
-    """(doc_id, row, pos) of the lines of one batch that an earlier document keeps; the batch is taken into the runs."""
+    """(doc_id, row, pos) of the lines of one batch that another document keeps; the batch is taken into the runs. A line the
+    runs already hold stays with its keeper, whether the batch's ids lie above or below."""
     first = materialise(lines.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "line-first")
     runs.add(first)
-    seen = first.select("key", "last", "n").join(runs.read(), "key").where("last > keeper").select("key", "keeper", "n")
+    seen = first.select("key", F.col("keeper").alias("least"), "last", "n").join(runs.read(), "key")
+    seen = seen.where("last <> keeper or least <> keeper").select("key", "keeper", "n")
     seen = materialise(seen, "line-seen")
     total = first.agg(F.sum("n")).first()[0] or 0
     hot, cold = seen.where(F.col("n") * HOT > total).drop("n"), seen.where(F.col("n") * HOT <= total).drop("n")
     pairs = lines.join(F.broadcast(hot), "key").unionByName(
         lines.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
-    return materialise(pairs.where("doc_id > keeper").select("doc_id", "row", "pos"), "line-dropped")
+    return materialise(pairs.where("doc_id <> keeper").select("doc_id", "row", "pos"), "line-dropped")
 
 
 def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BATCHES) -> DataFrame:
