@@ -1,13 +1,13 @@
-"""The registered queries of the ten operators, with SQL where SQL can say the same."""
+"""The registered queries of the operators, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinclock.llm import bpe, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, simhash, toxicity, url_filter
+from twinclock.llm import bpe, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, periodic, simhash, toxicity, url_filter
 from twinclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,49 @@ def token_query(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.token_counts(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def _repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text, or for one id in ten its words with a part of them repeated to the end in place of what stood there."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words).cast("bigint")
+    a = g % n
+    p = F.floor((n - a) / (3 + g % 8)) + 1
+    tail = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    longer = F.concat_ws(" ", F.slice(words, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), longer).otherwise(text)
+
+
+_CRC_SQL = """list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END)"""
+
+
+@query("op12_periodic_runs", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CASE WHEN doc_id IS NOT NULL THEN xor({_CRC_SQL}, 4294967295) END AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM e),
+v AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM f),
+s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS six FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM v WHERE n > 5)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i),
+k AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 AS lcp FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, lcp + q AS length, min(q) AS period FROM k WHERE lcp >= q AND lcp + q >= 12 GROUP BY doc_id, start, lcp + q),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+  arg_min({{'s': start, 'n': length, 'q': period}}, [-length, start, period]) AS best FROM r GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS collapsed FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM v) t ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT v.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.n // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM v LEFT JOIN b ON v.doc_id IS NOT DISTINCT FROM b.doc_id LEFT JOIN c ON v.doc_id IS NOT DISTINCT FROM c.doc_id""")
+def periodic_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = periodic.periodic_runs(docs.select("doc_id", _repeated_tail(F.col("doc_id"), F.col("text")).alias("text")))
+    before = lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["period"] - b["period"])
+    best = F.try_element_at(F.array_sort("runs", lambda a, b: F.signum(before(a, b)).cast("int")), F.lit(1))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
