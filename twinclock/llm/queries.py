@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinclock.llm import bpe, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, periodic, simhash, toxicity, url_filter
+from twinclock.llm import bpe, collocations, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, periodic, simhash, toxicity, url_filter
 from twinclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,27 @@ def periodic_query(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def _phrases_sql(k: int) -> str:
+    return f"""SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS phrase, {k} AS k, count(*) AS a
+  FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM p WHERE len(w) >= {k}) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}"""
+
+
+@query("op13_collocations", rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+f AS ({" UNION ALL ".join(map(_phrases_sql, range(1, 6)))}),
+c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS x1, array_to_string(w[cut + 1:], ' ') AS x2 FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT lang, x.phrase, cut, x.a, l.a AS l, r.a AS r, n, 1000 * x.a::HUGEINT * n // (l.a::HUGEINT * r.a) AS score
+  FROM x JOIN n USING (lang) JOIN f l USING (lang) JOIN f r USING (lang) WHERE l.phrase = x1 AND r.phrase = x2),
+b AS (SELECT lang, phrase, arg_min({{'a': a, 'l': l, 'r': r, 'n': n, 's': score}}, [score, cut]) AS z FROM s GROUP BY lang, phrase),
+i AS (SELECT lang, array_to_string(w[start:start + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS start FROM (SELECT *, unnest(range(2, k)) AS size FROM c)) GROUP BY ALL),
+k AS (SELECT b.lang, b.phrase, z FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * z.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY z.s DESC, z.a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, z.a::BIGINT AS a, z.l::BIGINT AS l, z.r::BIGINT AS r, z.n::BIGINT AS n, z.s::BIGINT AS score FROM o WHERE rank <= {collocations.TOP}""")
+def collocations_query(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
