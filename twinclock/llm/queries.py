@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinclock.llm import bpe, collocations, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, periodic, simhash, toxicity, url_filter
+from twinclock.llm import bpe, collocations, decontaminate, exact_dedup, language, licenses, line_dedup, mixing, periodic, signature_tree, simhash, toxicity, url_filter
 from twinclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,15 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY z.s DESC, z.a DESC
 SELECT lang, rank, phrase, z.a::BIGINT AS a, z.l::BIGINT AS l, z.r::BIGINT AS r, z.n::BIGINT AS n, z.s::BIGINT AS score FROM o WHERE rank <= {collocations.TOP}""")
 def collocations_query(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op11_jaccard_join", f"""
+WITH RECURSIVE {_shingles('d', 'documents', 'doc_id')},
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = documents.doc_id""")
+def jaccard_query(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_tree.near_duplicates(table(spark, folder, "documents"))
