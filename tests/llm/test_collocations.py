@@ -65,6 +65,14 @@ def test_joined_as_rows_and_sent_agree(spark):
     assert got(C.collocations(df, 4, most_sent=0)) == got(C.collocations(df, 4)) == brute(rows, 4)
 
 
+def test_many_buckets_and_short_runs_agree(spark, monkeypatch):
+    rows = prose(12)
+    monkeypatch.setattr(C, "BUCKET", 40)
+    monkeypatch.setattr(C, "RUN", 20)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert got(C.collocations(df, 4)) == brute(rows, 4)
+
+
 def test_ranks_are_cut_and_ties_follow_bytes(spark):
     rows = [(k, "b c. B d. ä z. a z. é y. Z q", "en") for k in range(4)]
     df = spark.createDataFrame(rows, SCHEMA)

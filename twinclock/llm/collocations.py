@@ -4,7 +4,7 @@ An occurrence relation R_k lists where frequent phrases of k words stand: one ro
 beside them, the keys of the phrases (positions leave a gap between pieces). Each length takes four steps:
 
 * merge-join: R_k meets itself in the same piece at the next position, which gives the occurrences of phrases of k + 1 words;
-* group-count: occurrences are counted per batch, then per language and phrase;
+* group-count: tasks send sorted runs of counted phrases to buckets, which merge them;
 * semi-join: R_{k+1} keeps the occurrences of frequent phrases only;
 * R_{k+1} is written in order of position, and the next length reads it.
 
@@ -36,12 +36,14 @@ from twinclock.session import materialise
 LEAST, WORDS, TOP, COVER = 100, 5, 2000, 100
 #: Frequent keys that are sent to every task; more are joined.
 MOST_SENT = 4_000_000
+#: Keys of a run, keys of a bucket of the group-count.
+RUN, BUCKET = 4_000_000, 2_000_000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NOWHERE = "und"
 _AS_LINES = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
 _ODD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 OCCURRENCES = "lang string, pos array<bigint>, key array<bigint>"
-COUNTS = "lang string, key bigint, front bigint, back bigint, a bigint"
+PARTS = "lang string, key bigint, front bigint, back bigint"
 _OCCURRENCES = pa.schema([("lang", pa.string()), ("pos", pa.list_(pa.int64())), ("key", pa.list_(pa.int64()))])
 
 
@@ -163,31 +165,109 @@ def extend(occ: DataFrame) -> DataFrame:
     return occ.mapInArrow(run, OCCURRENCES)
 
 
-def phrase_counts(occ: DataFrame) -> DataFrame:
-    """lang, key, front, back, a: occurrences of every phrase of the next length; front and back are the keys of its first
-    and its last k words."""
+def _packed(values: np.ndarray) -> bytes:
+    """First the low bytes of all values, then the next ones, and so on: small values leave runs of zeros, which the shuffle
+    compresses."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _runs(keys: list[np.ndarray], counts: list[np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
+    """A sorted run of counted keys, cut at the buckets of their first ``depth`` bits; keys as differences."""
+    key, count = _summed(keys, counts)
+    bucket = (key >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(key), np.int64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.empty(0, np.int64)
+    for at in range(0, len(cuts), 1024):
+        starts = cuts[at: at + 1024]
+        ends = np.append(cuts, len(key))[at + 1: at + 1025]
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]),
+                                          pa.array([_packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary()),
+                                          pa.array([_packed(count[i:j]) for i, j in spans], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def phrase_counts(occ: DataFrame, least: int, words: int) -> DataFrame:
+    """key, a: the phrases of the next length that occur ``least`` times; ``words`` is the number of words of the corpus.
+
+    A task counts its own occurrences and sends sorted runs, one for each bucket of keys; a bucket adds up what it gets. A
+    bucket has about BUCKET keys at most, and a phrase one count from a run, however often it occurs."""
+    depth = max(0, int(words // BUCKET).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            _, _, front, back = _next_length(batch)
+            key, a = np.unique(_joined(front, back).view(np.uint64), return_counts=True)
+            keys.append(key)
+            counts.append(a.astype(np.int64))
+            held += len(key)
+            if held > RUN:
+                yield from _runs(keys, counts, depth)
+                keys, counts, held = [], [], 0
+        if held:
+            yield from _runs(keys, counts, depth)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+        counts = [_unpacked(c).view(np.int64) for c in group.column("counts").to_pylist()]
+        key, a = _summed(keys, counts)
+        often = a >= least
+        return pa.table({"key": pa.array(key[often].view(np.int64)), "a": pa.array(a[often])})
+    return occ.mapInArrow(run, "bucket bigint, keys binary, counts binary").groupBy("bucket").applyInArrow(add_up, "key bigint, a bigint")
+
+
+def _sent(occ: DataFrame, frequent: DataFrame, most_sent: int):
+    """A test of keys against ``frequent`` for use in tasks, or None if they are too many to be sent."""
+    if frequent.count() > most_sent:
+        return None
+    sent = occ.sparkSession.sparkContext.broadcast(np.sort(frequent.select("key").toArrow().column(0).to_numpy().astype(np.int64)))
+
+    def among(own: np.ndarray) -> np.ndarray:
+        known = sent.value
+        return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+    return among
+
+
+def phrase_parts(occ: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """lang, key, front, back, a for the frequent phrases (key, a) of the next length; front and back are the keys of their
+    first and their last words."""
+    among = _sent(occ, frequent, most_sent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, _, front, back = _next_length(batch)
-            key, first, a = np.unique(_joined(front, back), return_index=True, return_counts=True)
+            key, first = np.unique(_joined(front, back), return_index=True)
+            if among is not None:
+                kept = among(key)
+                key, first = key[kept], first[kept]
             lang = batch.column("lang").take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([lang, pa.array(key), pa.array(front[first]), pa.array(back[first]), pa.array(a)], ["lang", "key", "front", "back", "a"])
-    return occ.mapInArrow(run, COUNTS).groupBy("lang", "key", "front", "back").agg(F.sum("a").alias("a"))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(key), pa.array(front[first]), pa.array(back[first])], ["lang", "key", "front", "back"])
+    return occ.mapInArrow(run, PARTS).distinct().join(frequent, "key")
 
 
 def semi_join(occ: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """The occurrences of ``occ`` whose key is one of ``frequent`` (a written table)."""
-    if frequent.count() > most_sent:
+    among = _sent(occ, frequent, most_sent)
+    if among is None:
         return _semi_join_as_rows(occ, frequent)
-    keys = np.sort(frequent.select("key").toArrow().column(0).to_numpy())
-    sent = occ.sparkSession.sparkContext.broadcast(keys)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
             row, pos, key = _flat(batch)
             own, at = np.unique(key, return_inverse=True)
-            kept = (known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)[at] if len(known) else np.zeros(len(key), bool)
+            kept = among(own)[at]
             yield _nested(batch, row[kept], pos[kept], key[kept])
     return occ.mapInArrow(keep, OCCURRENCES)
 
@@ -207,14 +287,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, mo
     bound_batches(docs.sparkSession)
     counted = materialise(word_counts(docs), "phrases-words")
     totals = materialise(counted.groupBy("lang").agg(F.sum("a").alias("n")), "phrases-totals")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
     named = materialise(_with_keys(counted.where(F.col("a") >= least)).select("lang", "key", F.col("word").cast("string").alias("phrase"), "a"), "phrases-1")
     occ = materialise(semi_join(occurrences(docs), named, most_sent), "phrases-at-1")
     last = F.element_at(F.split("back_phrase", " "), -1)
     out = named.withColumn("k", F.lit(1))
     for k in range(2, words + 1):
-        found = materialise(phrase_counts(occ).where(F.col("a") >= least), f"phrases-found-{k}")
-        if found.isEmpty():
+        often = materialise(phrase_counts(occ, least, n_words), f"phrases-often-{k}")
+        if often.isEmpty():
             break
+        found = materialise(phrase_parts(occ, often, most_sent), f"phrases-found-{k}")
         front = named.select("lang", F.col("key").alias("front"), F.col("phrase").alias("front_phrase"))
         back = named.select("lang", F.col("key").alias("back"), F.col("phrase").alias("back_phrase"))
         # front and back overlap in all words but one each, so the last word of back completes front
@@ -222,7 +304,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, mo
         named = materialise(joined.select("lang", "key", F.concat_ws(" ", "front_phrase", last).alias("phrase"), "a"), f"phrases-{k}")
         out = out.unionByName(named.withColumn("k", F.lit(k)))
         if k < words:
-            occ = materialise(semi_join(extend(occ), found, most_sent), f"phrases-at-{k}")
+            occ = materialise(semi_join(extend(occ), often, most_sent), f"phrases-at-{k}")
     return out.select("lang", "phrase", "k", "a"), totals
 
 
