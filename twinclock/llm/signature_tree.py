@@ -3,7 +3,7 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets link when their Jaccard similarity is ``least``
 hundredths or more. Equal sets are one class from the start. The join of the classes has three steps:
 
-1. *Leaders.* Classes with a MinHash value in common are held against the smallest of them; links found make first components.
+1. *Leaders.* Classes with a MinHash value in common are held against one of them; links found make first components.
    This step decides nothing: it spares the next one the pairs within large groups of near copies, since a pair that is
    connected already needs no link.
 2. *Signature trees.* A class is dealt to the shards of its rarest tokens. Of n tokens, n - ceil(least n / 100) + 1 are enough for
@@ -35,15 +35,17 @@ from twinclock.llm.common import bound_batches, unit_hash
 from twinclock.llm.components import components
 from twinclock.session import materialise
 
-LEAST, WORDS, LEADERS = 80, 5, 4
+LEAST, WORDS, LEADERS = 80, 5, 16
+#: Bits of a bitmap for each token of a set, at least; a power of two.
+SPARSE = 8
 #: Entries of a shard or of a part of one; children of a node; bytes of bitmaps compared at a time.
 CROWD, FAN, CHUNK_BYTES = 20_000, 8, 16 << 20
 #: Pairs of nodes that are opened at a time.
 BLOCK = 1 << 14
 #: Documents sampled for frequent tokens, and documents of the sample that make a token frequent.
 SAMPLE, FREQUENT = 4096, 8
-#: Class names that are sent to all tasks, 8 bytes each; more are joined.
-MOST_SENT = 2_000_000
+#: Ids of documents that are broadcast; with more, their texts are joined.
+MOST_SENT = 1_000_000
 #: Words a worker remembers.
 MOST_WORDS = 500_000
 _ODD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,18 +65,29 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes | None, known: _Words, size: int = WORDS) -> np.ndarray:
-    """The set of a text: sorted distinct hashes of its shingles."""
-    words = text.lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    n = len(words) - width + 1
-    h = np.full(n, width, np.uint64)
-    for k in range(width):
-        h = _stirred(h) * _STIR + code[k: k + n]
-    return np.unique(_stirred(h))
+def batch_sets(texts: list[bytes | None], known: _Words, size: int = WORDS) -> list[np.ndarray]:
+    """The set of each text: sorted distinct hashes of its shingles."""
+    # of bytes: A-Z and ASCII white space only
+    words = [t.lower().split() if t else [] for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    code = np.fromiter((known[x] for w in words for x in w), np.uint64, int(n.sum()))
+    h = np.full(len(code), size, np.uint64)
+    for k in range(size):
+        m = max(0, len(code) - k)
+        h[:m] = _stirred(h[:m]) * _STIR + code[len(code) - m:]
+    h = _stirred(h)
+    out, start = [], 0
+    for many in n.tolist():
+        own = h[start: start + max(0, many - size + 1)]
+        if 0 < many < size:  # the whole sequence as one
+            own = np.full(1, many, np.uint64)
+            for k in range(many):
+                own = _stirred(own) * _STIR + code[start + k]
+            own = _stirred(own)
+        own.sort()
+        out.append(own[np.append(True, own[1:] != own[:-1])] if many else own)
+        start += many
+    return out
 
 
 def name_of(own: np.ndarray) -> int:
@@ -83,8 +96,8 @@ def name_of(own: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: between n and 2 n, and 64 at least."""
-    return max(64, 1 << n.bit_length())
+    """Bits of the bitmap of a set of n tokens: between SPARSE n and 2 SPARSE n."""
+    return max(64, SPARSE << n.bit_length())
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -117,27 +130,13 @@ def _by_row(docs: DataFrame, rows: Callable[[], Callable[[list], list[pa.Array]]
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema).toDF("doc_id", *names)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the class, null without words), n (size of the set), least (its MinHash values), bits (its bitmap)."""
-    def rows():
-        known = _Words()
-
-        def each(texts):
-            own = [shingles(t, known) for t in texts]
-            node = pa.array([name_of(s) if len(s) else None for s in own], pa.int64())
-            least = [_stirred(s ^ _SEEDS[:, None]).min(1).view(np.int64) if len(s) else None for s in own]
-            return np.arange(len(texts)), [node, pa.array([len(s) for s in own], pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([bitmap(s) for s in own], pa.binary())]
-        return each
-    return _by_row(docs, rows, "node bigint, n bigint, least array<bigint>, bits binary")
-
-
 def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
     """Sorted tokens that FREQUENT of about SAMPLE documents have: at most their tokens / FREQUENT."""
     def rows():
         known = _Words()
 
         def each(texts):
-            own = [shingles(t, known) for t in texts]
+            own = batch_sets(texts, known)
             token = np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)
             return np.repeat(np.arange(len(own)), [len(s) for s in own]), [pa.array(token)]
         return each
@@ -153,48 +152,48 @@ def rare_first(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~often], own[often]])
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
-    """token, node: the rarest tokens of every set, as many as it needs to meet whatever it links with."""
+def sets(docs: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
+    """doc_id, node (the class, null without words), n (size of the set), least (its MinHash values), bits (its bitmap), and
+    rare: its rarest tokens, as many as it needs to meet whatever it links with."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows():
         known, often = _Words(), sent.value
 
         def each(texts):
-            own = [s for t in texts if len(s := shingles(t, known))]
-            kept = [rare_first(s, often)[:prefix_length(len(s), least)] for s in own]
-            node = np.repeat(np.array([name_of(s) for s in own], np.int64), [len(k) for k in kept])
-            token = np.concatenate([*kept, np.empty(0, np.uint64)]).view(np.int64)
-            return np.zeros(len(token), np.int64), [pa.array(token), pa.array(node)]
+            own = batch_sets(texts, known)
+            node = pa.array([name_of(s) if len(s) else None for s in own], pa.int64())
+            values = [_stirred(s ^ _SEEDS[:, None]).min(1).view(np.int64) if len(s) else None for s in own]
+            rare = [rare_first(s, often)[:prefix_length(len(s), least)].view(np.int64) if len(s) else None for s in own]
+            return np.arange(len(texts)), [node, pa.array([len(s) for s in own], pa.int64()), pa.array(values, pa.list_(pa.int64())),
+                                           pa.array([bitmap(s) for s in own], pa.binary()), pa.array(rare, pa.list_(pa.int64()))]
         return each
-    return _by_row(docs, rows, "token bigint, node bigint").select("token", "node")
+    return _by_row(docs, rows, "node bigint, n bigint, least array<bigint>, bits binary, rare array<bigint>")
 
 
 def leaders(own: DataFrame) -> DataFrame:
-    """(a, b): classes and the smallest class with which they have a MinHash value in common."""
+    """(a, b): classes and a class with which they have a MinHash value in common.
+
+    Of a group with one value, that class leads whose values are shared most: where copies stem from one text, it is mostly
+    that text, and near to all of them."""
     values = own.where("node is not null").select("node", F.posexplode("least").alias("k", "value")).distinct()
-    heads = values.groupBy("k", "value").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
-    return values.join(heads, ["k", "value"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    sizes = values.groupBy("k", "value").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialise(values.join(sizes, ["k", "value"]), "jaccard-shared")
+    score = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    ranked = shared.join(score, "node")
+    heads = ranked.groupBy("k", "value").agg(F.max(F.struct("score", F.xxhash64("k", "node"), "node")).alias("head")).select("k", "value", "head.node")
+    return shared.join(heads.withColumnRenamed("node", "head"), ["k", "value"]).where("node <> head").select(
+        F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, own: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; a written table) whose whole sets have the similarity."""
-    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
-    sent = None
-    if wanted.count() <= MOST_SENT:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy().astype(np.int64)))
-
+    """Those of ``pairs`` (a, b; a written table) whose whole sets have the similarity. Only texts of these classes are read."""
     def rows():
         known = _Words()
 
         def each(texts):
-            whole = [shingles(t, known) for t in texts]
-            node = np.array([name_of(s) if len(s) else 0 for s in whole], np.int64)
-            at = np.flatnonzero([len(s) > 0 for s in whole])
-            if sent is not None:
-                names = sent.value
-                at = at[names[np.minimum(np.searchsorted(names, node[at]), len(names) - 1)] == node[at]] if len(names) else at[:0]
-            return at, [pa.array(node[at]), pa.array([whole[k].tobytes() for k in at.tolist()], pa.binary())]
+            whole = batch_sets(texts, known)
+            return np.arange(len(texts)), [pa.array([name_of(s) if len(s) else None for s in whole], pa.int64()), pa.array([s.tobytes() for s in whole], pa.binary())]
         return each
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +206,16 @@ def linked(docs: DataFrame, own: DataFrame, pairs: DataFrame, least: int) -> Dat
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    named = own.join(wanted, "node", "left_semi").groupBy("node", F.col("doc_id").alias("lead")).agg(F.count("*").alias("rows"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    named = own.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node", F.col("doc_id").alias("lead")).agg(F.count("*").alias("rows"))
     named = named.groupBy("node").agg(F.min(F.struct(F.col("lead").isNull(), F.col("lead"), F.col("rows"))).alias("first")).select("node", "first.lead", "first.rows")
     named = materialise(named, "jaccard-named")
+    ids = named.select("lead").distinct()
+    if ids.count() <= MOST_SENT:
+        ids = F.broadcast(ids)
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
     # a class is read from one of its documents; a document may have several rows
-    found = _by_row(docs, rows, "node bigint, own binary").alias("f").join(named.alias("l"), (F.col("f.node") == F.col("l.node")) & F.col("doc_id").eqNullSafe(F.col("lead")))
+    found = _by_row(texts, rows, "node bigint, own binary").alias("f").join(named.alias("l"), (F.col("f.node") == F.col("l.node")) & F.col("doc_id").eqNullSafe(F.col("lead")))
     found = found.select("f.node", "own")
     if not named.where("rows > 1").isEmpty():
         found = found.dropDuplicates(["node"])
@@ -333,9 +337,9 @@ def shard_pairs(group: pa.Table, least: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
 
-def candidates(docs: DataFrame, own: DataFrame, roots: DataFrame, n: int, least: int) -> DataFrame:
+def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that the signature trees can't rule out."""
-    rows = prefixes(docs, frequent_tokens(docs, n), least)
+    rows = own.select("node", F.explode("rare").alias("token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     met = materialise(rows.join(shared, "token", "left_semi").distinct(), "jaccard-met")
     met = materialise(met.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
@@ -357,11 +361,10 @@ def candidates(docs: DataFrame, own: DataFrame, roots: DataFrame, n: int, least:
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), one row per row."""
-    own = materialise(sets(docs), "jaccard-sets-of-rows")
-    n = own.count()
+    own = materialise(sets(docs, frequent_tokens(docs, docs.count()), least), "jaccard-sets-of-rows")
     first = materialise(linked(docs, own, materialise(leaders(own), "jaccard-leaders"), least), "jaccard-first")
     roots = materialise(components(first), "jaccard-roots")
-    more = materialise(candidates(docs, own, roots, n, least), "jaccard-candidates")
+    more = materialise(candidates(own, roots, least), "jaccard-candidates")
     second = linked(docs, own, more, least)
     roots = components(materialise(first.unionByName(second), "jaccard-links"))
     rooted = own.select("doc_id", "node", "n").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
