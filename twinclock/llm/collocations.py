@@ -37,7 +37,7 @@ LEAST, WORDS, TOP, COVER = 100, 5, 2000, 100
 #: Frequent keys that are sent to every task; more are joined.
 MOST_SENT = 4_000_000
 #: Keys of a run, keys of a bucket of the group-count.
-RUN, BUCKET = 4_000_000, 2_000_000
+RUN, BUCKET = 1_000_000, 1_000_000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NOWHERE = "und"
 _AS_LINES = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))

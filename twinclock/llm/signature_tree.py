@@ -36,8 +36,10 @@ from twinclock.llm.components import components
 from twinclock.session import materialise
 
 LEAST, WORDS, LEADERS = 80, 5, 16
-#: Bits of a bitmap for each token of a set, at least; a power of two.
-SPARSE = 8
+#: Bits of a bitmap for each token of a set, at least, and most bits; powers of two.
+SPARSE, WIDEST = 4, 1 << 15
+#: MinHash values of LEADERS that a class has in common with its leader, at least.
+ALIKE = 9
 #: Entries of a shard or of a part of one; children of a node; bytes of bitmaps compared at a time.
 CROWD, FAN, CHUNK_BYTES = 20_000, 8, 16 << 20
 #: Pairs of nodes that are opened at a time.
@@ -96,8 +98,8 @@ def name_of(own: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: between SPARSE n and 2 SPARSE n."""
-    return max(64, SPARSE << n.bit_length())
+    """Bits of the bitmap of a set of n tokens: between SPARSE n and 2 SPARSE n. A narrower one rules out less."""
+    return max(64, min(WIDEST, SPARSE << n.bit_length()))
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -182,8 +184,12 @@ def leaders(own: DataFrame) -> DataFrame:
     score = shared.groupBy("node").agg(F.sum("size").alias("score"))
     ranked = shared.join(score, "node")
     heads = ranked.groupBy("k", "value").agg(F.max(F.struct("score", F.xxhash64("k", "node"), "node")).alias("head")).select("k", "value", "head.node")
-    return shared.join(heads.withColumnRenamed("node", "head"), ["k", "value"]).where("node <> head").select(
+    pairs = shared.join(heads.withColumnRenamed("node", "head"), ["k", "value"]).where("node <> head").select(
         F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    least = own.where("node is not null").select("node", "least").distinct()
+    side = lambda name: least.select(F.col("node").alias(name), F.col("least").alias(f"of_{name}"))
+    alike = F.size(F.filter(F.zip_with("of_a", "of_b", lambda x, y: x == y), lambda same: same)) >= ALIKE
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
 
 
 def linked(docs: DataFrame, own: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
@@ -342,11 +348,17 @@ def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     rows = own.select("node", F.explode("rare").alias("token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     met = materialise(rows.join(shared, "token", "left_semi").distinct(), "jaccard-met")
-    met = materialise(met.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
-    apart = met.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    apart = materialise(apart.select("token", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"), "size"), "jaccard-apart")
+    sizes = own.where("node is not null").select("node", "n").distinct()
+    met = met.join(roots, "node", "left").join(sizes, "node").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least + 1e-9))).cast("int") if least < 100 else F.col("n").cast("int")
+    met = materialise(met.select("token", "node", "root", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")), "jaccard-rooted")
+    apart = met.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.count("*").alias("size"))
+    apart = apart.where("low <> high and top = band").select("token", "band", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"), "size")
+    apart = materialise(apart, "jaccard-apart")
     shards = max(1, -(-(apart.agg(F.sum("size")).first()[0] or 0) // CROWD))
-    entries = met.join(apart.select("token", "parts"), "token").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    entries = met.join(apart.select("token", "band", "parts"), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    entries = entries.withColumn("token", F.xxhash64("token", "band")).drop("band", "own")
     # a crowded token has a shard for each pair of its blocks; all others share shards
     entries = entries.select("token", "node", "root", "parts", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     alone = F.col("parts") == 1
@@ -354,7 +366,8 @@ def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
         F.when(alone, F.pmod(F.xxhash64("token"), F.lit(shards))).otherwise(F.col("token")).alias("shard"),
         F.when(alone, F.lit(-1)).otherwise(F.least("block", "other")).alias("first"), F.greatest("block", "other").alias("second"),
         (F.col("block") > F.col("other")).cast("bigint").alias("side"), "token", "node", "root")
-    signs = own.where("node is not null").select("node", "n", "bits").dropDuplicates(["node"])
+    entries = materialise(entries, "jaccard-narrow")
+    signs = own.select("node", "n", "bits").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     entries = materialise(entries.join(signs, "node"), "jaccard-entries")
     return entries.groupBy("shard", "first", "second").applyInArrow(lambda group: shard_pairs(group, least), "a bigint, b bigint").distinct()
 
