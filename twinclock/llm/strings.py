@@ -34,6 +34,10 @@ _TABLE = _codes()
 #: Offsets of the characters after the first, and the weight, of every shape of a feature.
 SHAPES = [(rest, DECAY ** (rest[-1] + 1 - n)) for n in ORDERS for rest in combinations(range(1, n + GAP), n - 1)]
 
+_WEIGHT = dict(SHAPES)
+#: The offsets that can follow the first offsets of a shape.
+_NEXT = {p: sorted({rest[len(p)] for rest, _ in SHAPES if len(rest) > len(p) and rest[:len(p)] == p}) for p in {rest[:k] for rest, _ in SHAPES for k in range(len(rest))}}
+
 
 def encode(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all tokens one after the other, each between its marks, with the start and length of each."""
@@ -70,6 +74,19 @@ def _norm(length: int) -> float:
     return float(np.sqrt(max(1e-9, sum(w * w * max(0, length - rest[-1]) for rest, w in SHAPES))))
 
 
+def _stages(block: np.ndarray):
+    """(shape, numbers) for every shape that fits; shapes with the same first offsets share the work up to there."""
+    stack = [((), block)]
+    while stack:
+        rest, x = stack.pop()
+        if rest in _WEIGHT:
+            yield rest, (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        for at in _NEXT.get(rest, ()):
+            n = block.shape[1] - at
+            if n > 0:
+                stack.append(((*rest, at), x[:, :n] * np.uint32(0x01000193) ^ block[:, at: at + n]))
+
+
 def score(tokens: list[str], weights: np.ndarray) -> np.ndarray:
     """Inner product of each token's normalised features with ``weights``; tokens must not hold a line feed."""
     out = np.zeros(len(tokens))
@@ -77,9 +94,14 @@ def score(tokens: list[str], weights: np.ndarray) -> np.ndarray:
         return out
     for who, block in _blocks(tokens):
         total = np.zeros(len(who))
-        for rest, w in SHAPES:
-            if block.shape[1] > rest[-1]:
-                total += w * weights[_numbers(block, rest)].sum(1)
+        spans: dict[float, np.ndarray] = {}
+        for rest, number in _stages(block):
+            w = _WEIGHT[rest]
+            if w not in spans:
+                spans[w] = np.zeros(block.shape, np.float32)
+            spans[w][:, :number.shape[1]] += weights.take(number)
+        for w, values in spans.items():
+            total += w * values.sum(1, dtype=np.float64)
         out[who] = total / _norm(block.shape[1])
     return out
 

@@ -24,17 +24,23 @@ from twinclock.llm import strings
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 #: Characters of two neighbouring words that can be read as one, "gap ped"; most words that are known to be whole.
 JOINED, MOST_WHOLE = range(4, 25), 50_000
-PIECE = 1 << 18
+#: Characters scored at a time, words gathered from texts before they are scored.
+PIECE, TOKENS = 1 << 19, 300_000
 
 
-def words(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> list[str]:
-    """The words of a text, its spaced words, and each two neighbours read as one, if that is one of ``insults`` or one of
+def parts(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """The words of a text; its spaced words, and each two neighbours read as one, if that is one of ``insults`` or one of
     the two is not known to be a word (``whole``; nothing is known if it is empty, and nothing else is joined)."""
     text = text.lower()
     own = text.split()
     odd = [w not in whole for w in own] if whole else [False] * len(own)
     joined = [a + b for a, b, x, y in zip(own, own[1:], odd, odd[1:]) if (x or y) and len(a) + len(b) in JOINED or a + b in insults]  # noqa: B905
-    return own + joined + ["".join(m.split()) for m in SPACED.findall(text)]
+    return own, joined + ["".join(m.split()) for m in SPACED.findall(text)]
+
+
+def words(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> list[str]:
+    own, made = parts(text, whole, insults)
+    return own + made
 
 
 @dataclass
@@ -56,39 +62,49 @@ class Model:
 
 
 class Scorer:
-    """Margins of texts: the largest margin of their words. Remembers the margins of at most ``remember`` words."""
+    """Margins of texts: the largest margin of their words.
+
+    Remembers the margins of at most ``remember`` words, those in use longest: when half of them are new, the older half that
+    no text has used since is forgotten. Words made of two neighbours rarely come again and are not remembered."""
 
     def __init__(self, model: Model, remember: int = 250_000):
-        self.model, self.remember, self.known = model, remember, {}
+        self.model, self.remember, self.known, self.older = model, remember, {}, {}
 
-    def _learn(self, fresh: set[str]) -> None:
-        batch, size = [], 0
+    def _margins(self, fresh: set[str]) -> dict[str, float]:
+        out, batch, size = {}, [], 0
         for t in fresh:
             batch.append(t)
             size += len(t) + 2
             if size > PIECE:
-                self.known.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
+                out.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
                 batch, size = [], 0
         if batch:
-            self.known.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
-
-    def _some(self, bags: list[set[str]]) -> list[float]:
-        fresh = set().union(*bags) - self.known.keys()
-        if len(self.known) + len(fresh) > self.remember:
-            self.known.clear()
-            fresh = set().union(*bags)
-        self._learn(fresh)
-        return [max(map(self.known.__getitem__, bag), default=self.model.bias) for bag in bags]
+            out.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
+        return out
+
+    def _some(self, bags: list[set[str]], made: list[set[str]]) -> list[float]:
+        if len(self.known) > self.remember // 2:
+            self.known, self.older = {}, self.known
+        needed = set().union(*bags) - self.known.keys()
+        again = needed & self.older.keys()
+        self.known.update((t, self.older[t]) for t in again)
+        self.known.update(self._margins(needed - again))
+        once = self._margins(set().union(*made) - self.known.keys())
+        once.update((t, self.known[t]) for own in made for t in own if t in self.known)
+        return [max(max(map(self.known.__getitem__, own), default=self.model.bias), max(map(once.__getitem__, more), default=-np.inf)) if own or more else self.model.bias
+                for own, more in zip(bags, made, strict=True)]
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        out, bags, size = [], [], 0
+        out, bags, made, size = [], [], [], 0
         for text in texts:
-            bags.append(set(words(text, self.model.whole, self.model.insults)) if text else set())
-            size += len(bags[-1])
-            if size > 100_000:
-                out += self._some(bags)
-                bags, size = [], 0
-        return np.array(out + self._some(bags), float) if bags else np.array(out, float)
+            own, more = parts(text, self.model.whole, self.model.insults) if text else ((), ())
+            bags.append(set(own))
+            made.append(set(more))
+            size += len(bags[-1]) + len(made[-1])
+            if size > TOKENS:
+                out += self._some(bags, made)
+                bags, made, size = [], [], 0
+        return np.array(out + self._some(bags, made), float) if bags else np.array(out, float)
 
 
 _own: list[Scorer] = []
