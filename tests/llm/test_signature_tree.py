@@ -90,6 +90,7 @@ def test_trees_alone_find_all_links(spark, monkeypatch):
     assert got(S.near_duplicates(df)) == want
     monkeypatch.setattr(S, "CROWD", 3)
     monkeypatch.setattr(S, "MOST_SENT", 0)
+    monkeypatch.setattr(S, "MOST_TOKENS", 0)
     monkeypatch.setattr(S, "FREQUENT", 2)
     assert got(S.near_duplicates(df)) == want
 

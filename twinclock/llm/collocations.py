@@ -38,6 +38,8 @@ LEAST, WORDS, TOP, COVER = 100, 5, 2000, 100
 MOST_SENT = 4_000_000
 #: Keys of a run, keys of a bucket of the group-count.
 RUN, BUCKET = 1_000_000, 1_000_000
+#: Words of a language that a task remembers.
+MOST_WORDS = 60_000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NOWHERE = "und"
 _AS_LINES = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
@@ -130,7 +132,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             cuts, flat, gaps = [0], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if lang not in keys or len(keys[lang]) > 500_000:
+                if lang not in keys or len(keys[lang]) > MOST_WORDS:
                     keys[lang] = _Keys(lang)
                 key = keys[lang]
                 for n, piece in enumerate(pieces(text)):

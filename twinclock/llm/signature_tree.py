@@ -48,8 +48,10 @@ BLOCK = 1 << 14
 SAMPLE, FREQUENT = 4096, 8
 #: Ids of documents that are broadcast; with more, their texts are joined.
 MOST_SENT = 1_000_000
+#: Tokens that are sent to all tasks, 8 bytes each; more are joined.
+MOST_TOKENS = 4_000_000
 #: Words a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 _ODD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, LEADERS, np.uint64)
 
@@ -343,11 +345,29 @@ def shard_pairs(group: pa.Table, least: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
 
+def _of_tokens(own: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those of ``rows`` (node, token; the rare tokens of ``own``) that have one of the tokens. Up to MOST_TOKENS tokens are
+    sent to the rows, more are joined."""
+    if shared.count() > MOST_TOKENS:
+        return rows.join(shared, "token", "left_semi").select("token", "node")
+    sent = own.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy().astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            rare = batch.column("rare")
+            token = rare.flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), np.diff(rare.offsets.to_numpy()))
+            met = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token if len(known) else np.zeros(len(token), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(token[met]), pa.array(node[met])], ["token", "node"])
+    return own.where("node is not null").select("node", "rare").mapInArrow(run, "token bigint, node bigint")
+
+
 def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that the signature trees can't rule out."""
     rows = own.select("node", F.explode("rare").alias("token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    met = materialise(rows.join(shared, "token", "left_semi").distinct(), "jaccard-met")
+    met = materialise(_of_tokens(own, rows, materialise(shared, "jaccard-tokens")).distinct(), "jaccard-met")
     sizes = own.where("node is not null").select("node", "n").distinct()
     met = met.join(roots, "node", "left").join(sizes, "node").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
     # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one

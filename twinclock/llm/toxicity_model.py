@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,13 +29,19 @@ JOINED, MOST_WHOLE = range(4, 25), 50_000
 PIECE, TOKENS = 1 << 19, 300_000
 
 
+@lru_cache(2)
+def _heads(insults: frozenset[str]) -> frozenset[str]:
+    return frozenset(w[:k] for w in insults for k in range(len(w) + 1))
+
+
 def parts(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
     """The words of a text; its spaced words, and each two neighbours read as one, if that is one of ``insults`` or one of
     the two is not known to be a word (``whole``; nothing is known if it is empty, and nothing else is joined)."""
     text = text.lower()
     own = text.split()
     odd = [w not in whole for w in own] if whole else [False] * len(own)
-    joined = [a + b for a, b, x, y in zip(own, own[1:], odd, odd[1:]) if (x or y) and len(a) + len(b) in JOINED or a + b in insults]  # noqa: B905
+    heads = _heads(insults)
+    joined = [a + b for a, b, x, y in zip(own, own[1:], odd, odd[1:]) if (x or y) and len(a) + len(b) in JOINED or a in heads and a + b in insults]  # noqa: B905
     return own, joined + ["".join(m.split()) for m in SPACED.findall(text)]
 
 
@@ -67,7 +74,7 @@ class Scorer:
     Remembers the margins of at most ``remember`` words, those in use longest: when half of them are new, the older half that
     no text has used since is forgotten. Words made of two neighbours rarely come again and are not remembered."""
 
-    def __init__(self, model: Model, remember: int = 250_000):
+    def __init__(self, model: Model, remember: int = 600_000):
         self.model, self.remember, self.known, self.older = model, remember, {}, {}
 
     def _margins(self, fresh: set[str]) -> dict[str, float]:
