@@ -133,10 +133,11 @@ def hunk_lines(lines: DataFrame, context: int = HUNK_CONTEXT) -> DataFrame:
     touching windows merged. A pair without changes keeps one row without hunk. A pair's lines come from one row of
     the comparison, so they fit a task."""
     per_pair = Window.partitionBy("pair_id").orderBy("seq")
+    from_end = Window.partitionBy("pair_id").orderBy(F.desc("seq"))
     change = F.when(F.col("type") != "same", F.col("seq"))
     nearest = lines.withColumns({
         "before": F.last(change, True).over(per_pair.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(change, True).over(per_pair.rowsBetween(0, Window.unboundedFollowing)),
+        "after": F.last(change, True).over(from_end.rowsBetween(Window.unboundedPreceding, 0)),
         "nth": F.row_number().over(per_pair)})
     near = (F.col("seq") - F.col("before") <= context) | (F.col("after") - F.col("seq") <= context)
     # no change before or after: the pair has none; its first row stands for it

@@ -227,7 +227,7 @@ def text_checks(texts: DataFrame, events: DataFrame) -> DataFrame:
         _bad("a text is available exactly with a digest", ERROR, "status", "violations"))
 
 
-def agreement_check(timeline: DataFrame, mirror: DataFrame, start, max_rows: int | None = None, strategy: str = "as_of") -> DataFrame:
+def agreement_check(timeline: DataFrame, mirror: DataFrame, start, max_rows: int | None = None, strategy: str = "carry") -> DataFrame:
     """Timeline and mirror give the same answer at every boundary and a second before it; ``strategy`` as in
     ``cross_check``."""
     probes = (timeline.filter(F.col("valid_from") >= ntz(start))

@@ -90,6 +90,13 @@ class _Step:
     merge: Callable[[Column, Column, WindowSpec], Column]
 
 
+def _to_end(value: Column, w: WindowSpec, start: int) -> Column:
+    """Sum from the row, or the one after it, to the end. A frame that ends with the partition would be summed anew for every
+    row; the whole and what comes before are each summed once."""
+    before = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, start - 1))
+    return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.coalesce(before, F.lit(0))
+
+
 class Scan:
     """Adds window columns over rows of each key, ordered by ``order``; see the module text.
 
@@ -164,11 +171,9 @@ class Scan:
         """Sum up to and including the row, or from it to the end; ``col`` may be a literal, as in ``F.lit(1)`` for a
         row number."""
         value = F.col(col) if isinstance(col, str) else col
-        inside = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
-        across = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
         return self._add(col if isinstance(col, str) else None, _Step(
-            out, lambda w: F.sum(value).over(w.rowsBetween(*inside)), F.sum(value),
-            lambda s, v: F.sum(v).over(s.rowsBetween(*across)),
+            out, lambda w: _to_end(value, w, 0) if backward else F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(value),
+            lambda s, v: _to_end(v, s, 1) if backward else F.sum(v).over(s.rowsBetween(Window.unboundedPreceding, -1)),
             lambda inside, carry, w: inside + F.coalesce(carry, F.lit(0))))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Scan:

@@ -156,11 +156,11 @@ def mirror_answers(mirror: DataFrame, probes: DataFrame, strategy: str = "as_of"
     return probes.join(found, "probe_id", "left")
 
 
-def cross_check(timeline: DataFrame, mirror: DataFrame, probes: DataFrame, max_rows: int | None = None, strategy: str = "as_of") -> DataFrame:
+def cross_check(timeline: DataFrame, mirror: DataFrame, probes: DataFrame, max_rows: int | None = None, strategy: str = "carry") -> DataFrame:
     """Application-time answer against mirror answer, per probe.
 
-    ``as_of`` asks the mirror by its own predicate. ``carry`` asks both in one linear scan: for probe sets that are large
-    on single entities."""
+    ``carry`` asks both in one linear scan. ``as_of`` asks the mirror by its own predicate, which joins a probe with every
+    version of its entity: for entities with few of either."""
     if strategy == "carry":
         both = answers_of({"app": timeline, "mirror": mirror_intervals(mirror)}, probes, max_rows)
         both = both.select("probe_id", "entity", "t", F.col("app.rev_id").alias("app_rev"), F.col("mirror.rev_id").alias("mirror_rev"))

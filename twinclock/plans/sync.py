@@ -189,15 +189,19 @@ def backfill_beliefs(events: DataFrame, checkpoints: list[tuple[str, str]], max_
 # ---- against the store ---------------------------------------------------------------------------
 
 def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batch_id: int, run_id: int = 1,
-              skip: DataFrame | None = None, whole_input: bool = False, entities: DataFrame | None = None) -> dict:
+              skip: DataFrame | None = None, whole_input: bool = False, entities: DataFrame | None = None,
+              epoch: tuple[str, int] | None = None) -> dict:
     """One step for all entities as batch ``batch_id``; the commit row makes it visible.
 
     ``events`` may carry sha1 and text: a new event whose shown text does not fit its digest then fails the entity's step
     and nothing else; hidden and already stored events fail nothing. ``entities``: all that are to be synced; without it
     the events are read for them. ``whole_input`` takes the given events as they are (a micro-batch) instead of reading
-    resume ranges, and leaves the synced ranges alone.
+    resume ranges, and leaves the synced ranges alone. ``epoch``: the stream and its micro-batch that the batch holds.
     """
     store.begin(batch_id)
+    if epoch is not None:
+        row = store.spark.range(1).coalesce(1).select(F.lit(epoch[0]).alias("stream"), F.lit(epoch[1]).cast("bigint").alias("epoch"))
+        store.write("epochs", batch_id, row)
     state = store.state()
     read = events if whole_input else events_to_read(events, state, start, cutoff, entities)
     if "is_baseline" not in read.columns:
@@ -304,9 +308,22 @@ def _writes(store: Store, plan: DataFrame, batch_id: int, at, settled: DataFrame
 
 
 def run_sync(store: Store, events: DataFrame, start, checkpoints: list[tuple[str, str]], run_id: int = 1) -> str:
-    """Ordered steps, each committed before the next. The loop is over steps; all entities go in parallel."""
+    """Ordered steps, each committed before the next. The loop is over steps; all entities go in parallel. The run log says
+    running from the start, and failed if a step raises."""
     if checkpoints and not str(start) < str(checkpoints[-1][0]):
         raise ValueError(f"run window {start} .. {checkpoints[-1][0]} is empty")
+    end = checkpoints[-1][0] if checkpoints else start
+    store.log_run(run_id, start, end, "running", None)
+    try:
+        status, failed = _steps(store, events, start, checkpoints, run_id)
+    except Exception:
+        store.log_run(run_id, start, end, "failed", None)
+        raise
+    store.log_run(run_id, start, end, status, failed)
+    return status
+
+
+def _steps(store: Store, events: DataFrame, start, checkpoints: list[tuple[str, str]], run_id: int) -> tuple[str, DataFrame | None]:
     failed: DataFrame | None = None
     n_failed = 0
     total = 0
@@ -317,9 +334,7 @@ def run_sync(store: Store, events: DataFrame, start, checkpoints: list[tuple[str
         n_failed += c["entities_failed"]
         if c["entities_failed"]:   # a failed entity would only fail again in the later steps of this run
             failed = c["failed"] if failed is None else failed.unionByName(c["failed"])
-    status = run_status(total, n_failed)
-    store.log_run(run_id, start, checkpoints[-1][0] if checkpoints else start, status, failed)
-    return status
+    return run_status(total, n_failed), failed
 
 
 def checkpoint_report(store: Store) -> DataFrame:

@@ -267,6 +267,25 @@ def _(t):
     return shown(store.versions())
 
 
+# A stream and batch runs write one store in turn; nothing of either is lost.
+@query("stream_after_run_sync", f"WITH {EV}, {timeline()} SELECT entity, rev_id, valid_from, {open_end('valid_to')} AS valid_to FROM tl")
+def _(t):
+    landing, checkpoint, path = (new_table_path(t.spark, n) for n in ("landing", "checkpoint", "mixed"))
+    store = Store(t.spark, path)
+    ev = t.orders.select("entity", "rev_id", "ts")
+
+    def stream(part, year):
+        ev.filter(part).write.mode("append").parquet(landing)
+        jobs.stream_sync(jobs.read_event_stream(t.spark, landing, ev.schema), store, checkpoint, lambda n: f"{year}-01-{n:02d} 00:00:00").awaitTermination()
+
+    years = F.year("ts")
+    E.run_sync(store, ev.filter(years < 1995), "1900-01-01 00:00:00", [("1994-01-01 00:00:00", "2002-01-01 00:00:00"), ("1995-01-01 00:00:00", "2002-01-02 00:00:00")])
+    stream((years >= 1995) & (years < 1997), 2003)
+    E.run_sync(store, ev.filter(years < 1998), "1900-01-01 00:00:00", [("1998-01-01 00:00:00", "2004-01-01 00:00:00")], run_id=2)
+    stream(years >= 1998, 2005)
+    return shown(store.current()).drop("row_start", "row_end")
+
+
 @query("stream_lateness", f"""WITH {EV}, {STATE} SELECT count(*) FILTER (WHERE ts < synced_through) AS late, count(*) AS seen FROM ev JOIN st USING (entity)""")
 def _(t):
     return jobs.lateness(t.orders, state_of(t))

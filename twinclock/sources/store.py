@@ -31,6 +31,7 @@ BELIEF = "entity {e}, rev_id BIGINT, valid_from TIMESTAMP_NTZ, valid_to TIMESTAM
 STATE = "entity {e}, synced_from TIMESTAMP_NTZ, synced_through TIMESTAMP_NTZ, last_batch BIGINT"
 COUNTERS = ["seen", "inserted", "skipped", "texts", "raw_bytes", "trims", "deletes", "inserts", "shadowed",
             "entities_total", "entities_failed", "unsettled"]
+EPOCH = "stream STRING, epoch BIGINT"
 _FLOORS = T.StructType([T.StructField("floor", T.TimestampNTZType())])
 COMMIT = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("run_id", T.LongType()),
@@ -185,6 +186,11 @@ class Store:
         year = str(at)[:4]
         df.write.mode("overwrite").parquet(f"{self.path}/history/end_year={year}/batch_id={batch_id}")
 
+    def has_epoch(self, stream: str, epoch: int) -> bool:
+        """Whether a committed batch holds this epoch of a stream."""
+        done = self._committed("epochs", EPOCH)
+        return not done.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
+
     def log_run(self, run_id: int, start, end, status: str, failed: DataFrame | None) -> None:
         """One row per run, and one per failed entity with its reason, under runs/run_id=N."""
         row = self.spark.range(1).select(F.lit(None).cast(self.entity_type).alias("entity"), ntz(start).alias("window_start"),

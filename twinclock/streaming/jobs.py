@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from twinclock.plans.sync import sync_step
+from twinclock.sources.revisions import new_events
 from twinclock.sources.store import Store
 
 
@@ -25,19 +26,22 @@ def stream_sync(events: DataFrame, store: Store, checkpoint: str, clock: Callabl
     """Every micro-batch is one sync step. There is no watermark: an event may be arbitrarily late, its
     interval is re-planned and the belief it corrects is kept.
 
-    ``clock`` gives the system time of a batch, so a replayed batch gets the same one. A batch that was
-    committed before a crash is recognised by its number and left alone. A stream knows nothing of events that did not
-    arrive, so it records no synced ranges: a later ``run_sync`` reads the whole window.
+    ``clock`` gives the system time of the stream's n-th batch, from 1, so a replayed batch gets the same one. A batch that
+    was committed before a crash is recognised by the stream's checkpoint and its epoch, and left alone; the store numbers
+    its batches on its own, so ``run_sync`` may write it before, between and after. A stream knows nothing of events that
+    did not arrive, so it records no synced ranges: a later ``run_sync`` reads the whole window.
     """
     def step(batch: DataFrame, epoch: int) -> None:
-        batch_id = epoch + 1
-        if batch_id <= store.refresh():
+        batch_id = store.refresh() + 1
+        if store.has_epoch(checkpoint, epoch):
             return
         batch = batch.dropDuplicates(["rev_id"])
         horizon = batch.agg(F.max("ts").cast("string").alias("t")).first()["t"]
-        if horizon is None:
+        stored = store.events("rev_id BIGINT, ts TIMESTAMP_NTZ")
+        # a stream that lost its checkpoint brings what the store has
+        if horizon is None or stored is not None and new_events(batch, stored).isEmpty():
             return
-        sync_step(store, batch, start, horizon, clock(batch_id), batch_id, run_id, whole_input=True)
+        sync_step(store, batch, start, horizon, clock(epoch + 1), batch_id, run_id, whole_input=True, epoch=(checkpoint, epoch))
 
     return (events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
