@@ -125,7 +125,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("a").alias("a"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, among=None) -> DataFrame:
     """R_1 (lang, pos, key): every word of a document, with a free position after each piece."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, _Keys] = {}
@@ -142,7 +142,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             starts, sizes = np.array(cuts), np.array(gaps, np.int64).reshape(-1, 2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             pos = np.arange(len(flat)) - starts[row] + np.repeat(sizes[:, 1], sizes[:, 0])
-            yield _nested(batch, row, pos, np.array(flat, np.uint64).view(np.int64))
+            yield _nested(batch, *_chosen(among, row, pos, np.array(flat, np.uint64).view(np.int64)))
     return _documents(docs).mapInArrow(place, OCCURRENCES)
 
 
@@ -158,12 +158,12 @@ def _with_keys(words: DataFrame) -> DataFrame:
     return words.mapInArrow(add, "lang string, word binary, a bigint, key bigint")
 
 
-def extend(occ: DataFrame) -> DataFrame:
+def extend(occ: DataFrame, among=None) -> DataFrame:
     """R_{k+1} from R_k, by the merge-join; phrases not yet known to be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, pos, front, back = _next_length(batch)
-            yield _nested(batch, row, pos, _joined(front, back))
+            yield _nested(batch, *_chosen(among, row, pos, _joined(front, back)))
     return occ.mapInArrow(run, OCCURRENCES)
 
 
@@ -259,19 +259,19 @@ def phrase_parts(occ: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT
     return occ.mapInArrow(run, PARTS).distinct().join(frequent, "key")
 
 
-def semi_join(occ: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """The occurrences of ``occ`` whose key is one of ``frequent`` (a written table)."""
-    among = _sent(occ, frequent, most_sent)
-    if among is None:
-        return _semi_join_as_rows(occ, frequent)
+def semi_join(occur, source: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """The occurrences that ``occur`` (``occurrences`` or ``extend``) makes of ``source``, if their key is one of ``frequent``
+    (a written table). Keys that can be sent are looked up where the occurrences are made."""
+    among = _sent(source, frequent, most_sent)
+    return _semi_join_as_rows(occur(source), frequent) if among is None else occur(source, among)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, pos, key = _flat(batch)
-            own, at = np.unique(key, return_inverse=True)
-            kept = among(own)[at]
-            yield _nested(batch, row[kept], pos[kept], key[kept])
-    return occ.mapInArrow(keep, OCCURRENCES)
+
+def _chosen(among, row: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    if among is None:
+        return row, pos, key
+    own, at = np.unique(key, return_inverse=True)
+    kept = among(own)[at]
+    return row[kept], pos[kept], key[kept]
 
 
 def _semi_join_as_rows(occ: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, mo
     totals = materialise(counted.groupBy("lang").agg(F.sum("a").alias("n")), "phrases-totals")
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     named = materialise(_with_keys(counted.where(F.col("a") >= least)).select("lang", "key", F.col("word").cast("string").alias("phrase"), "a"), "phrases-1")
-    occ = materialise(semi_join(occurrences(docs), named, most_sent), "phrases-at-1")
+    occ = materialise(semi_join(occurrences, docs, named, most_sent), "phrases-at-1")
     last = F.element_at(F.split("back_phrase", " "), -1)
     out = named.withColumn("k", F.lit(1))
     for k in range(2, words + 1):
@@ -306,7 +306,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, mo
         named = materialise(joined.select("lang", "key", F.concat_ws(" ", "front_phrase", last).alias("phrase"), "a"), f"phrases-{k}")
         out = out.unionByName(named.withColumn("k", F.lit(k)))
         if k < words:
-            occ = materialise(semi_join(extend(occ), often, most_sent), f"phrases-at-{k}")
+            occ = materialise(semi_join(extend, occ, often, most_sent), f"phrases-at-{k}")
     return out.select("lang", "phrase", "k", "a"), totals
 
 
