@@ -47,11 +47,15 @@ def revisions_at(timeline: DataFrame, probes: DataFrame, strategy: str = "carry"
                probes after it: one shuffle, linear work, hot entities cut into slices.
     ``join``   equi join on the entity with the interval test as residual, at any size; whether one side is broadcast
                is left to the optimiser. Work grows as probes x intervals of an entity.
+    ``bucket`` each interval is repeated for the months it covers, as far as there are probes, and joined on (entity, month).
+               A giant entity falls into as many keys as months; a probe meets the intervals of its month only.
     """
     if strategy == "carry":
         return _carry(timeline, probes, max_rows)
+    if strategy == "bucket":
+        return _by_month(timeline, probes)
     if strategy != "join":
-        raise ValueError("strategy is carry or join")
+        raise ValueError("strategy is carry, join or bucket")
     rows = timeline.select("entity", "rev_id", "valid_from", "valid_to")
     wanted = probes.select("probe_id", "entity", "t")
     found = (rows.join(wanted, "entity")
@@ -60,6 +64,27 @@ def revisions_at(timeline: DataFrame, probes: DataFrame, strategy: str = "carry"
     return wanted.join(found, "probe_id", "left")
 
 
+def _by_month(timeline: DataFrame, probes: DataFrame) -> DataFrame:
+    def month(at: Column) -> Column:
+        return F.year(at) * 12 + F.month(at)
+
+    wanted = probes.select("probe_id", "entity", "t")
+    span = wanted.agg(F.min(month(F.col("t"))).alias("lo"), F.max(month(F.col("t"))).alias("hi")).first()
+    if span["lo"] is None:
+        lo, hi = 1, 0
+    else:
+        lo, hi = span["lo"], span["hi"]
+    first = F.greatest(month(F.col("valid_from")), F.lit(lo))
+    # half-open: an interval that ends at a month's first instant does not reach into it
+    last = F.least(month(F.col("valid_to") - F.expr("interval 1 microsecond")), F.lit(hi))
+    rows = (timeline.filter((first <= last) & (F.col("valid_from") < F.col("valid_to")))
+            .select("entity", "rev_id", "valid_from", "valid_to", F.explode(F.sequence(first, last)).alias("month")))
+    found = (wanted.withColumn("month", month(F.col("t"))).join(rows, ["entity", "month"])
+             .filter((F.col("valid_from") <= F.col("t")) & (F.col("t") < F.col("valid_to")))
+             .select("probe_id", "rev_id", "valid_from", "valid_to"))
+    return wanted.join(found, "probe_id", "left")
+
+
 def latest_before(events: DataFrame, probes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Last event with ts <= t per probe, without intervals; highest rev_id wins a tie."""
     rows = events.select("entity", "rev_id", F.col("ts").alias("valid_from"), infinity().alias("valid_to"))

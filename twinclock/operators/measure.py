@@ -46,6 +46,7 @@ def strategy_agreement(timeline: DataFrame, events: DataFrame, mirror: DataFrame
     answers = {
         "carry": L.revisions_at(timeline, probes, "carry", max_rows),
         "join": L.revisions_at(timeline, probes, "join"),
+        "bucket": L.revisions_at(timeline, probes, "bucket"),
         "events": aggregate_answers(events, probes),
         "mirror": D.mirror_answers(mirror, probes, "as_of")}
     rows = None

@@ -108,6 +108,17 @@ def from_to(versions: DataFrame, a, b) -> DataFrame:
     return versions.filter((F.col("row_start") < ntz(b)) & (F.col("row_end") > ntz(a)))
 
 
+def trail(versions: DataFrame, what: str = "rev_id", separator: str = " ") -> DataFrame:
+    """Per entity its versions as one text, in the order they came: ``what`` of each, joined by ``separator``.
+
+    Nulls of ``what`` are left out of the text but counted. The text of an entity is one value, so cut the versions to a
+    range first (``between``, ``from_to``) where an entity has a long history."""
+    between = separator.replace("\\", "\\\\").replace("'", "\\'")
+    # the DataFrame function has no order, the SQL one has
+    text = F.expr(f"listagg(CAST(`{what}` AS STRING), '{between}') WITHIN GROUP (ORDER BY row_start, rev_id)")
+    return versions.groupBy("entity").agg(text.alias("revisions" if what == "rev_id" else what), F.count(F.lit(1)).alias("versions"))
+
+
 def all_versions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("is_current", F.col("row_end") == system_max())
 
@@ -145,11 +156,12 @@ def mirror_answers(mirror: DataFrame, probes: DataFrame, strategy: str = "as_of"
 
     ``as_of``  the AS OF predicate per probe, an access path of its own; work grows as probes x versions of an entity.
     ``carry``  the mirror read as a timeline, in one linear scan.
+    ``bucket``  the mirror read as a timeline, joined month by month.
     """
-    if strategy == "carry":
-        return revisions_at(mirror_intervals(mirror), probes, "carry", max_rows)
+    if strategy in ("carry", "bucket"):
+        return revisions_at(mirror_intervals(mirror), probes, strategy, max_rows)
     if strategy != "as_of":
-        raise ValueError("strategy is as_of or carry")
+        raise ValueError("strategy is as_of, carry or bucket")
     rows = mirror.select("entity", "rev_id", "row_start", "row_end")
     at = (F.col("row_start") <= F.col("t")) & (F.col("row_end") > F.col("t"))
     found = probes.join(rows, "entity").filter(at).select("probe_id", "rev_id", F.col("row_start").alias("valid_from"))

@@ -54,6 +54,32 @@ class TemporalReader:
         return D.all_versions(self._tables[name])
 
 
+def define_functions(spark: SparkSession, timeline: DataFrame, versions: DataFrame, prefix: str = "") -> None:
+    """SQL table functions of this session over a timeline and its row versions; a second call replaces them.
+
+    ``rev_at(at)`` the interval of every entity at an instant, ``rev_of(who, at)`` that of one entity, also per row of another
+    table by ``LATERAL``, ``believed_at(known, at)`` what was believed at ``known`` about ``at``, ``versions_between(a, b)``
+    the versions current at some moment of [a, b]. Their bodies are plain filters, so the optimiser sees through them;
+    ``LATERAL rev_of`` becomes a join on the entity, whose work grows as probes x intervals of an entity.
+    """
+    for name, df in (("timeline", timeline), ("versions", versions)):
+        df.createOrReplaceTempView(f"{prefix}{name}_rows")
+    entity = timeline.schema["entity"].dataType.simpleString()
+    interval = f"entity {entity}, rev_id BIGINT, valid_from TIMESTAMP_NTZ, valid_to TIMESTAMP_NTZ"
+    shown = "v.entity, v.rev_id, v.valid_from, v.valid_to"
+    valid = "v.valid_from <= {f}.at AND {f}.at < v.valid_to"
+    bodies = {
+        "rev_at": ("at TIMESTAMP_NTZ", interval, f"SELECT {shown} FROM {prefix}timeline_rows v WHERE {valid}"),
+        "rev_of": (f"who {entity}, at TIMESTAMP_NTZ", interval, f"SELECT {shown} FROM {prefix}timeline_rows v WHERE v.entity = {{f}}.who AND {valid}"),
+        "believed_at": ("known TIMESTAMP_NTZ, at TIMESTAMP_NTZ", interval,
+                        f"SELECT {shown} FROM {prefix}versions_rows v WHERE v.row_start <= {{f}}.known AND {{f}}.known < v.row_end AND {valid}"),
+        "versions_between": ("a TIMESTAMP_NTZ, b TIMESTAMP_NTZ", f"{interval}, row_start TIMESTAMP_NTZ, row_end TIMESTAMP_NTZ",
+                             f"SELECT {shown}, v.row_start, v.row_end FROM {prefix}versions_rows v WHERE v.row_start <= {{f}}.b AND v.row_end > {{f}}.a")}
+    for name, (arguments, returned, body) in bodies.items():
+        function = f"{prefix}{name}"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}({arguments}) RETURNS TABLE ({returned}) RETURN {body.format(f=function)}")
+
+
 def middle(start: str, end: str) -> str:
     a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
     return str((a + (b - a) / 2).replace(microsecond=0))

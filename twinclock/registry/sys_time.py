@@ -9,7 +9,7 @@ from twinclock.plans import sync
 from twinclock.plans.reader import TemporalReader, lab
 from twinclock.registry.app_time import P1, P2, T0, probes_of, shown
 from twinclock.registry.core import query
-from twinclock.registry.sql import (CHECKPOINTS, COMMITS, DOC, END, EV, INF, PROBES, START, SYS_MAX, beliefs, mirror,
+from twinclock.registry.sql import (CHECKPOINTS, COMMITS, CUTOFFS, DOC, END, EV, INF, PROBES, START, SYS_MAX, beliefs, mirror,
                                     open_end, timeline)
 from twinclock.schema import ntz, null_if_open
 
@@ -127,15 +127,88 @@ def _(t):
 
 
 # Priority 5 orders stand for deletes.
-@query("scd2_with_deletes", f"""WITH {EV}, lg AS (SELECT *, CASE WHEN priority = '5-LOW' THEN 'D' ELSE 'U' END AS op FROM ev),
+DELETES = f"""WITH {EV}, lg AS (SELECT *, CASE WHEN priority = '5-LOW' THEN 'D' ELSE 'U' END AS op FROM ev),
   g AS (SELECT entity, ts, max(CASE WHEN op <> 'D' THEN rev_id END) AS rev_id, arg_max(op, rev_id) AS last_op FROM lg GROUP BY entity, ts),
   n AS (SELECT *, lead(ts) OVER (PARTITION BY entity ORDER BY ts) AS nx FROM g)
   SELECT n.entity, n.rev_id, e.status, n.ts AS row_start, CASE WHEN last_op = 'D' THEN n.ts ELSE coalesce(nx, {SYS_MAX}) END AS row_end
-  FROM n JOIN ev e ON e.rev_id = n.rev_id""")
+  FROM n JOIN ev e ON e.rev_id = n.rev_id"""
+
+
+def change_log(t):
+    return t.orders.select("entity", "rev_id", "ts", "status",
+                           F.when(F.col("priority") == "5-LOW", "D").otherwise("U").alias("op"))
+
+
+@query("scd2_with_deletes", DELETES)
+def _(t):
+    return D.scd2_with_deletes(change_log(t))
+
+
+def mirror_in_batches(t):
+    """Three batches up to these instants; the second is sent again after it and after the third."""
+    from twinclock.session import new_table_path
+    from twinclock.sources.mirror import Mirror
+    table, log, after = Mirror(t.spark, new_table_path(t.spark, "mirror"), snapshot_every=2), change_log(t), None
+    parts = []
+    for end in (CUTOFFS[0], CUTOFFS[1], "9999-12-31 23:59:59"):
+        part = log.filter(F.col("ts") <= ntz(end))
+        parts.append((part if after is None else part.filter(F.col("ts") > ntz(after)), end))
+        after = end
+    for n in (1, 2, 2, 3, 2):
+        table.apply(n, *parts[n - 1])
+    return table
+
+
+@query("mirror_apply_changes", DELETES)
+def _(t):
+    return mirror_in_batches(t).all()
+
+
+@query("mirror_apply_changes_as_of", f"SELECT * FROM ({DELETES}) WHERE row_start <= TIMESTAMP '{T0}' AND row_end > TIMESTAMP '{T0}'")
+def _(t):
+    return mirror_in_batches(t).as_of(T0)
+
+
+def trail_sql(upper):
+    return f"""{MI} SELECT entity, string_agg(CAST(rev_id AS VARCHAR), ' ' ORDER BY row_start, rev_id) AS revisions, count(*) AS versions FROM mi
+  WHERE row_start {upper} TIMESTAMP '{P2}' AND row_end > TIMESTAMP '{P1}' GROUP BY entity"""
+
+
+@query("system_between_trail", trail_sql("<="))
+def _(t):
+    return D.trail(D.between(mirror_of(t), P1, P2))
+
+
+@query("system_from_to_trail", trail_sql("<"))
+def _(t):
+    return D.trail(D.from_to(mirror_of(t), P1, P2))
+
+
+# ---- the same questions as SQL text --------------------------------------------------------------
+
+def functions_of(t):
+    from twinclock.plans.reader import define_functions
+    define_functions(t.spark, B.build_timeline(t.orders), beliefs_of(t))
+    return t.spark
+
+
+@query("sql_rev_at", f"WITH {EV}, {timeline()} SELECT entity, rev_id, valid_from FROM tl WHERE valid_from <= TIMESTAMP '{T0}' AND valid_to > TIMESTAMP '{T0}'")
+def _(t):
+    return functions_of(t).sql(f"SELECT entity, rev_id, valid_from FROM rev_at(TIMESTAMP_NTZ '{T0}')")
+
+
+@query("sql_believed_at", f"""{BEL} SELECT entity, rev_id, valid_from FROM bel WHERE row_start <= TIMESTAMP '{S}' AND row_end > TIMESTAMP '{S}'
+  AND valid_from <= TIMESTAMP '{T0}' AND valid_to > TIMESTAMP '{T0}'""")
+def _(t):
+    return functions_of(t).sql(f"SELECT entity, rev_id, valid_from FROM believed_at(TIMESTAMP_NTZ '{S}', TIMESTAMP_NTZ '{T0}')")
+
+
+@query("sql_rev_of_lateral", f"""WITH {EV}, {timeline()}, {PROBES} SELECT probe_id, p.entity, t, rev_id
+  FROM probes p LEFT JOIN tl ON tl.entity = p.entity AND valid_from <= t AND t < valid_to""")
 def _(t):
-    log = t.orders.select("entity", "rev_id", "ts", "status",
-                          F.when(F.col("priority") == "5-LOW", "D").otherwise("U").alias("op"))
-    return D.scd2_with_deletes(log)
+    spark = functions_of(t)
+    return spark.sql("SELECT p.probe_id, p.entity, p.t, r.rev_id FROM {probes} p LEFT JOIN LATERAL rev_of(p.entity, p.t) r",
+                     probes=probes_of(t.orders))
 
 
 # A month of an entity's orders is one commit.
