@@ -184,6 +184,30 @@ def _(t):
     return D.trail(D.from_to(mirror_of(t), P1, P2))
 
 
+# ---- every event in one order across entities ----------------------------------------------------
+
+IN_ORDER = f"WITH {EV}, o AS (SELECT row_number() OVER (ORDER BY ts, rev_id, entity) AS place, * FROM ev)"
+
+
+def ordered_events(t, after=None):
+    from twinclock.session import new_table_path
+    from twinclock.sources.ordered import read_in_order, write_in_order
+    path = new_table_path(t.spark, "ordered")
+    write_in_order(t.orders, path, 4000)
+    return read_in_order(t.spark, path, after).select("place", "entity", "rev_id", "ts", "size_bytes")
+
+
+@query("ordered_events", f"{IN_ORDER} SELECT place, entity, rev_id, ts, size_bytes FROM o")
+def _(t):
+    return ordered_events(t)
+
+
+@query("ordered_events_after", f"""{IN_ORDER} SELECT place, entity, rev_id, ts, size_bytes FROM o
+  WHERE ts > TIMESTAMP '{T0}' OR (ts = TIMESTAMP '{T0}' AND rev_id > 1000)""")
+def _(t):
+    return ordered_events(t, (T0, 1000))
+
+
 # ---- the same questions as SQL text --------------------------------------------------------------
 
 def functions_of(t):
