@@ -141,6 +141,27 @@ def test_clean_up_keeps_what_readers_see(spark, store):
     assert sorted(map(tuple, again.versions().collect())) == before and sorted(map(tuple, again.state().collect())) == state
 
 
+def test_a_step_writes_the_open_rows_it_began(spark, rows):
+    store = Store(spark, new_table_path(spark, "store"), snapshot_every=3)
+    schema = "entity bigint, rev_id bigint, ts timestamp_ntz"
+    raw = [(e, e, ts("2015-03-01")) for e in range(200)]
+    fresh = {2: [(e, 1000 + e, ts("2016-03-01")) for e in range(10)], 3: [(e, 2000 + e, ts("2017-03-01")) for e in range(5, 12)],
+             4: [(7, 3000, ts("2018-03-01"))]}
+    done = []
+    for n, end in enumerate(data.CUTOFFS, 1):
+        done += raw if n == 1 else fresh[n]
+        E.sync_step(store, spark.createDataFrame(done, schema), data.START, end, f"2019-02-0{n} 12:00:00", n)
+        newest = {e: r for e, r, _ in done}
+        assert rows(store.open_rows(), "entity", "rev_id") == sorted(newest.items())
+        wrote = spark.read.parquet(f"{store.path}/{'open_all' if n == 3 else 'open'}/batch_id={n}").count()
+        assert wrote == {1: 200, 2: 10, 3: 200, 4: 1}[n]
+    before = rows(store.versions())
+    store.clean_up()
+    assert rows(Store(spark, store.path).versions()) == before
+    kept = {name: [b for b in range(1, 5) if store._exists(f"{name}/batch_id={b}")] for name in ("open", "open_all")}
+    assert kept == {"open": [4], "open_all": [3]}
+
+
 def test_hidden_and_stored_events_fail_nothing(spark, store, rows):
     good = data.events(spark)
     assert E.run_sync(store, good, data.START, data.CHECKPOINTS) == "succeeded"

@@ -281,7 +281,7 @@ def sync_step(store: Store, events: DataFrame, start, cutoff, completed_at, batc
 
 
 def _writes(store: Store, plan: DataFrame, batch_id: int, at, settled: DataFrame | None) -> list[Callable]:
-    """Writers of what the plan changes: superseded beliefs, closed intervals, and the open row of every entity.
+    """Writers of what the plan changes: superseded beliefs, closed intervals, and the open rows it began.
 
     ``settled`` is given only where the plan takes closed intervals back.
     """
@@ -300,11 +300,14 @@ def _writes(store: Store, plan: DataFrame, batch_id: int, at, settled: DataFrame
     # beliefs formed at this very instant were never visible
     gone = gone.filter(F.col("row_start") < ntz(at))
     closed = opened(after.filter(F.col("valid_to") < infinity()), at)
-    still_open = open_rows.join(was_open, ["entity", "rev_id"], "left_anti")
-    now_open = still_open.unionByName(opened(after.filter(F.col("valid_to") == infinity()), at))
+    now_open = opened(after.filter(F.col("valid_to") == infinity()), at)
+    into = "open"
+    if store.is_snapshot(batch_id):
+        still_open = open_rows.join(was_open, ["entity", "rev_id"], "left_anti")
+        into, now_open = "open_all", still_open.unionByName(now_open)
     return [lambda: store.write_history(batch_id, at, gone.withColumn("row_end", ntz(at))),
             lambda: store.write("settled", batch_id, closed),
-            lambda: store.write("open", batch_id, now_open)]
+            lambda: store.write(into, batch_id, now_open)]
 
 
 def run_sync(store: Store, events: DataFrame, start, checkpoints: list[tuple[str, str]], run_id: int = 1) -> str:

@@ -6,15 +6,16 @@ the retry has another instant or writes fewer folders.
 
     events/batch_id=N     events added by batch N
     texts/batch_id=N      texts added by batch N
-    open/batch_id=N       open-ended interval of every entity after batch N (one row per entity)
+    open/batch_id=N       open-ended intervals that batch N began; the newest one of an entity counts
+    open_all/batch_id=N   instead of it, every ``snapshot_every`` batches: the open-ended interval of every entity
     settled/batch_id=N    closed intervals that batch N added; never rewritten
     unsettled/batch_id=N  closed intervals that batch N took back because a late event fell into them
     history/end_year=Y/batch_id=N   beliefs superseded by batch N
     state/batch_id=N      synced range per entity after batch N
     commits/batch_id=N    the commit row
 
-Closed intervals are appended, not rewritten, so the work of a batch follows its new events and the number
-of entities, not the length of the history.
+Closed intervals are appended and open ones written where they changed, so a batch writes what its new events changed; the
+whole set of open intervals is written now and then, so that a reader meets one snapshot and few batches after it.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ COMMIT = T.StructType([
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, entity_type: str = "BIGINT"):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, entity_type: str = "BIGINT", snapshot_every: int = 8):
+        if snapshot_every < 1:
+            raise ValueError("snapshot_every is at least 1")
+        self.spark, self.path, self.snapshot_every = spark, path.rstrip("/"), snapshot_every
         self.entity_type = entity_type
         self.belief_schema = BELIEF.format(e=entity_type)
         self.state_schema = STATE.format(e=entity_type)
@@ -111,7 +114,30 @@ class Store:
         return self._latest("state", self.state_schema)
 
     def open_rows(self) -> DataFrame:
-        return self._latest("open", self.belief_schema)
+        """The open-ended interval of every entity: the newest snapshot but for the entities opened anew since, and those."""
+        last, base = self.last_batch(), self._snapshot()
+        whole = self.spark.read.schema(self.belief_schema).parquet(f"{self.path}/open_all/batch_id={base}") if base else None
+        if base and base == last:
+            return whole
+        if not self._exists("open"):
+            return self.spark.createDataFrame([], self.belief_schema) if whole is None else whole
+        later = self._read("open", self.belief_schema).filter(F.col("batch_id").between(base + 1, last))
+        cells = F.struct(*[c for c in later.columns if c != "batch_id"])
+        newest = later.groupBy("entity").agg(F.max_by(cells, "batch_id").alias("r")).select("r.*")
+        return newest if whole is None else newest.unionByName(whole.join(newest.select("entity"), "entity", "left_anti"))
+
+    def _snapshot(self) -> int:
+        """Newest committed batch that wrote every open row; 0: none."""
+        return max((b for b in self._batches("open_all") if b <= self.last_batch()), default=0)
+
+    def _batches(self, name: str) -> list[int]:
+        path, fs = self._fs()
+        found = fs.globStatus(path(f"{self.path}/{name}/batch_id=*")) or []
+        return [int(f.getPath().getName().split("=")[1]) for f in found]
+
+    def is_snapshot(self, batch_id: int) -> bool:
+        """Whether this batch is to write every open row."""
+        return batch_id % self.snapshot_every == 0
 
     def settled_rows(self) -> DataFrame:
         """Closed intervals believed now. Only where late events took some back is there a join."""
@@ -156,14 +182,15 @@ class Store:
         self._remove(f"history/end_year=*/batch_id={batch_id}")
 
     def clean_up(self) -> None:
-        """Remove what no reader needs any more: the open rows and states before the newest batch, the plans and failures
-        of committed batches, and the history of years that end before the retention floor."""
+        """Remove what no reader needs any more: the open rows before the newest snapshot, the states before the newest
+        batch, the plans and failures of committed batches, and the history of years that end before the retention floor."""
         last = self.refresh()
         path, fs = self._fs()
-        for name, keep in (("open", last), ("state", last), ("plans", last + 1), ("failed", last + 1)):
-            for found in fs.globStatus(path(f"{self.path}/{name}/batch_id=*")) or []:
-                if int(found.getPath().getName().split("=")[1]) < keep:
-                    self._remove(f"{name}/{found.getPath().getName()}")
+        base = self._snapshot()
+        for name, keep in (("open", base), ("open_all", base), ("state", last), ("plans", last + 1), ("failed", last + 1)):
+            for batch in self._batches(name):
+                if batch < keep:
+                    self._remove(f"{name}/batch_id={batch}")
         floor = self._floor()
         if floor is not None:
             for found in fs.globStatus(path(f"{self.path}/history/end_year=*")) or []:
