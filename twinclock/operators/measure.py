@@ -40,15 +40,16 @@ def aggregate_answers(events: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def strategy_agreement(timeline: DataFrame, events: DataFrame, mirror: DataFrame, probes: DataFrame,
-                       max_rows: int | None = None) -> DataFrame:
+                       max_rows: int | None = None, bucket: bool = False) -> DataFrame:
     """Every lookup strategy on one workload, each by an access path of its own: probes, and how many answers differ
-    from those of the scan."""
+    from those of the scan. ``bucket`` adds the join by months."""
     answers = {
         "carry": L.revisions_at(timeline, probes, "carry", max_rows),
         "join": L.revisions_at(timeline, probes, "join"),
-        "bucket": L.revisions_at(timeline, probes, "bucket"),
         "events": aggregate_answers(events, probes),
         "mirror": D.mirror_answers(mirror, probes, "as_of")}
+    if bucket:
+        answers["bucket"] = L.revisions_at(timeline, probes, "bucket")
     rows = None
     for name, a in answers.items():
         one = a.select("probe_id", F.lit(name).alias("strategy"), "rev_id")
