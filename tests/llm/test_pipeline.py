@@ -11,7 +11,7 @@ from tests.conftest import FOLDER
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_exact_dedup import norm
 from tests.llm.test_mixing import brute as mixed
-from tests.llm.test_simhash import brute as near
+from tests.llm.test_near_copies import survivors as near
 from twinclock.llm import toxicity
 from twinclock.llm.common import table
 
@@ -27,7 +27,7 @@ def test_run_equals_a_plain_pipeline(spark):
     for r in sorted(rows):
         first.setdefault(norm(r[1]), r)
     rows = list(first.values())
-    keep = {i for i, _, c in near([r[:2] for r in rows]) if i == c}
+    keep = set(near([r[:2] for r in rows]))
     rows = [r for r in rows if r[0] in keep]
     dirty = {d for d, *_ in leaks([r[:2] for r in rows], map(tuple, table(spark, FOLDER, "benchmark").collect()))}
     rows = [r for r in rows if r[0] not in dirty]

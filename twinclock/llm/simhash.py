@@ -132,9 +132,9 @@ def forest(homes: np.ndarray, guests: np.ndarray, reach: int) -> tuple[np.ndarra
     return own[linked], least[linked]
 
 
-def plant(fps: DataFrame, n: int) -> Tree | None:
-    """A tree with leaves of about LEAF fingerprints, from at most SAMPLE fingerprints for a leaf (8 MB at most)."""
-    depth = max(0, int(np.ceil(np.log2(max(1, min(n / LEAF, MOST_LEAVES))))))
+def plant(fps: DataFrame, n: int, leaf: int = LEAF) -> Tree | None:
+    """A tree with leaves of about ``leaf`` fingerprints, from at most SAMPLE fingerprints for a leaf (8 MB at most)."""
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n / leaf, MOST_LEAVES))))))
     if not depth:
         return None
     share = min(1.0, SAMPLE * (1 << depth) / n)
@@ -167,17 +167,17 @@ def links(fps: DataFrame, n: int, reach: int = REACH) -> DataFrame:
     return _shared_out(materialise(dealt, "simhash-dealt")).groupBy("leaf", "part").applyInArrow(meet, "a bigint, b bigint")
 
 
-def _shared_out(dealt: DataFrame) -> DataFrame:
-    """(leaf, part, fp, home): a crowded leaf has several parts, each with a share of the homes and all others as guests.
+def _shared_out(dealt: DataFrame, most: int = MOST_COMPARISONS) -> DataFrame:
+    """``dealt`` and part: a crowded leaf has several parts, each with a share of the homes and all others as guests.
 
     Every home is a home in one part, and meets everyone of its leaf there."""
     sizes = dealt.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
-    crowded = sizes.where(F.col("homes") * F.col("rows") > MOST_COMPARISONS).select("leaf", F.ceil(F.col("homes") * F.col("rows") / MOST_COMPARISONS).cast("int").alias("parts"))
+    crowded = sizes.where(F.col("homes") * F.col("rows") > most).select("leaf", F.ceil(F.col("homes") * F.col("rows") / most).cast("int").alias("parts"))
     crowded = materialise(crowded, "simhash-crowded")
     hint = F.broadcast if crowded.count() <= 2 * MOST_LEAVES else (lambda df: df)
     parts = F.coalesce("parts", F.lit(1))
-    rows = dealt.join(hint(crowded), "leaf", "left").select("leaf", "fp", "home", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return rows.select("leaf", "part", "fp", (F.col("home") & (F.pmod(F.xxhash64("fp"), "parts") == F.col("part"))).alias("home"))
+    rows = dealt.join(hint(crowded), "leaf", "left").select(*dealt.columns, parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), "parts") == F.col("part"))).drop("parts")
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -197,10 +197,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     All sides of the joins are tables, so that a fingerprint with very many rows can be split at run time."""
     fps = materialise(fingerprints(docs), "simhash-fps")
     return fps.join(classes(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with their columns as they are."""
-    fps = materialise(fingerprints(docs), "simhash-fps")
-    kept = fps.join(classes(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
