@@ -77,11 +77,11 @@ def test_leaves_and_bands_meet_all_pairs_within_reach(spark, docs, prose):
     want = set()
     for a in marks.values():
         for b in marks.values():
-            near = ((a[0] ^ b[0]) & (2**64 - 1)).bit_count() <= N.REACH
+            near = any(((x ^ y) & (2**64 - 1)).bit_count() <= N.REACH for x, y in zip(a[0], b[0], strict=True))
             if a[2] < b[2] and near and 100 * min(a[1], b[1]) >= 80 * max(a[1], b[1]):
                 want.add((a[2], b[2]))
-    rows = sorted({(m[2], m[0], m[1]) for m in marks.values()})
-    nodes = spark.createDataFrame(rows, "key bigint, fp bigint, size bigint")
+    rows = sorted({(m[2], tuple(m[0]), m[1]) for m in marks.values()})
+    nodes = spark.createDataFrame(rows, "key bigint, fps array<bigint>, size bigint")
     got = set()
     by_leaf = {}
     for r in N._deal(nodes, len(rows), N.REACH, 30).collect():
