@@ -138,6 +138,17 @@ def test_sentences(spark, rows):
     assert got == ["One here.", 'Two "there"?', "Three e.g. this one.", "Four!", "5 is next.", "(Six) done"]
 
 
+def test_sentences_are_parted_and_trimmed_by_any_white_space(spark):
+    df = spark.createDataFrame([(1, "\u00a0One here.\u2003Two there.\u3000\ufeff")], "k int, text string")
+    assert [r["line"] for r in H.sentence_lines(df, "k").orderBy("seq").collect()] == ["One here.", "Two there."]
+
+
+def test_word_changes_read_the_comparison_once(spark):
+    plan = H.word_changes(H.diff_pairs(pair(spark, *FOX)))._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("MapInPandas") == 1
+
+
 def test_bag_of_lines(spark, rows):
     assert rows(H.line_bag_delta(pair(spark, "a\nb\nb\n", "b\na\nc\n"))) == [(1, 1, 1)]
     assert rows(H.line_bag_delta(pair(spark, "a\n\n", "a"))) == [(1, 0, 1)]

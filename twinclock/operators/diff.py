@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinclock.functions.instants import BLANK, trimmed
 from twinclock.functions.texts import shortest_edit, split_lines, word_parts
 from twinclock.operators.slices import Scan
 from twinclock.schema import HUNK_CONTEXT
@@ -172,35 +173,37 @@ def word_changes(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
     one row with its status.
     """
     per_pair = Window.partitionBy("pair_id").orderBy("seq")
-    runs = lines.withColumn("run", F.sum((F.col("type") == "same").cast("int")).over(per_pair)).filter(F.col("type") != "same")
-    nth = F.row_number().over(Window.partitionBy("pair_id", "run", "type").orderBy("seq"))
+    # the first line of a pair stands for it, so that the comparison is read once
+    runs = lines.withColumns({"run": F.sum((F.col("type") == "same").cast("int")).over(per_pair), "first": F.row_number().over(per_pair) == 1,
+                              "kind": F.when(F.col("type") != "same", F.col("type"))}).filter(F.col("kind").isNotNull() | F.col("first"))
+    nth = F.row_number().over(Window.partitionBy("pair_id", "run", "kind").orderBy("seq"))
 
     def pick(kind, column):
-        return F.max(F.when(F.col("type") == kind, F.col(column)))
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
     parts = F.pandas_udf(_word_parts, f"struct<old:{PARTS},new:{PARTS}>")
     sides = runs.withColumn("nth", nth).groupBy("pair_id", "run", "nth").agg(
+        F.max("status").alias("status"), F.max("first").alias("first"),
         pick("del", "old_no").alias("old_no"), pick("add", "new_no").alias("new_no"),
         pick("del", "text").alias("old_line"), pick("add", "text").alias("new_line"))
-    both = sides.filter(F.col("old_line").isNotNull() & F.col("new_line").isNotNull())
+    sides = sides.withColumn("both", F.col("old_line").isNotNull() & F.col("new_line").isNotNull())
+    found = sides.withColumn("found", F.max("both").over(Window.partitionBy("pair_id"))).filter(F.col("both") | (F.col("first") & ~F.col("found")))
+    compared = F.col("both")
     if max_chars is not None:
-        short = (F.length("old_line") <= max_chars) & (F.length("new_line") <= max_chars)
-        both = both.withColumns({f"{n}_line": F.when(short, F.col(f"{n}_line")) for n in ("old", "new")})
-    found = both.withColumn("parts", parts("old_line", "new_line")).select(
-        "pair_id", F.lit("OK").alias("status"), "old_no", "new_no", F.col("parts.old").alias("old_parts"), F.col("parts.new").alias("new_parts"))
-    pairs = lines.select("pair_id", "status").distinct()
-    none = pairs.join(found.select("pair_id").distinct(), "pair_id", "left_anti")
-    return found.unionByName(none, allowMissingColumns=True)
+        compared &= (F.length("old_line") <= max_chars) & (F.length("new_line") <= max_chars)
+    found = found.withColumns({f"{n}_line": F.when(compared, F.col(f"{n}_line")) for n in ("old", "new")})
+    return found.withColumn("parts", parts("old_line", "new_line")).select("pair_id", "status", *[
+        F.when(F.col("both"), F.col(c)).alias(n) for c, n in [("old_no", "old_no"), ("new_no", "new_no"), ("parts.old", "old_parts"), ("parts.new", "new_parts")]])
 
 
 # Fixed value: where a sentence ends.
-SENTENCE_END = r'(?<=[.!?])\s+(?=[A-Z0-9"“(])'
+SENTENCE_END = rf'(?<=[.!?]){BLANK}+(?=[A-Z0-9"“(])'
 
 
 def sentence_lines(texts: DataFrame, key: str) -> DataFrame:
     """(key, seq, line): paragraphs cut into sentences, trimmed, empty ones dropped."""
     cut = F.flatten(F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n+"), lambda p: F.split(p, SENTENCE_END)))
-    lines = F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    lines = F.filter(F.transform(cut, trimmed), lambda s: s != "")
     return texts.select(key, F.posexplode(lines).alias("seq", "line"))
 
 

@@ -225,9 +225,13 @@ def _(t):
     return H.hunk_lines(lines.select("pair_id", (F.col("i") + 1).alias("seq"), F.when(changed, "del").otherwise("same").alias("type")))
 
 
+# Fixed value: white space, as a pattern of the SQL twin.
+BLANKS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 @query("sentence_lines", rf"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(replace(text, chr(13), ''),
-    '([.!?])\s+([A-Z0-9"“(])', '\1' || chr(10) || '\2', 'g'), '\n+') AS l FROM documents),
-  e AS (SELECT doc_id, list_filter(list_transform(l, lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS l FROM d)
+    '([.!?]){BLANKS}+([A-Z0-9"“(])', '\1' || chr(10) || '\2', 'g'), '\n+') AS l FROM documents),
+  e AS (SELECT doc_id, list_filter(list_transform(l, lambda s: regexp_replace(s, '^{BLANKS}+|{BLANKS}+$', '', 'g')), lambda s: s <> '') AS l FROM d)
   SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS seq, unnest(l) AS line FROM e""")
 def _(t):
     return H.sentence_lines(t["documents"], "doc_id")
