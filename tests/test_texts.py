@@ -229,3 +229,29 @@ def test_global_rank_and_picks(spark, rows):
     assert ranked.filter("rank <> entity").count() == 0 and ranked.select("total").distinct().count() == 1
     got = rows(G.pick_by_size(df, [0.1, 0.5]), "rank", "bytes")
     assert got == [(100, 100), (500, 500)]
+
+
+@pytest.mark.parametrize("bits", [0, 1 << 25])
+def test_rows_find_the_script_of_the_greedy_search(bits, monkeypatch):
+    from twinclock.functions import texts
+
+    monkeypatch.setattr(texts, "_BITS_KEPT", bits)
+    r = random.Random(bits)
+    for n in [*[40] * 300, *[700] * 3]:
+        a, b = ([r.randrange(r.choice([2, 5, 30])) for _ in range(r.randint(0, n))] for _ in range(2))
+        late = texts._deletions_first(texts._greedy(a, b, len(a) + len(b)))
+        assert texts._deletions_first(texts._by_rows(a, b, None, len(a) + len(b))) == late
+        early = texts._by_rows(a, b, None, -1)
+        assert early.count("=") == late.count("=")
+
+
+def test_blanks_of_a_long_line_are_masked_once(monkeypatch):
+    from twinclock.functions import texts
+
+    asked = []
+    real = texts._mask
+    monkeypatch.setattr(texts, "_mask", lambda places: asked.append(len(places)) or real(places))
+    old, new = (" ".join(f"{side}{k}" for k in range(2000)) for side in "ab")
+    left, right = word_parts(old, new)
+    assert "".join(t for t, _ in left) == old and "".join(t for t, _ in right) == new
+    assert sum(asked) < 10 * 4000

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def diff_pairs(pairs: DataFrame, max_edits: int | None = None) -> DataFrame:
     rows = pairs.select("pair_id", "old_text", "new_text", F.when((given == "OK") & ~usable, "CONTENT_HIDDEN").otherwise(given).alias("status"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+        out = []
         for batch in batches:
             for pair, old, new, status in zip(batch["pair_id"], batch["old_text"], batch["new_text"], batch["status"], strict=True):
                 if status != "OK":
@@ -160,10 +161,17 @@ def hunks(lines: DataFrame, context: int = HUNK_CONTEXT) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), item))).alias("lines")))
 
 
-def _word_parts(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    pairs = [([], []) if a is None or b is None else word_parts(a, b) for a, b in zip(old, new, strict=True)]
-    return pd.DataFrame({side: [[{"text": t, "changed": c} for t, c in p[k]] for p in pairs]
-                         for k, side in enumerate(("old", "new"))})
+def _word_parts(old: pa.Array, new: pa.Array) -> pa.Array:
+    offsets, texts, changed = ([0], [0]), ([], []), ([], [])
+    for row in range(len(old)):
+        a, b = old[row].as_py(), new[row].as_py()
+        for k, parts in enumerate(([], []) if a is None or b is None else word_parts(a, b)):
+            texts[k].extend(t for t, _ in parts)
+            changed[k].extend(c for _, c in parts)
+            offsets[k].append(len(texts[k]))
+    sides = [pa.ListArray.from_arrays(pa.array(offsets[k], pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(texts[k], pa.string()), pa.array(changed[k], pa.bool_())], ["text", "changed"])) for k in range(2)]
+    return pa.StructArray.from_arrays(sides, ["old", "new"])
 
 
 def word_changes(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -181,7 +189,7 @@ def word_changes(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
     def pick(kind, column):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    parts = F.pandas_udf(_word_parts, f"struct<old:{PARTS},new:{PARTS}>")
+    parts = F.arrow_udf(_word_parts, f"struct<old:{PARTS},new:{PARTS}>")
     sides = runs.withColumn("nth", nth).groupBy("pair_id", "run", "nth").agg(
         F.max("status").alias("status"), F.max("first").alias("first"),
         pick("del", "old_no").alias("old_no"), pick("add", "new_no").alias("new_no"),
