@@ -255,3 +255,12 @@ def test_blanks_of_a_long_line_are_masked_once(monkeypatch):
     left, right = word_parts(old, new)
     assert "".join(t for t, _ in left) == old and "".join(t for t, _ in right) == new
     assert sum(asked) < 10 * 4000
+
+
+def test_comparison_holds_and_hands_on_few_texts_at_a_time(spark, monkeypatch):
+    H.diff_pairs(pair(spark, *FOX))
+    conf = spark.conf.get
+    assert int(conf("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000 and int(conf("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    many = spark.createDataFrame([(k, f"a{k}" * 30, f"b{k}" * 30) for k in range(50)], "pair_id bigint, old_text string, new_text string")
+    monkeypatch.setattr(H, "CHARS_PER_BATCH", 500)
+    assert H.diff_pairs(many).count() == 100

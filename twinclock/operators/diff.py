@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from twinclock.functions.instants import BLANK, trimmed
 from twinclock.functions.texts import shortest_edit, split_lines, word_parts
+from twinclock.llm.common import bound_batches
 from twinclock.operators.slices import Scan
 from twinclock.schema import HUNK_CONTEXT
 
@@ -72,7 +73,7 @@ def diff_pairs(pairs: DataFrame, max_edits: int | None = None) -> DataFrame:
     rows = pairs.select("pair_id", "old_text", "new_text", F.when((given == "OK") & ~usable, "CONTENT_HIDDEN").otherwise(given).alias("status"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        out, size = [], 0
         for batch in batches:
             for pair, old, new, status in zip(batch["pair_id"], batch["old_text"], batch["new_text"], batch["status"], strict=True):
                 if status != "OK":
@@ -82,16 +83,19 @@ def diff_pairs(pairs: DataFrame, max_edits: int | None = None) -> DataFrame:
                     out.append((pair, None, None, None, n, n, "IDENTICAL"))
                 else:
                     out += _line_rows(int(pair), split_lines(old), split_lines(new), max_edits)
-                if len(out) >= ROWS_PER_BATCH:
+                    size += len(old) + len(new)
+                if len(out) >= ROWS_PER_BATCH or size >= CHARS_PER_BATCH:
                     yield _frame(out)
-                    out = []
+                    out, size = [], 0
         if out:
             yield _frame(out)
 
+    bound_batches(pairs.sparkSession)
     return rows.mapInPandas(compare, LINES)
 
 
-ROWS_PER_BATCH = 10_000
+#: Rows and characters that the comparison gathers before it hands them on.
+ROWS_PER_BATCH, CHARS_PER_BATCH = 10_000, 4 << 20
 
 
 def _line_rows(pair: int, old: list[str], new: list[str], max_edits: int | None) -> list[tuple]:
