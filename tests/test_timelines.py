@@ -219,3 +219,13 @@ def test_filter_reaches_the_scan(spark):
     plan = orders.filter(F.col("ts") <= ntz("1998-01-01 00:00:00"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThanOrEqual(o_orderdate" in plan
     assert "o_totalprice" not in plan.split("ReadSchema")[-1]
+
+
+def test_a_large_scan_is_dealt_to_more_tasks(spark, monkeypatch):
+    from twinclock.operators import slices
+
+    monkeypatch.setattr(slices, "TASK_ROWS", 20)
+    events = spark.createDataFrame(data.random_events(n=600, entities=300, hot_share=0.0), data.EVENT_SCHEMA)
+    scan = slices.Scan(events.select("entity", "rev_id", "ts"), "entity", ["ts", "rev_id"], 400).lead("ts", "next_ts").result()
+    assert scan.rdd.getNumPartitions() == 30
+    assert sorted(map(tuple, B.build_timeline(events, 400).collect())) == data.brute_timeline(data.random_events(n=600, entities=300, hot_share=0.0))

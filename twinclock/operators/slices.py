@@ -9,6 +9,9 @@ The sample only decides where to cut. Every row is processed wherever the cuts f
 same result; a key missed by the sample would merely make one task longer. The number of slices has no limit.
 
 Rows that agree in the whole order stay in one slice.
+
+The sample also tells how many rows there are. Where the session's shuffle may give a task more than ``TASK_ROWS`` of
+them, they are dealt to more tasks, so that a task's share does not grow with the input.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql.window import WindowSpec
 from twinclock.session import materialise
 
 MAX_ROWS = 4_000_000      # rows of one key a single task may sort
+TASK_ROWS = 1_000_000     # rows of all keys that a task gets on average, at most
 SAMPLES = 400             # expected sample rows of a key with MAX_ROWS rows
 BROADCAST_POINTS = 2_000_000   # split points that are broadcast; beyond it the optimiser chooses the join
 _SPLITS, _SLICE = "__splits", "__slice"
@@ -54,22 +58,37 @@ def find_hot(df: DataFrame, keys: list[str], order: list[str], max_rows: int | N
     one is next to impossible. The points, two for every ``max_rows`` rows of a hot key, are written, not collected.
     A timeline never has more rows of an entity than its events, so the result for one serves the other.
     """
+    return _find_hot(df, keys, order, max_rows)[0]
+
+
+def _find_hot(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None) -> tuple[Hot | None, int]:
+    """The hot keys, or None, and the number of rows by the sample."""
     max_rows = max_rows or MAX_ROWS
     fraction = min(1.0, SAMPLES / max_rows)
     sample = df.select(*keys, _place(order).alias("p"))
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=42)
     limit = max_rows * fraction * (0.75 if fraction < 1.0 else 1.0)
-    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    if counts.isEmpty():
-        return None
-    hot = materialise(counts.select(*keys), "hot-keys")
+    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    rows = ceil((seen["rows"] or 0) / fraction)
+    if (seen["most"] or 0) <= limit:
+        return None, rows
+    hot = materialise(counts.filter(F.col("n") > limit).select(*keys), "hot-keys")
     stride = max(1, ceil(max_rows * fraction / 2))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p"))
     cuts = sample.join(hot, keys, "left_semi").withColumn("nth", nth).filter(F.col("nth") % stride == 0)
     splits = materialise(cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("p")).alias(_SPLITS)), "hot-splits")
     size = splits.agg(F.max(F.size(_SPLITS)).alias("most"), F.sum(F.size(_SPLITS)).alias("points")).first()
-    return Hot(splits, size["most"] or 0, size["points"] or 0)
+    return Hot(splits, size["most"] or 0, size["points"] or 0), rows
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as ``rows`` rows take, if the session's shuffle may have fewer: it has its
+    number of partitions at most, and may join small ones as long as all cores have work."""
+    tasks, spark = ceil(rows / TASK_ROWS), df.sparkSession
+    fewest = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys) if tasks > fewest else df
 
 
 def _slice_of(order: list[str], most: int) -> Column:
@@ -107,11 +126,14 @@ class Scan:
         self.keys = [key] if isinstance(key, str) else list(key)
         self.order = order
         self._waiting: list[_Step] = []
-        hot = find_hot(df, self.keys, order, max_rows) if isinstance(hot, str) else hot
+        rows = 0
+        if isinstance(hot, str):
+            hot, rows = _find_hot(df, self.keys, order, max_rows)
         self.cold, self.hot = df, None
         if hot is not None:
             self.cold = df.join(hot.table(*self.keys), self.keys, "left_anti")
             self.hot = df.join(hot.table(), self.keys).withColumn(_SLICE, _slice_of(order, hot.most)).drop(_SPLITS)
+        self.cold = spread(self.cold, self.keys, rows)
 
     def _window(self, *more: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *more).orderBy(*self.order)
