@@ -107,3 +107,22 @@ def test_a_hot_phrase_and_a_long_text(spark):
     rows = [(k, "the same old words everywhere. " * (1 + k % 3), "en") for k in range(300)] + [(999, "x y z " * 40_000, "en")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("a", F.lit(1)).withColumn("k", F.lit("x"))
     assert got(C.collocations(df, 100)) == brute(rows, 100)
+
+
+def test_a_frequent_phrase_is_told_once(spark, monkeypatch):
+    """Not once for each batch that holds it."""
+    from twinclock.session import materialise
+
+    df = spark.createDataFrame([(k, "new york city. new york", "en") for k in range(400)], SCHEMA).repartition(4)
+    monkeypatch.setattr(C, "bound_batches", lambda spark: None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        occ = materialise(C.occurrences(df), "test-at")
+        often = materialise(C.phrase_counts(occ, 100, 2000), "test-often")
+        told, real = [], type(occ).distinct
+        monkeypatch.setattr(type(occ), "distinct", lambda self: told.append(self.count()) or real(self))
+        assert sorted(r["a"] for r in C.phrase_parts(occ, often).collect()) == [400, 800]
+        assert told == [2]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

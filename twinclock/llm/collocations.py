@@ -1,10 +1,12 @@
 """Operator 13: phrase collocations by SETM relational mining.
 
 An occurrence relation R_k lists where frequent phrases of k words stand: one row for a document with the sorted positions and,
-beside them, the keys of the phrases (positions leave a gap between pieces). Each length takes four steps:
+beside them, the keys of the phrases (positions leave a gap between pieces) and the number of the task that wrote them. Each
+length takes four steps:
 
 * merge-join: R_k meets itself in the same piece at the next position, which gives the occurrences of phrases of k + 1 words;
-* group-count: tasks send sorted runs of counted phrases to buckets, which merge them;
+* group-count: tasks send sorted runs of counted phrases to buckets, which merge them; of the parts of R_k that hold a frequent
+  phrase the first is noted, and that part alone names its front and back;
 * semi-join: R_{k+1} keeps the occurrences of frequent phrases only;
 * R_{k+1} is written in order of position, and the next length reads it.
 
@@ -26,6 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,9 +47,9 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NOWHERE = "und"
 _AS_LINES = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
 _ODD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-OCCURRENCES = "lang string, pos array<bigint>, key array<bigint>"
+OCCURRENCES = "lang string, part int, pos array<bigint>, key array<bigint>"
 PARTS = "lang string, key bigint, front bigint, back bigint"
-_OCCURRENCES = pa.schema([("lang", pa.string()), ("pos", pa.list_(pa.int64())), ("key", pa.list_(pa.int64()))])
+_OCCURRENCES = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("pos", pa.list_(pa.int64())), ("key", pa.list_(pa.int64()))])
 
 
 def pieces(text: bytes | None) -> list[list[bytes]]:
@@ -83,7 +86,7 @@ def _joined(front: np.ndarray, back: np.ndarray) -> np.ndarray:
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, key) of every occurrence of a batch."""
     pos, key = batch.column("pos"), batch.column("key")
-    lengths = np.diff(pos.offsets.to_numpy())
+    lengths = pos.value_lengths().to_numpy()
     return np.repeat(np.arange(len(lengths)), lengths), pos.flatten().to_numpy(), key.flatten().to_numpy()
 
 
@@ -93,7 +96,22 @@ def _nested(batch: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, key: np.nda
     some = np.flatnonzero(np.diff(cuts))
     offsets = pa.array(np.append(cuts[some], len(row)), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos, key)]
-    return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(some)), *lists], schema=_OCCURRENCES)
+    part = pa.array(np.full(len(some), _task(), np.int32))
+    return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(some)), part, *lists], schema=_OCCURRENCES)
+
+
+def _task() -> int:
+    task = TaskContext.get()
+    return 0 if task is None else task.partitionId()
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of one part each, with its number; rows of a part come together."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            yield int(part[i]), batch.slice(i, j - i)
 
 
 def _next_length(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -186,7 +204,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _runs(keys: list[np.ndarray], counts: list[np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
+def _runs(keys: list[np.ndarray], counts: list[np.ndarray], depth: int, part: int) -> Iterator[pa.RecordBatch]:
     """A sorted run of counted keys, cut at the buckets of their first ``depth`` bits; keys as differences."""
     key, count = _summed(keys, counts)
     bucket = (key >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(key), np.int64)
@@ -195,39 +213,49 @@ def _runs(keys: list[np.ndarray], counts: list[np.ndarray], depth: int) -> Itera
         starts = cuts[at: at + 1024]
         ends = np.append(cuts, len(key))[at + 1: at + 1025]
         spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]),
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(spans), part, np.int32)),
                                           pa.array([_packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary()),
-                                          pa.array([_packed(count[i:j]) for i, j in spans], pa.binary())], ["bucket", "keys", "counts"])
+                                          pa.array([_packed(count[i:j]) for i, j in spans], pa.binary())], ["bucket", "part", "keys", "counts"])
 
 
 def phrase_counts(occ: DataFrame, least: int, words: int) -> DataFrame:
-    """key, a: the phrases of the next length that occur ``least`` times; ``words`` is the number of words of the corpus.
+    """key, a, part: the phrases of the next length that occur ``least`` times, with the first part of ``occ`` that has them;
+    ``words`` is the number of words of the corpus.
 
     A task counts its own occurrences and sends sorted runs, one for each bucket of keys; a bucket adds up what it gets. A
     bucket has about BUCKET keys at most, and a phrase one count from a run, however often it occurs."""
     depth = max(0, int(words // BUCKET).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-        for batch in batches:
+        keys, counts, held, now = [], [], 0, -1
+        for part, batch in _by_part(batches):
+            if held and part != now:
+                yield from _runs(keys, counts, depth, now)
+                keys, counts, held = [], [], 0
+            now = part
             _, _, front, back = _next_length(batch)
             key, a = np.unique(_joined(front, back).view(np.uint64), return_counts=True)
             keys.append(key)
             counts.append(a.astype(np.int64))
             held += len(key)
             if held > RUN:
-                yield from _runs(keys, counts, depth)
+                yield from _runs(keys, counts, depth, now)
                 keys, counts, held = [], [], 0
         if held:
-            yield from _runs(keys, counts, depth)
+            yield from _runs(keys, counts, depth, now)
 
     def add_up(group: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
         counts = [_unpacked(c).view(np.int64) for c in group.column("counts").to_pylist()]
         key, a = _summed(keys, counts)
         often = a >= least
-        return pa.table({"key": pa.array(key[often].view(np.int64)), "a": pa.array(a[often])})
-    return occ.mapInArrow(run, "bucket bigint, keys binary, counts binary").groupBy("bucket").applyInArrow(add_up, "key bigint, a bigint")
+        key, a, first = key[often], a[often], np.full(int(often.sum()), np.iinfo(np.int32).max, np.int32)
+        for own, part in zip(keys, group.column("part").to_pylist(), strict=True):
+            at = np.minimum(np.searchsorted(own, key), len(own) - 1)
+            has = own[at] == key
+            first[has] = np.minimum(first[has], part)
+        return pa.table({"key": pa.array(key.view(np.int64)), "a": pa.array(a), "part": pa.array(first)})
+    return occ.mapInArrow(run, "bucket bigint, part int, keys binary, counts binary").groupBy("bucket").applyInArrow(add_up, "key bigint, a bigint, part int")
 
 
 def _sent(occ: DataFrame, frequent: DataFrame, most_sent: int):
@@ -245,18 +273,29 @@ def _sent(occ: DataFrame, frequent: DataFrame, most_sent: int):
 def phrase_parts(occ: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """lang, key, front, back, a for the frequent phrases (key, a) of the next length; front and back are the keys of their
     first and their last words."""
-    among = _sent(occ, frequent, most_sent)
+    sent = None
+    if frequent.count() <= most_sent:
+        known = frequent.select("key", "part").toArrow()
+        key, part = (known.column(c).to_numpy() for c in ("key", "part"))
+        order = np.argsort(key)
+        sent = occ.sparkSession.sparkContext.broadcast((key[order].astype(np.int64), part[order].astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known, home = sent.value if sent else (np.empty(0, np.int64), None)
+        told = np.zeros(len(known), bool)
+        for part, batch in _by_part(batches):
             row, _, front, back = _next_length(batch)
             key, first = np.unique(_joined(front, back), return_index=True)
-            if among is not None:
-                kept = among(key)
-                key, first = key[kept], first[kept]
-            lang = batch.column("lang").take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([lang, pa.array(key), pa.array(front[first]), pa.array(back[first])], ["lang", "key", "front", "back"])
-    return occ.mapInArrow(run, PARTS).distinct().join(frequent, "key")
+            if sent and len(known):
+                # a phrase is told by its own part, once
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                new = (known[at] == key) & (home[at] == part) & ~told[at]
+                told[at[new]] = True
+                key, first = key[new], first[new]
+            if len(key):
+                lang = batch.column("lang").take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays([lang, pa.array(key), pa.array(front[first]), pa.array(back[first])], ["lang", "key", "front", "back"])
+    return occ.mapInArrow(run, PARTS).distinct().join(frequent.select("key", "a"), "key")
 
 
 def semi_join(occur, source: DataFrame, frequent: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
@@ -280,7 +319,7 @@ def _semi_join_as_rows(occ: DataFrame, frequent: DataFrame) -> DataFrame:
     numbered = materialise(occ.withColumn("doc", F.monotonically_increasing_id()), "phrases-numbered")
     rows = numbered.select("doc", "lang", F.explode(F.arrays_zip("pos", "key")).alias("at")).select("doc", "lang", "at.pos", "at.key")
     kept = rows.join(frequent.select("key"), "key", "left_semi").groupBy("doc", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("at"))
-    return kept.select("lang", F.col("at.pos").alias("pos"), F.col("at.key").alias("key"))
+    return kept.select("lang", F.spark_partition_id().alias("part"), F.col("at.pos").alias("pos"), F.col("at.key").alias("key"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
