@@ -156,3 +156,16 @@ def test_query_on_the_smallest_table(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     out = S.near_duplicates(docs.withColumn("node", F.lit(1)))
     assert got(out) == brute(rows)
+
+
+def test_words_of_few_texts_are_held_at_a_time(monkeypatch):
+    r = random.Random(5)
+    texts = [None, "", *[" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 300))).encode() for _ in range(40)], None]
+    texts = [t if t else None for t in texts]
+    whole = S.batch_sets(texts, S._Words())
+    held, real = [], S._sets_at_once
+    monkeypatch.setattr(S, "WORD_BYTES", 500)
+    monkeypatch.setattr(S, "_sets_at_once", lambda some, *a: held.append([len(t or b"") for t in some]) or real(some, *a))
+    parts = S.batch_sets(texts, S._Words())
+    assert [x.tolist() for x in parts] == [x.tolist() for x in whole] and len(parts) == len(texts)
+    assert len(held) > 5 and all(sum(x) <= 500 or sum(map(bool, x)) == 1 for x in held)

@@ -52,6 +52,8 @@ MOST_SENT = 1_000_000
 MOST_TOKENS = 4_000_000
 #: Words a worker remembers.
 MOST_WORDS = 300_000
+#: Bytes of text whose words are held at a time, a longer text excepted.
+WORD_BYTES = 1 << 20
 _ODD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, LEADERS, np.uint64)
 
@@ -71,6 +73,17 @@ def _stirred(x: np.ndarray) -> np.ndarray:
 
 def batch_sets(texts: list[bytes | None], known: _Words, size: int = WORDS) -> list[np.ndarray]:
     """The set of each text: sorted distinct hashes of its shingles."""
+    out, some, held = [], [], 0
+    for t in texts:
+        if some and held + len(t or b"") > WORD_BYTES:
+            out += _sets_at_once(some, known, size)
+            some, held = [], 0
+        some.append(t)
+        held += len(t or b"")
+    return out + _sets_at_once(some, known, size)
+
+
+def _sets_at_once(texts: list[bytes | None], known: _Words, size: int) -> list[np.ndarray]:
     # of bytes: A-Z and ASCII white space only
     words = [t.lower().split() if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
