@@ -169,3 +169,18 @@ def test_words_of_few_texts_are_held_at_a_time(monkeypatch):
     parts = S.batch_sets(texts, S._Words())
     assert [x.tolist() for x in parts] == [x.tolist() for x in whole] and len(parts) == len(texts)
     assert len(held) > 5 and all(sum(x) <= 500 or sum(map(bool, x)) == 1 for x in held)
+
+
+def test_tokens_of_one_passage_have_one_list(spark, monkeypatch):
+    """Three texts, half of each the same: they meet in some dozens of tokens, but a class goes once to the shards for each list
+    of classes."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage = [word() for _ in range(300)]
+    rows = [(k, " ".join(passage + [word() for _ in range(300)])) for k in range(3)]
+    tables, real = {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: tables.setdefault(name, real(df, name)))
+    assert got(S.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert tables["jaccard-met"].count() > 40
+    # lists of two or all three classes: four at most
+    assert 0 < tables["jaccard-entries"].count() <= 9

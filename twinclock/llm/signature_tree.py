@@ -10,7 +10,8 @@ hundredths or more. Equal sets are one class from the start. The join of the cla
    two linked sets to meet. A shard's classes are the leaves of trees, one for each power of two in size. A node holds the
    OR-combined token bitmap of what lies under it, its range of sizes, of tokens and of components. A dual traversal, level by
    level, drops a pair of nodes whose sizes, bitmaps or components rule out a new link: two sets have at most as many tokens in
-   common as the bitmaps have bits in common, plus the tokens that fell on an occupied bit.
+   common as the bitmaps have bits in common, plus the tokens that fell on an occupied bit. Of tokens with the same classes
+   one is enough.
 3. *Verification.* What is left of the pairs is held against the whole sets.
 
 Tokens frequent in a sample of documents count as less rare; the sample decides in which shard a pair meets, never whether it
@@ -376,6 +377,18 @@ def _of_tokens(own: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     return own.where("node is not null").select("node", "rare").mapInArrow(run, "token bigint, node bigint")
 
 
+def one_of_each_list(met: DataFrame) -> DataFrame:
+    """(token, band, parts, size): tokens in which classes of different components meet. Neighbouring shingles of one passage
+    mostly have the same classes, and pairs that meet in one of them meet in all: of tokens whose classes in a band are the
+    same, one stays. Lists count as the same by their length and two exclusive ors of 64 bits; that any two others agree in
+    both is likely in one of 10^20 cases among a billion lists."""
+    lists = met.groupBy("token", "band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.count("*").alias("size"),
+        F.bit_xor("node").alias("one"), F.bit_xor(F.xxhash64("node")).alias("two"))
+    lists = lists.where("low <> high and top = band").groupBy("band", "size", "one", "two").agg(F.min("token").alias("token"))
+    return lists.select("token", "band", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"), "size")
+
+
 def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that the signature trees can't rule out."""
     rows = own.select("node", F.explode("rare").alias("token"))
@@ -386,9 +399,7 @@ def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least + 1e-9))).cast("int") if least < 100 else F.col("n").cast("int")
     met = materialise(met.select("token", "node", "root", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")), "jaccard-rooted")
-    apart = met.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.count("*").alias("size"))
-    apart = apart.where("low <> high and top = band").select("token", "band", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"), "size")
-    apart = materialise(apart, "jaccard-apart")
+    apart = materialise(one_of_each_list(met), "jaccard-apart")
     shards = max(1, -(-(apart.agg(F.sum("size")).first()[0] or 0) // CROWD))
     entries = met.join(apart.select("token", "band", "parts"), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     entries = entries.withColumn("token", F.xxhash64("token", "band")).drop("band", "own")
