@@ -119,6 +119,22 @@ def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     assert 0 < len(part) < len(whole) and max(len(t.encode()) for t, _ in part) <= 5_000
 
 
+def test_driver_holds_neither_texts_nor_fit(spark, monkeypatch):
+    """The machine is that of the same texts fitted here, but the driver neither reads the sample nor fits."""
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    fit, taken = toxicity_model.fit, []
+    monkeypatch.setattr(toxicity.toxicity_model, "fit", lambda texts: taken.append(texts))
+    toxicity.train(docs, labels)
+    want = fit(list(taken[0]))
+    monkeypatch.setattr(toxicity.toxicity_model, "fit", fit)
+    for name in ("_newton", "_kernel", "words"):
+        monkeypatch.setattr(toxicity_model, name, None)
+    monkeypatch.setattr(toxicity.Sample, "__iter__", None)
+    got = toxicity.train(docs, labels)
+    assert got.landmarks == want.landmarks and got.whole == want.whole and got.insults == want.insults and len(got.landmarks) > 0
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and got.bias == pytest.approx(want.bias, abs=1e-4)
+
+
 def test_edges(spark, clashing, empty, edge_rows):
     labels = spark.createDataFrame([(2, 0, 0), (8, 0, 1), (8, 0, 1), (9, 0, 0), (9, 0, 1), (6, 0, None), (None, 0, 1), (99, 0, 1), (4, 0, 7)], "doc_id bigint, quality int, toxic int")
     out = toxicity.score_documents(clashing, labels)

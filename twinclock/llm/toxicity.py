@@ -7,6 +7,9 @@ holds only one class, every text gets a score below 0.7. Rows come back as they
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,35 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     picked = sure.where(unit_hash(F.col("doc_id").cast("string")) < share)
     sample = materialise(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").where(F.octet_length("text") <= TEXT_BYTES), "toxicity-sample")
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 1
-    rows = sample.where(unit_hash(F.col("doc_id").cast("string"), F.lit("bytes")) < SAMPLE_BYTES / size).collect()
-    rows = sorted((hash_order(r["doc_id"]), r["text"], r["label"]) for r in rows)
-    return toxicity_model.fit([(t, y) for _, t, y in rows])
+    return toxicity_model.fit(Sample(sample.where(unit_hash(F.col("doc_id").cast("string"), F.lit("bytes")) < SAMPLE_BYTES / size)))
+
+
+class Sample:
+    """The pairs (text, label) of a bounded sample (doc_id, label, text), in an order fixed by their ids. The driver holds none
+    of them unless it iterates; ``apart`` hands them to a function in one task and returns what that returns."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "label")
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __iter__(self) -> Iterator[tuple[str, int]]:
+        return iter(in_order(self.rows.toArrow().to_batches()))
+
+    def apart(self, call: Callable[[list[tuple[str, int]]], object]) -> object:
+        bound_batches(self.rows.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(call(in_order(batches)))], pa.binary())], ["made"])
+        rows = self.rows.coalesce(1).mapInArrow(run, "made binary").collect()
+        # a table without a file has no task
+        return pickle.loads(rows[0]["made"]) if rows else call([])
+
+
+def in_order(batches: Iterable[pa.RecordBatch]) -> list[tuple[str, int]]:
+    rows = ((hash_order(i), t.decode("utf-8", "replace"), y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return [(t, y) for _, t, y in sorted(rows)]
 
 
 def hash_order(doc_id) -> int:

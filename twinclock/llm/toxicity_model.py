@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 
@@ -196,7 +196,10 @@ def _disguised(text: str, insults: frozenset[str], n: int) -> list[str]:
 
 def fit(texts: list[tuple[str, int]], landmarks: int = 300, instances: int = 6_000, rounds: int = 4, cost: float = 100.0, evidence: float = 5.0) -> Model:
     """``texts``: (text, label) of a bounded sample. One third of them only sets the probabilities, each text as it is and
-    in two forms with its learned insults disguised; a text without any counts as often, so the share of toxic texts stays."""
+    in two forms with its learned insults disguised; a text without any counts as often, so the share of toxic texts stays.
+    A sample that lies elsewhere (``apart``) is fitted there."""
+    if hasattr(texts, "apart"):
+        return texts.apart(partial(fit, landmarks=landmarks, instances=instances, rounds=rounds, cost=cost, evidence=evidence))
     held = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 == 2]
     kept = [(t, y) for n, (t, y) in enumerate(texts) if n % 3 != 2]
     n1, n0 = sum(y for _, y in kept), sum(1 - y for _, y in kept)
