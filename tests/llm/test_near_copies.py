@@ -135,3 +135,28 @@ def test_pairs_of_one_class_are_not_written():
     key, fp, size, root = np.arange(n), np.zeros(n, np.int64), np.full(n, 9), np.zeros(n, np.int64)
     assert len(N.candidates(key, fp, size, root, n, False, N.REACH)[0]) == 0
     assert len(N.candidates(key, fp, size, key, n, True, N.REACH)[0]) == n
+
+
+def unlike(n, shared=30, own=20):
+    """Texts whose fingerprints lie near each other while no two sets have the similarity."""
+    base = [f"c{k}" for k in range(shared)]
+    return {k: " ".join(base + [f"own{k}x{i}" for i in range(own)]) for k in range(n)}
+
+
+def test_pairs_within_reach_that_are_not_alike_are_not_written(spark, docs, monkeypatch):
+    n, rows = 60, []
+    kept = N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: rows.append((name, (out := kept(df, name)).count())) or out)
+    texts = unlike(n)
+    texts[n] = texts[7] + " more"
+    assert ids(N.drop_near_copies(docs(texts), reach=64)) == sorted(range(n), key=str)
+    # every document meets every other for each fingerprint; rows grow with documents, not with pairs
+    assert max(many for name, many in rows if name.startswith(("near-pairs", "near-links", "near-members"))) <= 2 * N.PRINTS * (n + 1)
+
+
+def test_blocks_of_a_crowded_leaf_lose_no_link(spark, docs, prose, monkeypatch):
+    texts = edited(prose, 120, 3)
+    want = sorted(survivors(list(texts.items())), key=str)
+    monkeypatch.setattr(N._tested_in_place, "__defaults__", (4000,))
+    monkeypatch.setattr(N, "_linked", lambda pairs, nodes, keyed: pairs.where("false"))
+    assert ids(N.drop_near_copies(docs(texts), reach=64)) == want
