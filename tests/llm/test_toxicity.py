@@ -142,3 +142,13 @@ def test_edges(spark, clashing, empty, edge_rows):
     assert toxicity.drop_toxic(clashing, labels).columns == clashing.columns
     assert toxicity.score_documents(empty, labels.limit(0)).count() == 0
     assert toxicity.drop_toxic(clashing, labels.limit(0)).count() == len(edge_rows)
+
+
+def test_texts_without_spaced_words_are_not_searched_for_them(monkeypatch):
+    class Never:
+        def findall(self, text):
+            raise AssertionError(text)
+    text = "a plain text | with b a few | lone characters a b c but never four"
+    plain = toxicity_model.parts(text, frozenset(["plain", "text"]), frozenset(["aplain"]))
+    monkeypatch.setattr(toxicity_model, "SPACED", Never())
+    assert toxicity_model.parts(text, frozenset(["plain", "text"]), frozenset(["aplain"])) == plain

@@ -75,16 +75,18 @@ def _norm(length: int) -> float:
 
 
 def _stages(block: np.ndarray):
-    """(shape, numbers) for every shape that fits; shapes with the same first offsets share the work up to there."""
+    """(shape, numbers) for every shape that fits; shapes with the same first offsets share the work up to there.
+
+    A token is a column here, so that a step runs over many tokens at a stretch."""
     stack = [((), block)]
     while stack:
         rest, x = stack.pop()
         if rest in _WEIGHT:
             yield rest, (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         for at in _NEXT.get(rest, ()):
-            n = block.shape[1] - at
+            n = len(block) - at
             if n > 0:
-                stack.append(((*rest, at), x[:, :n] * np.uint32(0x01000193) ^ block[:, at: at + n]))
+                stack.append(((*rest, at), x[:n] * np.uint32(0x01000193) ^ block[at: at + n]))
 
 
 def score(tokens: list[str], weights: np.ndarray) -> np.ndarray:
@@ -94,14 +96,15 @@ def score(tokens: list[str], weights: np.ndarray) -> np.ndarray:
         return out
     for who, block in _blocks(tokens):
         total = np.zeros(len(who))
+        columns = np.ascontiguousarray(block.T)
         spans: dict[float, np.ndarray] = {}
-        for rest, number in _stages(block):
+        for rest, number in _stages(columns):
             w = _WEIGHT[rest]
             if w not in spans:
-                spans[w] = np.zeros(block.shape, np.float32)
-            spans[w][:, :number.shape[1]] += weights.take(number)
+                spans[w] = np.zeros(columns.shape, np.float32)
+            spans[w][:len(number)] += weights.take(number)
         for w, values in spans.items():
-            total += w * values.sum(1, dtype=np.float64)
+            total += w * values.sum(0, dtype=np.float64)
         out[who] = total / _norm(block.shape[1])
     return out
 

@@ -26,12 +26,20 @@ SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 #: Characters of two neighbouring words that can be read as one, "gap ped"; most words that are known to be whole.
 JOINED, MOST_WHOLE = range(4, 25), 50_000
 #: Characters scored at a time, words gathered from texts before they are scored.
-PIECE, TOKENS = 1 << 19, 300_000
+PIECE, TOKENS = 1 << 18, 300_000
+
+
+_ODD, _HEAD = 1, 2
 
 
 @lru_cache(2)
-def _heads(insults: frozenset[str]) -> frozenset[str]:
-    return frozenset(w[:k] for w in insults for k in range(len(w) + 1))
+def _kinds(whole: frozenset[str], insults: frozenset[str]) -> tuple[dict[str, int], int]:
+    """Of a word: whether it is not known to be one (_ODD), and whether an insult begins with it (_HEAD); the kind of all others."""
+    other = _ODD if whole else 0
+    kinds = dict.fromkeys(whole, 0)
+    for head in {w[:k] for w in insults for k in range(len(w) + 1)}:
+        kinds[head] = kinds.get(head, other) | _HEAD
+    return kinds, other
 
 
 def parts(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
@@ -39,10 +47,18 @@ def parts(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str
     the two is not known to be a word (``whole``; nothing is known if it is empty, and nothing else is joined)."""
     text = text.lower()
     own = text.split()
-    odd = [w not in whole for w in own] if whole else [False] * len(own)
-    heads = _heads(insults)
-    joined = [a + b for a, b, x, y in zip(own, own[1:], odd, odd[1:]) if (x or y) and len(a) + len(b) in JOINED or a in heads and a + b in insults]  # noqa: B905
-    return own, joined + ["".join(m.split()) for m in SPACED.findall(text)]
+    kinds, other = _kinds(whole, insults)
+    find, size = kinds.get, np.array(list(map(len, own)), np.int64)
+    kind = np.array([find(w, other) for w in own], np.uint8)
+    both = size[:-1] + size[1:]
+    odd = ((kind[:-1] | kind[1:]) & _ODD > 0) & (both >= JOINED.start) & (both < JOINED.stop)
+    joined = [own[k] + own[k + 1] for k in np.flatnonzero(odd).tolist()]
+    if insults:
+        head = (kind[:-1] & _HEAD > 0) & ~odd
+        joined += [w for w in (own[k] + own[k + 1] for k in np.flatnonzero(head).tolist()) if w in insults]
+    lone = size == 1
+    spaced = SPACED.findall(text) if (lone[:-3] & lone[1:-2] & lone[2:-1] & lone[3:]).any() else []
+    return own, joined + ["".join(m.split()) for m in spaced]
 
 
 def words(text: str, whole: frozenset[str] = frozenset(), insults: frozenset[str] = frozenset()) -> list[str]:
@@ -78,15 +94,14 @@ class Scorer:
         self.model, self.remember, self.known, self.older = model, remember, {}, {}
 
     def _margins(self, fresh: set[str]) -> dict[str, float]:
-        out, batch, size = {}, [], 0
-        for t in fresh:
-            batch.append(t)
-            size += len(t) + 2
-            if size > PIECE:
-                out.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
-                batch, size = [], 0
-        if batch:
-            out.update(zip(batch, self.model.decide(batch).tolist(), strict=True))
+        tokens, out = list(fresh), {}
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2)
+        at = 0
+        while at < len(tokens):
+            # up to the token that passes PIECE
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")) + 1
+            out.update(zip(tokens[at: to], self.model.decide(tokens[at: to]).tolist(), strict=True))
+            at = to
         return out
 
     def _some(self, bags: list[set[str]], made: list[set[str]]) -> list[float]:
