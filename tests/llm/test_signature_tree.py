@@ -184,3 +184,37 @@ def test_tokens_of_one_passage_have_one_list(spark, monkeypatch):
     assert tables["jaccard-met"].count() > 40
     # lists of two or all three classes: four at most
     assert 0 < tables["jaccard-entries"].count() <= 9
+
+
+def passages(seed, n, own):
+    """Texts with one passage in common, of which too little to link them."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage = [word() for _ in range(300)]
+    return [(k, " ".join(passage + [word() for _ in range(own)])) for k in range(n)]
+
+
+def test_classes_stand_once_under_a_head(spark, monkeypatch):
+    """Seven texts meet in some dozens of tokens, each of which other ones of them have: many lists, few heads."""
+    rows = passages(4, 7, 300)
+    tables, real = {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: tables.setdefault(name, real(df, name)))
+    assert got(S.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert tables["jaccard-met"].count() > 100
+    # a class stands under itself and smaller ones only: 7 * 8 / 2 in a band
+    assert 0 < tables["jaccard-entries"].count() <= 28
+
+
+def test_tokens_of_one_component_are_not_sent(spark, monkeypatch):
+    """Near copies that the leaders connect share tokens with each other and with no one else."""
+    r = random.Random(6)
+    rows = []
+    for _ in range(4):
+        w = [f"w{r.randrange(10**9)}" for _ in range(300)]
+        rows += [(len(rows) + k, " ".join([*w[:150], f"x{k}", *w[150:]])) for k in range(4)]
+    tables, real = {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: tables.setdefault(name, real(df, name)))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == 4
+    assert got(S.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want
+    assert tables["jaccard-first"].count() >= 12 and tables["jaccard-met"].count() == 0

@@ -7,15 +7,16 @@ hundredths or more. Equal sets are one class from the start. The join of the cla
    This step decides nothing: it spares the next one the pairs within large groups of near copies, since a pair that is
    connected already needs no link.
 2. *Signature trees.* A class is dealt to the shards of its rarest tokens. Of n tokens, n - ceil(least n / 100) + 1 are enough for
-   two linked sets to meet. A shard's classes are the leaves of trees, one for each power of two in size. A node holds the
+   two linked sets to meet. Tokens that one component has alone are left out, and the classes of a token stand under the smallest
+   of them, so that tokens of the same passage send a class once. A shard's classes are the leaves of trees, one for each power
+   of two in size. A node holds the
    OR-combined token bitmap of what lies under it, its range of sizes, of tokens and of components. A dual traversal, level by
    level, drops a pair of nodes whose sizes, bitmaps or components rule out a new link: two sets have at most as many tokens in
-   common as the bitmaps have bits in common, plus the tokens that fell on an occupied bit. Of tokens with the same classes
-   one is enough.
+   common as the bitmaps have bits in common, plus the tokens that fell on an occupied bit.
 3. *Verification.* What is left of the pairs is held against the whole sets.
 
 Tokens frequent in a sample of documents count as less rare; the sample decides in which shard a pair meets, never whether it
-does. A token of too many classes has shards of its own, one for each pair of blocks of its classes.
+does. A head of too many classes has shards of its own, one for each pair of blocks of its classes.
 
 Defined results: without words or text a set is empty, linked with nothing, and the document is its own component. Rows of
 one doc_id are documents each. A null doc_id is never the smallest unless its component has no other. Two different shingles,
@@ -47,7 +48,7 @@ CROWD, FAN, CHUNK_BYTES = 20_000, 8, 16 << 20
 BLOCK = 1 << 14
 #: Documents sampled for frequent tokens, and documents of the sample that make a token frequent.
 SAMPLE, FREQUENT = 4096, 8
-#: Ids of documents that are broadcast; with more, their texts are joined.
+#: Rows of ids, or of classes and their components, that are broadcast; more are joined.
 MOST_SENT = 1_000_000
 #: Tokens that are sent to all tasks, 8 bytes each; more are joined.
 MOST_TOKENS = 4_000_000
@@ -233,8 +234,8 @@ def linked(docs: DataFrame, own: DataFrame, pairs: DataFrame, least: int) -> Dat
     named = named.groupBy("node").agg(F.min(F.struct(F.col("lead").isNull(), F.col("lead"), F.col("rows"))).alias("first")).select("node", "first.lead", "first.rows")
     named = materialise(named, "jaccard-named")
     ids = named.select("lead").distinct()
-    if ids.count() <= MOST_SENT:
-        ids = F.broadcast(ids)
+    if named.count() <= MOST_SENT:
+        ids, named = F.broadcast(ids), F.broadcast(named)
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
     # a class is read from one of its documents; a document may have several rows
     found = _by_row(texts, rows, "node bigint, own binary").alias("f").join(named.alias("l"), (F.col("f.node") == F.col("l.node")) & F.col("doc_id").eqNullSafe(F.col("lead")))
@@ -332,8 +333,8 @@ def traverse(one: list[Level], two: list[Level], least: int) -> Iterator[tuple[n
 
 
 def shard_pairs(group: pa.Table, least: int) -> pa.Table:
-    """(a, b), b < a: classes of one shard with a token in common that may link, by the trees' dual traversal. If the group has
-    two sides, only pairs of one and the other."""
+    """(a, b), b < a: classes of one shard under one head (its column is ``token``) that may link, by the trees' dual traversal. If
+    the group has two sides, only pairs of one and the other."""
     token, node, n, root, side = (group.column(c).to_numpy() for c in ("token", "node", "n", "root", "side"))
     order = np.lexsort((node, n, token))
     token, node, n, root, side = (c[order] for c in (token, node, n, root, side))
@@ -359,59 +360,57 @@ def shard_pairs(group: pa.Table, least: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
 
-def _of_tokens(own: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Those of ``rows`` (node, token; the rare tokens of ``own``) that have one of the tokens. Up to MOST_TOKENS tokens are
-    sent to the rows, more are joined."""
+def _of_tokens(classes: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those of ``rows`` (node, n, root, token; the rare tokens of ``classes``) that have one of the tokens. Up to MOST_TOKENS
+    tokens are sent to the rows, more are joined."""
     if shared.count() > MOST_TOKENS:
-        return rows.join(shared, "token", "left_semi").select("token", "node")
-    sent = own.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy().astype(np.int64)))
+        return rows.join(shared, "token", "left_semi").select("token", "node", "n", "root")
+    sent = classes.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy().astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             rare = batch.column("rare")
             token = rare.flatten().to_numpy()
-            node = np.repeat(batch.column("node").to_numpy(), np.diff(rare.offsets.to_numpy()))
             met = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token if len(known) else np.zeros(len(token), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(token[met]), pa.array(node[met])], ["token", "node"])
-    return own.where("node is not null").select("node", "rare").mapInArrow(run, "token bigint, node bigint")
+            at = pa.array(np.repeat(np.arange(len(batch)), np.diff(rare.offsets.to_numpy()))[met])
+            yield pa.RecordBatch.from_arrays([pa.array(token[met]), *(batch.column(c).take(at) for c in ("node", "n", "root"))], ["token", "node", "n", "root"])
+    return classes.mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
 
 
-def one_of_each_list(met: DataFrame) -> DataFrame:
-    """(token, band, parts, size): tokens in which classes of different components meet. Neighbouring shingles of one passage
-    mostly have the same classes, and pairs that meet in one of them meet in all: of tokens whose classes in a band are the
-    same, one stays. Lists count as the same by their length and two exclusive ors of 64 bits; that any two others agree in
-    both is likely in one of 10^20 cases among a billion lists."""
-    lists = met.groupBy("token", "band").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.count("*").alias("size"),
-        F.bit_xor("node").alias("one"), F.bit_xor(F.xxhash64("node")).alias("two"))
-    lists = lists.where("low <> high and top = band").groupBy("band", "size", "one", "two").agg(F.min("token").alias("token"))
-    return lists.select("token", "band", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"), "size")
+def headed(met: DataFrame, least: int) -> DataFrame:
+    """(band, head, node, n, root), each once: classes of different components that have a token in common, under the smallest
+    class that has it too. A class has many tokens in common with others, mostly with the same ones, as shingles of one passage
+    go together; under a head it stands, and is sent, once. Linked classes stand under one head of each token they share."""
+    # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least + 1e-9))).cast("int") if least < 100 else F.col("n").cast("int")
+    met = met.withColumn("own", band)
+    heads = met.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.min("node").alias("head"))
+    heads = materialise(heads.where("low <> high and top = band").select("token", "band", "head"), "jaccard-apart")
+    return met.join(heads, "token").where(F.col("band").between(F.col("own"), F.col("own") + 1)).select("band", "head", "node", "n", "root").distinct()
 
 
 def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that the signature trees can't rule out."""
-    rows = own.select("node", F.explode("rare").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    met = materialise(_of_tokens(own, rows, materialise(shared, "jaccard-tokens")).distinct(), "jaccard-met")
-    sizes = own.where("node is not null").select("node", "n").distinct()
-    met = met.join(roots, "node", "left").join(sizes, "node").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least + 1e-9))).cast("int") if least < 100 else F.col("n").cast("int")
-    met = materialise(met.select("token", "node", "root", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")), "jaccard-rooted")
-    apart = materialise(one_of_each_list(met), "jaccard-apart")
-    shards = max(1, -(-(apart.agg(F.sum("size")).first()[0] or 0) // CROWD))
-    entries = met.join(apart.select("token", "band", "parts"), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    entries = entries.withColumn("token", F.xxhash64("token", "band")).drop("band", "own")
-    # a crowded token has a shard for each pair of its blocks; all others share shards
-    entries = entries.select("token", "node", "root", "parts", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = F.broadcast(roots) if roots.count() <= MOST_SENT else roots
+    classes = own.where("node is not null").select("node", "n", "rare").join(sent, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "rare")
+    rows = classes.select("node", "n", "root", F.explode("rare").alias("token"))
+    # a token that one component has alone leads to no new link
+    shared = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    met = materialise(_of_tokens(classes, rows, materialise(shared, "jaccard-tokens")).distinct(), "jaccard-met")
+    entries = materialise(headed(met, least), "jaccard-narrow")
+    crowded = entries.groupBy("band", "head").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+    shards = max(1, -(-entries.count() // CROWD))
+    entries = entries.join(materialise(crowded, "jaccard-crowded"), ["band", "head"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    entries = entries.select(F.xxhash64("head", "band").alias("head"), "node", "n", "root", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"))
+    # a crowded head has a shard for each pair of its blocks; all others share shards
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     alone = F.col("parts") == 1
     entries = entries.select(
-        F.when(alone, F.pmod(F.xxhash64("token"), F.lit(shards))).otherwise(F.col("token")).alias("shard"),
+        F.when(alone, F.pmod("head", F.lit(shards))).otherwise(F.col("head")).alias("shard"),
         F.when(alone, F.lit(-1)).otherwise(F.least("block", "other")).alias("first"), F.greatest("block", "other").alias("second"),
-        (F.col("block") > F.col("other")).cast("bigint").alias("side"), "token", "node", "root")
-    entries = materialise(entries, "jaccard-narrow")
-    signs = own.select("node", "n", "bits").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        (F.col("block") > F.col("other")).cast("bigint").alias("side"), F.col("head").alias("token"), "node", "n", "root")
+    signs = own.select("node", "bits").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     entries = materialise(entries.join(signs, "node"), "jaccard-entries")
     return entries.groupBy("shard", "first", "second").applyInArrow(lambda group: shard_pairs(group, least), "a bigint, b bigint").distinct()
 
