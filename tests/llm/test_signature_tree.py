@@ -218,3 +218,40 @@ def test_tokens_of_one_component_are_not_sent(spark, monkeypatch):
     assert len({c for _, _, c in want}) == 4
     assert got(S.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want
     assert tables["jaccard-first"].count() >= 12 and tables["jaccard-met"].count() == 0
+
+
+def test_linked_sets_agree_in_as_many_first_tokens(spark):
+    """Sets at the bound of similarity, of equal and of unequal sizes."""
+    r = np.random.default_rng(8)
+    asked = spark.createDataFrame([(n,) for n in range(1, 1100)], "n bigint")
+    for least in (50, 80, 100):
+        need = {n: k for n, k in asked.select("n", S._agreeing(least)).collect()}
+        for n in [*range(1, 60), 161, 320, 500]:
+            for m in {n, 100 * n // least}:
+                both = next(b for b in range(n + 1) if 100 * b >= least * (n + m - b))
+                whole = r.permutation(n + m - both)
+                a, b = whole[:n], np.append(whole[:both], whole[n:])
+                x, y = (set(np.sort(s)[:S.prefix_length(len(s), least)].tolist()) for s in (a, b))
+                assert len(x & y) >= max(need[len(a)], need[len(b)])
+
+
+def test_classes_that_share_a_token_by_chance_are_not_sent(spark, monkeypatch):
+    """Every text has a few shingles of each of the next two; one pair of near copies is found all the same."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**9)}"
+    common = [[word() for _ in range(6)] for _ in range(26)]
+    rows = [(k, " ".join([x for c in common[k: k + 3] for x in [*c, *(word() for _ in range(130))]])) for k in range(24)]
+    rows.append((24, " ".join(x if k % 45 else word() for k, x in enumerate(rows[7][1].split()))))
+    tables, real = {}, S.materialise
+
+    def latest(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+    monkeypatch.setattr(S, "materialise", latest)
+    # no leaders, so that the trees find the pair
+    monkeypatch.setattr(S, "ALIKE", S.LEADERS + 1)
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == 24
+    assert got(S.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want
+    assert tables["jaccard-met"].count() > 20
+    assert {n for n, in tables["jaccard-entries"].select("node").distinct().collect()} == {n for p in tables["jaccard-links"].collect() for n in p}

@@ -7,7 +7,8 @@ hundredths or more. Equal sets are one class from the start. The join of the cla
    This step decides nothing: it spares the next one the pairs within large groups of near copies, since a pair that is
    connected already needs no link.
 2. *Signature trees.* A class is dealt to the shards of its rarest tokens. Of n tokens, n - ceil(least n / 100) + 1 are enough for
-   two linked sets to meet. Tokens that one component has alone are left out, and the classes of a token stand under the smallest
+   two linked sets to meet, and with k - 1 more they meet in k: a class that shares fewer with others has no link and is not
+   sent. Tokens that one component has alone are left out, and the classes of a token stand under the smallest
    of them, so that tokens of the same passage send a class once. A shard's classes are the leaves of trees, one for each power
    of two in size. A node holds the
    OR-combined token bitmap of what lies under it, its range of sizes, of tokens and of components. A dual traversal, level by
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinclock.llm.common import bound_batches, unit_hash
@@ -40,6 +41,10 @@ from twinclock.session import materialise
 LEAST, WORDS, LEADERS = 80, 5, 16
 #: Bits of a bitmap for each token of a set, at least, and most bits; powers of two.
 SPARSE, WIDEST = 4, 1 << 15
+#: Tokens of a set to each that linked sets must share beyond the first.
+SHARE = 32
+#: Times that classes are left out for meeting others in too few tokens.
+AGAIN = 1
 #: MinHash values of LEADERS that a class has in common with its leader, at least.
 ALIKE = 9
 #: Entries of a shard or of a part of one; children of a node; bytes of bitmaps compared at a time.
@@ -127,8 +132,16 @@ def bitmap(own: np.ndarray) -> bytes:
 
 
 def prefix_length(n: int, least: int) -> int:
-    """Tokens of a set of n of which any linked set has one among its own, in whatever common order."""
-    return n + least * n // -100 + 1
+    """First tokens of a set of n, in whatever common order. Of those of two linked sets as many are the same as the smaller set's
+    n asks for: 1 and one more for SHARE of the tokens that they have in common at least."""
+    least_common = -(least * n // -100)
+    return n - least_common + 1 + least_common // SHARE
+
+
+def _agreeing(least: int) -> Column:
+    """Tokens that a class of ``n`` has in common with any linked one, of the first ones of both; the other set is no smaller than
+    what they have in common."""
+    return F.expr(f"1 + ({least} * (({least} * n + 99) div 100) + 99) div 100 div {SHARE}")
 
 
 def _by_row(docs: DataFrame, rows: Callable[[], Callable[[list], list[pa.Array]]], columns: str) -> DataFrame:
@@ -384,10 +397,16 @@ def headed(met: DataFrame, least: int) -> DataFrame:
     go together; under a head it stands, and is sent, once. Linked classes stand under one head of each token they share."""
     # linked sets lie in one band of sizes or in two next to each other, and meet in the upper one
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least + 1e-9))).cast("int") if least < 100 else F.col("n").cast("int")
-    met = met.withColumn("own", band)
-    heads = met.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.min("node").alias("head"))
-    heads = materialise(heads.where("low <> high and top = band").select("token", "band", "head"), "jaccard-apart")
-    return met.join(heads, "token").where(F.col("band").between(F.col("own"), F.col("own") + 1)).select("band", "head", "node", "n", "root").distinct()
+    met = met.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    # a class that meets others in too few tokens is left out, which may leave its neighbours too few
+    for step in range(AGAIN + 1):
+        heads = met.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("top"), F.min("node").alias("head"))
+        heads = materialise(heads.where("low <> high and top = band").select("token", "band", "head"), f"jaccard-apart-{step}")
+        under = met.join(heads, ["token", "band"])
+        if step < AGAIN:
+            enough = under.groupBy("band", "node").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(F.col("common") >= _agreeing(least))
+            met = materialise(under.drop("head").join(enough.select("band", "node"), ["band", "node"], "left_semi"), "jaccard-agreeing")
+    return under.select("band", "head", "node", "n", "root").distinct()
 
 
 def candidates(own: DataFrame, roots: DataFrame, least: int) -> DataFrame:
