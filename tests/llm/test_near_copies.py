@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import FOLDER
 from twinclock.llm import exact_dedup
@@ -160,3 +162,74 @@ def test_blocks_of_a_crowded_leaf_lose_no_link(spark, docs, prose, monkeypatch):
     monkeypatch.setattr(N._tested_in_place, "__defaults__", (4000,))
     monkeypatch.setattr(N, "_linked", lambda pairs, nodes, keyed: pairs.where("false"))
     assert ids(N.drop_near_copies(docs(texts), reach=64)) == want
+
+
+@pytest.mark.parametrize(("crowd", "few"), [(0, N.FEW), (0, 2), (1500, 5)])
+def test_crowded_bands_lose_no_link(spark, docs, prose, monkeypatch, crowd, few):
+    texts = edited(prose, 160, 4)
+    want = sorted(survivors(list(texts.items())), key=str)
+    monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "SIGN_LEAF", 50)
+    assert ids(N.drop_near_copies(docs(texts), reach=64, crowd=crowd)) == want
+    monkeypatch.setattr(N._tested_in_place, "__defaults__", (4000,))
+    monkeypatch.setattr(N, "_linked", lambda pairs, nodes, keyed: pairs.where("false"))
+    assert ids(N.drop_near_copies(docs(texts), reach=64, crowd=crowd)) == want
+
+
+def test_a_crowded_band_keeps_the_reach(spark, docs, prose):
+    texts = edited(prose, 160, 5)
+    for reach in (3, N.REACH):
+        assert ids(N.drop_near_copies(docs(texts), reach=reach, crowd=0)) == ids(N.drop_near_copies(docs(texts), reach=reach))
+
+
+def test_comparisons_do_not_grow_with_the_square(spark, docs, prose, monkeypatch):
+    compared = []
+
+    def kept(df, name, keep=N.materialise):
+        out = keep(df, name)
+        if name == "near-met":
+            leaves = out.groupBy("leaf", "part").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
+            compared.append(leaves.agg(F.sum(F.col("homes") * F.col("n"))).first()[0] or 0)
+        return out
+    monkeypatch.setattr(N, "materialise", kept)
+    for n in (100, 400):
+        texts = {k: prose(k, 100) for k in range(n)} | {n: prose(7, 100) + " more"}
+        assert ids(N.drop_near_copies(docs(texts), crowd=20_000)) == sorted(range(n), key=str)
+    assert compared[1] <= 4 * compared[0]
+
+
+def test_signs_give_the_candidates_of_each_sign(prose):
+    marks = [N.mark(t.encode()) for t in edited(prose, 90, 6).values()]
+    fp, size, key = (np.array([m[k] for m in marks], np.int64) for k in range(3))
+    r = np.random.default_rng(1)
+    who, sign = r.integers(0, 90, 400), r.integers(0, 40, 400)
+    root, homes = key // 3, 300
+    for nearest in (True, False):
+        want = set()
+        for s in range(40):
+            own = np.flatnonzero(sign == s)
+            at = who[own]
+            a, b = N.candidates(key[at], fp[at], size[at], root[at], int((own < homes).sum()), nearest, 30)
+            want |= set(zip(a.tolist(), b.tolist(), strict=True))
+        got = N.candidates(key[who], fp[who], size[who], root[who], homes, nearest, 30, sign)
+        assert want and set(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_signs_of_alike_sets():
+    r = np.random.default_rng(2)
+    shared = []
+    for _ in range(300):
+        own = r.integers(0, 2**64, 100, dtype=np.uint64)
+        shared.append(int((N.signs(np.sort(own[:90])) == N.signs(np.sort(own[10:]))).sum()))
+    # of similarity 0.8: binomial, 28 times 0.64
+    assert min(shared) >= 6 and abs(np.mean(shared) - 17.92) < 0.6 and 4.5 < np.var(shared) < 8.5
+    assert not (N.signs(own[:50]) == N.signs(own[50:])).any()
+
+
+def test_a_pair_that_shares_many_signs_is_sent_once(spark, docs, prose, monkeypatch):
+    asked, kept = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: (out := kept(df, name), name == "near-members" and asked.append(out.count()))[0])
+    text = prose(1, 200).split()
+    texts = {1: " ".join(text), 2: " ".join(text[:160] + ["other"] * 40)}
+    assert ids(N.drop_near_copies(docs(texts), reach=64, crowd=0)) == [1, 2]
+    assert asked[0] > 2 and asked[1] == 2
